@@ -1,0 +1,13 @@
+"""The registered queries over the reference tables."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
