@@ -33,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import n_parts, saved
+from ._store import n_parts
 
 GRAM = 25
 LONGEST = 64
-BATCH = 2_000_000
-PER_PART = 16e6
+#: Bytes of pieces in one transform: its arrays fit a core's cache.
+BATCH = 400_000
+#: Bytes of text in one partition, and in one packed block.
+PER_PART = 12e6
+PACK = 12_000_000
+CHUNK = 1 << 20
 
 
 def pieces(data: np.ndarray, offs: np.ndarray, least: int):
@@ -100,12 +104,35 @@ def _split(p):
 
 
 def _batch(part, payload, extra=None):
-    cols = {"part": pa.array(part, pa.int32()), "payload": pa.array(payload, pa.binary())}
+    cols = {"part": pa.array(part, pa.int32()), "payload": pa.array(map(_squeeze, payload), pa.binary())}
     if extra is not None:
         cols = {"part": cols["part"], "q": pa.array(extra, pa.int32()), "payload": cols["payload"]}
     return pa.RecordBatch.from_pydict(cols)
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def _expand(payload: pa.Scalar) -> pa.Buffer:
+    raw = payload.as_buffer()
+    return pa.Codec("zstd").decompress(raw.slice(8), int(np.frombuffer(raw, np.int64, 1)[0]))
+
+
+def _text_block(ids: pa.Array, texts: pa.Array) -> bytes:
+    """Ids (with a mark where one is null), lengths and bytes of rows."""
+    data = [x for *_, x, _ in K.text_chunks(texts, 1 << 40)]
+    n = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _pack(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), n) + b"".join(x.tobytes() for x in data)
+
+
+def _text_rows(raw: pa.Buffer) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    (ids, valid, n), at = _unpack(raw, np.int64, np.bool_, np.int64)
+    offs = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=offs[1:])
+    return ids, valid, pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offs), raw.slice(at)])
+
+
 def _pack(*arrays):
     return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
@@ -131,22 +158,23 @@ def first_places(strings: list[np.ndarray] | np.ndarray, lens: np.ndarray, docs:
     shift = np.repeat(np.arange(m), lens)
     place = np.arange(len(data)) + shift
     sym[place] = data.astype(np.uint16) + 1
-    # suffixes in order of their first 56 symbols
+    # suffixes in order of their first 63 symbols: seven, then three ranks of seven, then three of 21
     key = np.zeros(n, K.U)
     for j in range(7):
         key = (key << K.U(9)) | sym[j : j + n].astype(K.U)
-    depth = 7
+    depth, bits = 7, K.U(max(1, int(n).bit_length()))
     while True:
         sa = np.argsort(key)
-        s = key[sa]
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(np.r_[0, s[1:] != s[:-1]])
+        x = key[sa]
+        rank = np.empty(n, K.U)
+        rank[sa] = np.cumsum(np.r_[1, x[1:] != x[:-1]]).astype(K.U)
         if depth >= least:
             break
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - depth] = rank[depth:] + 1
-        key = (rank.astype(K.U) << K.U(32)) | nxt.astype(K.U)
-        depth *= 2
+        key = rank.copy()
+        for j in (depth, 2 * depth) if 3 * bits <= 64 else (depth,):
+            key <<= bits
+            key[: max(0, n - j)] |= rank[j:]
+        depth *= 3 if 3 * bits <= 64 else 2
     sa = sa.astype(np.int32)
     isa = np.empty(n, np.int32)
     isa[sa] = np.arange(n, dtype=np.int32)
@@ -199,7 +227,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
         for batch in it:
             ids = batch.column(0).to_numpy()
-            for lo, hi, data, offs in K.text_chunks(batch.column(1)):
+            for lo, hi, data, offs in K.text_chunks(batch.column(1), CHUNK):
                 row, _, _, h, _ = pieces(data, offs, least)
                 held.append((ids[lo:hi][row], h))
                 size += len(h)
@@ -214,7 +242,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         dd, hh = [], []
         for batch in it:
             for raw in batch.column(1):
-                raw = raw.as_buffer()
+                raw = _expand(raw)
                 (d, n), at = _unpack(raw, np.int64, np.int32)
                 dd.append(np.repeat(d, n)), hh.append(_unfive(memoryview(raw)[at:]))
         if not dd:
@@ -235,25 +263,43 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         yield _batch(p, raw)
 
     def bucketed(it):
+        """Whole texts, packed by bucket of documents."""
+        held, size = [], 0
+
+        def flush():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            ids = rows.column(0).combine_chunks()
+            p, raw = [], []
+            for part, i in _split(_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), parts)):
+                some = rows.take(pa.array(i))
+                p.append(part), raw.append(_text_block(some.column(0).combine_chunks(), some.column(1).combine_chunks()))
+            return _batch(p, raw)
+
         for batch in it:
-            q = _bucket(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), parts)
-            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), *batch.columns], names=["part", "doc_id", "text"])
+            for lo in range(0, batch.num_rows, 500):
+                held.append(batch.slice(lo, 500))
+                size += pa.compute.sum(pa.compute.binary_length(held[-1].column(1))).as_py() or 0
+                if size > PACK:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
-    bucket = docs.mapInArrow(bucketed, "part int, doc_id long, text binary")
+    bucket = docs.mapInArrow(bucketed, "part int, payload binary").withColumn("kind", F.lit(0))
     known = named.mapInArrow(offer, "part int, payload binary").repartition(parts, "part").mapInArrow(shared, "part int, payload binary")
 
     def send(it):
         """Each bucket's distinct pieces with a shared hash, by bucket of hashes."""
-        texts, notes, bucket_of = [], [], None
+        texts, notes = [], []
         for batch in it:
-            for part, payload in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
-                if payload.is_valid:
-                    raw = payload.as_buffer()
+            for part, payload, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if kind:
+                    raw = _expand(payload)
                     (d, n), at = _unpack(raw, np.int64, np.int32)
                     notes.append((np.repeat(d, n), _unfive(memoryview(raw)[at:])))
-            rows = batch.filter(pa.compute.and_(batch.column(3).is_null(), batch.column(1).is_valid()))
-            if rows.num_rows:
-                texts.append(rows)
+                else:
+                    texts.append((part, payload))
         if not notes or not texts:
             return
         d, h = (np.concatenate(x) for x in zip(*notes, strict=True))
@@ -261,10 +307,9 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         ids = np.unique(d)
         wanted = np.unique((np.searchsorted(ids, d).astype(K.U) << K.U(40)) | h)
         seen: dict[int, list] = {}
-        for batch in texts:
-            own = batch.column(1).to_numpy()
-            qs = batch.column(0).to_numpy()
-            for lo, hi, data, offs in K.text_chunks(batch.column(2)):
+        for bucket_id, payload in texts:
+            own, valid, rows = _text_rows(_expand(payload))
+            for lo, hi, data, offs in K.text_chunks(rows, CHUNK):
                 row, start, count, h, c = pieces(data, offs, least)
                 doc = own[lo:hi][row]
                 at = np.searchsorted(ids, doc)
@@ -272,19 +317,17 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
                 k = (at.astype(K.U) << K.U(40)) | (h >> K.U(24))
                 i = np.searchsorted(wanted, k)
                 i[i == len(wanted)] = 0
-                keep = (wanted[i] == k) & (ids[at] == doc)
+                keep = (wanted[i] == k) & (ids[at] == doc) & valid[lo:hi][row]
                 row, start, count, h, doc = row[keep], start[keep], count[keep], h[keep], doc[keep]
                 if not len(h):
                     continue
                 size = count + least - 1
                 key = K.span_hash(c, start, start + size)
-                q = qs[lo:hi][row]
                 # copies of a piece in this chunk and bucket go once, with the smallest and largest document
-                for bucket_id, i in _split(q):
-                    o = i[np.argsort(key[i], kind="stable")]
-                    cut = np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1]])
-                    lowest, highest, one = np.minimum.reduceat(doc[o], cut), np.maximum.reduceat(doc[o], cut), o[cut]
-                    seen.setdefault(bucket_id, []).append((key[one], h[one], size[one], lowest, highest, _gather(data, start[one], size[one])))
+                o = np.argsort(key, kind="stable")
+                cut = np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1]])
+                lowest, highest, one = np.minimum.reduceat(doc[o], cut), np.maximum.reduceat(doc[o], cut), o[cut]
+                seen.setdefault(bucket_id, []).append((key[one], h[one], size[one], lowest, highest, _gather(data, start[one], size[one])))
         for q, found in seen.items():
             key, h, size, low, high = (np.concatenate([x[j] for x in found]) for j in range(5))
             text = np.concatenate([x[5] for x in found])
@@ -304,7 +347,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         cols = [[], [], [], [], [], [], []]
         for batch in it:
             for q, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = raw.as_buffer()
+                raw = _expand(raw)
                 got, at = _unpack(raw, np.uint64, np.uint8, np.uint16, np.int64, np.int64)
                 for c, x in zip(cols, (*got, np.full(len(got[0]), q, np.int32), np.frombuffer(raw, np.uint8, offset=at)), strict=True):
                     c.append(x)
@@ -347,21 +390,20 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     def remove(it):
         texts, notes = [], []
         for batch in it:
-            for payload in batch.column(3):
-                if payload.is_valid:
-                    notes.append(_unpack(payload.as_buffer(), np.uint64, np.uint8, np.uint8, np.int64)[0])
-            rows = batch.filter(batch.column(3).is_null())
-            if rows.num_rows:
-                texts.append(rows)
+            for payload, kind in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if kind:
+                    notes.append(_unpack(_expand(payload), np.uint64, np.uint8, np.uint8, np.int64)[0])
+                else:
+                    texts.append(payload)
         if notes:
             key, off, run, first = (np.concatenate(x) for x in zip(*notes, strict=True))
             o = np.argsort(key, kind="stable")
             key, off, run, first = key[o], off[o].astype(np.int64), run[o].astype(np.int64), first[o]
         else:
             key = np.zeros(0, K.U)
-        for batch in texts:
-            own, known_id = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in K.text_chunks(batch.column(2)):
+        for payload in texts:
+            own, known_id, rows = _text_rows(_expand(payload))
+            for lo, hi, data, offs in K.text_chunks(rows, CHUNK):
                 gone = np.zeros(len(data) + 1, np.int32)
                 if len(key):
                     row, start, count, h, c = pieces(data, offs, least)
@@ -389,15 +431,14 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
                     kept.append(left[pos[s] : pos[e]])
                     x = cuts[ia[j] : ia[j + 1] + 1]
                     spans.append([{"first": int(u - s), "end": int(v - s)} for u, v in zip(x[:-1], x[1:], strict=True) if gone[u]] if pos[e] - pos[s] != e - s else [])
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(1).slice(lo, hi - lo), "n_bytes": pa.array(total, pa.int64()), "spans": pa.array(spans, _SPANS), "kept": pa.array(kept, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own[lo:hi], mask=~known_id[lo:hi]), "n_bytes": pa.array(total, pa.int64()), "spans": pa.array(spans, _SPANS), "kept": pa.array(kept, pa.binary())})
 
     def beside(notes: DataFrame) -> DataFrame:
         """Documents and notes in the same partition by bucket of documents."""
-        rows = bucket.withColumn("payload", F.lit(None).cast("binary"))
-        return rows.unionByName(notes.select("part", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), "payload")).repartition(parts, "part")
+        return bucket.unionByName(notes.withColumn("kind", F.lit(1))).repartition(parts, "part")
 
     offered = beside(known).mapInArrow(send, "part int, q int, payload binary")
-    found = saved(offered.repartition(parts, "part").mapInArrow(settle, "part int, payload binary"), "repeats")
+    found = offered.repartition(parts, "part").mapInArrow(settle, "part int, payload binary")
     return beside(found).mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<first:long,end:long>>, kept binary")
 
 
