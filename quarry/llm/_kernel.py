@@ -59,7 +59,7 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(x)
 
 
-def text_chunks(arr: pa.Array, limit: int = 2 << 20):
+def text_chunks(arr: pa.Array, limit: int = 1 << 20):
     """Yields (first row, last row + 1, bytes, offsets) of runs of rows with about ``limit`` bytes; a null is empty."""
     if pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type):
         arr = arr.cast(pa.large_binary())

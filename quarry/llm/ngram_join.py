@@ -265,9 +265,10 @@ def _across(rest: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     rest = rest.select("token", F.least("bk", "other").alias("b0"), F.greatest("bk", "other").alias("b1"), "bk", "doc", "n", "pos", "label").repartition(parts, "token", "b0", "b1")
 
     def pairs(it):
-        t = pa.Table.from_batches(list(it))
-        if not t.num_rows:
+        batches = list(it)
+        if not sum(x.num_rows for x in batches):
             return
+        t = pa.Table.from_batches(batches)
         c = {k: t.column(k).to_numpy() for k in t.column_names}
         o = np.lexsort((c["b1"], c["b0"], c["token"]))
         c = {k: v[o] for k, v in c.items()}
