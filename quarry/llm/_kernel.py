@@ -122,3 +122,34 @@ def one_gram(h: np.ndarray) -> np.ndarray:
 
 def table_batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, schema.field(k).type) for k, x in ((f.name, cols[f.name]) for f in schema)], schema=schema)
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first seen; ``fresh`` has those not yet dealt with."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+        self.hits = np.zeros(0, np.int64)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        new = list(set(words) - self.keys())
+        n = len(self)
+        self.update(zip(new, range(n, n + len(new)), strict=True))
+        self.fresh += new
+        i = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        seen = np.bincount(i, minlength=len(self))
+        seen[: len(self.hits)] += self.hits
+        self.hits = seen
+        return i
+
+    def forget_rare(self) -> np.ndarray:
+        """Forget words seen only once, or all if few were; returns the old numbers of those kept, in their new order."""
+        keep = np.flatnonzero(self.hits > 1)
+        if 2 * len(keep) > len(self):
+            keep = keep[:0]
+        names = list(self)
+        self.clear()
+        self.update(zip([names[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        self.hits = np.zeros(len(keep), np.int64)
+        return keep

@@ -23,12 +23,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _kernel as K
 from ._lattice import MARK, groups, vocab
 
 PER_LANGUAGE = 1000
@@ -117,29 +119,26 @@ class Scorer:
         self.clear()
 
     def clear(self):
-        self.at: dict[str, int] = {}
+        self.at = K.Numbers()
         self.rows = np.zeros((0, self.prob.shape[1]))
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Logarithms of the texts' probabilities, texts x languages."""
         if len(self.at) > REMEMBER:
-            self.clear()
+            self.rows = self.rows[self.at.forget_rare()]
         lists = [t.split() for t in texts]
-        new = list({w for x in lists for w in x if w not in self.at})
-        if new:
+        i = self.at.of(list(chain.from_iterable(lists)))
+        if new := self.at.fresh:
             got = np.empty((len(new), self.prob.shape[1]))
-            short = [i for i, w in enumerate(new) if len(w) < LONG]
+            short = [j for j, w in enumerate(new) if len(w) < LONG]
             for lo in range(0, len(short), 20_000):
-                i = short[lo : lo + 20_000]
-                got[i] = _forward(self.v, [MARK + new[j] for j in i], self.prob)
-            for i, w in enumerate(new):
+                part = short[lo : lo + 20_000]
+                got[part] = _forward(self.v, [MARK + new[j] for j in part], self.prob)
+            for j, w in enumerate(new):
                 if len(w) >= LONG:
-                    got[i] = _forward_long(self.v, MARK + w, self.prob)
-            n = len(self.at)
-            self.at.update(zip(new, range(n, n + len(new)), strict=True))
+                    got[j] = _forward_long(self.v, MARK + w, self.prob)
+            new.clear()
             self.rows = np.concatenate([self.rows, got])
-        at = self.at
-        i = np.fromiter((at[w] for x in lists for w in x), np.int64)
         c = np.zeros((len(i) + 1, self.prob.shape[1]))
         np.cumsum(self.rows[i], axis=0, out=c[1:])
         n = np.cumsum([0, *map(len, lists)])
