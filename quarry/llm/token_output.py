@@ -9,7 +9,8 @@ the part and number of ids.  Files are written under another name and renamed,
 so a lost or repeated task leaves whole files only.
 
 A text's words (between spaces and line ends, which no token spans) are encoded
-by the tokenizer once each per worker and remembered, at most ``REMEMBER`` words.
+by the tokenizer once each per worker and remembered by 64-bit hashes, about
+``REMEMBER`` at most; those met once are forgotten first.
 
 Edge cases: a null text is empty and gives the end id alone; ids may repeat (the
 rows stay apart, in order of text) or be null (first); an empty table gives no
@@ -26,53 +27,124 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _kernel as K
 from ._store import n_parts, open_fs, publish, saved, shared_dir
 
-REMEMBER = 400_000
+REMEMBER = 500_000
+#: Stands between words that are encoded together; words that have it are encoded apart.
+MARK = "\x01"
 ROWS = 256
 _CODERS: dict = {}
 
 
 class WordCoder:
-    """Ids of texts by remembered words."""
+    """Ids of texts by remembered units: words, with commas and the like after an ASCII letter apart.
+
+    The tokenizer never joins what a space, a line end or such a cut separates,
+    and it ignores case, so each unit is encoded once, whatever its case.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
-        self.clear()
-
-    def clear(self):
-        self.at: dict[str, int] = {}
-        self.ids, self.start, self.count, self.n = [], [], [], 0
-        self.table = None
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
-        if len(self.at) > REMEMBER:
-            self.clear()
-        lists = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list({w for x in lists for w in x if w not in self.at})
-        for lo in range(0, len(new), 1000):
-            some = new[lo : lo + 1000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.at[w] = len(self.start)
-                self.start.append(self.n), self.count.append(len(ids)), self.ids.append(np.array(ids, np.uint32))
-                self.n += len(ids)
-        if new or self.table is None:
-            self.ids = [np.concatenate(self.ids)] if self.ids else [np.zeros(0, np.uint32)]
-            self.table = np.array(self.start, np.int64), np.array(self.count, np.int64)
-        start, count = self.table
-        at = self.at
-        i = np.fromiter((at[w] for x in lists for w in x), np.int64)
-        n = count[i]
-        end = np.cumsum(n)
-        out = self.ids[0][np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - start[i], n)]
-        words = np.cumsum([0, *map(len, lists)])
-        total = np.r_[0, end]
-        return out, total[words[1:]] - total[words[:-1]]
+        mark = self.tok.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.ends = np.zeros(self.size + 1, bool)
+        for piece, i in self.tok.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
+        none = np.zeros(0, np.int64)
+        #: Hashes in order; where each unit's ids start, how many there are, and how often it was met.
+        self.hash, self.start, self.count, self.hits = np.zeros(0, K.U), none, none, none
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encode(self, units: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that are letters only: each is one word to the tokenizer, whose last piece is marked as an end."""
+        flat = np.concatenate(self._encode([" ".join(units[k : k + 500]) for k in range(0, len(units), 500)]))
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) == len(units) and last[-1] == len(flat) - 1:
+            return flat, np.diff(last, prepend=-1)
+        return self._apart(units)
+
+    def _apart(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any units, a mark between them."""
+        if self.mark is None or MARK in "\n".join(units):
+            each = self._encode(units)
+            return np.concatenate(each), np.array([len(x) for x in each])
+        flat = np.concatenate(self._encode([f" {MARK} ".join(["", *units[k : k + 500], ""]) for k in range(0, len(units), 500)]))
+        at = np.flatnonzero(flat == self.mark)
+        last = np.cumsum([min(500, len(units) - k) + 1 for k in range(0, len(units), 500)]) - 1
+        return flat[flat != self.mark], np.delete(np.diff(at, append=0) - 1, last)
+
+    def _add(self, hashes: np.ndarray, units: list[str]) -> None:
+        plain = np.array([u.isalpha() for u in units])
+        for part, how in ((np.flatnonzero(plain), self._together), (np.flatnonzero(~plain), self._apart)):
+            if not len(part):
+                continue
+            ids, count = how([units[i] for i in part.tolist()])
+            h = hashes[part]
+            at = np.searchsorted(self.hash, h)
+            self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(count) - count)
+            self.count = np.insert(self.count, at, count)
+            self.hits = np.insert(self.hits, at, 0)
+            self.hash = np.insert(self.hash, at, h)
+            self.ids = np.concatenate([self.ids, ids])
+
+    def _forget(self) -> None:
+        """Forget units met once, or all if few were."""
+        keep = np.flatnonzero(self.hits > 1)
+        if 2 * len(keep) > len(self.hash):
+            keep = keep[:0]
+        self.hash, start, self.count = self.hash[keep], self.start[keep], self.count[keep]
+        self.ids = self.ids[_spans(start, self.count)]
+        self.start = np.cumsum(self.count) - self.count
+        self.hits = np.zeros(len(keep), np.int64)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in ``data``, and the number of ids of each."""
+        if len(self.hash) > REMEMBER:
+            self._forget()
+        s, e, _ = K.words(data, offs, _IN_WORD)
+        raw = data.tobytes()
+        cut = np.flatnonzero(_STOP[data[1:]] & _LETTER[data[:-1]]) + 1
+        cut = cut[np.searchsorted(s, cut, "right") - 1 == np.searchsorted(s, cut - 1, "right") - 1]
+        # a cut that is inside a word ends one unit and begins the next
+        s, e = np.sort(np.r_[s, cut]), np.sort(np.r_[e, cut])
+        # special tokens are told apart by case
+        h = K.word_hashes(data, s, e, K.BYTES if b"<|" in raw else K.LOWER)
+        one, first, which, seen = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.hash, one)
+        at[at == len(self.hash)] = 0
+        new = self.hash[at] != one if len(self.hash) else np.ones(len(one), bool)
+        if new.any():
+            i = first[new]
+            self._add(one[new], [raw[a:b].decode() for a, b in zip(s[i].tolist(), e[i].tolist(), strict=True)])
+            at = np.searchsorted(self.hash, one)
+        if not len(one):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        self.hits[at] += seen
+        start, n = self.start[at][which], self.count[at][which]
+        total = np.r_[0, np.cumsum(n)]
+        edge = total[np.searchsorted(s, offs)]
+        return self.ids[_spans(start, n)], np.diff(edge)
+
+
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, 0x0A]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b",.!?;:")] = True
+
+
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start to start + n of each, one after the other."""
+    end = np.cumsum(n)
+    return np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - start, n)
 
 
 def coder(path: str) -> WordCoder:
@@ -111,9 +183,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, key:
 
             with pa.ipc.new_file(out, schema) as w:
                 for batch in it:
-                    for lo in range(0, batch.num_rows, 500):
-                        some = batch.slice(lo, 500)
-                        ids, n = c.encode(some.column(1).to_pylist())
+                    for lo, hi, data, offs in K.text_chunks(batch.column(1)):
+                        some = batch.slice(lo, hi - lo)
+                        ids, n = c.encode(data, offs)
                         end = np.cumsum(n) + np.arange(1, len(n) + 1)
                         flat = np.full(len(ids) + len(n), end_id, kind)
                         plain = np.ones(len(flat), bool)
