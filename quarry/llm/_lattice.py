@@ -26,11 +26,15 @@ class Vocab:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         own = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and self.pieces[i]]
         self.own = np.array(own)
+        #: What each piece stands for in a text, in UTF-8.
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(self.pieces)]
         self.size = n
         #: A character without a piece of its own is spelled in bytes; its score is under every piece's.
         self.unknown = float(self.score[own].min()) - 10.0
         #: Texts fall apart before each mark if no piece has a mark after another character.
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in own)
+        #: Nor does a piece hold one of these after a letter, so texts fall apart there too.
+        self.stops = "".join(c for c in ",.!?;:" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", self.pieces[i]) for i in own))
         self.longest = max(len(self.pieces[i]) for i in own)
         flat, lens = points([self.pieces[i] for i in own])
         c = _sums(flat)
