@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: unless the session says otherwise, a thousand of them make a batch for Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what a lost executor held need not be made again."""
     spark = df.sparkSession
@@ -52,3 +59,38 @@ def publish(uri: str, name: str, write) -> int:
 def n_parts(spark: SparkSession, n_bytes: float, per_part: float = 32e6) -> int:
     """Shuffle partitions for so many bytes: the session's number at least, more as the data grow."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes / per_part) + 1)
+
+
+#: What a Python worker remembers from task to task: of one operator at a time, for others run in the same worker.
+_REMEMBERED: dict = {}
+
+
+def remembered(key, make):
+    if key not in _REMEMBERED:
+        release()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def release() -> None:
+    """Forget it and give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    _REMEMBERED.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def lean(f):
+    """A task's function that holds nothing from other operators while it runs, nor afterwards."""
+
+    def run(it):
+        release()
+        yield from f(it)
+        release()
+
+    return run

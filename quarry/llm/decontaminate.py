@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
+from ._store import lean, small_batches
 
 SHINGLE = 5
 BLOCK_WINDOWS = 500_000
@@ -129,7 +130,7 @@ def rarity(docs: DataFrame, text: str, w: Windows) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "c": pa.array(c[i], pa.int64())})
 
     out = np.zeros(len(w.tokens), np.int64)
-    for i, c in docs.select(text).mapInArrow(count, "i long, c long").groupBy("i").agg(F.sum("c")).collect():
+    for i, c in docs.select(text).mapInArrow(lean(count), "i long, c long").groupBy("i").agg(F.sum("c")).collect():
         out[i] = c
     return out
 
@@ -179,7 +180,7 @@ def _scan(docs: DataFrame, w: Windows) -> DataFrame:
                     items[r] = sorted({w.ids[o] for o in w.owner[win[row == r]].tolist() if w.ids[o] is not None})
                 yield pa.RecordBatch.from_pydict({"_row": batch.column(0).slice(lo, hi - lo), "n_words": pa.array(np.diff(wo)), "runs": pa.array(runs, _RUNS), "items": pa.array(items, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(find, "_row long, n_words long, runs array<struct<first:long,last:long>>, items array<long>")
+    return docs.mapInArrow(lean(find), "_row long, n_words long, runs array<struct<first:long,last:long>>, items array<long>")
 
 
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -209,6 +210,7 @@ def _blocks(items: DataFrame, key: str, text: str, width: int):
 def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
     """Per document row: doc_id, n_words, runs (disjoint, ascending first and last hit words), items (sorted ids)."""
     docs = docs.select(F.col(key).cast("long").alias("_row"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
     found, blocks = None, 0
     for block in _blocks(items, item_key, item_text, width):
         w = Windows(block, width)

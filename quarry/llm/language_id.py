@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from . import _kernel as K
 from ._lattice import MARK, groups, vocab
+from ._store import remembered, small_batches
 
 PER_LANGUAGE = 1000
-REMEMBER = 400_000
+REMEMBER = 300_000
 ROUNDS = 3
 #: Words over this length are scored in the logarithm domain, one by one.
 LONG = 48
@@ -168,6 +169,7 @@ def learn(docs: DataFrame, model: str, allowed: Column | None = None, key: str =
 def identify(docs: DataFrame, model: str, fitted: tuple[list[str], np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """The documents with the predicted language and its posterior probability."""
     langs, prob = fitted
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, prob))
     at = docs.columns.index(text)
@@ -177,7 +179,7 @@ def identify(docs: DataFrame, model: str, fitted: tuple[list[str], np.ndarray],
 
     def predict(it):
         langs, prob = shared.value
-        s = _scorer(model, prob, shared)
+        s = remembered(("language", shared._path), lambda: Scorer(model, prob))
         for batch in it:
             out_l, out_s = [], []
             for lo in range(0, batch.num_rows, 500):
@@ -193,16 +195,3 @@ def identify(docs: DataFrame, model: str, fitted: tuple[list[str], np.ndarray],
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out_l, pa.string()), pa.array(out_s, pa.float64())], names=[*batch.schema.names, pred, score])
 
     return docs.mapInArrow(predict, schema)
-
-
-_SCORERS: dict = {}
-
-
-def _scorer(model, prob, shared) -> Scorer:
-    """The worker's scorer for this fit; a new fit replaces it."""
-    if shared._path not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[shared._path] = Scorer(model, prob)
-    return _SCORERS[shared._path]
-
-

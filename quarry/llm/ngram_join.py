@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import n_parts, saved
+from ._store import lean, n_parts, saved, small_batches
 from .components import connected_components
 
 WIDTH = 1 << 21
@@ -75,21 +75,29 @@ def _sketch(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, int]:
 
     size = WIDTH // SLICES
 
-    def unpack(r):
-        raw = bytes(r[2])
-        return r[0], (r[1], np.frombuffer(raw, {size: np.uint8, 2 * size: np.uint16, 4 * size: np.uint32}[len(raw)]).astype(np.uint64))
-
-    def plus(a, b):
-        return a[0] + b[0], a[1] + b[1]
+    def plus(it):
+        """Sums of slices, as batches come."""
+        sums: dict[int, list] = {}
+        for batch in it:
+            for i, total, raw in zip(*(batch.column(k).to_pylist() for k in ("slice", "total", "counts")), strict=True):
+                x = np.frombuffer(raw, {size: np.uint8, 2 * size: np.uint16, 4 * size: np.uint32, 8 * size: np.uint64}[len(raw)])
+                have = sums.setdefault(i, [0, np.zeros(size, np.uint64)])
+                have[0] += total
+                have[1] += x
+        for i, (total, x) in sums.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "total": pa.array([total], pa.int64()), "counts": pa.array([x.tobytes()], pa.binary())})
 
     def level(x):
         return np.minimum(255, np.round(8 * np.log2(1 + x.astype(np.float64)))).astype(np.uint8)
 
-    merged = docs.select(text).mapInArrow(count, schema).rdd.map(unpack).reduceByKey(plus, 8).mapValues(lambda t: (t[0], level(t[1]).tobytes())).collect()
+    # two rounds of sums: among some tasks first, so that no task reads the slices of all
+    some = docs.select(text).mapInArrow(lean(count), schema).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(32)))
+    some = some.repartition(n_parts(docs.sparkSession, 0), "slice", "lane").select("slice", "total", "counts").mapInArrow(lean(plus), schema)
+    merged = [(r[0], r[1], level(np.frombuffer(r[2], np.uint64))) for r in some.repartition(SLICES, "slice").mapInArrow(lean(plus), schema).collect()]
     out = np.zeros(WIDTH, np.uint8).reshape(SLICES, -1)
-    for s, (_, raw) in merged:
-        out[s] = np.frombuffer(raw, np.uint8)
-    return out.reshape(-1), sum(t for _, (t, _) in merged)
+    for s, _, x in merged:
+        out[s] = x
+    return out.reshape(-1), sum(t for _, t, _ in merged)
 
 
 def _bump(c, x):
@@ -140,6 +148,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """Link documents whose shingle sets have den * intersection >= num * union."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     level, total = _sketch(docs, "text", k)
     shared = spark.sparkContext.broadcast(level)
     parts = n_parts(spark, 24 * 0.21 * total)
@@ -188,7 +197,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
                     size = 0
         yield out(flush())
 
-    dealt = docs.mapInArrow(prefixes, "kind int, part int, payload binary").repartition(parts, "part")
+    dealt = docs.mapInArrow(lean(prefixes), "kind int, part int, payload binary").repartition(parts, "part")
 
     def meet(it):
         cols = [[], [], []]
@@ -228,7 +237,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         rest = many > SMALL
         yield _rows(2, tok[rest].view(np.int64), doc[rest], n[rest], pos[rest])
 
-    met = saved(dealt.mapInArrow(meet, "kind int, a long, b long, n long, pos long"), "met")
+    met = saved(dealt.mapInArrow(lean(meet), "kind int, a long, b long, n long, pos long"), "met")
     documents = met.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("rep"), "n")
     links = saved(_verify(docs, met.filter("kind = 1").select("a", "b").distinct(), k, num, den), "links")
     rest = met.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("doc"), "n", "pos")
@@ -292,7 +301,7 @@ def _across(rest: DataFrame, parts: int, num: int, den: int) -> DataFrame:
         for lo in range(0, len(a), 10_000):
             yield pa.RecordBatch.from_pydict({"a": pa.array(a[lo : lo + 10_000]), "b": pa.array(b[lo : lo + 10_000])})
 
-    return rest.mapInArrow(pairs, "a long, b long")
+    return rest.mapInArrow(lean(pairs), "a long, b long")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -310,7 +319,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
     named = saved(named, "named")
     if (count := named.count()) <= 500_000:  # 8 MB of ids at most; else a shuffled join
         named = F.broadcast(named)
-    x = saved(docs.join(named, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hist array<int>, set binary").dropDuplicates(["doc_id", "set"]) if count else docs.limit(0).mapInArrow(sets, "doc_id long, hist array<int>, set binary"), "sets")
+    x = saved(docs.join(named, "doc_id", "left_semi").mapInArrow(lean(sets), "doc_id long, hist array<int>, set binary").dropDuplicates(["doc_id", "set"]) if count else docs.limit(0).mapInArrow(lean(sets), "doc_id long, hist array<int>, set binary"), "sets")
     side = lambda s, col: x.select(F.col("doc_id").alias(s), F.col(col).alias(f"{col}_{s}"))
     far = F.aggregate(F.zip_with("hist_a", "hist_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
     both = F.aggregate("hist_a", F.lit(0), lambda s, v: s + v) + F.aggregate("hist_b", F.lit(0), lambda s, v: s + v)
@@ -325,4 +334,4 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
                 ok.append(den * inter >= num * (len(p) + len(q) - inter))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return near.join(side("a", "set"), "a").join(side("b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct()
+    return near.join(side("a", "set"), "a").join(side("b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(check), "a long, b long").distinct()

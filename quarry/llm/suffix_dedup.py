@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import n_parts
+from ._store import lean, n_parts, small_batches
 
 GRAM = 25
 LONGEST = 64
@@ -208,6 +208,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     if not GRAM <= least <= 56:
         raise ValueError(f"least must lie between {GRAM} and 56 bytes")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    small_batches(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = n_parts(docs.sparkSession, n_bytes, PER_PART)
     named = docs.filter("doc_id is not null")
@@ -286,8 +287,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         if held:
             yield flush()
 
-    bucket = docs.mapInArrow(bucketed, "part int, payload binary").withColumn("kind", F.lit(0))
-    known = named.mapInArrow(offer, "part int, payload binary").repartition(parts, "part").mapInArrow(shared, "part int, payload binary")
+    bucket = docs.mapInArrow(lean(bucketed), "part int, payload binary").withColumn("kind", F.lit(0))
+    known = named.mapInArrow(lean(offer), "part int, payload binary").repartition(parts, "part").mapInArrow(lean(shared), "part int, payload binary")
 
     def send(it):
         """Each bucket's distinct pieces with a shared hash, by bucket of hashes."""
@@ -437,9 +438,9 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         """Documents and notes in the same partition by bucket of documents."""
         return bucket.unionByName(notes.withColumn("kind", F.lit(1))).repartition(parts, "part")
 
-    offered = beside(known).mapInArrow(send, "part int, q int, payload binary")
-    found = offered.repartition(parts, "part").mapInArrow(settle, "part int, payload binary")
-    return beside(found).mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<first:long,end:long>>, kept binary")
+    offered = beside(known).mapInArrow(lean(send), "part int, q int, payload binary")
+    found = offered.repartition(parts, "part").mapInArrow(lean(settle), "part int, payload binary")
+    return beside(found).mapInArrow(lean(remove), "doc_id long, n_bytes long, spans array<struct<first:long,end:long>>, kept binary")
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
