@@ -1,13 +1,251 @@
-"""The registered queries over the reference tables."""
+"""The registered queries over the reference tables, each with SQL for its rows where SQL can express it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from quarry.functions import text as X
+from quarry.operators import pdf as P
+from quarry.operators import retrieval as R
+from quarry.operators import split as S
+from quarry.plans import fixtures as FX
+from quarry.schema import TITLE_SEPARATOR
+from quarry.sources import rest
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("page_content"))
+
+
+CHUNKS_SQL = """
+WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS a FROM documents),
+m AS (
+  SELECT doc_id, a, 1 AS i, 1 AS s, length(a[1]) AS n FROM l WHERE len(a) > 0
+  UNION ALL
+  SELECT doc_id, a, i + 1, CASE WHEN n + 1 + length(a[i + 1]) > {size} THEN i + 1 ELSE s END,
+    CASE WHEN n + 1 + length(a[i + 1]) > {size} THEN length(a[i + 1]) ELSE n + 1 + length(a[i + 1]) END
+  FROM m WHERE i < len(a)),
+c AS (SELECT doc_id, s, regexp_replace(array_to_string(any_value(a)[s:max(i)], chr(10)), '^\\s+|\\s+$', '', 'g') AS chunk FROM m GROUP BY doc_id, s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ord, {chunk} AS page_content FROM c{join} WHERE chunk <> ''
+"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to chunks of lines with their titles in front."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.array("source", "lang").alias("titles"), F.col("text").alias("page_content"))
+    return S.split_by_character(docs, "\n", S.SplitConfig(1000, 0), titles="titles").select("doc_id", "ord", "page_content")
+
+
+@query(CHUNKS_SQL.format(size=1000, chunk=f"source || chr(10) || lang || chr(10) || '{TITLE_SEPARATOR}' || chr(10) || chunk", join=" JOIN documents USING (doc_id)"))
+def chunk_title_prefix(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(CHUNKS_SQL.format(size=1000, chunk="chunk", join=""))
+def char_chunks_overlap0(spark, sf_dir):
+    return S.split_by_character(_docs(spark, sf_dir), "\n", S.SplitConfig(1000, 0))
+
+
+@query()
+def char_chunks_overlap200(spark, sf_dir):
+    return S.split_by_character(_docs(spark, sf_dir), "\n", S.SplitConfig(1000, 200, add_start_index=True))
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return S.split_recursively(_docs(spark, sf_dir), cfg=S.SplitConfig(500, 50, keep_separator=True))
+
+
+@query("SELECT doc_id, ord, part FROM (SELECT doc_id, generate_subscripts(a, 1) - 1 AS ord, unnest(a) AS part FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS a FROM documents))")
+def split_lines_drop_sep(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(S.split_parts(F.col("page_content"), "\n", False)).alias("ord", "part"))
+
+
+@query("SELECT doc_id, generate_subscripts(b, 1) - 1 AS ord, unnest(b) AS part FROM (SELECT doc_id, list_filter(list_transform(a, lambda x, i: CASE WHEN i > 1 THEN chr(10) ELSE '' END || x), lambda x: x <> '') AS b FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))")
+def split_lines_keep_sep(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(S.split_parts(F.col("page_content"), "\n", True)).alias("ord", "part"))
+
+
+@query("SELECT doc_id, (s / 350)::INT AS ord, substr(text, s + 1, 400) AS page_content FROM (SELECT doc_id, text, unnest(range(0, length(text), 350)) AS s FROM documents)")
+def token_windows_char(spark, sf_dir):
+    return S.split_characters(_docs(spark, sf_dir), 400, 50)
+
+
+@query("""SELECT doc_id, source AS h1, lang AS h2, string_agg(trim(x), chr(10) ORDER BY i) AS page_content FROM (SELECT doc_id, source, lang, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(x) <> '' GROUP BY ALL""")
+def md_header_split(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), "text").alias("page_content"))
+    return S.split_markdown_headers(docs, [("#", "h1"), ("##", "h2")]).select("doc_id", F.col("headers")["h1"].alias("h1"), F.col("headers")["h2"].alias("h2"), "page_content")
+
+
+_LINKED = "'[' || source || '](http://' || lang || ') ![[' || source || ']] ' || substr(text, 1, 100)"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_LINKED}, '!\\[\\[(.*)\\]\\]', '', 'g'), '\\[(.*?)\\]\\((.*?)\\)', '\\1', 'g') AS plain FROM documents")
+def md_strip_links_images(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    marked = F.concat(F.lit("["), "source", F.lit("](http://"), "lang", F.lit(") ![["), "source", F.lit("]] "), F.substring("text", 1, 100))
+    return d.select("doc_id", X.strip_links(X.strip_wiki_images(marked)).alias("plain"))
+
+
+@query("SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), '[no-title]') AS title FROM pages")
+def html_title(spark, sf_dir):
+    title = X.collapse(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
+    return _t(spark, sf_dir, "pages").select("page_id", F.when(title == "", F.lit("[no-title]")).otherwise(title).alias("title"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1) AS header, length(regexp_replace(html, '(?is)<a[^>]*>(.*?)</a>', '\\1', 'g')) AS n FROM pages")
+def html_first_header(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<h[12][^>]*>(.*?)</h[12]>", 1).alias("header"), F.length(F.regexp_replace("html", r"(?is)<a[^>]*>(.*?)</a>", "$1")).alias("n"))
+
+
+@query("SELECT n_nationkey, n_nationkey::VARCHAR AS k, 'n_nationkey为' || n_nationkey || '的n_name是' || n_name || chr(10) || chr(10) || 'n_nationkey为' || n_nationkey || '的region是' || r_name AS sentence FROM nation JOIN region ON n_regionkey = r_regionkey")
+def table_rows_to_sentences(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    header = F.array(F.lit("n_nationkey"), F.lit("n_name"), F.lit("region"))
+    key = F.col("n_nationkey").cast("string")
+    return n.select("n_nationkey", key.alias("k"), X.row_sentence(header, F.array(key, "n_name", "r_name")).alias("sentence"))
+
+
+@query("SELECT r_regionkey, '| key | key name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || r_regionkey || ' | ' || r_name || ' |' AS table_md FROM region")
+def table_markdown(spark, sf_dir):
+    cells = F.array(F.array(F.lit("key"), F.lit("key")), F.array(F.lit("key"), F.lit("name")), F.array(F.col("r_regionkey").cast("string"), "r_name"))
+    return _t(spark, sf_dir, "region").select("r_regionkey", X.table_markdown(X.merged_header(cells)).alias("table_md"))
+
+
+@query("WITH " + FX.values("n", FX.NODES) + f""" SELECT id, (SELECT sum(CASE WHEN regexp_matches(coalesce(v, ''), '(?i){X.POSITIVE}') THEN 25 ELSE 0 END - CASE WHEN regexp_matches(coalesce(v, ''), '(?i){X.NEGATIVE}') THEN 25 ELSE 0 END) FROM (VALUES (class), (node_id)) t(v))::INT AS weight,
+  CASE WHEN lower(tag) IN ('div', 'article') THEN 5 WHEN lower(tag) IN ('pre', 'td', 'blockquote') THEN 3 WHEN lower(tag) IN ('ul', 'ol', 'form') THEN -3 WHEN lower(tag) IN ('h1') THEN -5 ELSE 0 END AS prior,
+  round(length(link_text) / greatest(length(text), 1), 6) AS density FROM n""")
+def node_scores(spark, sf_dir):
+    n = FX.frame(spark, FX.NODES)
+    return n.select("id", X.class_weight(F.col("class"), F.col("node_id")).alias("weight"), X.tag_prior(F.col("tag")).alias("prior"), F.round(X.link_density(F.col("link_text"), F.col("text")), 6).alias("density"))
+
+
+_METRICS = "WITH " + FX.values("b", FX.BLOCKS) + ", m AS (SELECT doc_id, page_idx, arg_min(block_idx, (y0, block_idx)) AS header_idx, arg_min(y1 - y0, (y0, block_idx)) AS header_height, arg_max(block_idx, (y1, -block_idx)) AS footer_idx, arg_max(y1 - y0, (y1, -block_idx)) AS footer_height FROM b GROUP BY ALL)"
+_VOTE = _METRICS + ", h AS (SELECT doc_id, max(c) >= 0.9 * sum(c) AS has_header FROM (SELECT doc_id, header_height, count(*) AS c FROM m GROUP BY ALL) GROUP BY 1), f AS (SELECT doc_id, max(c) >= 0.9 * sum(c) AS has_footer FROM (SELECT doc_id, footer_height, count(*) AS c FROM m GROUP BY ALL) GROUP BY 1)"
+_LINES = _VOTE + ", k AS (SELECT b.*, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1 AS page FROM b JOIN m USING (doc_id, page_idx) JOIN h USING (doc_id) JOIN f USING (doc_id) WHERE NOT ((has_header AND block_idx = header_idx) OR (has_footer AND block_idx = footer_idx))), l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_idx) - 1 AS line_idx, page, replace(text, chr(10), '') AS text FROM k)"
+_TOC = _LINES + ", " + FX.values("t", FX.TOC) + ", x AS (SELECT doc_id, toc_ord, level, title, min(line_idx) AS line_idx FROM t JOIN l USING (doc_id) WHERE l.page = t.page - 1 AND level <= 3 AND (contains(text, title) OR contains(text, replace(title, ' ', ''))) GROUP BY ALL)"
+
+
+@query(_METRICS + " SELECT * FROM m")
+def pdf_page_metrics(spark, sf_dir):
+    return P.page_metrics(FX.frame(spark, FX.BLOCKS))
+
+
+@query(_VOTE + " SELECT doc_id, has_header, has_footer FROM h JOIN f USING (doc_id)")
+def pdf_header_vote(spark, sf_dir):
+    return P.header_vote(P.page_metrics(FX.frame(spark, FX.BLOCKS)))
+
+
+@query(_LINES + " SELECT * FROM l")
+def pdf_filtered_lines(spark, sf_dir):
+    return P.lines(P.filtered_blocks(FX.frame(spark, FX.BLOCKS)))
+
+
+@query(_TOC + " SELECT * FROM x")
+def pdf_toc_match(spark, sf_dir):
+    return P.toc_lines(FX.frame(spark, FX.TOC), pdf_filtered_lines(spark, sf_dir))
+
+
+@query()
+def pdf_sections(spark, sf_dir):
+    rows = P.sections(pdf_toc_match(spark, sf_dir), pdf_filtered_lines(spark, sf_dir))
+    return rows.select("doc_id", "first", F.array_join("titles", " > ").alias("titles"), "page_content")
+
+
+@query("WITH " + FX.values("r", FX.REPAIR) + """ SELECT id, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(
+  translate(translate(raw, chr(160) || chr(8194), ''), chr(12288) || chr(8195) || '袁遥院渊冤尧揖铱耀曰鄄覬', '  ，。：（）、【】~；-∅'), '(\\d\\s)益', '\\1℃', 'g'), '(\\d)依', '\\1±', 'g'), '滋g', 'μg'),
+  '伊(\\d+)', 'x\\1', 'g'), '叶(.*?)曳', '《\\1》', 'gs'), '逸(\\d+)', '≥\\1', 'g'), '臆(\\d+)', '≤\\1', 'g'), chr(61548), '●'), chr(10), '') AS fixed FROM r""")
+def pdf_text_repair(spark, sf_dir):
+    return FX.frame(spark, FX.REPAIR).select("id", X.repair_pdf_text(F.col("raw")).alias("fixed"))
+
+
+@query("WITH " + FX.values("r", FX.RECORDS) + """ SELECT id, CASE WHEN id = 1 THEN '男' END AS sex, CASE WHEN id = 1 THEN '40' END AS age,
+  coalesce(nullif(revised, ''), nullif(initial, '') || '，' || nullif(supplementary, ''), nullif(initial, ''), '') AS diagnosis, coalesce(nullif(plan, ''), nullif(operation, ''), '') AS treatment FROM r""")
+def emr_fields(spark, sf_dir):
+    r = FX.frame(spark, FX.RECORDS).withColumn("kv", X.bracketed_pairs(F.col("content")))
+    at = lambda k: F.try_element_at("kv", F.lit(k))
+    return r.select("id", at("性别").alias("sex"), at("年龄").alias("age"), X.diagnosis(F.col("revised"), F.col("initial"), F.col("supplementary")).alias("diagnosis"), X.treatment(F.col("plan"), F.col("operation")).alias("treatment"))
+
+
+@query("SELECT conv_id, turn, a || substr(b, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) + 1) AS joined FROM (SELECT conv_id, turn, left(text, 300) AS a, left(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 300) AS b FROM conversations) WHERE b IS NOT NULL")
+def splice_pairs(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 300).alias("a"), F.substring(F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")), 1, 300).alias("b"))
+    return c.filter("b IS NOT NULL").select("conv_id", "turn", X.splice(F.col("a"), F.col("b")).alias("joined"))
+
+
+_HITS = "SELECT conv_id, turn FROM conversations WHERE (conv_id * 7 + turn * 5) % 4 = 0"
+
+
+def _segments(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), F.col("turn").alias("position"), F.concat("text", F.lit("\n")).alias("page_content"))
+    hits = c.filter("(conv_id * 7 + turn * 5) % 4 = 0").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), F.col("turn").alias("hit_ord"))
+    return hits, seg
+
+
+@query(f"""WITH h AS ({_HITS}), g AS (SELECT conv_id, turn, CASE WHEN turn - lag(turn) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+i AS (SELECT conv_id, turn, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM g), b AS (SELECT conv_id, k, min(turn) AS first, max(turn) AS last FROM i GROUP BY ALL)
+SELECT conv_id AS document_id, first AS seed_ord, first AS seed_doc_id, first, last, string_agg(text || chr(10), '' ORDER BY turn) AS page_content FROM b JOIN conversations USING (conv_id) WHERE turn BETWEEN first AND last GROUP BY conv_id, first, last""")
+def normal_islands(spark, sf_dir):
+    return R.positional_islands(*_segments(spark, sf_dir), max_window=1)
+
+
+@query(f"""WITH h AS (SELECT conv_id, turn, role FROM conversations WHERE (conv_id * 7 + turn * 5) % 4 = 0), b AS (SELECT conv_id, role, string_agg(text, '' ORDER BY turn, text) AS page_content FROM conversations GROUP BY ALL)
+SELECT conv_id AS document_id, page_content, min(turn) AS hit_ord FROM h JOIN b USING (conv_id, role) GROUP BY ALL""")
+def title_expand(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ord"), F.col("role").alias("title"), F.col("text").alias("content"))
+    hits = c.filter("(conv_id * 7 + turn * 5) % 4 = 0").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.col("role").alias("title"))
+    return R.title_expansion(hits, seg)
+
+
+@query(f"SELECT conv_id AS document_id, CASE WHEN arg_min(role, turn) = 'system' THEN 'title' ELSE 'position' END AS strategy, min(turn) AS first_ord FROM conversations GROUP BY 1")
+def strategy_dispatch(spark, sf_dir):
+    hits = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.when(F.col("role") == "system", F.concat(F.lit(TITLE_SEPARATOR), "text")).otherwise(F.col("text")).alias("page_content"))
+    return R.dispatch(hits)
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedup_content(spark, sf_dir):
+    return R.distinct_contents(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) > 0 AS non_blank, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS collapsed FROM documents")
+def whitespace(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", X.non_blank(F.col("text")).alias("non_blank"), X.collapse(F.substring("text", 1, 200)).alias("collapsed"))
+
+
+@query()
+def rest_payload(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", rest.create_by_text(F.lit("set"), F.col("doc_id").cast("string"), F.col("text")).alias("request"))
