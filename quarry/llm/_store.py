@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -56,6 +57,16 @@ def publish(uri: str, name: str, write) -> int:
     return size
 
 
+#: Rows of an id or two (8 to 16 bytes) up to which a table is broadcast: 16 MB.
+SMALL_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among ``ids``; these are counted, and broadcast only where they are few."""
+    ids = saved(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, "left_anti")
+
+
 def n_parts(spark: SparkSession, n_bytes: float, per_part: float = 32e6) -> int:
     """Shuffle partitions for so many bytes: the session's number at least, more as the data grow."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes / per_part) + 1)

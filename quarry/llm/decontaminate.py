@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import lean, small_batches
+from ._store import lean, small_batches, without
 
 SHINGLE = 5
 BLOCK_WINDOWS = 500_000
@@ -236,4 +236,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, least_words: int = 10,
     hits = contaminated_words(docs, items, key=key, **names)
     n = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
     bad = hits.filter(n >= least_words).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, key, "left_anti")
+    return without(docs, bad, key)

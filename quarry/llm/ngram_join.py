@@ -43,7 +43,7 @@ WIDTH = 1 << 21
 SLICES = 64
 SMALL = 8
 BLOCK = 2048
-BINS = 32
+BINS = 16
 
 
 def shingle_sets(data, offs, k):
@@ -312,7 +312,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
         for batch in it:
             for lo, hi, data, offs in K.text_chunks(batch.column(1)):
                 x = list(shingle_sets(data, offs, k))
-                hist = [np.bincount((y >> K.U(59)).astype(np.int64), minlength=BINS).astype(np.int32) for y in x]
+                hist = [np.bincount((y >> K.U(60)).astype(np.int64), minlength=BINS).astype(np.int32) for y in x]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "hist": pa.array(hist, pa.list_(pa.int32())), "set": pa.array([y.tobytes() for y in x], pa.binary())})
 
     named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
