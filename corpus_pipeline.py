@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._store import saved, shared_dir
+from quarry.llm._store import saved, shared_dir, without
 from quarry.llm.decontaminate import drop_contaminated
 from quarry.llm.language_id import identify, learn
 from quarry.llm.line_dedup import dedup_lines
@@ -38,7 +38,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near-duplicates: that with the smallest id."""
     docs = docs.select(*COLUMNS)
     groups = saved(ngram_join(docs).components(), "groups")
-    out = docs.join(groups.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    out = without(docs, groups.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id")
     if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return out
     # rows that repeat an id: the first by text
