@@ -88,8 +88,11 @@ def release() -> None:
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     _REMEMBERED.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
