@@ -107,6 +107,24 @@ def repair_pdf_text(c: Column, legacy: bool = False) -> Column:
     return F.replace(repair_roman(repair_brackets(repair_circled(c))), F.lit("\n"), F.lit(""))
 
 
+# Characters that readable text is made of, beside Han from 一 to 龥. Fixed values.
+COMMON = "＞、abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,!?;:'\"-，。！？；：”“‘’\n\t+-*\\/·[]{}【】()（）@#$%^&<>《》`~］′＜～‐='αβγδεζηθικλμνξοπρστυφχψωΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
+MAX_UNCOMMON = 0.3
+
+
+def is_readable(c: Column) -> Column:
+    """Whether in code point order at most 0.3 of the characters up to every uncommon one are uncommon, and fewer than 0.3 of all. Empty text isn't readable; null gives null."""
+    chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
+    common = lambda x: F.contains(F.lit(COMMON), x) | x.between("一", "龥")
+    state = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("bad"), F.lit(True).alias("ok"))
+
+    def step(s, x):
+        seen, bad = s["seen"] + 1, s["bad"] + F.when(common(x), 0).otherwise(1)
+        return F.struct(seen.alias("seen"), bad.alias("bad"), (s["ok"] & (common(x) | (bad <= MAX_UNCOMMON * seen))).alias("ok"))
+
+    return F.aggregate(chars, state, step, lambda s: s["ok"] & (s["seen"] > 0) & (s["bad"] < MAX_UNCOMMON * s["seen"]))
+
+
 # Tables: cells ARRAY<ARRAY<STRING>>.
 
 

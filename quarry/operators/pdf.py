@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.functions.text import strip
 
 SPLIT_LEVELS = (1, 2, 3)
+MAX_WORDS, MAX_HAN = 10, 20
+#: Number of the pattern for summaries, which has no rank.
+SUMMARY = 0
 # Heading patterns, in order of their trial.
 HEADINGS = [
     r"^[0-9. 一、i]*(\s*i\s*n\s*t\s*r\s*o\s*d\s*u\s*c\s*t\s*i\s*o\s*n\s*|\s*a\s*b\s*s\s*t\s*r\s*a\s*c\s*t\s*|\s*k\s*e\s*y\s*w\s*o\s*r\s*d\s*s\s*?\s*|\s*c\s*o\s*n\s*t\s*e\s*n\s*t\s*s\s*|\s*摘\s*要\s*|\s*引\s*言\s*|\s*关\s*键\s*词\s*|\s*前\s*言\s*|\s*目\s*录\s*)",
@@ -84,10 +91,45 @@ def sections(headings: DataFrame, line: DataFrame) -> DataFrame:
 
 def heading_pattern(text: Column) -> Column:
     """Number of the first heading pattern that fits a short line and isn't followed by a sentence; null if none."""
-    short = (F.size(F.split(F.trim(text), r"\s+")) <= 10) & (~text.rlike(r"[一-鿿]") | (F.length(text) < 20))
+    text = strip(text)
+    short = (F.size(F.split(text, r"\s+")) <= MAX_WORDS) & (~text.rlike(r"[一-鿿]") | (F.length(text) < MAX_HAN)) & (text != "")
     found = F.lit(None).cast("int")
     for i, p in reversed(list(enumerate(HEADINGS))):
-        rest = F.regexp_replace(text, p, "")
-        sentence = (F.length(rest) > 2) & rest.rlike(r"[，。！？；,!?;]")
+        rest = strip(F.regexp_replace(text, p, ""))
+        sentence = (F.length(rest) > 2) & rest.rlike(r"[，,。：:；;!！?？]")
         found = F.when(text.rlike(p), F.when(~sentence, i)).otherwise(found)
     return F.when(short, found)
+
+
+def outline_levels(patterns: list[int]) -> list[int]:
+    """Levels of a document's headings: patterns rank by first appearance, and a heading stands as much deeper than the nearest open one of an earlier pattern as their ranks differ. Summary headings keep the level in force."""
+    rank: dict[int, int] = {}
+    for p in patterns:
+        if p != SUMMARY:
+            rank.setdefault(p, len(rank))
+    open_, level, out = [], 1, []
+    for p in patterns:
+        if p != SUMMARY:
+            while open_ and open_[-1] >= rank[p]:
+                open_.pop()
+            level = rank[p] - open_[-1] + 1 if open_ else 1
+            open_.append(rank[p])
+        out.append(level)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _outline(patterns: pd.Series) -> pd.Series:
+    return patterns.map(lambda p: outline_levels([int(x) for x in p]))
+
+
+def generated_toc(line: DataFrame, levels: tuple[int, ...] = SPLIT_LEVELS) -> DataFrame:
+    """doc_id, toc_ord, level, title, line_idx of lines that look like headings, for documents without a table of contents.
+
+    What is gathered for a document is its headings only.
+    """
+    h = line.withColumn("_p", heading_pattern(F.col("text"))).filter("_p IS NOT NULL").select("doc_id", F.struct("line_idx", strip(F.col("text")).alias("title"), "_p").alias("_h"))
+    h = h.groupBy("doc_id").agg(F.array_sort(F.collect_list("_h")).alias("_h"))
+    h = h.withColumn("_l", _outline(F.transform("_h", lambda x: x["_p"])))
+    rows = h.select("doc_id", F.posexplode(F.arrays_zip("_h", "_l")).alias("toc_ord", "_x"))
+    return rows.select("doc_id", "toc_ord", F.col("_x._l").alias("level"), F.col("_x._h.title").alias("title"), F.col("_x._h.line_idx").alias("line_idx")).filter(F.col("level").isin(*levels))

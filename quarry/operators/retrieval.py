@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,3 +53,99 @@ def dispatch(hits: DataFrame) -> DataFrame:
 def distinct_contents(docs: DataFrame, key: str, content: str) -> DataFrame:
     """The first row of each content."""
     return docs.groupBy(content).agg(F.min(key).alias(key))
+
+
+# Re-assembly within a budget of characters. Growth is an ordered fold, so it runs over
+# arrays, each of one island of neighbouring hits or of one title's contents.
+
+
+def grow_island(parts: list[tuple[int, str | None, int | None]], window: int, budget: int) -> list[tuple[int, str]]:
+    """(hit_ord, text) per seed. parts: position, text, hit_ord or null, by position.
+
+    Hits in order of retrieval take in the unused hits right and left of them, at most
+    ``window`` positions on, with what lies between, until the text would exceed ``budget``.
+    """
+    text = {p: t or "" for p, t, _ in parts}
+    order = {p: o for p, _, o in parts if o is not None}
+    used: set[int] = set()
+    out = []
+    for seed in sorted(order, key=order.get):
+        if seed in used:
+            continue
+        used.add(seed)
+        whole, edge, reach = text[seed], {1: seed, -1: seed}, {1: 0, -1: 0}
+        full = False
+        while not full and min(reach.values()) <= window:
+            for way in (1, -1):
+                if reach[way] > window:
+                    continue
+                reach[way] += 1
+                at = edge[way] + way * reach[way]
+                if reach[way] > window or at not in order or at in used:
+                    continue
+                between = range(edge[way] + 1, at + 1) if way == 1 else range(at, edge[way])
+                more = "".join(text.get(i, "") for i in between)
+                if len(whole) + len(more) > budget:
+                    full = True
+                    break
+                whole = whole + more if way == 1 else more + whole
+                used.add(at)
+                edge[way], reach[way] = at, 0
+        out.append((order[seed], whole))
+    return out
+
+
+def positional_growth(hits: DataFrame, segments: DataFrame, max_window: int = 2, budget: int = 2000) -> DataFrame:
+    """document_id, hit_ord (the seed's), page_content; texts longer than ``budget`` only where a single segment is.
+
+    Islands are cut by windows over hits alone, so an array holds the segments between
+    one island's first and last hit, not a document's.
+    """
+
+    @F.pandas_udf("array<struct<hit_ord:long,page_content:string>>")
+    def grow(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda a: grow_island([(x["position"], x["page_content"], x["hit_ord"]) for x in a], max_window, budget))
+
+    place = segments.groupBy("document_id", "doc_id").agg(F.max("position").alias("position"))
+    h = hits.join(place, ["document_id", "doc_id"]).groupBy("document_id", "position").agg(F.min("hit_ord").cast("long").alias("hit_ord"))
+    w = W.partitionBy("document_id").orderBy("position")
+    h = h.withColumn("_new", F.when(F.col("position") - F.lag("position").over(w) <= max_window, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w))
+    isles = h.groupBy("document_id", "island").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.map_from_entries(F.collect_list(F.struct("position", "hit_ord"))).alias("seeds"))
+    last = segments.groupBy("document_id", "position").agg(F.max("page_content").alias("page_content"))
+    rows = last.join(isles, "document_id").filter(F.col("position").between(F.col("first"), F.col("last")))
+    part = F.struct("position", "page_content", F.try_element_at("seeds", F.col("position")).alias("hit_ord"))
+    grown = rows.groupBy("document_id", "island").agg(F.array_sort(F.collect_list(part)).alias("_g")).withColumn("_g", grow("_g"))
+    return grown.select("document_id", F.explode("_g").alias("_g")).select("document_id", "_g.*")
+
+
+def splice_texts(before: str, after: str) -> str:
+    """Joined over the shortest overlap of one's end with the other's beginning."""
+    k = next((k for k in range(1, min(len(before), len(after)) + 1) if before[-k:] == after[:k]), 0)
+    return before + after[k:]
+
+
+def grow_title(content: str, contents: list[str], budget: int) -> str:
+    """A hit's text with its title's contents right and left of it in turns, while it is shorter than ``budget``."""
+    if content not in contents:
+        return content
+    left = right = contents.index(content)
+    while len(content) < budget and (left > 0 or right < len(contents) - 1):
+        if right < len(contents) - 1:
+            right += 1
+            content = splice_texts(content, contents[right])
+        if left > 0:
+            left -= 1
+            content = splice_texts(contents[left], content)
+    return content
+
+
+def title_growth(hits: DataFrame, segments: DataFrame, budget: int = 2000) -> DataFrame:
+    """document_id, hit_ord, page_content; hits and segments as in ``title_expansion``, hits with their ``content``. A hit under no known title stays as it is; equal texts of a document stay once, at the first hit."""
+
+    @F.pandas_udf("string")
+    def grow(content: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([grow_title(c or "", [] if a is None else [x["content"] or "" for x in a], budget) for c, a in zip(content, contents, strict=True)])
+
+    body = segments.groupBy("document_id", "title").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("_a"))
+    grown = hits.join(body, ["document_id", "title"], "left").select("document_id", "hit_ord", grow("content", "_a").alias("page_content"))
+    return grown.groupBy("document_id", "page_content").agg(F.min("hit_ord").alias("hit_ord"))

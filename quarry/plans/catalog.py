@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import html as H
+from quarry.operators import markdown as M
 from quarry.operators import pdf as P
+from quarry.operators import records as E
 from quarry.operators import retrieval as R
 from quarry.operators import split as S
 from quarry.plans import fixtures as FX
+from quarry.plans import sql as Q
 from quarry.schema import TITLE_SEPARATOR
-from quarry.sources import rest
+from quarry.sources import files, rest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -249,3 +253,90 @@ def whitespace(spark, sf_dir):
 def rest_payload(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     return d.select("doc_id", rest.create_by_text(F.lit("set"), F.col("doc_id").cast("string"), F.col("text")).alias("request"))
+
+
+# Extraction. Recovery from broken markup and the choice of the main content are no SQL.
+
+
+def _flat(df):
+    return df.withColumn("titles", F.array_join("titles", " > "))
+
+
+@query()
+def html_documents(spark, sf_dir):
+    return _flat(H.extract_html(_t(spark, sf_dir, "pages")))
+
+
+@query()
+def html_documents_whole(spark, sf_dir):
+    return _flat(H.extract_html(_t(spark, sf_dir, "pages"), H.HtmlConfig(use_summary=False, title_convert_to_markdown=True, contain_closest_title_levels=2)))
+
+
+_ROWS = "SELECT n_nationkey, title, row::INT AS row, 'k为' || n_nationkey || '的' || c || '是' || v AS page_content FROM (SELECT n_nationkey, r_name AS title, 0 AS row, 'n' AS c, n_name AS v FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(_ROWS)
+def html_table_rows(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    html = F.concat(F.lit("<title>"), "r_name", F.lit("</title><table><tr><th>k<th>n<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("<td>"), "n_name", F.lit("</table>"))
+    docs = H.extract_html(n.select("n_nationkey", html.alias("html"))).filter("content_type = 'table'")
+    return docs.select("n_nationkey", F.element_at("titles", 1).alias("title"), "row", "page_content")
+
+
+@query("SELECT doc_id, 0 AS ord, '# ' || source || ' > ## ' || lang AS titles, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS page_content FROM documents WHERE regexp_matches(text, '\\S')")
+def markdown_documents(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), "text").alias("page_content"))
+    return _flat(M.extract_markdown(docs)).drop("content_type")
+
+
+_COMMON = X.COMMON.replace("'", "''")
+
+
+@query(f"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS x FROM documents WHERE text <> ''), b AS (SELECT doc_id, x, (NOT (contains('{_COMMON}', x) OR x BETWEEN '一' AND '龥'))::INT AS bad FROM c),
+r AS (SELECT doc_id, bad, row_number() OVER w AS seen, sum(bad) OVER (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS n FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, bool_and(bad = 0 OR n <= 0.3::DOUBLE * seen) AND sum(bad) < 0.3::DOUBLE * count(*) AS readable FROM r GROUP BY 1""")
+def readable_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", X.is_readable(F.col("text")).alias("readable"))
+
+
+@query()
+def pdf_generated_toc(spark, sf_dir):
+    return P.generated_toc(FX.frame(spark, FX.HEADING_LINES))
+
+
+@query()
+def normal_growth(spark, sf_dir):
+    return R.positional_growth(*_segments(spark, sf_dir))
+
+
+@query()
+def title_growth(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ord"), F.col("role").alias("title"), F.col("text").alias("content"))
+    hits = c.filter("(conv_id * 7 + turn * 5) % 4 = 0").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.col("role").alias("title"), F.col("text").alias("content"))
+    return R.title_growth(hits, seg)
+
+
+@query()
+def admission_record(spark, sf_dir):
+    f = FX.frame(spark, FX.ADMISSIONS).withColumn("f", E.record_fields(F.col("content"), E.ADMISSION))
+    return f.select("id", E.record_text(F.col("f"), E.ADMISSION).alias("page_content"), E.record_metadata(F.col("f"), E.ADMISSION).alias("m")).select("id", "page_content", "m.*")
+
+
+@query("SELECT page_id, 'utf-8' AS codec FROM pages")
+def codec_sniff(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", files.codec(F.encode("html", "UTF-8")).alias("codec"))
+
+
+@query("SELECT '/' || r_regionkey || '.csv' AS path, 0 AS ord, 'key为' || r_regionkey || '的name是' || r_name AS page_content FROM region")
+def csv_documents(spark, sf_dir):
+    r = _t(spark, sf_dir, "region")
+    key = F.col("r_regionkey").cast("string")
+    rows = r.select(F.concat(F.lit("/"), key, F.lit(".csv")).alias("path"), F.encode(F.concat(F.lit("key,name\n"), key, F.lit(","), "r_name", F.lit("\n")), "UTF-8").alias("content"))
+    return files.extract_files(rows).select("path", "ord", "page_content")
+
+
+@query()
+def sql_chunks(spark, sf_dir):
+    Q.register(spark)
+    return spark.sql("SELECT doc_id, c.ord, c.page_content FROM {d} d, LATERAL recursive_chunks(d.text, 500, 50) c", d=_t(spark, sf_dir, "documents"))
