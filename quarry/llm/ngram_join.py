@@ -239,7 +239,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     met = saved(dealt.mapInArrow(lean(meet), "kind int, a long, b long, n long, pos long"), "met")
     documents = met.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("rep"), "n")
-    links = saved(_verify(docs, met.filter("kind = 1").select("a", "b").distinct(), k, num, den), "links")
+    once = documents.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    links = saved(_verify(docs, met.filter("kind = 1").select("a", "b").distinct(), k, num, den, once), "links")
     rest = met.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("doc"), "n", "pos")
     if all_links:
         rest = rest.withColumn("label", F.col("doc"))
@@ -252,7 +253,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     rest = saved(rest.join(spread, "token").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("long")), "rest")
     if rest.isEmpty():
         return NgramJoin(documents, links)
-    more = _verify(docs, _across(rest, parts, num, den).distinct(), k, num, den)
+    more = _verify(docs, _across(rest, parts, num, den).distinct(), k, num, den, once)
     return NgramJoin(documents, saved(links.unionByName(more).distinct(), "links"))
 
 
@@ -304,8 +305,11 @@ def _across(rest: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     return rest.mapInArrow(lean(pairs), "a long, b long")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs that reach the threshold.  Suffix filter first, on histograms; then each pair's sets, once."""
+def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, once: bool) -> DataFrame:
+    """The pairs that reach the threshold.  Suffix filter first, on histograms; then each pair's sets, once.
+
+    Where each id stands in one row (``once``), sets needn't be shuffled to drop repeated ones.
+    """
     pairs = saved(pairs, "pairs")
 
     def sets(it):
@@ -319,7 +323,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
     named = saved(named, "named")
     if (count := named.count()) <= 500_000:  # 8 MB of ids at most; else a shuffled join
         named = F.broadcast(named)
-    x = saved(docs.join(named, "doc_id", "left_semi").mapInArrow(lean(sets), "doc_id long, hist array<int>, set binary").dropDuplicates(["doc_id", "set"]) if count else docs.limit(0).mapInArrow(lean(sets), "doc_id long, hist array<int>, set binary"), "sets")
+    rows = (docs.join(named, "doc_id", "left_semi") if count else docs.limit(0)).mapInArrow(lean(sets), "doc_id long, hist array<int>, set binary")
+    x = saved(rows if once else rows.dropDuplicates(["doc_id", "set"]), "sets")
     side = lambda s, col: x.select(F.col("doc_id").alias(s), F.col(col).alias(f"{col}_{s}"))
     far = F.aggregate(F.zip_with("hist_a", "hist_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
     both = F.aggregate("hist_a", F.lit(0), lambda s, v: s + v) + F.aggregate("hist_b", F.lit(0), lambda s, v: s + v)
