@@ -249,6 +249,11 @@ def whitespace(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", X.non_blank(F.col("text")).alias("non_blank"), X.collapse(F.substring("text", 1, 200)).alias("collapsed"))
 
 
+@query("SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) > 0 AS non_blank, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed FROM documents")
+def whitespace_whole(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", X.non_blank(F.col("text")).alias("non_blank"), X.collapse(F.col("text")).alias("collapsed"))
+
+
 @query()
 def rest_payload(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
