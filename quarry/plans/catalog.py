@@ -119,6 +119,16 @@ def md_strip_links_images(spark, sf_dir):
     return d.select("doc_id", X.strip_links(X.strip_wiki_images(marked)).alias("plain"))
 
 
+_LINKED_WHOLE = "'[' || source || '](http://' || lang || ') ![[' || source || ']] ' || text"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_LINKED_WHOLE}, '!\\[\\[(.*)\\]\\]', '', 'g'), '\\[(.*?)\\]\\((.*?)\\)', '\\1', 'g') AS plain FROM documents")
+def md_strip_links_images_whole(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    marked = F.concat(F.lit("["), "source", F.lit("](http://"), "lang", F.lit(") ![["), "source", F.lit("]] "), "text")
+    return d.select("doc_id", X.strip_links(X.strip_wiki_images(marked)).alias("plain"))
+
+
 @query("SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), '[no-title]') AS title FROM pages")
 def html_title(spark, sf_dir):
     title = X.collapse(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))

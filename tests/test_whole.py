@@ -19,3 +19,11 @@ def test_whitespace(spark, tmp_path):
     texts = ["a \t b\n" * 500, " " * 300 + "x" * 300 + " \n y ", "", " \n" * 200, "word " * 39 + "\t\n end"]
     got = {r.doc_id: (r.non_blank, r.collapsed) for r in catalog.queries()["whitespace_whole"](spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {i: (bool(t.strip()), re.sub(r"\s+", " ", t).strip()) for i, t in enumerate(texts)}
+
+
+def test_links_and_images(spark, tmp_path):
+    texts = ["x" * 150 + " [far](http://u) and ![[img]] z", "y\n" * 80 + "[a](b) [c](d)\n![[e]]\nend", "", "no links " * 50]
+    got = {r.doc_id: r.plain for r in catalog.queries()["md_strip_links_images_whole"](spark, documents(spark, tmp_path, texts)).collect()}
+    marked = [f"[s{i}](http://en) ![[s{i}]] {t}" for i, t in enumerate(texts)]
+    assert got == {i: re.sub(r"\[(.*?)\]\((.*?)\)", r"\1", re.sub(r"!\[\[(.*)\]\]", "", t)) for i, t in enumerate(marked)}
+    assert got[1] == "s1  " + "y\n" * 80 + "a c\n\nend"
