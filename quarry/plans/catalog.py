@@ -217,6 +217,14 @@ def splice_pairs(spark, sf_dir):
     return c.filter("b IS NOT NULL").select("conv_id", "turn", X.splice(F.col("a"), F.col("b")).alias("joined"))
 
 
+@query("SELECT conv_id, turn, a || substr(b, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) + 1) AS joined FROM (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL")
+def splice_pairs_whole(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    return c.filter("b IS NOT NULL").select("conv_id", "turn", X.splice(F.col("a"), F.col("b")).alias("joined"))
+
+
 _HITS = "SELECT conv_id, turn FROM conversations WHERE (conv_id * 7 + turn * 5) % 4 = 0"
 
 

@@ -27,3 +27,15 @@ def test_links_and_images(spark, tmp_path):
     marked = [f"[s{i}](http://en) ![[s{i}]] {t}" for i, t in enumerate(texts)]
     assert got == {i: re.sub(r"\[(.*?)\]\((.*?)\)", r"\1", re.sub(r"!\[\[(.*)\]\]", "", t)) for i, t in enumerate(marked)}
     assert got[1] == "s1  " + "y\n" * 80 + "a c\n\nend"
+
+
+def conversations(spark, tmp_path, turns):
+    return tables(spark, tmp_path, conversations=("conv_id long, turn int, role string, text string", turns))
+
+
+def test_splice(spark, tmp_path):
+    texts = ["a" + "b" * 400 + "overlap", "overlap" + "c" * 500 + "xyz", "xyz" * 150, "q" * 310, "no", ""]
+    got = {r.turn: r.joined for r in catalog.queries()["splice_pairs_whole"](spark, conversations(spark, tmp_path, [(1, i, "user", t) for i, t in enumerate(texts)])).collect()}
+    fits = lambda a, b: next((k for k in range(1, min(len(a), len(b)) + 1) if a.endswith(b[:k])), 0)
+    assert got == {i: a + b[fits(a, b) :] for i, (a, b) in enumerate(zip(texts, texts[1:]))}
+    assert got[0] == texts[0] + texts[1][7:] and got[1] == texts[1] + texts[2][3:]
