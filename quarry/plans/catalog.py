@@ -235,6 +235,16 @@ def _segments(spark, sf_dir):
     return hits, seg
 
 
+#: Hits 1, 2, 3 and more turns apart.
+_VARIED = "(conv_id * 31 + turn * turn * 17 + turn * 3) % 7 < 3"
+
+
+def _varied_segments(spark, sf_dir):
+    _, seg = _segments(spark, sf_dir)
+    hits = _t(spark, sf_dir, "conversations").filter(_VARIED).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), F.col("turn").alias("hit_ord"))
+    return hits, seg
+
+
 @query(f"""WITH h AS ({_HITS}), g AS (SELECT conv_id, turn, CASE WHEN turn - lag(turn) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 i AS (SELECT conv_id, turn, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM g), b AS (SELECT conv_id, k, min(turn) AS first, max(turn) AS last FROM i GROUP BY ALL)
 SELECT conv_id AS document_id, first AS seed_ord, first AS seed_doc_id, first, last, string_agg(text || chr(10), '' ORDER BY turn) AS page_content FROM b JOIN conversations USING (conv_id) WHERE turn BETWEEN first AND last GROUP BY conv_id, first, last""")
@@ -251,6 +261,22 @@ def title_expand(spark, sf_dir):
     return R.title_expansion(hits, seg)
 
 
+@query(f"""WITH h AS (SELECT conv_id, turn FROM conversations WHERE {_VARIED}), g AS (SELECT conv_id, turn, CASE WHEN turn - lag(turn) OVER w <= 2 THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+i AS (SELECT conv_id, turn, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM g), b AS (SELECT conv_id, k, min(turn) AS first, max(turn) AS last FROM i GROUP BY ALL)
+SELECT conv_id AS document_id, first AS seed_ord, first AS seed_doc_id, first, last, string_agg(text || chr(10), '' ORDER BY turn) AS page_content FROM b JOIN conversations USING (conv_id) WHERE turn BETWEEN first AND last GROUP BY conv_id, first, last""")
+def normal_islands_varied(spark, sf_dir):
+    return R.positional_islands(*_varied_segments(spark, sf_dir))
+
+
+@query(f"""WITH h AS (SELECT conv_id, turn, role FROM conversations WHERE {_VARIED}), b AS (SELECT conv_id, role, string_agg(text, '' ORDER BY turn, text) AS page_content FROM conversations GROUP BY ALL)
+SELECT conv_id AS document_id, page_content, min(turn) AS hit_ord FROM h JOIN b USING (conv_id, role) GROUP BY ALL""")
+def title_expand_varied(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ord"), F.col("role").alias("title"), F.col("text").alias("content"))
+    hits = c.filter(_VARIED).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.col("role").alias("title"))
+    return R.title_expansion(hits, seg)
+
+
 @query(f"SELECT conv_id AS document_id, CASE WHEN arg_min(role, turn) = 'system' THEN 'title' ELSE 'position' END AS strategy, min(turn) AS first_ord FROM conversations GROUP BY 1")
 def strategy_dispatch(spark, sf_dir):
     hits = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.when(F.col("role") == "system", F.concat(F.lit(TITLE_SEPARATOR), "text")).otherwise(F.col("text")).alias("page_content"))
@@ -329,14 +355,14 @@ def pdf_generated_toc(spark, sf_dir):
 
 @query()
 def normal_growth(spark, sf_dir):
-    return R.positional_growth(*_segments(spark, sf_dir))
+    return R.positional_growth(*_varied_segments(spark, sf_dir))
 
 
 @query()
 def title_growth(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ord"), F.col("role").alias("title"), F.col("text").alias("content"))
-    hits = c.filter("(conv_id * 7 + turn * 5) % 4 = 0").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.col("role").alias("title"), F.col("text").alias("content"))
+    hits = c.filter(_VARIED).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.col("role").alias("title"), F.col("text").alias("content"))
     return R.title_growth(hits, seg)
 
 

@@ -39,3 +39,55 @@ def test_splice(spark, tmp_path):
     fits = lambda a, b: next((k for k in range(1, min(len(a), len(b)) + 1) if a.endswith(b[:k])), 0)
     assert got == {i: a + b[fits(a, b) :] for i, (a, b) in enumerate(zip(texts, texts[1:]))}
     assert got[0] == texts[0] + texts[1][7:] and got[1] == texts[1] + texts[2][3:]
+
+
+TURNS = [(c, t, ("user", "assistant")[t % 2], f"{c}.{t} " + "w" * (90 * ((c + t) % 5))) for c in range(12) for t in range(30)]
+HITS = {(c, t) for c, t, _, _ in TURNS if (c * 31 + t * t * 17 + t * 3) % 7 < 3}
+
+
+def test_hits_vary():
+    gaps = {b[1] - a[1] for a, b in zip(sorted(HITS), sorted(HITS)[1:]) if a[0] == b[0]}
+    assert {1, 2, 3, 4} <= gaps
+
+
+def islands():
+    """Runs of hits at most 2 apart: (conversation, turns of the hits)."""
+    runs = []
+    for c, t in sorted(HITS):
+        if runs and runs[-1][0] == c and t - runs[-1][1][-1] <= 2:
+            runs[-1][1].append(t)
+        else:
+            runs.append((c, [t]))
+    return runs
+
+
+def test_islands(spark, tmp_path):
+    text = {(c, t): x + "\n" for c, t, _, x in TURNS}
+    want = sorted((c, h[0], h[-1], "".join(text[c, t] for t in range(h[0], h[-1] + 1))) for c, h in islands())
+    got = catalog.queries()["normal_islands_varied"](spark, conversations(spark, tmp_path, TURNS)).collect()
+    assert sorted((r.document_id, r.first, r.last, r.page_content) for r in got) == want
+    assert any(len(h) > 1 and h[-1] - h[0] >= len(h) for _, h in islands())
+
+
+def test_position_growth_merges_fills_and_stops(spark, tmp_path):
+    text = {(c, t): x + "\n" for c, t, _, x in TURNS}
+    got = catalog.queries()["normal_growth"](spark, conversations(spark, tmp_path, TURNS)).collect()
+    own = {(r.document_id, r.hit_ord): r.page_content for r in got}
+    whole = {(c, h[0]): "".join(text[c, t] for t in range(h[0], h[-1] + 1)) for c, h in islands()}
+    # an island within the budget is one text from its first hit; a longer one falls into several of at most 2,000
+    assert all(own[k] == x for k, x in whole.items() if len(x) <= 2000)
+    assert all(len(x) <= 2000 for x in own.values())
+    assert any(len(x) > 2000 for x in whole.values()) and len(own) > len(whole)
+    assert any(len(h) > 1 and len(whole[c, h[0]]) <= 2000 for c, h in islands())
+
+
+def test_title_growth_and_expansion(spark, tmp_path):
+    d = conversations(spark, tmp_path, TURNS)
+    body = {}
+    for c, t, role, x in TURNS:
+        body.setdefault((c, role), []).append((t, x))
+    role = {(c, t): r for c, t, r, _ in TURNS}
+    want = sorted({(c, "".join(x for _, x in body[c, role[c, t]])): min(u for b, u in HITS if b == c and role[b, u] == role[c, t]) for c, t in HITS}.items())
+    assert sorted(((r.document_id, r.page_content), r.hit_ord) for r in catalog.queries()["title_expand_varied"](spark, d).collect()) == want
+    got = catalog.queries()["title_growth"](spark, d).collect()
+    assert {(r.document_id, r.hit_ord) for r in got} <= HITS and len({r.hit_ord % 4 for r in got if r.document_id == 0}) > 1
