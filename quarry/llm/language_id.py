@@ -37,8 +37,10 @@ from ._store import remembered, small_batches
 PER_LANGUAGE = 1000
 REMEMBER = 300_000
 ROUNDS = 3
-#: Words over this length are scored in the logarithm domain, one by one.
+#: Units over this length are fitted and scored in the logarithm domain.
 LONG = 48
+#: Characters of long units that are fitted at once.
+LONG_CHARS = 200_000
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTE = 1e-7
 
@@ -89,6 +91,33 @@ def _expected(v, units, weight, p):
     return np.bincount(np.where(piece < 0, v.size, piece), post, v.size + 1)
 
 
+def _expected_long(v, units, weight, p):
+    """The same for long units, with logarithms throughout."""
+    first, last, piece, base, lens, cuts = v.edges(units)
+    n = int(lens.sum()) + len(lens)
+    logp = np.log(p)[piece]
+    alpha, beta = np.full(n, -np.inf), np.full(n, -np.inf)
+    alpha[base], beta[base + lens] = 0.0, 0.0
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        g = groups(last[a:b])
+        alpha[last[a:b][g]] = np.logaddexp.reduceat(alpha[first[a:b]] + logp[a:b], g)
+    for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+        np.logaddexp.at(beta, first[a:b], beta[last[a:b]] + logp[a:b])
+    unit = np.searchsorted(base, first, "right") - 1
+    post = np.exp(alpha[first] + logp + beta[last] - alpha[base + lens][unit]) * weight[unit]
+    return np.bincount(np.where(piece < 0, v.size, piece), post, v.size + 1)
+
+
+def _batches(units: list[str], size: int):
+    """Runs of units of about ``size`` characters: first and last + 1."""
+    ends = np.cumsum([len(u) for u in units])
+    lo = 0
+    while lo < len(units):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def fit(texts: dict[str, list[str]], model: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and pieces x languages probabilities."""
     v = vocab(model)
@@ -100,11 +129,15 @@ def fit(texts: dict[str, list[str]], model: str, rounds: int = ROUNDS) -> tuple[
             words.update(units_of(t))
         units = sorted(w for w in words if len(w) <= LONG)
         weight = np.array([words[w] for w in units], float)
+        long = sorted((w for w in words if len(w) > LONG), key=lambda w: (len(w), w))
+        long_weight = np.array([words[w] for w in long], float)
         p = np.full(v.size + 1, 1.0 / len(v.own))
-        for _ in range(rounds if units else 0):
+        for _ in range(rounds if words else 0):
             c = np.zeros(v.size + 1)
             for lo in range(0, len(units), 50_000):
                 c += _expected(v, units[lo : lo + 50_000], weight[lo : lo + 50_000], p)
+            for lo, hi in _batches(long, LONG_CHARS):
+                c += _expected_long(v, long[lo:hi], long_weight[lo:hi], p)
             c = c[:-1] + 0.01
             p = np.append(c / c.sum(), _BYTE)
         cols.append(p)
