@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._store import saved, shared_dir, without
+from quarry.llm._store import SMALL_IDS, saved, shared_dir, without
 from quarry.llm.decontaminate import drop_contaminated
 from quarry.llm.language_id import identify, learn
 from quarry.llm.line_dedup import dedup_lines
@@ -34,21 +34,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def _row_key():
+    """What tells rows apart where ids repeat: a hash of the id and the text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
+    """One document of each group of near-duplicates: that with the smallest id, of equal ids that with the smallest row key. Rows without an id stay; of rows equal in id and text one does."""
     docs = docs.select(*COLUMNS)
-    groups = saved(ngram_join(docs).components(), "groups")
-    out = without(docs, groups.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id")
-    if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    # rows that repeat an id: the first by text
-    first = out.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return first.unionByName(out.filter("doc_id IS NULL"))
+    twice = saved(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if not (n := twice.count()):
+        groups = saved(ngram_join(docs).components(), "groups")
+        return without(docs, groups.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id")
+    # ids repeat: the join and what it drops go by row
+    some = docs.join(F.broadcast(twice) if n <= SMALL_IDS else twice, "doc_id", "left_semi")
+    some = some.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r")).select("doc_id", "text", "r.*")
+    rows = without(docs, twice, "doc_id").unionByName(some).withColumn("_row", F.when(F.col("doc_id").isNotNull(), _row_key()))
+    rows = saved(rows, "rows")
+    groups = saved(ngram_join(rows, key="_row").components().filter("component_id IS NOT NULL").select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    ids = rows.filter("_row IS NOT NULL").select("_row", "doc_id")
+    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("first"))
+    drop = groups.join(first, "component_id").filter("_row != first").select("_row").distinct()
+    return without(rows, drop, "_row").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    return drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=1)
+    """Documents without a window of a benchmark item; rows go one by one, whatever ids they share."""
+    keyed = docs.select(*COLUMNS).withColumn("_row", _row_key())
+    return drop_contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=1, key="_row").select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,28 @@ def test_length_does_not_change_the_fit(model, monkeypatch):
     monkeypatch.setattr(language_id, "LONG", 4)
     _, got = language_id.fit({"x": texts}, model)
     assert np.allclose(got, want, rtol=1e-6, atol=1e-15)
+
+
+def test_rows_that_share_an_id_go_one_by_one(spark, tmp_path):
+    import corpus_pipeline as C
+
+    word = lambda seed, n=40: " ".join(random.Random(seed).choice("abcdefghij") + str(random.Random(seed * 1000 + i).randint(0, 999)) for i in range(n))
+    a, b, c, item = word(1), word(2), word(3), word(4, 12)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (3, c), (3, c), (4, word(5)), (4, word(6) + " " + item), (None, word(7)), (None, a), (None, word(8) + " " + item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    show = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+    joined = C.ngram_jaccard_join(spark, docs, str(tmp_path))
+    assert joined.columns == list(C.COLUMNS)
+    # left out: 2 is near 1's first text, 3's first is 1's second, 3's last is a copy
+    want = [(i or 0, t) for k, (i, t) in enumerate(rows) if k not in (2, 3, 5)]
+    assert show(joined) == sorted(want)
+    assert show(C.benchmark_decontamination(spark, joined, str(tmp_path))) == sorted(x for x in want if item not in x[1])
+
+
+def test_equal_ids_of_near_texts_leave_one_row(spark, tmp_path):
+    import corpus_pipeline as C
+
+    a = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(5, a), (5, a + " x"), (4, a + " y"), (9, "other words stand here alone now")]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.ngram_jaccard_join(spark, docs, str(tmp_path)).collect()) == [4, 9]
