@@ -4,11 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Folders made in this process and not yet deleted, in order.
+_MADE: list[str] = []
+#: The folder that a written table is read from.
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system that a path belongs to, by default the cluster's, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
@@ -18,16 +30,35 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quarry-"))
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, base)
+    path = f"{fs.makeQualified(p).toString().rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long rows: unless the session says otherwise, a thousand of them make a batch for Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``saved`` wrote for these tables, which nothing reads any more."""
+    for t in tables:
+        if path := _FOLDERS.pop(t, None):
+            _delete(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is written to the shared folder inside goes at the end; a result must be written elsewhere by then."""
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            _delete(spark, path)
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -35,7 +66,9 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
 
 
 def open_fs(uri: str):

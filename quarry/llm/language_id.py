@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import _kernel as K
 from ._lattice import MARK, groups, vocab
-from ._store import remembered, small_batches
+from ._store import remembered
 
 PER_LANGUAGE = 1000
 REMEMBER = 300_000
@@ -202,7 +202,6 @@ def learn(docs: DataFrame, model: str, allowed: Column | None = None, key: str =
 def identify(docs: DataFrame, model: str, fitted: tuple[list[str], np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """The documents with the predicted language and its posterior probability."""
     langs, prob = fitted
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, prob))
     at = docs.columns.index(text)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import lean, n_parts, small_batches
+from ._store import lean, n_parts
 
 GRAM = 25
 LONGEST = 64
@@ -208,7 +208,6 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     if not GRAM <= least <= 56:
         raise ValueError(f"least must lie between {GRAM} and 56 bytes")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    small_batches(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = n_parts(docs.sparkSession, n_bytes, PER_PART)
     named = docs.filter("doc_id is not null")

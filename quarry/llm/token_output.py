@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import n_parts, open_fs, publish, remembered, saved, shared_dir, small_batches
+from ._store import n_parts, open_fs, publish, remembered, saved, shared_dir
 
 REMEMBER = 500_000
 #: Stands between words that are encoded together; words that have it are encoded apart.
@@ -159,7 +159,6 @@ def coder(path: str) -> WordCoder:
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, key: str = "doc_id", text: str = "text", seq_len: int = 2048, end_id: int = 1) -> DataFrame:
     """Write the files; returns path, part, n_docs, n_tokens of each part, in ascending order of ids by part."""
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
     path = path or shared_dir(spark, "tokens")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import n_parts, open_fs, saved, shared_dir
+from ._store import discard, n_parts, open_fs, saved, shared_dir
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.I)
@@ -124,18 +124,21 @@ def record_entries(spark: SparkSession, path: str) -> DataFrame:
     if n:
         blocks = blocks.repartition(min(n, 4 * n_parts(spark, 0)), "path", "lo")
     # candidates in blocks that nothing but a false start leads to take part, and are not reached
-    steps = saved(blocks.mapInArrow(_scan, "path string, off long, leave long"), "candidates")
-    steps = saved(steps.join(files, "path").filter("leave >= 0 AND leave < size").join(steps.select("path", F.col("leave").alias("off")).distinct().unionByName(files.select("path", F.lit(0).cast("long").alias("off"))), ["path", "off"], "left_semi").select("path", "off", "leave"), "steps")
+    found = saved(blocks.mapInArrow(_scan, "path string, off long, leave long"), "candidates")
+    steps = saved(found.join(files, "path").filter("leave >= 0 AND leave < size").join(found.select("path", F.col("leave").alias("off")).distinct().unionByName(files.select("path", F.lit(0).cast("long").alias("off"))), ["path", "off"], "left_semi").select("path", "off", "leave"), "steps")
+    discard(found)
     reached = saved(files.select("path", F.lit(0).cast("long").alias("off")), "reached")
     have = reached.count()
     while True:
         on = steps.join(reached, ["path", "off"], "left_semi").select("path", F.col("leave").alias("off"))
-        reached = saved(reached.unionByName(on).distinct(), "reached")
+        old, reached = reached, saved(reached.unionByName(on).distinct(), "reached")
+        discard(old)
         before, have = have, reached.count()
         if have == before:
             break
         ahead = steps.select("path", F.col("off").alias("leave"), F.col("leave").alias("then"))
-        steps = saved(steps.join(ahead, ["path", "leave"]).select("path", "off", F.col("then").alias("leave")), "steps")
+        old, steps = steps, saved(steps.join(ahead, ["path", "leave"]).select("path", "off", F.col("then").alias("leave")), "steps")
+        discard(old)
     # after k rounds the first 2**k entries of each chain are reached
     return reached.join(files, "path").select("path", "size", (F.col("off") - F.col("off") % BLOCK).alias("lo"), F.col("off").alias("entry"))
 
