@@ -13,18 +13,24 @@ Method: prefix-filtered set join of windows with documents.
 4. Every candidate is verified word by word over its item-sized window.
 
 Items are taken in blocks of ``BLOCK_WINDOWS`` windows, the only thing that is
-broadcast, so its size is bounded; each further block is one more scan.
+broadcast, so its size is bounded; each further block is one more scan.  With
+several blocks a row is known by its id and a 128-bit hash of its text, so what
+is found doesn't depend on the blocks; rows equal in both are combined before
+the shuffle.
 
 Words are told apart by 64-bit hashes.
 
 Edge cases: a null text has no words and no hit; an item without words has no
 window; repeated items and ids count each once per id; null item ids are left
-out of n_items; empty tables give no rows (documents) or no hits (items).
+out of n_items; rows that share an id, null too, are judged each by its own
+text; other columns are ignored, whatever their names; empty tables give no rows
+(documents) or no hits (items).
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import lean, small_batches, without
+from ._store import lean, without
 
 SHINGLE = 5
 BLOCK_WINDOWS = 500_000
@@ -45,20 +51,21 @@ class Windows:
     def __init__(self, items: list[tuple], width: int):
         self.ids = [i for i, _ in items]
         texts = pa.array([t for _, t in items], pa.string())
-        hashes, owner, length = [], [], []
-        base = 0
+        hashes, owner, length = [np.zeros((0, width), K.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi, data, offs in K.text_chunks(texts):
             s, e, wo = K.words(data, offs, K.ALNUM)
             h = K.word_hashes(data, s, e)
-            for j in range(hi - lo):
-                x = h[wo[j] : wo[j + 1]]
-                n = min(width, len(x))
-                for i in range(len(x) - n + 1 if n else 0):
-                    row = np.zeros(width, K.U)
-                    row[:n] = x[i : i + n]
-                    hashes.append(row), owner.append(base + lo + j), length.append(n)
-        self.hash = np.array(hashes, K.U).reshape(-1, width)
-        self.owner, self.length = np.array(owner, np.int64), np.array(length, np.int64)
+            words = np.diff(wo)
+            n = np.minimum(words, width)
+            many = np.where(n > 0, words - n + 1, 0)
+            row = np.repeat(np.arange(hi - lo), many)
+            first = wo[row] + _ramp(many)
+            x = np.zeros((len(row), width), K.U)
+            for q in range(width):
+                i = np.flatnonzero(n[row] > q)
+                x[i, q] = h[first[i] + q]
+            hashes.append(x), owner.append(lo + row), length.append(n[row])
+        self.hash, self.owner, self.length = np.concatenate(hashes), np.concatenate(owner), np.concatenate(length)
         self.width = width
         #: (window, offset) of each shingle; its size is five words or the whole of a shorter window
         self.size = np.minimum(SHINGLE, self.length)
@@ -129,21 +136,28 @@ def rarity(docs: DataFrame, text: str, w: Windows) -> np.ndarray:
         i = np.flatnonzero(c)
         yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "c": pa.array(c[i], pa.int64())})
 
+    def pack(it):
+        for batch in it:
+            yield pa.RecordBatch.from_pydict({k: pa.array([batch.column(j).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for j, k in enumerate("ic")})
+
     out = np.zeros(len(w.tokens), np.int64)
-    for i, c in docs.select(text).mapInArrow(lean(count), "i long, c long").groupBy("i").agg(F.sum("c")).collect():
-        out[i] = c
+    sums = docs.select(text).mapInArrow(lean(count), "i long, c long").groupBy("i").agg(F.sum("c").alias("c"))
+    # eight bytes and eight more for each token of a block: a bounded number
+    for i, c in sums.mapInArrow(pack, "i binary, c binary").toLocalIterator():
+        out[np.frombuffer(i, np.int64)] = np.frombuffer(c, np.int64)
     return out
 
 
 def _scan(docs: DataFrame, w: Windows) -> DataFrame:
-    """doc_id, row key, n_words, first and last word of each hit run, items: one row per document."""
+    """The documents' numbers, n_words, first and last word of each hit run, items: one row per document."""
     shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def find(it):
         w = shared.value
         probe = _Probe(w.tokens)
         for batch in it:
-            for lo, hi, data, offs in K.text_chunks(batch.column(1)):
+            at_text, same = batch.schema.get_field_index("text"), [k for k in batch.schema.names if k != "text"]
+            for lo, hi, data, offs in K.text_chunks(batch.column(at_text)):
                 s, e, wo = K.words(data, offs, K.ALNUM)
                 h = K.word_hashes(data, s, e)
                 starts, wins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -160,11 +174,11 @@ def _scan(docs: DataFrame, w: Windows) -> DataFrame:
                     # the positional bound, then the length bound
                     ok = (w.size[win] == k) & (start >= wo[row]) & (start + w.length[win] <= wo[row + 1])
                     win, start = win[ok], start[ok]
-                    same = np.ones(len(win), bool)
+                    equal = np.ones(len(win), bool)
                     for q in range(w.width):
-                        i = np.flatnonzero(same & (w.length[win] > q))
-                        same[i] = h[start[i] + q] == w.hash[win[i], q]
-                    starts.append(start[same]), wins.append(win[same])
+                        i = np.flatnonzero(equal & (w.length[win] > q))
+                        equal[i] = h[start[i] + q] == w.hash[win[i], q]
+                    starts.append(start[equal]), wins.append(win[equal])
                 start, win = np.concatenate(starts), np.concatenate(wins)
                 hit = np.zeros(len(h) + 1, np.int64)
                 np.add.at(hit, start, 1)
@@ -178,9 +192,10 @@ def _scan(docs: DataFrame, w: Windows) -> DataFrame:
                     edge = np.flatnonzero(x[1:] != x[:-1]).reshape(-1, 2)
                     runs[r] = [{"first": int(a), "last": int(b) - 1} for a, b in edge]
                     items[r] = sorted({w.ids[o] for o in w.owner[win[row == r]].tolist() if w.ids[o] is not None})
-                yield pa.RecordBatch.from_pydict({"_row": batch.column(0).slice(lo, hi - lo), "n_words": pa.array(np.diff(wo)), "runs": pa.array(runs, _RUNS), "items": pa.array(items, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({k: batch.column(k).slice(lo, hi - lo) for k in same} | {"n_words": pa.array(np.diff(wo)), "runs": pa.array(runs, _RUNS), "items": pa.array(items, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(lean(find), "_row long, n_words long, runs array<struct<first:long,last:long>>, items array<long>")
+    keys = ", ".join(f"{k} long" for k in docs.columns if k != "text")
+    return docs.mapInArrow(lean(find), f"{keys}, n_words long, runs array<struct<first:long,last:long>>, items array<long>")
 
 
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -209,26 +224,30 @@ def _blocks(items: DataFrame, key: str, text: str, width: int):
 
 def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
     """Per document row: doc_id, n_words, runs (disjoint, ascending first and last hit words), items (sorted ids)."""
-    docs = docs.select(F.col(key).cast("long").alias("_row"), F.col(text).alias("text"))
-    small_batches(docs.sparkSession)
-    found, blocks = None, 0
-    for block in _blocks(items, item_key, item_text, width):
-        w = Windows(block, width)
-        w.choose(rarity(docs, "text", w))
-        one = _scan(docs, w)
-        found, blocks = one if found is None else found.unionByName(one), blocks + 1
-    if found is None:
-        w = Windows([], width)
-        w.choose(np.zeros(0, np.int64))
-        found = _scan(docs, w)
-    if blocks > 1:
-        # equal ids with unequal texts stay apart where their word counts differ; their runs meet where they don't
-        runs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs"))))
-        found = found.groupBy("_row", "n_words").agg((F.count("*") / blocks).cast("int").alias("_n"), runs.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        start = F.struct(F.lit(-2).cast("long").alias("first"), F.lit(-2).cast("long").alias("last"))
-        joined = F.aggregate("runs", F.array(start), lambda s, x: F.when(x["first"] <= F.element_at(s, -1)["last"] + 1, F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["first"].alias("first"), F.greatest(F.element_at(s, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(s, F.array(x))))
-        found = found.withColumn("runs", F.filter(joined, lambda x: x["first"] >= 0)).withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).drop("_n")
-    return found.withColumnRenamed("_row", "doc_id")
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    blocks = _blocks(items, item_key, item_text, width)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is None:
+        return _found(docs, block, width)
+    # the text's hashes stand for the row from scan to scan
+    docs = docs.select("doc_id", F.xxhash64("text").alias("h0"), F.xxhash64(F.lit("again"), "text").alias("h1"), "text")
+    found = None
+    for i, block in enumerate(chain([block, after], blocks)):
+        one = _found(docs, block, width).withColumn("n", F.lit(0 if i else 1))
+        found = one if found is None else found.unionByName(one)
+    # equal rows of a block have equal runs, so sets of them stay as small as the number of blocks
+    found = found.groupBy("doc_id", "h0", "h1", "n_words").agg(F.sum("n").alias("n"), F.collect_set("runs").alias("runs"), F.collect_set("items").alias("items"))
+    runs = F.array_sort(F.array_distinct(F.flatten("runs")))
+    start = F.struct(F.lit(-2).cast("long").alias("first"), F.lit(-2).cast("long").alias("last"))
+    joined = F.aggregate(runs, F.array(start), lambda s, x: F.when(x["first"] <= F.element_at(s, -1)["last"] + 1, F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["first"].alias("first"), F.greatest(F.element_at(s, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(s, F.array(x))))
+    found = found.select("doc_id", "n_words", F.filter(joined, lambda x: x["first"] >= 0).alias("runs"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), "n")
+    return found.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+
+
+def _found(docs: DataFrame, block: list[tuple], width: int) -> DataFrame:
+    w = Windows(block, width)
+    w.choose(rarity(docs, "text", w) if block else np.zeros(0, np.int64))
+    return _scan(docs, w)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least_words: int = 10, key: str = "doc_id", **names) -> DataFrame:
