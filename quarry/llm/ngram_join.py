@@ -8,27 +8,37 @@ Method: rare-first prefix filtering with length, positional and suffix filters.
 2. A second pass emits each document's prefix, the ``n - ceil(0.8 n) + 1``
    rarest of its ``n`` shingles: two similar documents share one of them.
    Documents of a task with equal shingle sets emit one prefix.
-3. Prefixes meet by shingle.  Small buckets give all their pairs, larger ones
-   a star around the document where the shingle stands first and a chain of
-   neighbours, so a bucket of m documents gives O(m) pairs.  The length filter
-   and the positional filter drop pairs that can't reach the threshold.
-4. The suffix filter compares histograms of hash ranges (a lower bound of the
-   symmetric difference); what is left is verified once per pair on the sets.
+3. Prefixes meet by shingle.  Where a task has more than ``LOCAL`` rows of one,
+   they are linked there and only their head travels, so no task meets more rows
+   of a shingle than ``LOCAL`` for each portion of the input.  Small buckets give
+   all their pairs, larger ones a star around the document where the shingle
+   stands first and a chain of neighbours, so a bucket of m documents gives O(m)
+   pairs.  The length filter and the positional filter drop pairs that can't
+   reach the threshold.
+4. Pairs are dealt by the document that has few of them (the leaf of a star);
+   each set travels once to a partition that needs it.  The suffix filter
+   compares histograms of hash ranges (a lower bound of the symmetric
+   difference); what is left is verified on the sets, once per pair: pairs of a
+   later round that an earlier one had are left out.
 5. Verified links give components.  Buckets whose documents are still in
-   different components are compared in blocks, only across components (with
-   ``all_links`` across all rows), and verified as before.  Nothing is capped.
+   different components are compared across components only (with ``all_links``
+   across all rows): the rows outside a bucket's largest component against all
+   its rows, block against block, so what is copied grows with their product.
+   Nothing is capped.
 
 Shingles are told apart by 64-bit hashes.
 
 Edge cases: a null or blank text has an empty set and links with nothing; a
 text of fewer words than a shingle is one shingle; equal rows are copies and
-share a component; a null id gives a row with a null component; an empty table
-gives no rows; other columns are ignored.
+share a component; a null id gives a row with a null component; rows that share
+an id are one document with several sets, which links if any of them does; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +46,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import lean, n_parts, saved, small_batches
+from ._store import SMALL_IDS, lean, n_parts, saved
 from .components import connected_components
 
 WIDTH = 1 << 21
 SLICES = 64
 SMALL = 8
+LOCAL = 32
 BLOCK = 2048
 BINS = 16
+#: Bytes of sets that one document's pairs may bring to a partition before they are split.
+LEAF_BYTES = 16e6
+#: Parts of a shingle's rows where the table of shingles is too large for a broadcast.
+SALTS = 32
+#: Marks the head of rows that were linked before they travelled.
+HEAD = K.U(1 << 63)
 
 
 def shingle_sets(data, offs, k):
@@ -116,17 +133,38 @@ def _passes(na, pa_, nb, pb, num, den):
     return (den * lo >= num * hi) & (1 + np.minimum(na - pa_, nb - pb) - 1 >= _need(na, nb, num, den))
 
 
-def _pairs_of(a, b):
-    """Distinct pairs, the smaller id first."""
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    keep = lo != hi
-    lo, hi = lo[keep], hi[keep]
-    if not len(lo):
-        return lo, hi
-    o = np.lexsort((hi, lo))
-    lo, hi = lo[o], hi[o]
-    new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
-    return lo[new], hi[new]
+def _pairs_of(hub, leaf, n):
+    """Distinct pairs as (smaller id, larger id, 1 where the smaller is the leaf, n)."""
+    lo, hi = np.minimum(hub, leaf), np.maximum(hub, leaf)
+    keep = np.flatnonzero(lo != hi)
+    o = keep[np.lexsort((hi[keep], lo[keep]))]
+    lo, hi, leaf, n = lo[o], hi[o], leaf[o], n[o]
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    return lo[new], hi[new], (leaf == lo)[new].astype(np.int64), n[new]
+
+
+def _bucket_pairs(tok, doc, n, pos, num, den, small):
+    """Pairs of rows sorted by token and then position: stars, chains, and all pairs of small buckets."""
+    first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+    m = np.diff(np.r_[first, len(tok)])
+    many = np.repeat(m, m)
+    hub, leaf = [np.repeat(first, m)], [np.arange(len(tok))]
+    for d in range(1, small):
+        i = np.flatnonzero((tok[d:] == tok[:-d]) & ((many[d:] <= small) | (d == 1)))
+        hub.append(i), leaf.append(i + d)
+    i, j = np.concatenate(hub), np.concatenate(leaf)
+    ok = _passes(n[i], pos[i], n[j], pos[j], num, den)
+    i, j = i[ok], j[ok]
+    return _pairs_of(doc[i], doc[j], n[j]), first, many
+
+
+def _sorted_rows(tok, doc, npos):
+    """Rows by token, position, size and document; n and pos apart, and whether a row is a head."""
+    head = (npos & HEAD) != 0
+    n, pos = ((npos & ~HEAD) >> K.U(32)).astype(np.int64), (npos & K.U(0xFFFFFFFF)).astype(np.int64)
+    o = np.lexsort((doc, n, pos, tok))
+    return tok[o], doc[o], n[o], pos[o], head[o]
 
 
 @dataclass
@@ -139,16 +177,18 @@ class NgramJoin:
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every input row."""
         labels = connected_components(self.links)
-        d = self.documents.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
-        low = d.filter("doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-        return d.join(low, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        d = self.documents.filter("doc_id IS NOT NULL").join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
+        # a component's smallest id is its label but where no task chose it to stand for its set; written, so that a hot one can be split
+        low = saved(d.groupBy("c").agg(F.min("doc_id").alias("low")).filter("low <> c"), "low")
+        d = d.join(F.broadcast(low) if low.count() <= SMALL_IDS else low, "c", "left")
+        nameless = self.documents.filter("doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("id"))
+        return d.select("doc_id", "n", F.coalesce("low", "c").alias("id")).unionByName(nameless).select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, all_links: bool = False) -> NgramJoin:
     """Link documents whose shingle sets have den * intersection >= num * union."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    small_batches(spark)
     level, total = _sketch(docs, "text", k)
     shared = spark.sparkContext.broadcast(level)
     parts = n_parts(spark, 24 * 0.21 * total)
@@ -167,6 +207,20 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
             if held:
                 tok, doc, npos = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
+                o = np.argsort(tok, kind="stable")
+                t = tok[o]
+                first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                m = np.diff(np.r_[first, len(t)])
+                many = np.repeat(m > LOCAL, m)
+                if many.any():
+                    i = o[many]
+                    ht, hd, hn, hp, _ = _sorted_rows(tok[i], doc[i], npos[i])
+                    found, heads, _ = _bucket_pairs(ht, hd, hn, hp, num, den, 2)
+                    both = (hn.astype(K.U) << K.U(32)) | hp.astype(K.U)
+                    yield 3, np.concatenate(found).tobytes(), int(hd[0]) % parts
+                    yield 2, ht.tobytes() + hd.tobytes() + both.tobytes(), int(hd[-1]) % parts
+                    i = o[~many]
+                    tok, doc, npos = np.r_[tok[i], ht[heads]], np.r_[doc[i], hd[heads]], np.r_[npos[i], both[heads] | HEAD]
                 p = ((tok & K.U(0xFFFFFFFF)) % K.U(parts)).astype(np.int64)
                 o = np.argsort(p, kind="stable")
                 cut = np.flatnonzero(np.r_[True, p[o][1:] != p[o][:-1]])
@@ -207,10 +261,18 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
                 if kind == 0:
                     x = np.frombuffer(raw, np.int64).reshape(4, -1)
                     yield _rows(0, pa.array(x[0], mask=x[1] == 0), x[2], x[3])
-                else:
-                    m = raw.size // 24
-                    for c, t, i in zip(cols, (np.uint64, np.int64, np.uint64), range(3), strict=True):
-                        c.append(np.frombuffer(raw, t, m, 8 * m * i))
+                    continue
+                if kind == 3:
+                    a, b, leaf, n = np.frombuffer(raw, np.int64).reshape(4, -1)
+                    yield _rows(1, a, b, leaf, n)
+                    continue
+                m = raw.size // 24
+                x = [np.frombuffer(raw, t, m, 8 * m * i) for i, t in enumerate((np.uint64, np.int64, np.uint64))]
+                if kind == 2:
+                    yield _rows(2, x[0].view(np.int64), x[1], (x[2] >> K.U(32)).astype(np.int64), (x[2] & K.U(0xFFFFFFFF)).astype(np.int64))
+                    continue
+                for c, y in zip(cols, x, strict=True):
+                    c.append(y)
         if not cols[0]:
             return
         tok, doc, npos = (np.concatenate(c) for c in cols)
@@ -220,41 +282,39 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         o = o[same[1:] | same[:-1]]
         if not len(o):
             return
-        tok, doc, npos = tok[o], doc[o], npos[o]
-        o = np.lexsort((doc, npos >> K.U(32), npos & K.U(0xFFFFFFFF), tok))
-        tok, doc, n, pos = tok[o], doc[o], (npos[o] >> K.U(32)).astype(np.int64), (npos[o] & K.U(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        m = np.diff(np.r_[first, len(tok)])
-        head, many = np.repeat(first, m), np.repeat(m, m)
-        left, right = [head], [np.arange(len(tok))]
-        for d in range(1, SMALL):
-            i = np.flatnonzero((tok[d:] == tok[:-d]) & ((many[d:] <= SMALL) | (d == 1)))
-            left.append(i), right.append(i + d)
-        i, j = np.concatenate(left), np.concatenate(right)
-        ok = _passes(n[i], pos[i], n[j], pos[j], num, den)
-        a, b = _pairs_of(doc[i[ok]], doc[j[ok]])
-        yield _rows(1, a, b, np.zeros(len(a), np.int64))
-        rest = many > SMALL
+        tok, doc, n, pos, head = _sorted_rows(tok[o], doc[o], npos[o])
+        (a, b, leaf, size), first, many = _bucket_pairs(tok, doc, n, pos, num, den, SMALL)
+        yield _rows(1, a, b, leaf, size)
+        # what was linked before it travelled is among the rest already
+        rest = (np.maximum(many, np.repeat(np.add.reduceat(head, first), np.diff(np.r_[first, len(tok)])) * (SMALL + 1)) > SMALL) & ~head
         yield _rows(2, tok[rest].view(np.int64), doc[rest], n[rest], pos[rest])
 
     met = saved(dealt.mapInArrow(lean(meet), "kind int, a long, b long, n long, pos long"), "met")
     documents = met.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("rep"), "n")
     once = documents.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    links = saved(_verify(docs, met.filter("kind = 1").select("a", "b").distinct(), k, num, den, once), "links")
+    pairs = saved(met.filter("kind = 1").groupBy("a", "b").agg(F.min("n").alias("leaf"), F.max("pos").alias("size")), "pairs")
+    links = saved(_verify(docs, pairs, k, num, den, once), "links")
     rest = met.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("doc"), "n", "pos")
     if all_links:
         rest = rest.withColumn("label", F.col("doc"))
     else:
         labels = connected_components(links)
         rest = rest.join(labels, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("label"))
-        spread = rest.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("token", "m")
-    if all_links:
-        spread = rest.groupBy("token").agg(F.count("*").alias("m"))
-    rest = saved(rest.join(spread, "token").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("long")), "rest")
-    if rest.isEmpty():
+    rest = saved(rest, "rest")
+    # combined before the shuffle: rows of a shingle and label, then labels of a shingle
+    spread = rest.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    spread = saved(spread.select("token", "m", (F.col("m") - F.col("top.c")).alias("q"), F.col("top.label").alias("top")), "spread")
+    if not (n := spread.count()):
+        return NgramJoin(documents, links)
+    if n <= SMALL_IDS // 2:
+        rest = rest.join(F.broadcast(spread), "token")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(spread.withColumn("salt", salt), ["token", "salt"])
+    more = saved(_across(rest, parts, num, den).groupBy("a", "b").agg(F.min("leaf").alias("leaf"), F.max("size").alias("size")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
         return NgramJoin(documents, links)
-    more = _verify(docs, _across(rest, parts, num, den).distinct(), k, num, den, once)
-    return NgramJoin(documents, saved(links.unionByName(more).distinct(), "links"))
+    return NgramJoin(documents, saved(links.unionByName(_verify(docs, more, k, num, den, once)), "links"))
 
 
 def _print(x: np.ndarray) -> bytes:
@@ -269,74 +329,134 @@ def _rows(kind, a, b, n, pos=None):
 
 
 def _across(rest: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """Pairs of a token's rows with different labels, block against block."""
-    rest = rest.withColumn("bk", F.pmod(F.xxhash64("doc"), F.col("nb")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    rest = rest.select("token", F.least("bk", "other").alias("b0"), F.greatest("bk", "other").alias("b1"), "bk", "doc", "n", "pos", "label").repartition(parts, "token", "b0", "b1")
+    """Pairs of a shingle's rows with different labels: those out of its top label, in blocks, with all, in blocks."""
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    some = rest.withColumn("minor", F.col("label") != F.col("top")).withColumn("nb", blocks(F.col("q"))).withColumn("nr", blocks(F.col("m"))).withColumn("h", F.xxhash64("doc"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    cols = ["token", "b", "r", "side", "minor", "doc", "n", "pos", "label"]
+    left = some.filter("minor").withColumn("b", F.pmod("h", "nb")).withColumn("r", every(F.col("nr"))).withColumn("side", F.lit(0))
+    right = some.withColumn("r", F.pmod("h", "nr")).withColumn("b", every(F.col("nb"))).withColumn("side", F.lit(1))
+    both = left.select(cols).unionByName(right.select(cols)).repartition(parts, "token", "b", "r").sortWithinPartitions("token", "b", "r")
+
+    def compare(x):
+        left, right = np.flatnonzero(x["side"] == 0), np.flatnonzero(x["side"] == 1)
+        for lo in range(0, len(left), 512):
+            i = left[lo : lo + 512, None]
+            ok = (x["label"][i] != x["label"][right]) & (~x["minor"][right] | (x["doc"][i] < x["doc"][right])) & _passes(x["n"][i], x["pos"][i], x["n"][right], x["pos"][right], num, den)
+            p, q = np.nonzero(ok)
+            yield x["doc"][i[p, 0]], x["doc"][right[q]], x["n"][right[q]]
 
     def pairs(it):
-        batches = list(it)
-        if not sum(x.num_rows for x in batches):
-            return
-        t = pa.Table.from_batches(batches)
-        c = {k: t.column(k).to_numpy() for k in t.column_names}
-        o = np.lexsort((c["b1"], c["b0"], c["token"]))
-        c = {k: v[o] for k, v in c.items()}
-        new = np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["b0"][1:] != c["b0"][:-1]) | (c["b1"][1:] != c["b1"][:-1])]
-        edge = np.r_[np.flatnonzero(new), len(new)]
-        aa, bb = [], []
-        for s, e in zip(edge[:-1], edge[1:], strict=True):
-            x = {k: v[s:e] for k, v in c.items()}
-            one = x["b0"][0] == x["b1"][0]
-            left = np.arange(e - s) if one else np.flatnonzero(x["bk"] == x["b0"])
-            right = left if one else np.flatnonzero(x["bk"] == x["b1"])
-            for lo in range(0, len(left), 512):
-                i = left[lo : lo + 512, None]
-                ok = (x["label"][i] != x["label"][right]) & _passes(x["n"][i], x["pos"][i], x["n"][right], x["pos"][right], num, den)
-                p, q = np.nonzero(ok)
-                aa.append(x["doc"][i[p, 0]]), bb.append(x["doc"][right[q]])
-            if sum(map(len, aa)) > 2_000_000:
-                a, b = _pairs_of(np.concatenate(aa), np.concatenate(bb))
-                aa, bb = [a], [b]
-        a, b = _pairs_of(np.concatenate(aa), np.concatenate(bb))
-        for lo in range(0, len(a), 10_000):
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a[lo : lo + 10_000]), "b": pa.array(b[lo : lo + 10_000])})
-
-    return rest.mapInArrow(lean(pairs), "a long, b long")
+        held, found, n_found = [], [], 0
+
+        def out():
+            a, b, leaf, size = _pairs_of(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            found.clear()
+            for lo in range(0, len(a), 10_000):
+                yield pa.RecordBatch.from_pydict({k: pa.array(c[lo : lo + 10_000]) for k, c in (("a", a), ("b", b), ("leaf", leaf), ("size", size))})
+
+        # groups come one after the other; the last of a batch may go on in the next
+        for batch in chain(it, [None]):
+            if batch is not None:
+                held.append({k: c.to_numpy(zero_copy_only=False) for k, c in zip(batch.schema.names, batch.columns, strict=True)})
+            x = {k: np.concatenate([h[k] for h in held]) for k in cols} if held else {}
+            held.clear()
+            if not x or not len(x["token"]):
+                continue
+            new = np.flatnonzero(np.r_[True, (x["token"][1:] != x["token"][:-1]) | (x["b"][1:] != x["b"][:-1]) | (x["r"][1:] != x["r"][:-1])])
+            edge = np.r_[new, len(x["token"])]
+            whole = len(edge) - 1 - (batch is not None)
+            for s, e in zip(edge[:whole], edge[1 : whole + 1], strict=True):
+                for pair in compare({k: v[s:e] for k, v in x.items()}):
+                    found.append(pair)
+                    n_found += len(pair[0])
+                if n_found > 500_000:
+                    yield from out()
+                    n_found = 0
+            if batch is not None:
+                held.append({k: v[edge[whole] :] for k, v in x.items()})
+        if found:
+            yield from out()
+
+    return both.mapInArrow(lean(pairs), "a long, b long, leaf long, size long")
+
+
+def _near(x, y, num, den) -> bool:
+    """Whether two sets, each with its histogram, reach the threshold: suffix filter, then the sets."""
+    (p, hp), (q, hq) = x, y
+    n = len(p) + len(q)
+    if int(np.abs(hp - hq).sum()) * (num + den) > n * (den - num):
+        return False
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return False
+    i = np.searchsorted(q, p)
+    i[i == len(q)] = 0
+    inter = int((q[i] == p).sum())
+    return den * inter >= num * (n - inter)
+
+
+_EDGES = np.arange(1, BINS, dtype=K.U) << K.U(60)
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, once: bool) -> DataFrame:
-    """The pairs that reach the threshold.  Suffix filter first, on histograms; then each pair's sets, once.
+    """The pairs (a, b) of a written table that reach the threshold.
 
     Where each id stands in one row (``once``), sets needn't be shuffled to drop repeated ones.
     """
-    pairs = saved(pairs, "pairs")
+    spark = pairs.sparkSession
+    n, size = pairs.agg(F.count("*"), F.sum("size")).first()
+    if not n:
+        return pairs.select("a", "b")
+    p = pairs.select("a", "b", F.when(F.col("leaf") == 1, F.col("a")).otherwise(F.col("b")).alias("leaf"), F.when(F.col("leaf") == 1, F.col("b")).otherwise(F.col("a")).alias("hub"), "size")
+    heavy = saved(p.groupBy("leaf").agg(F.ceil(8 * F.sum("size") / LEAF_BYTES).cast("long").alias("salts")).filter("salts > 1"), "heavy")
+    if n_heavy := heavy.count():
+        p = p.join(F.broadcast(heavy) if n_heavy <= SMALL_IDS else heavy, "leaf", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("hub"), F.col("salts")), F.lit(0)))
+    else:
+        p = p.withColumn("salt", F.lit(0).cast("long"))
+    parts = n_parts(spark, 24 * size)
+    at = lambda leaf, salt: F.pmod(F.xxhash64(leaf, salt), F.lit(parts)).cast("int")
+    home = at("doc_id", F.lit(0).cast("long"))
+    p = p.withColumn("part", at("leaf", F.col("salt")))
 
     def sets(it):
         for batch in it:
             for lo, hi, data, offs in K.text_chunks(batch.column(1)):
-                x = list(shingle_sets(data, offs, k))
-                hist = [np.bincount((y >> K.U(60)).astype(np.int64), minlength=BINS).astype(np.int32) for y in x]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "hist": pa.array(hist, pa.list_(pa.int32())), "set": pa.array([y.tobytes() for y in x], pa.binary())})
-
-    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    named = saved(named, "named")
-    if (count := named.count()) <= 500_000:  # 8 MB of ids at most; else a shuffled join
-        named = F.broadcast(named)
-    rows = (docs.join(named, "doc_id", "left_semi") if count else docs.limit(0)).mapInArrow(lean(sets), "doc_id long, hist array<int>, set binary")
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "set": pa.array([y.tobytes() for y in shingle_sets(data, offs, k)], pa.binary())})
+
+    def few(ids):
+        """Ids behind a count: 8 MB of them at most are broadcast."""
+        ids = saved(ids.distinct(), "named")
+        return F.broadcast(ids) if ids.count() <= 500_000 else ids
+
+    named = few(p.select(F.explode(F.array("leaf", "hub")).alias("doc_id")))
+    rows = docs.join(named, "doc_id", "left_semi").mapInArrow(lean(sets), "doc_id long, set binary")
     x = saved(rows if once else rows.dropDuplicates(["doc_id", "set"]), "sets")
-    side = lambda s, col: x.select(F.col("doc_id").alias(s), F.col(col).alias(f"{col}_{s}"))
-    far = F.aggregate(F.zip_with("hist_a", "hist_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
-    both = F.aggregate("hist_a", F.lit(0), lambda s, v: s + v) + F.aggregate("hist_b", F.lit(0), lambda s, v: s + v)
-    near = pairs.join(side("a", "hist"), "a").join(side("b", "hist"), "b").filter(far * (num + den) <= both * (den - num)).select("a", "b").distinct()
+    # a document's set goes to its own partition, and once to each other one where it is asked for
+    asked = p.select("part", F.col("hub").alias("doc_id"))
+    if n_heavy:
+        asked = asked.unionByName(p.filter("salt > 0").select("part", F.col("leaf").alias("doc_id")))
+    asked = saved(asked.distinct().filter(F.col("part") != home), "asked")
+    hubs = x.join(few(asked.select("doc_id")), "doc_id", "left_semi").join(asked, "doc_id")
+    null = lambda t: F.lit(None).cast(t)
+    kinds = x.select(F.lit(0).alias("kind"), home.alias("part"), F.col("doc_id").alias("a"), null("long").alias("b"), "set")
+    kinds = kinds.unionByName(hubs.select(F.lit(0).alias("kind"), "part", F.col("doc_id").alias("a"), null("long").alias("b"), "set"))
+    kinds = kinds.unionByName(p.select(F.lit(1).alias("kind"), "part", "a", "b", null("binary").alias("set")))
+    dealt = kinds.repartition(parts, "part").sortWithinPartitions("kind").select("kind", "a", "b", "set")
 
     def check(it):
+        have: dict[int, list] = {}
         for batch in it:
-            ok = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(p.as_buffer(), K.U), np.frombuffer(q.as_buffer(), K.U)
-                inter = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(den * inter >= num * (len(p) + len(q) - inter))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return near.join(side("a", "set"), "a").join(side("b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(check), "a long, b long").distinct()
+            kind, a, b, sets = (batch.column(i) for i in range(4))
+            for i in np.flatnonzero(kind.to_numpy() == 0).tolist():
+                y = np.frombuffer(sets[i].as_py(), K.U)
+                own = have.setdefault(a[i].as_py(), [])
+                if not own or not once:
+                    own.append((y, np.diff(np.r_[0, np.searchsorted(y, _EDGES), len(y)])))
+            i = pa.array(np.flatnonzero(kind.to_numpy() == 1))
+            a, b = a.take(i), b.take(i)
+            ok = [any(_near(x, y, num, den) for x in have.get(p, ()) for y in have.get(q, ())) for p, q in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return dealt.mapInArrow(lean(check), "a long, b long")
