@@ -15,11 +15,12 @@ Method: rare-first prefix filtering with length, positional and suffix filters.
    stands first and a chain of neighbours, so a bucket of m documents gives O(m)
    pairs.  The length filter and the positional filter drop pairs that can't
    reach the threshold.
-4. Pairs are dealt by the document that has few of them (the leaf of a star);
-   each set travels once to a partition that needs it.  The suffix filter
-   compares histograms of hash ranges (a lower bound of the symmetric
-   difference); what is left is verified on the sets, once per pair: pairs of a
-   later round that an earlier one had are left out.
+4. Pairs are dealt by the component of candidates they belong to, so a document's
+   set travels once; the pairs of a large component are dealt by the leaf of
+   their star, and those of a document with very many by the other one.  The
+   suffix filter compares histograms of hash ranges (a lower bound of the
+   symmetric difference); what is left is verified on the sets, once per pair:
+   pairs of a later round that an earlier one had are left out.
 5. Verified links give components.  Buckets whose documents are still in
    different components are compared across components only (with ``all_links``
    across all rows): the rows outside a bucket's largest component against all
@@ -31,8 +32,8 @@ Shingles are told apart by 64-bit hashes.
 Edge cases: a null or blank text has an empty set and links with nothing; a
 text of fewer words than a shingle is one shingle; equal rows are copies and
 share a component; a null id gives a row with a null component; rows that share
-an id are one document with several sets, which links if any of them does; an
-empty table gives no rows; other columns are ignored, whatever their names.
+an id are in one component, each with its own set (they are joined by a hash of
+id and text); an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ SMALL = 8
 LOCAL = 32
 BLOCK = 2048
 BINS = 16
-#: Bytes of sets that one document's pairs may bring to a partition before they are split.
-LEAF_BYTES = 16e6
+#: Bytes of sets of one component, and of one document's pairs, that go to one partition.
+GROUP_BYTES = 8e6
 #: Parts of a shingle's rows where the table of shingles is too large for a broadcast.
 SALTS = 32
 #: Marks the head of rows that were linked before they travelled.
@@ -173,22 +174,35 @@ class NgramJoin:
     documents: DataFrame
     #: a < b: verified links between documents with different ids; with all_links every one between representatives.
     links: DataFrame
+    #: Where rows of an id differ, doc_id above is a key of id and text: key, id and the smallest key of the id.
+    keys: DataFrame | None = None
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every input row."""
-        labels = connected_components(self.links)
-        d = self.documents.filter("doc_id IS NOT NULL").join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
+        links, d = self.links.select("a", "b"), self.documents
+        if self.keys is not None:
+            links = links.unionByName(self.keys.select(F.col("key").alias("a"), F.col("first").alias("b")))
+        labels = connected_components(links)
+        nameless = d.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+        d = d.filter("doc_id IS NOT NULL").join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
+        if self.keys is not None:
+            d = d.join(self.keys.select(F.col("key").alias("doc_id"), "id"), "doc_id").select(F.col("id").alias("doc_id"), "n", "c")
         # a component's smallest id is its label but where no task chose it to stand for its set; written, so that a hot one can be split
         low = saved(d.groupBy("c").agg(F.min("doc_id").alias("low")).filter("low <> c"), "low")
         d = d.join(F.broadcast(low) if low.count() <= SMALL_IDS else low, "c", "left")
-        nameless = self.documents.filter("doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("id"))
-        return d.select("doc_id", "n", F.coalesce("low", "c").alias("id")).unionByName(nameless).select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        return d.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "c").alias("component_id")).unionByName(nameless)
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, all_links: bool = False) -> NgramJoin:
     """Link documents whose shingle sets have den * intersection >= num * union."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
+    keys = None
+    if _unlike(docs):
+        docs = docs.withColumn("id", F.col("doc_id")).withColumn("doc_id", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")))
+        keys = saved(docs.filter("id IS NOT NULL").select(F.col("doc_id").alias("key"), "id").distinct(), "keys")
+        keys = saved(keys.join(keys.groupBy("id").agg(F.min("key").alias("first")), "id"), "keys")
+        docs = docs.select("doc_id", "text")
     level, total = _sketch(docs, "text", k)
     shared = spark.sparkContext.broadcast(level)
     parts = n_parts(spark, 24 * 0.21 * total)
@@ -291,9 +305,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     met = saved(dealt.mapInArrow(lean(meet), "kind int, a long, b long, n long, pos long"), "met")
     documents = met.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("rep"), "n")
-    once = documents.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
     pairs = saved(met.filter("kind = 1").groupBy("a", "b").agg(F.min("n").alias("leaf"), F.max("pos").alias("size")), "pairs")
-    links = saved(_verify(docs, pairs, k, num, den, once), "links")
+    links = saved(_verify(docs, pairs, k, num, den), "links")
     rest = met.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("doc"), "n", "pos")
     if all_links:
         rest = rest.withColumn("label", F.col("doc"))
@@ -305,7 +318,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     spread = rest.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     spread = saved(spread.select("token", "m", (F.col("m") - F.col("top.c")).alias("q"), F.col("top.label").alias("top")), "spread")
     if not (n := spread.count()):
-        return NgramJoin(documents, links)
+        return NgramJoin(documents, links, keys)
     if n <= SMALL_IDS // 2:
         rest = rest.join(F.broadcast(spread), "token")
     else:
@@ -313,8 +326,17 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(spread.withColumn("salt", salt), ["token", "salt"])
     more = saved(_across(rest, parts, num, den).groupBy("a", "b").agg(F.min("leaf").alias("leaf"), F.max("size").alias("size")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
-        return NgramJoin(documents, links)
-    return NgramJoin(documents, saved(links.unionByName(_verify(docs, more, k, num, den, once)), "links"))
+        return NgramJoin(documents, links, keys)
+    return NgramJoin(documents, saved(links.unionByName(_verify(docs, more, k, num, den)), "links"), keys)
+
+
+def _unlike(docs: DataFrame) -> bool:
+    """Whether an id stands in rows of different texts; texts are read only where ids repeat."""
+    twice = saved(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if not (n := twice.count()):
+        return False
+    h = docs.join(F.broadcast(twice) if n <= SMALL_IDS else twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    return not h.filter("low <> high").isEmpty()
 
 
 def _print(x: np.ndarray) -> bytes:
@@ -330,8 +352,9 @@ def _rows(kind, a, b, n, pos=None):
 
 def _across(rest: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     """Pairs of a shingle's rows with different labels: those out of its top label, in blocks, with all, in blocks."""
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
-    some = rest.withColumn("minor", F.col("label") != F.col("top")).withColumn("nb", blocks(F.col("q"))).withColumn("nr", blocks(F.col("m"))).withColumn("h", F.xxhash64("doc"))
+    # few rows out of the top label meet all others in small blocks, as many copies of either side being made at most as of the other
+    block = F.greatest(F.least(F.col("q"), F.lit(BLOCK)), F.lit(BLOCK // 16))
+    some = rest.withColumn("minor", F.col("label") != F.col("top")).withColumn("nb", F.ceil(F.col("q") / F.lit(BLOCK)).cast("long")).withColumn("nr", F.ceil(F.col("m") / block).cast("long")).withColumn("h", F.xxhash64("doc"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     cols = ["token", "b", "r", "side", "minor", "doc", "n", "pos", "label"]
     left = some.filter("minor").withColumn("b", F.pmod("h", "nb")).withColumn("r", every(F.col("nr"))).withColumn("side", F.lit(0))
@@ -400,63 +423,74 @@ def _near(x, y, num, den) -> bool:
 _EDGES = np.arange(1, BINS, dtype=K.U) << K.U(60)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, once: bool) -> DataFrame:
-    """The pairs (a, b) of a written table that reach the threshold.
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """The pairs with ``group``: small components whole, large ones by leaf, and the pairs of a heavy leaf by hub."""
+    labels = connected_components(pairs)
+    of = lambda one, other: F.when(F.col("leaf") == 1, F.col(one)).otherwise(F.col(other))
+    p = pairs.select("a", "b", of("a", "b").alias("node"), of("b", "a").alias("hub"), "size").join(labels, "node").withColumnRenamed("node", "leaf")
+    p = saved(p, "pairs")
+
+    def large(name):
+        some = saved(p.groupBy(name).agg(F.ceil(8 * F.sum("size") / GROUP_BYTES).cast("long").alias(f"{name}_parts")).filter(f"{name}_parts > 1"), "large")
+        n = some.count()
+        return (F.broadcast(some) if n <= SMALL_IDS else some) if n else None
 
-    Where each id stands in one row (``once``), sets needn't be shuffled to drop repeated ones.
-    """
+    if (some := large("component")) is None:
+        return p.withColumn("group", F.xxhash64("component"))
+    p = p.join(some, "component", "left").withColumn("by_leaf", F.when(F.col("component_parts").isNotNull(), F.pmod(F.xxhash64("leaf"), F.col("component_parts"))))
+    by_hub = F.lit(None).cast("long")
+    if (some := large("leaf")) is not None:
+        p, by_hub = p.join(some, "leaf", "left"), F.when(F.col("leaf_parts").isNotNull(), F.pmod(F.xxhash64("hub"), F.col("leaf_parts")))
+    return p.withColumn("group", F.xxhash64("component", "by_leaf", by_hub))
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of a written table that reach the threshold."""
     spark = pairs.sparkSession
-    n, size = pairs.agg(F.count("*"), F.sum("size")).first()
-    if not n:
+    if pairs.isEmpty():
         return pairs.select("a", "b")
-    p = pairs.select("a", "b", F.when(F.col("leaf") == 1, F.col("a")).otherwise(F.col("b")).alias("leaf"), F.when(F.col("leaf") == 1, F.col("b")).otherwise(F.col("a")).alias("hub"), "size")
-    heavy = saved(p.groupBy("leaf").agg(F.ceil(8 * F.sum("size") / LEAF_BYTES).cast("long").alias("salts")).filter("salts > 1"), "heavy")
-    if n_heavy := heavy.count():
-        p = p.join(F.broadcast(heavy) if n_heavy <= SMALL_IDS else heavy, "leaf", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("hub"), F.col("salts")), F.lit(0)))
-    else:
-        p = p.withColumn("salt", F.lit(0).cast("long"))
-    parts = n_parts(spark, 24 * size)
-    at = lambda leaf, salt: F.pmod(F.xxhash64(leaf, salt), F.lit(parts)).cast("int")
-    home = at("doc_id", F.lit(0).cast("long"))
-    p = p.withColumn("part", at("leaf", F.col("salt")))
+    p = saved(_dealt(pairs).select("a", "b", "group", "size"), "dealt")
+    ends = p.select("group", "size", F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id", "group").agg(F.max("size").alias("size"))
+    asked = saved(ends.groupBy("doc_id").agg(F.collect_list("group").alias("groups"), F.sum("size").alias("size")), "asked")
+    n, size = asked.agg(F.count("*"), F.sum("size")).first()
+    parts = n_parts(spark, 10 * size)
+    # 16 MB of ids and groups at most are broadcast
+    ids = asked.select("doc_id", "groups")
+    wanted = docs.join(F.broadcast(ids) if n <= 500_000 and p.count() <= 1_000_000 else ids, "doc_id")
 
     def sets(it):
+        seen: set[int] = set()
         for batch in it:
             for lo, hi, data, offs in K.text_chunks(batch.column(1)):
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "set": pa.array([y.tobytes() for y in shingle_sets(data, offs, k)], pa.binary())})
-
-    def few(ids):
-        """Ids behind a count: 8 MB of them at most are broadcast."""
-        ids = saved(ids.distinct(), "named")
-        return F.broadcast(ids) if ids.count() <= 500_000 else ids
-
-    named = few(p.select(F.explode(F.array("leaf", "hub")).alias("doc_id")))
-    rows = docs.join(named, "doc_id", "left_semi").mapInArrow(lean(sets), "doc_id long, set binary")
-    x = saved(rows if once else rows.dropDuplicates(["doc_id", "set"]), "sets")
-    # a document's set goes to its own partition, and once to each other one where it is asked for
-    asked = p.select("part", F.col("hub").alias("doc_id"))
-    if n_heavy:
-        asked = asked.unionByName(p.filter("salt > 0").select("part", F.col("leaf").alias("doc_id")))
-    asked = saved(asked.distinct().filter(F.col("part") != home), "asked")
-    hubs = x.join(few(asked.select("doc_id")), "doc_id", "left_semi").join(asked, "doc_id")
+                ids, groups, rows = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(2).slice(lo, hi - lo).to_pylist(), []
+                for i, g, y in zip(ids, groups, shingle_sets(data, offs, k), strict=True):
+                    if i not in seen:
+                        seen.add(i)
+                        raw = y.tobytes()
+                        rows += [(x, i, raw) for x in g]
+                if not rows:
+                    continue
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["group", "a", "set"])
+
     null = lambda t: F.lit(None).cast(t)
-    kinds = x.select(F.lit(0).alias("kind"), home.alias("part"), F.col("doc_id").alias("a"), null("long").alias("b"), "set")
-    kinds = kinds.unionByName(hubs.select(F.lit(0).alias("kind"), "part", F.col("doc_id").alias("a"), null("long").alias("b"), "set"))
-    kinds = kinds.unionByName(p.select(F.lit(1).alias("kind"), "part", "a", "b", null("binary").alias("set")))
-    dealt = kinds.repartition(parts, "part").sortWithinPartitions("kind").select("kind", "a", "b", "set")
+    x = wanted.select("doc_id", "text", "groups").mapInArrow(lean(sets), "group long, a long, set binary")
+    x = x.select(F.lit(0).alias("kind"), "group", "a", null("long").alias("b"), "set")
+    x = x.unionByName(p.select(F.lit(1).alias("kind"), "group", "a", "b", null("binary").alias("set")))
+    dealt = x.repartition(parts, "group").sortWithinPartitions("kind").select("kind", "a", "b", "set")
 
     def check(it):
-        have: dict[int, list] = {}
+        have: dict[int, tuple] = {}
         for batch in it:
             kind, a, b, sets = (batch.column(i) for i in range(4))
-            for i in np.flatnonzero(kind.to_numpy() == 0).tolist():
-                y = np.frombuffer(sets[i].as_py(), K.U)
-                own = have.setdefault(a[i].as_py(), [])
-                if not own or not once:
-                    own.append((y, np.diff(np.r_[0, np.searchsorted(y, _EDGES), len(y)])))
-            i = pa.array(np.flatnonzero(kind.to_numpy() == 1))
+            kind = kind.to_numpy()
+            for i in np.flatnonzero(kind == 0).tolist():
+                if (key := a[i].as_py()) not in have:
+                    y = np.frombuffer(sets[i].as_py(), K.U)
+                    have[key] = y, np.diff(np.r_[0, np.searchsorted(y, _EDGES), len(y)])
+            i = pa.array(np.flatnonzero(kind == 1))
             a, b = a.take(i), b.take(i)
-            ok = [any(_near(x, y, num, den) for x in have.get(p, ()) for y in have.get(q, ())) for p, q in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+            ok = [_near(have[p], have[q], num, den) for p, q in zip(a.to_pylist(), b.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return dealt.mapInArrow(lean(check), "a long, b long")

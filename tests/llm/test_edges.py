@@ -56,7 +56,7 @@ def crowd(seed=1):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("bounds", [{}, {"LOCAL": 2, "BLOCK": 8, "SMALL": 3}, {"LOCAL": 4, "BLOCK": 16, "SMALL_IDS": 0, "LEAF_BYTES": 500.0, "SALTS": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"LOCAL": 2, "BLOCK": 8, "SMALL": 3}, {"LOCAL": 4, "BLOCK": 16, "SMALL_IDS": 0, "GROUP_BYTES": 900.0, "SALTS": 3}])
 def test_hot_groups(spark, monkeypatch, bounds):
     for k, v in bounds.items():
         monkeypatch.setattr(ngram_join, k, v)
