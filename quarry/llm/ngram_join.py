@@ -57,7 +57,7 @@ LOCAL = 32
 BLOCK = 2048
 BINS = 16
 #: Bytes of sets of one component, and of one document's pairs, that go to one partition.
-GROUP_BYTES = 8e6
+GROUP_BYTES = 250e3
 #: Parts of a shingle's rows where the table of shingles is too large for a broadcast.
 SALTS = 32
 #: Marks the head of rows that were linked before they travelled.
