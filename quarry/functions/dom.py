@@ -13,6 +13,8 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never text: dropped while the tree is built.
 UNSEEN = frozenset("script style link meta applet embed object param layer iframe frame frameset noframes".split())
+#: What selection of the main content drops from the start; embedded things and facts about the page stay.
+SCRIPTS = frozenset("script style link".split())
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: A tag that begins closes these, up to a tag that bounds the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
@@ -40,6 +42,12 @@ class Node:
         self.parent.kids[at : at + 1] = new
         self.parent = None
 
+    def prune(self, tags: frozenset = UNSEEN) -> Node:
+        """This node without elements of the tags below it."""
+        for n in self.all(*tags):
+            n.drop()
+        return self
+
     def drop(self) -> None:
         if self.parent is not None:
             self.replace([])
@@ -113,10 +121,10 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, drop: frozenset):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html")
-        self.unseen = 0
+        self.drop, self.unseen = drop, 0
 
     def _close(self, tags, bounds) -> None:
         n = self.at
@@ -127,7 +135,7 @@ class _Builder(HTMLParser):
             n = n.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in UNSEEN:
+        if tag in self.drop:
             self.unseen += tag not in VOID
             return
         if self.unseen:
@@ -148,14 +156,14 @@ class _Builder(HTMLParser):
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
-        if tag in UNSEEN:
+        if tag in self.drop:
             return
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and not self.unseen:
             self.at = self.at.parent or self.root
 
     def handle_endtag(self, tag):
-        if tag in UNSEEN:
+        if tag in self.drop:
             self.unseen = max(0, self.unseen - (tag not in VOID))
             return
         if not self.unseen:
@@ -169,9 +177,9 @@ class _Builder(HTMLParser):
                 self.at.add(data)
 
 
-def parse(html: str | None) -> Node:
-    """The tree of a page; null and empty give an empty ``html``."""
-    builder = _Builder()
+def parse(html: str | None, drop: frozenset = UNSEEN) -> Node:
+    """The tree of a page without elements of the tags to drop; null and empty give an empty ``html``."""
+    builder = _Builder(drop)
     builder.feed((html or "").strip().replace("\0", ""))
     builder.close()
     return builder.root

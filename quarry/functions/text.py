@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's ``\\s`` has it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -30,10 +36,6 @@ def title_prefix(titles: Column, content: Column, levels: int, separator: str |
     return F.when(F.size(F.coalesce(titles, F.array().cast("array<string>"))) == 0, content).when(F.size(last) == 0, content).otherwise(F.concat(F.array_join(last, "\n"), F.lit(mid), content))
 
 
-def heading_markdown(level: Column, title: Column) -> Column:
-    return F.concat(F.expr("repeat('#', 1)").substr(1, 0), F.lpad(F.lit(""), level, "#"), F.lit(" "), title)
-
-
 def strip_wiki_images(c: Column) -> Column:
     return F.regexp_replace(c, r"!\[\[(.*)\]\]", "")
 
@@ -63,9 +65,32 @@ def repair_spaces(c: Column) -> Column:
     return F.replace(c, F.lit("\U001001b0"), F.lit("."))
 
 
-def repair_punctuation(c: Column) -> Column:
-    """Without a dictionary every listed character is punctuation."""
-    return F.translate(c, "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
+#: Characters on either side that a segmenter sees, and how many of its answers a worker remembers.
+CONTEXT, SEGMENTS, PROTECTED = 3, 2048, 4096
+
+
+def protected_punctuation(segment: Callable[[str], list[str]]):
+    """A function of a text that leaves a listed character alone where a word of the segmentation of its surroundings has it beside others."""
+    words = lru_cache(SEGMENTS)(segment)
+    kept = lru_cache(PROTECTED)(lambda around, c: any(len(w) > 1 and c in w for w in words(around)))
+
+    def repair(t: str) -> str:
+        return "".join(PUNCTUATION[c] if c in PUNCTUATION and not kept(t[max(0, i - CONTEXT) : i + CONTEXT + 1], c) else c for i, c in enumerate(t))
+
+    return repair
+
+
+def repair_punctuation(c: Column, segment: Callable[[str], list[str]] | None = None) -> Column:
+    """Without a segmenter every listed character is punctuation."""
+    if segment is None:
+        return F.translate(c, "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
+
+    @F.pandas_udf(T.StringType())
+    def repaired(texts: pd.Series) -> pd.Series:
+        repair = protected_punctuation(segment)
+        return texts.map(lambda t: None if t is None else repair(t))
+
+    return repaired(c)
 
 
 def repair_units(c: Column, legacy: bool = False) -> Column:
@@ -102,8 +127,8 @@ def repair_roman(c: Column) -> Column:
     return c
 
 
-def repair_pdf_text(c: Column, legacy: bool = False) -> Column:
-    c = repair_units(repair_punctuation(repair_spaces(c)), legacy)
+def repair_pdf_text(c: Column, legacy: bool = False, segment: Callable[[str], list[str]] | None = None) -> Column:
+    c = repair_units(repair_punctuation(repair_spaces(c), segment), legacy)
     return F.replace(repair_roman(repair_brackets(repair_circled(c))), F.lit("\n"), F.lit(""))
 
 
@@ -136,6 +161,13 @@ def table_markdown(cells: Column) -> Column:
     return F.array_join(F.concat(F.array(row(first), rule), F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), row)), "\n")
 
 
+def table_csv(cells: Column) -> Column:
+    """Rows of cells between commas, each row with a line end; a cell with a comma, quote or line end stands in quotes."""
+    cell = lambda x: F.when(x.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    row = lambda r: F.concat(F.array_join(F.transform(r, lambda x: cell(F.coalesce(x, F.lit("")))), ","), F.lit("\r\n"))
+    return F.array_join(F.transform(cells, row), "")
+
+
 def row_sentence(header: Column, row: Column) -> Column:
     """One column: name and value; else a sentence for each further column, a blank line between."""
     cell = lambda a, i: strip(F.coalesce(F.get(a, i), F.lit("")))
@@ -158,11 +190,22 @@ POSITIVE = "article|body|content|entry|hentry|main|page|pagination|post|text|blo
 NEGATIVE = "combx|comment|com-|contact|foot|footer|footnote|masthead|media|meta|outbrain|promo|related|scroll|shoutbox|sidebar|sponsor|shopping|tags|tool|widget"
 
 
-def class_weight(cls: Column, node_id: Column) -> Column:
+def class_weight(cls: Column, node_id: Column, tag: Column | None = None, positive: str | None = None, negative: str | None = None) -> Column:
+    """25 up or down for each of class and id that a pattern is found in; patterns of one's own count too, and for the tag where they match ``tag-`` and its name."""
     weight = F.lit(0)
+    found = lambda c, p: F.when(c.rlike(p), 25).otherwise(0)
     for c in (cls, node_id):
         c = F.coalesce(c, F.lit(""))
-        weight = weight - F.when(c.rlike(f"(?i){NEGATIVE}"), 25).otherwise(0) + F.when(c.rlike(f"(?i){POSITIVE}"), 25).otherwise(0)
+        weight = weight - found(c, f"(?i){NEGATIVE}") + found(c, f"(?i){POSITIVE}")
+        if positive:
+            weight = weight + found(c, positive)
+        if negative:
+            weight = weight - found(c, negative)
+    if tag is not None:
+        named = F.concat(F.lit("tag-"), tag)
+        for p, way in ((positive, 1), (negative, -1)):
+            if p:
+                weight = weight + way * found(named, f"\\A(?:{p})")
     return weight
 
 
@@ -195,9 +238,38 @@ def treatment(plan: Column, procedure: Column) -> Column:
     return F.coalesce(F.nullif(plan, F.lit("")), F.nullif(procedure, F.lit("")), F.lit(""))
 
 
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+
+
+def overlap(before: str, after: str) -> int:
+    """Length of the shortest end of one text that the other begins with; 0 if there is none.
+
+    Ends and beginnings of every length are compared by a rolling hash, and those that
+    agree by their characters, so the time grows with the texts' length.
+    """
+    n = min(len(before), len(after))
+    if not n:
+        return 0
+    code = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    up, down = (np.full(n, x, np.uint64) for x in (_ODD, _INVERSE))
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    begins = np.cumsum(code(after[:n]) * up)
+    ends = np.cumsum(code(before[-n:])[::-1] * down) * up
+    return next((k for k in (np.flatnonzero(begins == ends) + 1).tolist() if before.endswith(after[:k])), 0)
+
+
+def splice_texts(before: str, after: str) -> str:
+    """Joined over the shortest overlap of one's end with the other's beginning."""
+    return before + after[overlap(before, after) :]
+
+
+@F.pandas_udf(T.StringType())
+def _spliced(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else splice_texts(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
+
+
 def splice(before: Column, after: Column) -> Column:
-    """The texts joined over the shortest overlap of one's end with the other's beginning."""
-    n = F.least(F.length(before), F.length(after))
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.expr("true") & (F.right(before, k) == F.left(after, k)) & (k <= n))
-    k = F.coalesce(F.array_min(fits), F.lit(0))
-    return F.concat(before, F.substring(after, k + 1, F.length(after)))
+    """The texts joined over the shortest overlap of one's end with the other's beginning; null if either is."""
+    return _spliced(before, after)

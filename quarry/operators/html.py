@@ -8,16 +8,18 @@ are Columns over them.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.functions.dom import Node, parse
-from quarry.functions.readable import summary
-from quarry.schema import NO_TITLE
+from quarry.functions import readable
+from quarry.functions.dom import SCRIPTS, Node, parse
+from quarry.functions.readable import Readability, summary
+from quarry.operators import records
+from quarry.schema import NO_TITLE, free, others
 
 # Fixed values.
 RANK = {"title": 100, "h1": 6, "h2": 5, "h3": 4, "h4": 3, "h5": 2, "h6": 1}
@@ -42,6 +44,13 @@ class HtmlConfig:
     use_summary: bool = True
     #: Text right behind a closing heading belongs to no section unless this is set.
     keep_heading_tails: bool = False
+    #: Pages of files that end in .html are tried for medical records first.
+    sniff_records: bool = False
+    readability: Readability = Readability()
+
+
+#: How the pages of medical records are read.
+RECORD = HtmlConfig()
 
 
 def push(stack: list[tuple[str, str]], tag: str, title: str) -> None:
@@ -125,13 +134,10 @@ def take_tables(root: Node, title: str) -> list[dict]:
 
 def page_title(root: Node, file_name: str | None) -> str:
     """The title element's text, else the file's name up to its first dot."""
-    found = next(iter(root.all("title")), None)
-    title = " ".join(found.text().split()) if found is not None else ""
-    for a, b in (("—", "-"), ("–", "-"), ("\xa0", " "), ("«", '"'), ("»", '"')):
-        title = title.replace(a, b)
-    if title:
+    title = readable.title(root)
+    if title != NO_TITLE or not file_name:
         return title
-    return file_name.rsplit("/", 1)[-1].split(".")[0] if file_name else NO_TITLE
+    return file_name.rsplit("/", 1)[-1].split(".")[0]
 
 
 def _one_line(n: Node) -> str:
@@ -228,26 +234,45 @@ def extract_text(root: Node, title: str | None = None, split_tags=SPLIT_TAGS, ke
 
 
 def extract_page(html: str | None, file_name: str | None, cfg: HtmlConfig) -> dict:
-    """title, sections of (titles, text), tables of (titles, cells, md)."""
-    root = parse(html)
+    """title, sections of (titles, text), tables of (titles, cells, md), and the kind of a medical record."""
+    root = parse(html, SCRIPTS)
+    kind = records.kind_of(root) if cfg.sniff_records and (file_name or "").endswith(".html") else None
+    if kind:
+        cfg = RECORD
     title, tables = prepare(root, page_title(root, file_name), cfg)
-    article = summary(root.html()) if cfg.use_summary else root
-    _, sections = extract_text(article, title, cfg.split_tags, cfg.keep_heading_tails)
-    return {"title": title, "sections": [{"titles": t, "text": s} for t, s in sections], "tables": tables}
+    article = summary(root.html(), cfg.readability) if cfg.use_summary else root
+    _, sections = extract_text(article.prune(), title, cfg.split_tags, cfg.keep_heading_tails)
+    return {"title": title, "kind": kind, "sections": [{"titles": t, "text": s} for t, s in sections], "tables": tables}
 
 
 TITLES = "array<struct<tag:string,title:string>>"
-PAGE = f"struct<title:string,sections:array<struct<titles:{TITLES},text:string>>,tables:array<struct<titles:{TITLES},cells:array<array<string>>,md:string>>>"
+PAGE = f"struct<title:string,kind:string,sections:array<struct<titles:{TITLES},text:string>>,tables:array<struct<titles:{TITLES},cells:array<array<string>>,md:string>>>"
 
 
 def page_udf(cfg: HtmlConfig):
     @F.pandas_udf(PAGE)
     def pages(html: pd.Series, names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract_page(h, n, cfg) for h, n in zip(html, names, strict=True)], columns=["title", "sections", "tables"])
+        return pd.DataFrame([extract_page(h, n, cfg) for h, n in zip(html, names, strict=True)], columns=["title", "kind", "sections", "tables"])
 
     return pages
 
 
+def page_facts(how: Readability | None = None):
+    """A function of (html, url) to title, author, short_title, content (the body's HTML) and summary (the article's HTML), addresses made absolute."""
+    how = how or Readability()
+
+    @F.pandas_udf("struct<title:string,author:string,short_title:string,content:string,summary:string>")
+    def facts(html: pd.Series, urls: pd.Series) -> pd.DataFrame:
+        def one(h, url):
+            own = replace(how, url=url) if url else how
+            root = readable.read(h, own)
+            return readable.title(root), readable.author(root), readable.short_title(root), readable.content(root), summary(h, own).html()
+
+        return pd.DataFrame([one(h, u) for h, u in zip(html, urls, strict=True)], columns=["title", "author", "short_title", "content", "summary"])
+
+    return facts
+
+
 def shown(titles: Column, markdown: bool) -> Column:
     """Non-empty titles, with number signs for headings if wanted."""
     some = F.filter(titles, lambda t: F.coalesce(t["title"], F.lit("")) != "")
@@ -265,13 +290,22 @@ def _prefixed(titles: Column, text: Column, cfg: HtmlConfig) -> Column:
 
 
 def extract_html(pages: DataFrame, cfg: HtmlConfig | None = None, html: str = "html", file_name: str | None = None) -> DataFrame:
-    """One row per document of a page: the other columns, ord, titles, content_type, row, page_content; sections first, then tables."""
+    """One row per document of a page: the other columns, ord, titles, content_type, row, page_content; sections first, then tables.
+
+    With ``sniff_records`` a page that is a medical record gives its one record, if it is
+    long enough, and ``record`` has its metadata; that is null elsewhere.
+    """
     cfg = cfg or HtmlConfig()
-    others = [c for c in pages.columns if c != html]
+    made = ["titles", "content_type", "row", "page_content", *(["record"] if cfg.sniff_records else [])]
+    kept, p, d = others(pages, html, "ord", *made), free(pages, "_p"), free(pages, "_d")
     name = F.col(file_name) if file_name else F.lit(None).cast("string")
-    doc = lambda titles, kind, row, text: F.struct(titles.alias("titles"), kind.cast("string").alias("content_type"), row.cast("int").alias("row"), text.alias("page_content"))
     null = F.lit(None)
-    sections = F.transform("_p.sections", lambda s: doc(shown(s["titles"], cfg.title_convert_to_markdown), null, null, _prefixed(s["titles"], s["text"], cfg)))
+
+    def doc(titles, kind, row, text, record=null):
+        x = [titles.cast("array<string>").alias("titles"), kind.cast("string").alias("content_type"), row.cast("int").alias("row"), text.alias("page_content")]
+        return F.struct(*x, *([record.cast(records.METADATA).alias("record")] if cfg.sniff_records else []))
+
+    sections = F.transform(f"{p}.sections", lambda s: doc(shown(s["titles"], cfg.title_convert_to_markdown), null, null, _prefixed(s["titles"], s["text"], cfg)))
 
     def rows(t):
         cells = X.merged_header(t["cells"])
@@ -282,6 +316,11 @@ def extract_html(pages: DataFrame, cfg: HtmlConfig | None = None, html: str = "h
         return F.when(fits, made).otherwise(F.slice(made, 1, 0))
 
     whole = lambda t: F.array(doc(shown(t["titles"], cfg.title_convert_to_markdown), F.lit("table"), null, t["md"]))
-    tables = F.flatten(F.transform("_p.tables", rows if cfg.cut_table_to_line else whole))
-    read = pages.select(*others, page_udf(cfg)(F.col(html), name).alias("_p"))
-    return read.select(*others, F.posexplode(F.concat(sections, tables)).alias("ord", "_d")).select(*others, "ord", "_d.*")
+    docs = F.concat(sections, F.flatten(F.transform(f"{p}.tables", rows if cfg.cut_table_to_line else whole)))
+    if cfg.sniff_records:
+        texts = F.concat(F.transform(f"{p}.sections", lambda s: s["text"]), F.transform(f"{p}.tables", lambda t: t["md"]))
+        record = F.array(records.page_record(texts, F.col(f"{p}.kind")))
+        one = F.transform(F.filter(record, lambda r: r["page_content"].isNotNull()), lambda r: doc(F.array(), F.lit("record"), null, r["page_content"], r["record"]))
+        docs = F.when(F.col(f"{p}.kind").isNull(), docs).otherwise(one)
+    read = pages.select(*kept, page_udf(cfg)(F.col(html), name).alias(p))
+    return read.select(*kept, F.posexplode(docs).alias("ord", d)).select(*kept, "ord", f"{d}.*")

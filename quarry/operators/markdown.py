@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.schema import free, others
 
 # A table with outer pipes, and one without.
 BORDERED = re.compile(r"(?:\n|^)(?:\|.*?\|.*?\|.*?\n)(?:\|(?:\s*[:-]+[-| :]*\s*)\|.*?\n)(?:\|.*?\|.*?\|.*?\n)+")
@@ -77,9 +78,9 @@ def sections_udf():
 def extract_markdown(docs: DataFrame, cfg: MarkdownConfig | None = None, text: str = "page_content") -> DataFrame:
     """One row per document: the other columns, ord, titles, content_type, page_content; narrow, nothing is shuffled."""
     cfg = cfg or MarkdownConfig()
-    others = [c for c in docs.columns if c != text]
+    kept, m, d = others(docs, text, "ord", "titles", "content_type", "page_content"), free(docs, "_m"), free(docs, "_d")
     doc = lambda titles, kind, s: F.struct(titles.cast("array<string>").alias("titles"), kind.cast("string").alias("content_type"), s.alias("page_content"))
-    texts = F.transform("_m.sections", lambda s: doc(s["titles"], F.lit(None), X.title_prefix(s["titles"], s["text"], cfg.contain_closest_title_levels)))
-    tables = F.transform("_m.tables", lambda t: doc(F.lit(None), F.lit("table"), t))
-    read = docs.select(*others, sections_udf()(F.col(text), F.lit(cfg.remove_hyperlinks), F.lit(cfg.remove_images)).alias("_m"))
-    return read.select(*others, F.posexplode(F.concat(texts, tables)).alias("ord", "_d")).select(*others, "ord", "_d.*")
+    texts = F.transform(f"{m}.sections", lambda s: doc(s["titles"], F.lit(None), X.title_prefix(s["titles"], s["text"], cfg.contain_closest_title_levels)))
+    tables = F.transform(f"{m}.tables", lambda t: doc(F.lit(None), F.lit("table"), t))
+    read = docs.select(*kept, sections_udf()(F.col(text), F.lit(cfg.remove_hyperlinks), F.lit(cfg.remove_images)).alias(m))
+    return read.select(*kept, F.posexplode(F.concat(texts, tables)).alias("ord", d)).select(*kept, "ord", f"{d}.*")

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import strip
+from quarry.functions.text import is_readable, repair_pdf_text, strip
 
 SPLIT_LEVELS = (1, 2, 3)
 MAX_WORDS, MAX_HAN = 10, 20
 #: Number of the pattern for summaries, which has no rank.
 SUMMARY = 0
-# Heading patterns, in order of their trial.
+# Words of summary headings; "keywords" is matched in the plural only.
+SUMMARIES = ["introduction", "abstract", "keywords", "contents", "摘要", "引言", "关键词", "前言", "目录"]
+# Heading patterns, in order of their trial. Letters of summary words may stand apart.
 HEADINGS = [
-    r"^[0-9. 一、i]*(\s*i\s*n\s*t\s*r\s*o\s*d\s*u\s*c\s*t\s*i\s*o\s*n\s*|\s*a\s*b\s*s\s*t\s*r\s*a\s*c\s*t\s*|\s*k\s*e\s*y\s*w\s*o\s*r\s*d\s*s\s*?\s*|\s*c\s*o\s*n\s*t\s*e\s*n\s*t\s*s\s*|\s*摘\s*要\s*|\s*引\s*言\s*|\s*关\s*键\s*词\s*|\s*前\s*言\s*|\s*目\s*录\s*)",
+    r"^[0-9. 一、i]*(" + "|".join(r"\s*".join(["", *word, ""]) for word in SUMMARIES) + ")",
     r"^第[零一二三四五六七八九十百0-9]+(分?编|部分)",
     r"^第[零一二三四五六七八九十百0-9]+章",
     r"^第[零一二三四五六七八九十百0-9]+节",
@@ -61,7 +65,10 @@ def filtered_blocks(blocks: DataFrame) -> DataFrame:
     return keep.select(*blocks.columns, F.dense_rank().over(W.partitionBy("doc_id").orderBy("page_idx")).alias("page"))
 
 
-def lines(kept: DataFrame) -> DataFrame:
+def lines(kept: DataFrame, readable: bool = True) -> DataFrame:
+    """doc_id, line_idx, page, text of the blocks, unreadable and empty ones left out unless ``readable`` is off."""
+    if readable:
+        kept = kept.filter(is_readable(F.col("text")))
     w = W.partitionBy("doc_id").orderBy("page", "block_idx")
     return kept.select("doc_id", (F.row_number().over(w) - 1).alias("line_idx"), (F.col("page") - 1).alias("page"), F.replace("text", F.lit("\n"), F.lit("")).alias("text"))
 
@@ -73,20 +80,60 @@ def toc_lines(toc: DataFrame, line: DataFrame, levels: tuple[int, ...] = SPLIT_L
     return t.join(line, ["doc_id", "page"]).filter(match).groupBy("doc_id", "toc_ord", "level", "title").agg(F.min("line_idx").alias("line_idx"))
 
 
-def sections(headings: DataFrame, line: DataFrame) -> DataFrame:
-    """Text between headings, with the nearest open headings of lower levels as titles; a preface of two or more lines is a section."""
-    w = W.partitionBy("doc_id").orderBy("line_idx", "toc_ord")
-    h = headings.withColumn("next", F.lead("line_idx").over(w))
-    before = F.collect_list(F.struct("level", "title")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    start = F.expr("array(named_struct('level', level, 'title', title))")
-    path = F.aggregate(F.slice(F.reverse("before"), F.lit(2), F.greatest(F.size("before") - 1, F.lit(0))), start, lambda s, x: F.when(x["level"] < F.get(s, F.lit(0))["level"], F.concat(F.array(x), s)).otherwise(s))
-    h = h.withColumn("before", before).withColumn("titles", F.transform(path, lambda x: x["title"]))
-    h = h.select("doc_id", F.col("line_idx").alias("first"), "next", "titles")
-    preface = headings.groupBy("doc_id").agg(F.min("line_idx").alias("next")).filter("next > 1").select("doc_id", F.lit(-1).alias("first"), "next", F.array().cast("array<string>").alias("titles"))
-    h = h.unionByName(preface)
-    rows = h.join(line.withColumnRenamed("doc_id", "_d"), (F.col("doc_id") == F.col("_d")) & (F.col("line_idx") > F.col("first")) & (F.col("next").isNull() | (F.col("line_idx") < F.col("next"))), "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line_idx").isNotNull(), F.struct("line_idx", "text")))), lambda x: x["text"]), "\n")
-    return rows.groupBy("doc_id", "first", "titles").agg(text.alias("page_content"))
+def sections(headings: DataFrame, line: DataFrame, levels: tuple[int, ...] = SPLIT_LEVELS) -> DataFrame:
+    """doc_id, first, titles, page_content: the text between headings of these levels, with the nearest open headings of lower levels as titles; a preface of two or more lines is a section.
+
+    What a window keeps of a document is its last heading of each level, and lines
+    find their heading by a running window, so nothing of a document is gathered but
+    a section's lines.
+    """
+    h = headings.filter(F.col("level").isin(*levels))
+    before = W.partitionBy("doc_id").orderBy("line_idx", "toc_ord")
+    last = {k: F.last(F.when(F.col("level") == k, F.struct("line_idx", "toc_ord", "title")), ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1)) for k in levels}
+    h = h.select("doc_id", "level", "title", F.col("line_idx").alias("first"), "toc_ord", *[x.alias(f"_{k}") for k, x in last.items()])
+
+    def open_(k):
+        """The last heading of level k, unless one of a lower level came after it."""
+        closed = F.lit(False)
+        for j in levels:
+            if j < k:
+                closed = closed | F.coalesce(F.struct(f"_{j}.line_idx", f"_{j}.toc_ord") > F.struct(f"_{k}.line_idx", f"_{k}.toc_ord"), F.lit(False))
+        return F.when((F.col("level") > k) & ~closed, F.col(f"_{k}.title"))
+
+    titles = F.filter(F.array(*map(open_, sorted(levels)), F.col("title")), lambda t: t.isNotNull())
+    h = h.select("doc_id", "first", "toc_ord", titles.alias("titles"))
+    # of headings in one line the last has the text behind it
+    marks = h.groupBy("doc_id", F.col("first").alias("line_idx")).agg(F.max("toc_ord").alias("mark"))
+    running = W.partitionBy("doc_id").orderBy("line_idx")
+    at = F.last(F.when(F.col("mark").isNotNull(), F.struct(F.col("line_idx").alias("first"), F.col("mark").alias("toc_ord"))), ignorenulls=True).over(running)
+    body = line.join(marks, ["doc_id", "line_idx"], "left").withColumn("at", at).filter("mark IS NULL")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), "")
+    body = body.select("doc_id", F.coalesce("at.first", F.lit(-1)).alias("first"), F.coalesce("at.toc_ord", F.lit(-1)).alias("toc_ord"), "line_idx", "text").groupBy("doc_id", "first", "toc_ord").agg(text.alias("page_content"))
+    preface = h.groupBy("doc_id").agg(F.min("first").alias("next")).filter("next > 1").select("doc_id", F.lit(-1).alias("first"), F.lit(-1).alias("toc_ord"), F.array().cast("array<string>").alias("titles"))
+    return h.unionByName(preface).join(body, ["doc_id", "first", "toc_ord"], "left").select("doc_id", "first", "titles", F.coalesce("page_content", F.lit("")).alias("page_content"))
+
+
+def extract_pdf(blocks: DataFrame, toc: DataFrame | None = None, levels: tuple[int, ...] = SPLIT_LEVELS, segment: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """doc_id, first, titles, page_content: blocks to documents.
+
+    Headers and footers go, then unreadable blocks; a document's own table of contents
+    finds its headings, or, if it has none, the lines that look like headings; a
+    document without any is one text without titles.  Texts and titles are repaired,
+    with ``segment`` protecting the characters of words.
+    """
+    line = lines(filtered_blocks(blocks))
+    found = generated_toc(line if toc is None else line.join(toc.select("doc_id").distinct(), "doc_id", "left_anti"), levels)
+    if toc is not None:
+        found = toc_lines(toc, line, levels).select(found.columns).unionByName(found)
+    whole = line.join(found.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), "").alias("page_content"))
+    rows = sections(found, line, levels).unionByName(whole.select("doc_id", F.lit(-1).alias("first"), F.array().cast("array<string>").alias("titles"), "page_content"))
+    if segment is None:
+        titles = F.transform("titles", lambda t: repair_pdf_text(t))
+    else:
+        # a function of Python can't run inside an array: titles are joined by a character that nothing repairs
+        titles = F.split(repair_pdf_text(F.array_join("titles", "\ue000"), segment=segment), "\ue000")
+        titles = F.when(F.size("titles") == 0, F.col("titles")).otherwise(titles)
+    return rows.select("doc_id", "first", titles.alias("titles"), repair_pdf_text(F.col("page_content"), segment=segment).alias("page_content"))
 
 
 def heading_pattern(text: Column) -> Column:

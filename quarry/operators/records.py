@@ -1,33 +1,44 @@
-"""Medical records: their fields, and a text of them in a fixed order. All Columns."""
+"""Medical records: which pages are some, their fields, and a text of them in a fixed order. All but the first are Columns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry.functions import text as X
+from quarry.functions.dom import Node, parse
 
 
 @dataclass(frozen=True)
 class RecordKind:
     name: str
     headers: tuple[str, ...]
-    required: tuple[str, ...]
+    #: Elements that a page must have: tag, data-name, data-id, and the word that its text may begin with.
+    required: tuple[tuple[str, str, str, str], ...]
     fields: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
 
 
 # Fixed values.
-TALK = RecordKind("谈话记录", ("谈话记录]",), ("基本信息", "谈话记录"), (), ("谈话记录",))
-ADMISSION = RecordKind("入院记录", ("入院记录]", "入出院记录]"), ("主诉", "现病史"), ("主诉", "现病史", "流行病学史", "既往史", "个人史", "婚育史", "家族史"), ("主诉", "现病史", "辅助检查", "阳性体格检查", "阳性辅助检查结果", "初步诊断", "补充诊断", "修正诊断", "诊疗方案"))
+TALK = RecordKind("谈话记录", ("谈话记录]",), (("table", "基本信息", "谈话基本信息", "基本信息"), ("table", "谈话记录", "谈话记录", "谈话记录")), (), ("谈话记录",))
+ADMISSION = RecordKind(
+    "入院记录",
+    ("入院记录]", "入出院记录]"),
+    (("p", "主诉", "主诉", "主诉"), ("p", "现病史", "现病史", "现病史")),
+    ("主诉", "现病史", "流行病学史", "既往史", "个人史", "婚育史", "家族史"),
+    ("主诉", "现病史", "辅助检查", "阳性体格检查", "阳性辅助检查结果", "初步诊断", "补充诊断", "修正诊断", "诊疗方案"),
+)
 SURGERY = RecordKind(
     "手术知情同意书",
     ("手术知情同意书]",),
-    ("简要病情", "术前诊断", "拟实施手术名称"),
+    (("p", "简要病情", "手术知情病历摘要", "简要病情"), ("p", "术前诊断", "手术知情诊断信息", "术前诊断"), ("p", "拟实施手术名称", "手术知情拟手术名称", "拟实施手术名称")),
     ("术中、术后可能出现的各种情况、意外、风险及并发症", "针对上述情况，医师根据医疗规范采取在术前、术中、术后预防及治疗措施"),
     ("简要病情", "术前诊断", "拟实施手术名称", "拟实施麻醉方式", "手术指征", "手术禁忌症", "术前准备"),
 )
@@ -40,19 +51,26 @@ NOT_DIAGNOSIS = r"[^一-龥\d.、]+"
 MIN_LENGTH = 100
 
 
-def record_kind(html: Column) -> Column:
-    """Name of the first kind whose header stands in the page's header element, spaces aside, and whose elements all are named; null if none."""
-    head = F.regexp_replace(F.regexp_replace(F.regexp_extract(html, r"(?is)<header[^>]*>(.*?)</header>", 1), "<[^>]*>", ""), r"(?U)\s+", "")
-    found = F.lit(None).cast("string")
-    for k in reversed(KINDS):
-        named = F.lit(True)
-        for r in k.required:
-            named = named & html.rlike(f'(?s)data-(?:name|id)="[^"]*{r}"|>\\s*{r}：')
-        headed = F.lit(False)
-        for h in k.headers:
-            headed = headed | F.contains(head, F.lit(h))
-        found = F.when(headed & named, k.name).otherwise(found)
-    return found
+def find_element(root: Node, required: tuple[str, str, str, str]) -> Node | None:
+    """The first element of the tag with the data-name, else with the data-id, else whose text begins with the word and a full-width colon."""
+    tag, name, id_, word = required
+    own = root.all(tag)
+    tests = (lambda n: n.attrs.get("data-name") == name, lambda n: n.attrs.get("data-id") == id_, lambda n: n.text().startswith(f"{word}："))
+    return next((n for test in tests for n in own if test(n)), None)
+
+
+def kind_of(root: Node) -> str | None:
+    """Name of the first kind whose header stands in the page's header element, spaces aside, and whose elements are all there."""
+    header = next(iter(root.all("header")), None)
+    if header is None:
+        return None
+    text = header.text().strip().replace(" ", "")
+    return next((k.name for k in KINDS if any(h in text for h in k.headers) and all(find_element(root, r) for r in k.required)), None)
+
+
+@F.pandas_udf(StringType())
+def record_kind(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: kind_of(parse(h)) if h else None)
 
 
 def paragraph_fields(content: Column, names: tuple[str, ...]) -> Column:
@@ -85,17 +103,55 @@ def talk_text(content: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(F.struct(F.lit(TALK.name).alias("key"), found.alias("value"))), lambda e: e["value"].isNotNull()))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated one time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _overlaid(*maps: Column) -> Column:
     """Entries of all maps; a later map's count."""
-    return reduce(lambda old, new: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new), maps)
+    both = lambda old, new: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    return reduce(lambda old, new: F.get(F.zip_with(F.array(old), F.array(new), both), F.lit(0)), maps)
 
 
 def record_fields(content: Column, kind: RecordKind) -> Column:
-    pairs = X.bracketed_pairs(content)
+    """Fields of a record that is one text."""
+    return page_fields(F.array(content), kind)
+
+
+#: How the text begins that has a record's diagnoses.
+DIAGNOSES = "| 初步诊断"
+
+
+def page_fields(texts: Column, kind: RecordKind) -> Column:
+    """Fields of a record's texts: pairs of all, paragraphs of the first, diagnoses of the first table of them, a talk of the whole."""
+    return _bound(texts, lambda t: _fields(t, kind))
+
+
+def _fields(texts: Column, kind: RecordKind) -> Column:
+    whole = F.array_join(texts, "\n")
+    pairs = X.bracketed_pairs(whole)
     if kind is TALK:
-        return _overlaid(pairs, talk_text(content))
-    own = paragraph_fields(content, kind.fields)
-    return _overlaid(pairs, own, diagnoses(content)) if kind is ADMISSION else _overlaid(pairs, own)
+        return _overlaid(pairs, talk_text(whole))
+    own = paragraph_fields(F.get(texts, F.lit(0)), kind.fields)
+    if kind is not ADMISSION:
+        return _overlaid(pairs, own)
+    table = F.get(F.filter(texts, lambda t: t.startswith(DIAGNOSES)), F.lit(0))
+    # a record given as one text has its table in it
+    table = F.when(F.size(texts) == 1, F.get(texts, F.lit(0))).otherwise(F.coalesce(table, F.lit("")))
+    return _overlaid(pairs, own, diagnoses(table))
+
+
+METADATA = "struct<emr_type:string,gender:string,age:string,department:string,medical_record_number:string,diagnosis:string,treatment:string>"
+
+
+def page_record(texts: Column, kind: Column) -> Column:
+    """(page_content, record) of a page of this kind: its text, null where it is too short, and its metadata."""
+    found = F.lit(None).cast(f"struct<page_content:string,record:{METADATA}>")
+    for k in reversed(KINDS):
+        made = _bound(page_fields(texts, k), lambda f: F.struct(record_text(f, k).alias("page_content"), record_metadata(f, k).alias("record")))
+        found = F.when(kind == k.name, made).otherwise(found)
+    return found
 
 
 def record_text(fields: Column, kind: RecordKind) -> Column:

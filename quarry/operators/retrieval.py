@@ -1,47 +1,75 @@
-"""Re-assembly of retrieved chunks: by neighbouring position or by shared title."""
+"""Re-assembly of retrieved chunks: by neighbouring position or by shared title.
+
+Hits of a document without segments, and hits whose segment isn't among them, pass
+through with their own text.  Windows run over one document's hits, which retrieval
+bounds; segments are joined by document and position, so a long document's are spread.
+"""
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.text import splice_texts
 from quarry.schema import TITLE_SEPARATOR
 
+KEY = ["document_id", "doc_id"]
 
-def positional_islands(hits: DataFrame, segments: DataFrame, max_window: int = 2) -> DataFrame:
-    """Hits of a document whose positions are at most ``max_window`` apart become one text, gaps filled with the segments between.
 
-    hits: document_id, doc_id, hit_ord; segments: document_id, doc_id, position,
-    page_content.  Returns document_id, seed_ord (the first hit's), seed_doc_id,
-    first, last, page_content.  Windows run over hits only; segments join their
-    islands by document and bounds and are aggregated, not gathered by document.
-    """
-    place = segments.groupBy("document_id", "doc_id").agg(F.max("position").alias("position"))
-    h = hits.join(place, ["document_id", "doc_id"])
+def _content(hits: DataFrame) -> Column:
+    return F.col("page_content") if "page_content" in hits.columns else F.lit(None).cast("string")
+
+
+def _placed(hits: DataFrame, segments: DataFrame) -> DataFrame:
+    """document_id, doc_id, hit_ord, own (the hit's text), position; null where no segment has the hit's doc_id."""
+    place = segments.groupBy(*KEY).agg(F.max("position").alias("position"))
+    return hits.select(*KEY, "hit_ord", _content(hits).alias("own")).join(place, KEY, "left")
+
+
+def _islands(placed: DataFrame, max_window: int) -> DataFrame:
     w = W.partitionBy("document_id").orderBy("position", "hit_ord")
     gap = F.col("position") - F.lag("position").over(w)
-    h = h.withColumn("_new", F.when(gap <= max_window, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w))
-    isles = h.groupBy("document_id", "island").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.min(F.struct("hit_ord", "doc_id")).alias("seed"))
-    rows = segments.select("document_id", "position", "page_content").join(isles, "document_id").filter(F.col("position").between(F.col("first"), F.col("last")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "page_content"))), lambda x: x["page_content"]), "")
-    out = rows.groupBy("document_id", "island", "first", "last", "seed").agg(text.alias("page_content"))
-    return out.select("document_id", F.col("seed.hit_ord").alias("seed_ord"), F.col("seed.doc_id").alias("seed_doc_id"), "first", "last", "page_content")
+    return placed.withColumn("_new", F.when(gap <= max_window, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w))
 
 
-def missing_documents(hits: DataFrame, segments: DataFrame) -> DataFrame:
-    """Hits of documents without segments pass through."""
-    return hits.join(segments.select("document_id").distinct(), "document_id", "left_anti")
+def _filled(isles: DataFrame, segments: DataFrame) -> DataFrame:
+    """The segments between an island's first and last position, by an equi-join: an island is as long as its hits and gaps."""
+    places = isles.withColumn("position", F.explode(F.sequence("first", "last")))
+    last = segments.groupBy("document_id", "position").agg(F.max("page_content").alias("page_content"))
+    return places.join(last, ["document_id", "position"])
+
+
+def positional_islands(hits: DataFrame, segments: DataFrame, max_window: int = 2) -> DataFrame:
+    """Hits of a document whose positions are at most ``max_window`` apart become one text, gaps filled with the segments between.
+
+    hits: document_id, doc_id, hit_ord and, for those without a segment, page_content;
+    segments: document_id, doc_id, position, page_content.  Returns document_id,
+    seed_ord (the first hit's), seed_doc_id, first, last, page_content; first and last
+    are null for a hit that passes through.
+    """
+    placed = _placed(hits, segments)
+    isles = _islands(placed.filter("position IS NOT NULL"), max_window).groupBy("document_id", "island").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.min(F.struct("hit_ord", "doc_id")).alias("seed"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "page_content"))), lambda x: x["page_content"]), "")
+    out = _filled(isles, segments).groupBy("document_id", "island", "first", "last", "seed").agg(text.alias("page_content"))
+    out = out.select("document_id", F.col("seed.hit_ord").alias("seed_ord"), F.col("seed.doc_id").alias("seed_doc_id"), "first", "last", "page_content")
+    null = F.lit(None).cast(dict(out.dtypes)["first"])
+    return out.unionByName(placed.filter("position IS NULL").select("document_id", F.col("hit_ord").alias("seed_ord"), F.col("doc_id").alias("seed_doc_id"), null.alias("first"), null.alias("last"), F.col("own").alias("page_content")))
 
 
 def title_expansion(hits: DataFrame, segments: DataFrame) -> DataFrame:
     """Each hit becomes all contents under its title, in order; equal texts of a document stay once, at the first hit.
 
-    hits: document_id, hit_ord, title; segments: document_id, ord, title, content.
+    hits: document_id, hit_ord, title and, for those under no known title, content;
+    segments: document_id, ord, title, content.
     """
     body = segments.groupBy("document_id", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]), "").alias("page_content"))
-    return hits.join(body, ["document_id", "title"]).groupBy("document_id", "page_content").agg(F.min("hit_ord").alias("hit_ord"))
+    own = F.col("content") if "content" in hits.columns else F.lit(None).cast("string")
+    found = hits.withColumn("_own", own).join(body, ["document_id", "title"], "left")
+    return found.groupBy("document_id", F.coalesce("page_content", "_own").alias("page_content")).agg(F.min("hit_ord").alias("hit_ord"))
 
 
 def dispatch(hits: DataFrame) -> DataFrame:
@@ -55,6 +83,12 @@ def distinct_contents(docs: DataFrame, key: str, content: str) -> DataFrame:
     return docs.groupBy(content).agg(F.min(key).alias(key))
 
 
+def format_segments(docs: DataFrame) -> DataFrame:
+    """content, doc_id, document_id, score; what a table lacks is null."""
+    some = {"content": "page_content", "doc_id": "doc_id", "document_id": "document_id", "score": "score"}
+    return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).alias(name) for name, c in some.items()])
+
+
 # Re-assembly within a budget of characters. Growth is an ordered fold, so it runs over
 # arrays, each of one island of neighbouring hits or of one title's contents.
 
@@ -106,36 +140,26 @@ def positional_growth(hits: DataFrame, segments: DataFrame, max_window: int = 2,
     def grow(parts: pd.Series) -> pd.Series:
         return parts.map(lambda a: grow_island([(x["position"], x["page_content"], x["hit_ord"]) for x in a], max_window, budget))
 
-    place = segments.groupBy("document_id", "doc_id").agg(F.max("position").alias("position"))
-    h = hits.join(place, ["document_id", "doc_id"]).groupBy("document_id", "position").agg(F.min("hit_ord").cast("long").alias("hit_ord"))
-    w = W.partitionBy("document_id").orderBy("position")
-    h = h.withColumn("_new", F.when(F.col("position") - F.lag("position").over(w) <= max_window, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w))
+    placed = _placed(hits, segments)
+    h = placed.filter("position IS NOT NULL").groupBy("document_id", "position").agg(F.min("hit_ord").cast("long").alias("hit_ord"))
+    h = _islands(h, max_window)
     isles = h.groupBy("document_id", "island").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.map_from_entries(F.collect_list(F.struct("position", "hit_ord"))).alias("seeds"))
-    last = segments.groupBy("document_id", "position").agg(F.max("page_content").alias("page_content"))
-    rows = last.join(isles, "document_id").filter(F.col("position").between(F.col("first"), F.col("last")))
     part = F.struct("position", "page_content", F.try_element_at("seeds", F.col("position")).alias("hit_ord"))
-    grown = rows.groupBy("document_id", "island").agg(F.array_sort(F.collect_list(part)).alias("_g")).withColumn("_g", grow("_g"))
-    return grown.select("document_id", F.explode("_g").alias("_g")).select("document_id", "_g.*")
-
-
-def splice_texts(before: str, after: str) -> str:
-    """Joined over the shortest overlap of one's end with the other's beginning."""
-    k = next((k for k in range(1, min(len(before), len(after)) + 1) if before[-k:] == after[:k]), 0)
-    return before + after[k:]
+    grown = _filled(isles, segments).groupBy("document_id", "island").agg(F.array_sort(F.collect_list(part)).alias("_g")).withColumn("_g", grow("_g"))
+    grown = grown.select("document_id", F.explode("_g").alias("_g")).select("document_id", "_g.*")
+    return grown.unionByName(placed.filter("position IS NULL").select("document_id", F.col("hit_ord").cast("long"), F.col("own").alias("page_content")))
 
 
 def grow_title(content: str, contents: list[str], budget: int) -> str:
-    """A hit's text with its title's contents right and left of it in turns, while it is shorter than ``budget``."""
+    """A hit's text with its title's contents, the nearest behind and before it in turns, while it is shorter than ``budget``."""
     if content not in contents:
         return content
-    left = right = contents.index(content)
-    while len(content) < budget and (left > 0 or right < len(contents) - 1):
-        if right < len(contents) - 1:
-            right += 1
-            content = splice_texts(content, contents[right])
-        if left > 0:
-            left -= 1
-            content = splice_texts(contents[left], content)
+    at = contents.index(content)
+    for behind, before in zip_longest(contents[at + 1 :], reversed(contents[:at])):
+        if len(content) >= budget:
+            break
+        content = splice_texts(content, behind or "")
+        content = splice_texts(before or "", content)
     return content
 
 
@@ -149,3 +173,41 @@ def title_growth(hits: DataFrame, segments: DataFrame, budget: int = 2000) -> Da
     body = segments.groupBy("document_id", "title").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("_a"))
     grown = hits.join(body, ["document_id", "title"], "left").select("document_id", "hit_ord", grow("content", "_a").alias("page_content"))
     return grown.groupBy("document_id", "page_content").agg(F.min("hit_ord").alias("hit_ord"))
+
+
+def _titled(rows: DataFrame, ord_: str | None) -> DataFrame:
+    """title and content of a text: before and behind the first separator. A segment without one goes under the title before it, a hit without one under its whole text."""
+    at = F.instr("page_content", TITLE_SEPARATOR)
+    there = at > 0
+    title = F.when(there, F.substring(F.col("page_content"), F.lit(1), at - 1))
+    if ord_:
+        title = F.last(title, ignorenulls=True).over(W.partitionBy("document_id").orderBy(ord_))
+    else:
+        title = F.coalesce(title, "page_content")
+    return rows.withColumn("title", title).withColumn("content", F.when(there, F.substring(F.col("page_content"), at + len(TITLE_SEPARATOR), F.length("page_content"))).otherwise(F.col("page_content")))
+
+
+def reorganize(hits: DataFrame, segments: DataFrame, budget: int = 2000, max_window: int = 2) -> DataFrame:
+    """All hits of a query re-assembled, document by document, by title where a document's first hit has one and by position elsewhere.
+
+    hits: hit_ord, document_id, doc_id, page_content, and score if there is one;
+    segments: document_id, doc_id, position, page_content.  Returns first_ord (that
+    of the document's first hit), hit_ord, document_id, doc_id, score, strategy
+    (title, position, or none where the document has no segments) and page_content:
+    in order of first_ord and hit_ord the documents stand as they were first seen.
+    No hits give no rows.
+    """
+    score = F.col("score") if "score" in hits.columns else F.lit(None).cast("double")
+    hits = hits.select(F.col("hit_ord").cast("long").alias("hit_ord"), *KEY, score.alias("score"), "page_content")
+    # a key that a missing document has too
+    key = F.coalesce(F.concat(F.lit("="), F.col("document_id").cast("string")), F.lit("-")).alias("_k")
+    known = segments.select(key).distinct().withColumn("_known", F.lit(True))
+    how = dispatch(hits.select(key.alias("document_id"), "hit_ord", "page_content")).withColumnRenamed("document_id", "_k").join(known, "_k", "left")
+    hits = hits.withColumn("_k", key).join(how.select("_k", "first_ord", F.when(F.col("_known") & (F.col("_k") != "-"), F.col("strategy")).otherwise("none").alias("strategy")), "_k")
+    of = lambda name: hits.filter(F.col("strategy") == name)
+    own = lambda name: segments.join(of(name).select("document_id").distinct(), "document_id", "left_semi")
+    grown = positional_growth(of("position"), own("position"), max_window, budget).select("document_id", "hit_ord", "page_content")
+    titled = title_growth(_titled(of("title"), None), _titled(own("title"), "position").withColumn("ord", F.col("position")), budget)
+    grown = grown.unionByName(titled.select("document_id", "hit_ord", "page_content"))
+    columns = ["first_ord", "hit_ord", *KEY, "score", "strategy", "page_content"]
+    return hits.drop("page_content").join(grown, ["document_id", "hit_ord"]).select(columns).unionByName(of("none").select(columns))

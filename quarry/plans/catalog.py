@@ -11,34 +11,21 @@ from quarry.functions import text as X
 from quarry.operators import html as H
 from quarry.operators import markdown as M
 from quarry.operators import pdf as P
-from quarry.operators import records as E
 from quarry.operators import retrieval as R
 from quarry.operators import split as S
+from quarry.plans import cases as _cases  # noqa: F401  registers its queries
 from quarry.plans import fixtures as FX
 from quarry.plans import sql as Q
+from quarry.plans.registry import QUERIES, SQL, query
 from quarry.schema import TITLE_SEPARATOR
 from quarry.sources import files, rest
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def _t(spark, sf_dir, name):
@@ -78,7 +65,28 @@ def char_chunks_overlap0(spark, sf_dir):
     return S.split_by_character(_docs(spark, sf_dir), "\n", S.SplitConfig(1000, 0))
 
 
-@query()
+OVERLAP_SQL = """
+WITH RECURSIVE l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS a FROM documents),
+q AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM l),
+p AS (SELECT doc_id, list(n ORDER BY i) AS p FROM (SELECT doc_id, i, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM q) GROUP BY doc_id),
+-- a chunk is parts s to e; its length is p[e] - p[s - 1] - 1
+m AS (
+  SELECT doc_id, a, p, 1 AS k, 1 AS s, greatest(1, len(list_filter(p, lambda n: n - 1 <= {size}))) AS e FROM l JOIN p USING (doc_id)
+  UNION ALL
+  SELECT doc_id, a, p, k + 1, t, greatest(t, len(list_filter(p, lambda n: n - CASE WHEN t = 1 THEN 0 ELSE p[t - 1] END - 1 <= {size})))
+  FROM (SELECT doc_id, a, p, k, e, greatest(s, least(e + 1, CASE WHEN x <= 0 THEN 1 ELSE len(list_filter(p, lambda n: n < x)) + 2 END)) AS t
+        FROM (SELECT *, p[e] - 1 - least({overlap}, {size} - length(a[e + 1]) - 1) AS x FROM m WHERE e < len(a)))),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, chunk FROM (SELECT doc_id, k, regexp_replace(array_to_string(a[s:e], chr(10)), '^\\s+|\\s+$', '', 'g') AS chunk FROM m) WHERE chunk <> ''),
+f AS (
+  SELECT doc_id, ord, chunk, strpos(text, chunk) - 1 AS start_index FROM c JOIN l USING (doc_id) WHERE ord = 0
+  UNION ALL
+  SELECT doc_id, c.ord, c.chunk, CASE WHEN strpos(substr(text, start_index + 2), c.chunk) > 0 THEN start_index + strpos(substr(text, start_index + 2), c.chunk) ELSE -1 END
+  FROM f JOIN l USING (doc_id) JOIN c USING (doc_id) WHERE c.ord = f.ord + 1)
+SELECT doc_id, ord, start_index, chunk AS page_content FROM f
+"""
+
+
+@query(OVERLAP_SQL.format(size=1000, overlap=200))
 def char_chunks_overlap200(spark, sf_dir):
     return S.split_by_character(_docs(spark, sf_dir), "\n", S.SplitConfig(1000, 200, add_start_index=True))
 
@@ -109,35 +117,32 @@ def md_header_split(spark, sf_dir):
     return S.split_markdown_headers(docs, [("#", "h1"), ("##", "h2")]).select("doc_id", F.col("headers")["h1"].alias("h1"), F.col("headers")["h2"].alias("h2"), "page_content")
 
 
-_LINKED = "'[' || source || '](http://' || lang || ') ![[' || source || ']] ' || substr(text, 1, 100)"
+_LINKED = "'[' || source || '](http://' || lang || ') ![[' || source || ']] ' || text"
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace({_LINKED}, '!\\[\\[(.*)\\]\\]', '', 'g'), '\\[(.*?)\\]\\((.*?)\\)', '\\1', 'g') AS plain FROM documents")
 def md_strip_links_images(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
-    marked = F.concat(F.lit("["), "source", F.lit("](http://"), "lang", F.lit(") ![["), "source", F.lit("]] "), F.substring("text", 1, 100))
+    marked = F.concat(F.lit("["), "source", F.lit("](http://"), "lang", F.lit(") ![["), "source", F.lit("]] "), "text")
     return d.select("doc_id", X.strip_links(X.strip_wiki_images(marked)).alias("plain"))
 
 
-_LINKED_WHOLE = "'[' || source || '](http://' || lang || ') ![[' || source || ']] ' || text"
+_PLAIN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_TITLE = "coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), '[no-title]')"
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace({_LINKED_WHOLE}, '!\\[\\[(.*)\\]\\]', '', 'g'), '\\[(.*?)\\]\\((.*?)\\)', '\\1', 'g') AS plain FROM documents")
-def md_strip_links_images_whole(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
-    marked = F.concat(F.lit("["), "source", F.lit("](http://"), "lang", F.lit(") ![["), "source", F.lit("]] "), "text")
-    return d.select("doc_id", X.strip_links(X.strip_wiki_images(marked)).alias("plain"))
+def _page_title(spark, sf_dir, **cfg):
+    return _t(spark, sf_dir, "pages").select("page_id", H.page_udf(H.HtmlConfig(use_summary=False, **cfg))("html", F.lit(None).cast("string"))["title"].alias("title"))
 
 
-@query("SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), '[no-title]') AS title FROM pages")
+@query(f"SELECT page_id, {_PLAIN.format(_TITLE)} AS title FROM pages")
 def html_title(spark, sf_dir):
-    title = X.collapse(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
-    return _t(spark, sf_dir, "pages").select("page_id", F.when(title == "", F.lit("[no-title]")).otherwise(title).alias("title"))
+    return _page_title(spark, sf_dir)
 
 
-@query("SELECT page_id, regexp_extract(html, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1) AS header, length(regexp_replace(html, '(?is)<a[^>]*>(.*?)</a>', '\\1', 'g')) AS n FROM pages")
+@query(f"SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<h[12][ >]') THEN {_PLAIN.format("trim(regexp_replace(regexp_extract(html, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1), '<[^>]*>', '', 'g'))")} ELSE {_PLAIN.format(_TITLE)} END AS title FROM pages")
 def html_first_header(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<h[12][^>]*>(.*?)</h[12]>", 1).alias("header"), F.length(F.regexp_replace("html", r"(?is)<a[^>]*>(.*?)</a>", "$1")).alias("n"))
+    return _page_title(spark, sf_dir, use_first_header_as_title=True)
 
 
 @query("SELECT n_nationkey, n_nationkey::VARCHAR AS k, 'n_nationkey为' || n_nationkey || '的n_name是' || n_name || chr(10) || chr(10) || 'n_nationkey为' || n_nationkey || '的region是' || r_name AS sentence FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -188,12 +193,6 @@ def pdf_toc_match(spark, sf_dir):
     return P.toc_lines(FX.frame(spark, FX.TOC), pdf_filtered_lines(spark, sf_dir))
 
 
-@query()
-def pdf_sections(spark, sf_dir):
-    rows = P.sections(pdf_toc_match(spark, sf_dir), pdf_filtered_lines(spark, sf_dir))
-    return rows.select("doc_id", "first", F.array_join("titles", " > ").alias("titles"), "page_content")
-
-
 @query("WITH " + FX.values("r", FX.REPAIR) + """ SELECT id, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(
   translate(translate(raw, chr(160) || chr(8194), ''), chr(12288) || chr(8195) || '袁遥院渊冤尧揖铱耀曰鄄覬', '  ，。：（）、【】~；-∅'), '(\\d\\s)益', '\\1℃', 'g'), '(\\d)依', '\\1±', 'g'), '滋g', 'μg'),
   '伊(\\d+)', 'x\\1', 'g'), '叶(.*?)曳', '《\\1》', 'gs'), '逸(\\d+)', '≥\\1', 'g'), '臆(\\d+)', '≤\\1', 'g'), chr(61548), '●'), chr(10), '') AS fixed FROM r""")
@@ -209,68 +208,35 @@ def emr_fields(spark, sf_dir):
     return r.select("id", at("性别").alias("sex"), at("年龄").alias("age"), X.diagnosis(F.col("revised"), F.col("initial"), F.col("supplementary")).alias("diagnosis"), X.treatment(F.col("plan"), F.col("operation")).alias("treatment"))
 
 
-@query("SELECT conv_id, turn, a || substr(b, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) + 1) AS joined FROM (SELECT conv_id, turn, left(text, 300) AS a, left(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 300) AS b FROM conversations) WHERE b IS NOT NULL")
-def splice_pairs(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 300).alias("a"), F.substring(F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")), 1, 300).alias("b"))
-    return c.filter("b IS NOT NULL").select("conv_id", "turn", X.splice(F.col("a"), F.col("b")).alias("joined"))
-
-
 @query("SELECT conv_id, turn, a || substr(b, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) + 1) AS joined FROM (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL")
-def splice_pairs_whole(spark, sf_dir):
+def splice_pairs(spark, sf_dir):
     from pyspark.sql import Window as W
 
     c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("b"))
     return c.filter("b IS NOT NULL").select("conv_id", "turn", X.splice(F.col("a"), F.col("b")).alias("joined"))
 
 
-_HITS = "SELECT conv_id, turn FROM conversations WHERE (conv_id * 7 + turn * 5) % 4 = 0"
+#: Hits 1, 2, 3 and more turns apart.
+_VARIED = "(conv_id * 31 + turn * turn * 17 + turn * 3) % 7 < 3"
 
 
 def _segments(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), F.col("turn").alias("position"), F.concat("text", F.lit("\n")).alias("page_content"))
-    hits = c.filter("(conv_id * 7 + turn * 5) % 4 = 0").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), F.col("turn").alias("hit_ord"))
-    return hits, seg
-
-
-#: Hits 1, 2, 3 and more turns apart.
-_VARIED = "(conv_id * 31 + turn * turn * 17 + turn * 3) % 7 < 3"
-
-
-def _varied_segments(spark, sf_dir):
-    _, seg = _segments(spark, sf_dir)
-    hits = _t(spark, sf_dir, "conversations").filter(_VARIED).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), F.col("turn").alias("hit_ord"))
+    hits = c.filter(_VARIED).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), F.col("turn").alias("hit_ord"))
     return hits, seg
 
 
-@query(f"""WITH h AS ({_HITS}), g AS (SELECT conv_id, turn, CASE WHEN turn - lag(turn) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-i AS (SELECT conv_id, turn, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM g), b AS (SELECT conv_id, k, min(turn) AS first, max(turn) AS last FROM i GROUP BY ALL)
-SELECT conv_id AS document_id, first AS seed_ord, first AS seed_doc_id, first, last, string_agg(text || chr(10), '' ORDER BY turn) AS page_content FROM b JOIN conversations USING (conv_id) WHERE turn BETWEEN first AND last GROUP BY conv_id, first, last""")
-def normal_islands(spark, sf_dir):
-    return R.positional_islands(*_segments(spark, sf_dir), max_window=1)
-
-
-@query(f"""WITH h AS (SELECT conv_id, turn, role FROM conversations WHERE (conv_id * 7 + turn * 5) % 4 = 0), b AS (SELECT conv_id, role, string_agg(text, '' ORDER BY turn, text) AS page_content FROM conversations GROUP BY ALL)
-SELECT conv_id AS document_id, page_content, min(turn) AS hit_ord FROM h JOIN b USING (conv_id, role) GROUP BY ALL""")
-def title_expand(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations")
-    seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ord"), F.col("role").alias("title"), F.col("text").alias("content"))
-    hits = c.filter("(conv_id * 7 + turn * 5) % 4 = 0").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.col("role").alias("title"))
-    return R.title_expansion(hits, seg)
-
-
 @query(f"""WITH h AS (SELECT conv_id, turn FROM conversations WHERE {_VARIED}), g AS (SELECT conv_id, turn, CASE WHEN turn - lag(turn) OVER w <= 2 THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 i AS (SELECT conv_id, turn, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM g), b AS (SELECT conv_id, k, min(turn) AS first, max(turn) AS last FROM i GROUP BY ALL)
 SELECT conv_id AS document_id, first AS seed_ord, first AS seed_doc_id, first, last, string_agg(text || chr(10), '' ORDER BY turn) AS page_content FROM b JOIN conversations USING (conv_id) WHERE turn BETWEEN first AND last GROUP BY conv_id, first, last""")
-def normal_islands_varied(spark, sf_dir):
-    return R.positional_islands(*_varied_segments(spark, sf_dir))
+def normal_islands(spark, sf_dir):
+    return R.positional_islands(*_segments(spark, sf_dir))
 
 
 @query(f"""WITH h AS (SELECT conv_id, turn, role FROM conversations WHERE {_VARIED}), b AS (SELECT conv_id, role, string_agg(text, '' ORDER BY turn, text) AS page_content FROM conversations GROUP BY ALL)
 SELECT conv_id AS document_id, page_content, min(turn) AS hit_ord FROM h JOIN b USING (conv_id, role) GROUP BY ALL""")
-def title_expand_varied(spark, sf_dir):
+def title_expand(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ord"), F.col("role").alias("title"), F.col("text").alias("content"))
     hits = c.filter(_VARIED).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("hit_ord"), F.col("role").alias("title"))
@@ -288,20 +254,16 @@ def dedup_content(spark, sf_dir):
     return R.distinct_contents(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) > 0 AS non_blank, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS collapsed FROM documents")
-def whitespace(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", X.non_blank(F.col("text")).alias("non_blank"), X.collapse(F.substring("text", 1, 200)).alias("collapsed"))
-
-
 @query("SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) > 0 AS non_blank, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed FROM documents")
-def whitespace_whole(spark, sf_dir):
+def whitespace(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", X.non_blank(F.col("text")).alias("non_blank"), X.collapse(F.col("text")).alias("collapsed"))
 
 
-@query()
+@query("""SELECT doc_id, 'POST' AS method, '/v1/datasets/set/document/create_by_text' AS path,
+  '{"name":"' || doc_id || '","indexing_technique":"high_quality","process_rule":{"mode":"automatic","rules":null},"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '}' AS body FROM documents""")
 def rest_payload(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
-    return d.select("doc_id", rest.create_by_text(F.lit("set"), F.col("doc_id").cast("string"), F.col("text")).alias("request"))
+    return d.select("doc_id", rest.create_by_text(F.lit("set"), F.col("doc_id").cast("string"), F.col("text")).alias("q")).select("doc_id", "q.method", "q.path", "q.body")
 
 
 # Extraction. Recovery from broken markup and the choice of the main content are no SQL.
@@ -343,19 +305,14 @@ _COMMON = X.COMMON.replace("'", "''")
 
 @query(f"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS x FROM documents WHERE text <> ''), b AS (SELECT doc_id, x, (NOT (contains('{_COMMON}', x) OR x BETWEEN '一' AND '龥'))::INT AS bad FROM c),
 r AS (SELECT doc_id, bad, row_number() OVER w AS seen, sum(bad) OVER (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS n FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING))
-SELECT doc_id, bool_and(bad = 0 OR n <= 0.3::DOUBLE * seen) AND sum(bad) < 0.3::DOUBLE * count(*) AS readable FROM r GROUP BY 1""")
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(ok, false) END AS readable FROM documents LEFT JOIN (SELECT doc_id, bool_and(bad = 0 OR n <= 0.3::DOUBLE * seen) AND sum(bad) < 0.3::DOUBLE * count(*) AS ok FROM r GROUP BY 1) USING (doc_id)""")
 def readable_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", X.is_readable(F.col("text")).alias("readable"))
-
-
-@query()
-def pdf_generated_toc(spark, sf_dir):
-    return P.generated_toc(FX.frame(spark, FX.HEADING_LINES))
+    return _t(spark, sf_dir, "documents").select("doc_id", X.is_readable(F.col("text")).alias("readable"))
 
 
 @query()
 def normal_growth(spark, sf_dir):
-    return R.positional_growth(*_varied_segments(spark, sf_dir))
+    return R.positional_growth(*_segments(spark, sf_dir))
 
 
 @query()
@@ -366,12 +323,6 @@ def title_growth(spark, sf_dir):
     return R.title_growth(hits, seg)
 
 
-@query()
-def admission_record(spark, sf_dir):
-    f = FX.frame(spark, FX.ADMISSIONS).withColumn("f", E.record_fields(F.col("content"), E.ADMISSION))
-    return f.select("id", E.record_text(F.col("f"), E.ADMISSION).alias("page_content"), E.record_metadata(F.col("f"), E.ADMISSION).alias("m")).select("id", "page_content", "m.*")
-
-
 @query("SELECT page_id, 'utf-8' AS codec FROM pages")
 def codec_sniff(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", files.codec(F.encode("html", "UTF-8")).alias("codec"))

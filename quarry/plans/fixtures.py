@@ -22,9 +22,6 @@ REPAIR = ("id INT, raw STRING", [(1, "37 益袁5依1 滋g"), (2, "伊10遥叶书
 RECORDS = ("id INT, content STRING, revised STRING, initial STRING, supplementary STRING, plan STRING, operation STRING", [(1, "性别：[ 女 ] 年龄: [ 40 ] 性别：[男]", "r", "i", "s", "p", "o"), (2, "科室：[内科]", None, "i", "s", "", "o"), (3, "none", "", "i", None, None, None), (4, None, None, None, "s", None, "")])
 NODES = ("id INT, tag STRING, class STRING, node_id STRING, link_text STRING, text STRING", [(1, "div", "article body", "main", "ab", "abcd"), (2, "UL", "sidebar", None, "", ""), (3, "td", "footer text", "comment", "a", "ab"), (4, "h1", None, "", "", "x"), (5, "p", "plain", "x", "x", "xxx")])
 
-HEADING_LINES = ("doc_id INT, line_idx INT, text STRING", [(d, i, t) for d in (1, 2) for i, t in enumerate(["摘要", "第一章 总则", "正文", "第一节 范围", "更多，正文。", "第二节 对象", "第二章 附则", "1. Scope", "1. Scope, which runs on and on", "第一条"][d - 1 :])])
-ADMISSIONS = ("id INT, content STRING", [(1, "主诉：头痛三天\n\n现病史：三天前开始，" + "持续不断，" * 20 + "\n\n性别：[女] 年龄：[40] 诊疗方案：[休息]\n| 初步诊断：x | y | [感冒] |\n补充诊断：1.发热 医师签名"), (2, "无"), (3, None)])
-
 
 def frame(spark: SparkSession, fixture) -> DataFrame:
     schema, rows = fixture

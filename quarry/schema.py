@@ -1,32 +1,25 @@
-"""The document record and the constants that extraction, splitting and re-assembly share."""
+"""The constants that extraction, splitting and re-assembly share, and how operators name columns.
 
-from pyspark.sql import types as T
+Operators add columns to those of their input.  An input column named like one that an
+operator makes is replaced by it; names used inside an operator never meet the input's.
+"""
+
+from pyspark.sql import DataFrame
 
 #: Stands between a chunk's titles and its content. Fixed value.
 TITLE_SEPARATOR = "---###---"
 NO_TITLE = "[no-title]"
+NO_AUTHOR = "[no-author]"
+
+
+def others(df: DataFrame, *made: str) -> list[str]:
+    """The columns that stay as they are beside those that an operator makes."""
+    return [f"`{c}`" for c in df.columns if c not in made]
+
 
-METADATA = T.StructType(
-    [
-        T.StructField("titles", T.ArrayType(T.StringType())),
-        T.StructField("content_type", T.StringType()),
-        T.StructField("row", T.IntegerType()),
-        T.StructField("start_index", T.IntegerType()),
-        T.StructField("doc_id", T.StringType()),
-        T.StructField("document_id", T.StringType()),
-        T.StructField("position", T.IntegerType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
-    ]
-)
-#: Rows have no order of their own, so every producer numbers its documents in ``ord``.
-DOCUMENT = T.StructType(
-    [
-        T.StructField("ord", T.IntegerType(), False),
-        T.StructField("page_content", T.StringType(), False),
-        T.StructField("vector", T.ArrayType(T.DoubleType())),
-        T.StructField("metadata", METADATA),
-        T.StructField("provider", T.StringType()),
-    ]
-)
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, also in another case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

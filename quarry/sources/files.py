@@ -11,8 +11,10 @@ import csv
 import io
 import posixpath
 import re
+import struct
 import zipfile
 from dataclasses import replace
+from datetime import datetime, timedelta
 from html import escape
 from xml.etree import ElementTree
 
@@ -22,12 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.dom import parse
+from quarry.functions.md_html import convert
 from quarry.operators.html import HtmlConfig, extract_html
 from quarry.operators.markdown import MarkdownConfig, extract_markdown
+from quarry.sources import xls
 
 #: The first that decodes the bytes is the file's; the last decodes any. Fixed values.
 CODECS = ("utf-8", "gb2312", "gbk", "utf_16", "ascii", "big5", "big5hkscs", "cp037")
-KINDS = ("html", "htm", "md", "markdown", "csv", "xlsx", "docx", "epub")
+KINDS = ("html", "htm", "md", "markdown", "csv", "xlsx", "xls", "docx", "epub")
+# Where a page states its character set, and larger sets that stand for what is stated.
+DECLARED = (re.compile(rb"""<meta.*?charset=["']*(.+?)["'>]""", re.I), re.compile(rb"""<meta.*?content=["']*;?charset=(.+?)["'>]""", re.I), re.compile(rb"""^<\?xml.*?encoding=["']*(.+?)["'>]"""))
+LARGER = {"big5": "big5hkscs", "gb2312": "gb18030", "ascii": "utf-8", "maccyrillic": "cp1251", "win1251": "cp1251", "win-1251": "cp1251", "windows-1251": "cp1251"}
+# Numbers of the built-in formats of days and of times.
+DAYS, TIMES = (14, 15, 16, 17, 22), (18, 19, 20, 21, 45, 46, 47)
 
 
 def find_codec(content: bytes) -> str:
@@ -40,6 +49,23 @@ def find_codec(content: bytes) -> str:
     return "utf-8"
 
 
+def find_charset(content: bytes) -> str:
+    """The character set that a page states, in its larger form, if it decodes the page; else the first codec that does."""
+    for name in (x.decode("ascii", "replace").strip().lower() for p in DECLARED for x in p.findall(content)):
+        name = LARGER.get(name, name)
+        try:
+            content.decode(name)
+        except (UnicodeDecodeError, LookupError):
+            continue
+        return name
+    return find_codec(content)
+
+
+@F.pandas_udf(T.StringType())
+def charset(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else find_charset(bytes(b)))
+
+
 def decode(content: bytes) -> str:
     return content.decode(find_codec(content), "replace")
 
@@ -79,50 +105,186 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def number_text(value: float, style: int = 0, code: str = "", late: bool = False) -> str:
+    """A cell's number as it is read: days and times by its format, whole numbers without a point."""
+    signs = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", code).lower() if style > 163 or code else ""
+    day = style in DAYS or bool(re.search("[yd]", signs)) or ("m" in signs and not re.search("[hs]", signs))
+    if day or style in TIMES or re.search("[hs]", signs):
+        try:
+            at = (datetime(1904, 1, 1) if late else datetime(1899, 12, 30 if value >= 60 else 31)) + timedelta(seconds=round(value * 86400))
+        except OverflowError:
+            return repr(value)
+        return str(at) if day or value >= 1 else str(at.time())
+    return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
+
+
+def _numbers(z: zipfile.ZipFile) -> tuple[list[tuple[int, str]], bool]:
+    """(format, code) of each cell style, and whether day 0 is in 1904."""
+    names, styles, late = z.namelist(), [], False
+    if "xl/styles.xml" in names:
+        root = ElementTree.fromstring(z.read("xl/styles.xml"))
+        codes = {int(e.get("numFmtId", 0)): e.get("formatCode", "") for e in _under(root, "numFmt")}
+        for cells in _under(root, "cellXfs"):
+            styles = [(int(e.get("numFmtId", 0)), codes.get(int(e.get("numFmtId", 0)), "")) for e in cells]
+    if "xl/workbook.xml" in names:
+        late = any(e.get("date1904") in ("1", "true") for e in _under(ElementTree.fromstring(z.read("xl/workbook.xml")), "workbookPr"))
+    return styles, late
+
+
 def xlsx_html(content: bytes, last_sheet_only: bool = False) -> str:
-    """A table for each sheet with rows, cells as the values stored; rows without a value go."""
+    """A table for each sheet with rows, days and times as such; rows without a value go."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = [_string(e) for e in _under(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
+        numbers = _numbers(z)
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
-        tables = [_table(rows) for n in sheets if (rows := _sheet(ElementTree.fromstring(z.read(n)), shared))]
-    return "".join(tables[-1:] if last_sheet_only else tables)
+        return _tables([_sheet(ElementTree.fromstring(z.read(n)), shared, *numbers) for n in sheets], last_sheet_only)
+
 
+def xls_html(content: bytes, last_sheet_only: bool = False) -> str:
+    return _tables(xls.sheets(content, number_text), last_sheet_only)
 
-def _sheet(root, shared: list[str]) -> list[list[str]]:
+
+def _tables(sheets: list[list[dict[int, str]]], last_only: bool) -> str:
+    tables = []
+    for cells in sheets:
+        rows = [r for r in cells if any(r.values())]
+        width = max((max(r) + 1 for r in rows), default=0)
+        if rows:
+            tables.append(_table([[r.get(i, "") for i in range(width)] for r in rows]))
+    return "".join(tables[-1:] if last_only else tables)
+
+
+def _sheet(root, shared: list[str], styles: list[tuple[int, str]], late: bool) -> list[dict[int, str]]:
     rows = []
     for row in _under(root, "row"):
         cells: dict[int, str] = {}
         for c in _under(row, "c"):
-            value = next((v.text or "" for v in _under(c, "v")), "")
-            if c.get("t") == "s":
+            value, kind = next((v.text or "" for v in _under(c, "v")), ""), c.get("t", "n")
+            if kind == "s":
                 value = shared[int(value)]
-            elif c.get("t") == "inlineStr":
+            elif kind == "inlineStr":
                 value = _string(c)
+            elif kind == "b":
+                value = str(value == "1")
+            elif kind == "n" and value:
+                style = int(c.get("s", 0))
+                value = number_text(float(value), *(styles[style] if style < len(styles) else (0, "")), late)
             cells[_column(c.get("r", "")) if c.get("r") else len(cells)] = value
-        if any(cells.values()):
-            rows.append([cells.get(i, "") for i in range(max(cells) + 1)])
-    width = max(map(len, rows), default=0)
-    return [r + [""] * (width - len(r)) for r in rows]
+        rows.append(cells)
+    return rows
 
 
-def docx_html(content: bytes) -> str:
-    """Paragraphs, headings by their style and tables, in order."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
-    body = next(_under(root, "body"), root)
-    return "".join(_block(e) for e in body)
+# Word.
+
 
+def _value(e, name: str) -> str:
+    """The value of the first element of this name below."""
+    return next((v for x in _under(e, name) for k, v in x.items() if _local(k) == "val"), "")
 
-def _block(e) -> str:
+
+def _attribute(e, name: str) -> str:
+    return next((v for k, v in e.items() if _local(k) == name), "")
+
+
+def docx_html(content: bytes, name: str = "") -> str:
+    """Paragraphs, headings by their style, lists, links and tables in order, under the file's name as title; the document's own title goes where it stands first."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        part = lambda n: ElementTree.fromstring(z.read(n)) if n in z.namelist() else None
+        root, numbering, relations = ElementTree.fromstring(z.read("word/document.xml")), part("word/numbering.xml"), part("word/_rels/document.xml.rels")
+    links = {e.get("Id"): e.get("Target", "") for e in relations} if relations is not None else {}
+    body = next(_under(root, "body"), root)
+    blocks = [e for e in body if _local(e.tag) in ("p", "tbl")]
+    if blocks and _value(blocks[0], "pStyle") == "Title":
+        blocks = blocks[1:]
+    out, items = [], []
+    for e in blocks:
+        if _local(e.tag) == "p" and (number := next(_under(e, "numPr"), None)) is not None and not _level(e):
+            items.append((int(_value(number, "ilvl") or 0), _ordered(numbering, _value(number, "numId"), _value(number, "ilvl") or "0"), _text(e, links)))
+            continue
+        out.append(_lists(items))
+        items = []
+        out.append(_block(e, links))
+    out.append(_lists(items))
+    title = posixpath.splitext(posixpath.basename(name))[0]
+    return (f"<title>{escape(title)}</title>" if title else "") + "".join(out)
+
+
+def _ordered(numbering, num: str, level: str) -> bool:
+    if numbering is None:
+        return False
+    abstract = next((_value(e, "abstractNumId") for e in _under(numbering, "num") if _attribute(e, "numId") == num), "")
+    kind = next((_value(x, "numFmt") for e in _under(numbering, "abstractNum") if _attribute(e, "abstractNumId") == abstract for x in _under(e, "lvl") if _attribute(x, "ilvl") == level), "bullet")
+    return kind not in ("bullet", "none")
+
+
+def _lists(items: list[tuple[int, bool, str]]) -> str:
+    """Nested lists of (depth, whether numbered, HTML)."""
+    out, open_ = [], []
+    for depth, ordered, html in items:
+        tag = "ol" if ordered else "ul"
+        while open_ and (open_[-1][0] > depth or (open_[-1][0] == depth and open_[-1][1] != tag)):
+            out.append(f"</li></{open_.pop()[1]}>")
+        if open_ and open_[-1][0] == depth:
+            out.append("</li>")
+        else:
+            out.append(f"<{tag}>")
+            open_.append((depth, tag))
+        out.append(f"<li>{html}")
+    out += [f"</li></{tag}>" for _, tag in reversed(open_)]
+    return "".join(out)
+
+
+def _text(e, links: dict[str, str]) -> str:
+    """HTML of runs: links, raised text, line breaks and tabs."""
+    out = []
+    for x in e:
+        kind = _local(x.tag)
+        if kind == "hyperlink":
+            to, inner = links.get(_attribute(x, "id"), ""), _text(x, links)
+            out.append(f'<a href="{escape(to)}">{inner}</a>' if to else inner)
+        elif kind == "r" and _value(x, "vertAlign") == "superscript":
+            out.append(f"<sup>{_text(x, links)}</sup>")
+        elif kind == "t":
+            out.append(escape(x.text or "", quote=False))
+        elif kind in ("br", "cr"):
+            out.append("<br>")
+        elif kind == "tab":
+            out.append(" ")
+        elif kind in ("r", "ins", "smartTag", "sdt", "sdtContent", "fldSimple"):
+            out.append(_text(x, links))
+    return "".join(out)
+
+
+def _level(e) -> int:
+    level = re.fullmatch(r"(?i)heading\s*([1-6])|([1-6])", _value(e, "pStyle"))
+    return int(level[1] or level[2]) if level else 0
+
+
+def _block(e, links: dict[str, str]) -> str:
     if _local(e.tag) == "tbl":
-        return _table([[" ".join(filter(None, map(_string, _under(c, "p")))) for c in r if _local(c.tag) == "tc"] for r in _under(e, "tr")])
-    if _local(e.tag) != "p":
-        return ""
-    style = next((v for s in _under(e, "pStyle") for k, v in s.items() if _local(k) == "val"), "")
-    level = re.fullmatch(r"(?i)heading\s*([1-6])|([1-6])", style)
-    tag = f"h{level[1] or level[2]}" if level else "p"
-    return f"<{tag}>{escape(_string(e), quote=False)}</{tag}>"
+        return _word_table(e, links)
+    tag = f"h{n}" if (n := _level(e)) else "p"
+    return f"<{tag}>{_text(e, links)}</{tag}>"
+
+
+def _word_table(e, links: dict[str, str]) -> str:
+    rows, above = [], {}
+    for r in (x for x in e if _local(x.tag) == "tr"):
+        row, at = [], 0
+        for c in (x for x in r if _local(x.tag) == "tc"):
+            wide = int(_value(c, "gridSpan") or 1)
+            merged = next(_under(c, "vMerge"), None)
+            if merged is not None and _attribute(merged, "val") != "restart" and at in above:
+                above[at]["rowspan"] += 1
+            else:
+                cell = {"html": " ".join(filter(None, (_text(p, links) for p in _under(c, "p")))), "colspan": wide, "rowspan": 1}
+                row.append(cell)
+                above[at] = cell
+            at += wide
+        rows.append(row)
+    show = lambda c: "<td" + "".join(f' {k}="{c[k]}"' for k in ("colspan", "rowspan") if c[k] > 1) + f">{c['html']}</td>"
+    return "<table>" + "".join("<tr>" + "".join(map(show, r)) + "</tr>" for r in rows) + "</table>"
 
 
 def epub_html(content: bytes, name: str) -> str:
@@ -144,22 +306,26 @@ def epub_html(content: bytes, name: str) -> str:
     return f"<html><head><title>{escape(title)}</title></head><body>{''.join(bodies)}</body></html>"
 
 
-def file_text(path: str, content: bytes, last_sheet_only: bool = False) -> tuple[str | None, str | None]:
+def file_text(path: str, content: bytes, last_sheet_only: bool = False, markdown_as_html: bool = False) -> tuple[str | None, str | None]:
     """(text, error): HTML, or the Markdown itself."""
     kind = path.rsplit(".", 1)[-1].lower()
     try:
-        if kind in ("html", "htm", "md", "markdown"):
-            return decode(content), None
+        if kind in ("html", "htm"):
+            return content.decode(find_charset(content), "replace"), None
+        if kind in ("md", "markdown"):
+            return convert(decode(content)) if markdown_as_html else decode(content), None
         if kind == "csv":
             return csv_html(decode(content)), None
         if kind == "xlsx":
             return xlsx_html(content, last_sheet_only), None
+        if kind == "xls":
+            return xls_html(content, last_sheet_only), None
         if kind == "docx":
-            return docx_html(content), None
+            return docx_html(content, path), None
         if kind == "epub":
             return epub_html(content, path), None
         return None, f"no reader for .{kind}"
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError) as e:
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, struct.error) as e:
         return None, f"{type(e).__name__}: {e}"
 
 
@@ -168,26 +334,36 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
-def texts(files: DataFrame, last_sheet_only: bool = False) -> DataFrame:
+def texts(files: DataFrame, last_sheet_only: bool = False, markdown_as_html: bool = False) -> DataFrame:
     """path, kind, text, error."""
 
     @F.pandas_udf("struct<text:string,error:string>")
     def read(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([file_text(p, bytes(c or b""), last_sheet_only) for p, c in zip(paths, contents, strict=True)], columns=["text", "error"])
+        return pd.DataFrame([file_text(p, bytes(c or b""), last_sheet_only, markdown_as_html) for p, c in zip(paths, contents, strict=True)], columns=["text", "error"])
 
     kind: Column = F.lower(F.substring_index("path", ".", -1))
     return files.select("path", kind.alias("kind"), read("path", "content").alias("_t")).select("path", "kind", "_t.*")
 
 
-def extract_files(files: DataFrame, html: HtmlConfig | None = None, markdown: MarkdownConfig | None = None) -> DataFrame:
-    """path, ord, titles, content_type, row, page_content of every file that could be read. Main-content selection is for HTML and Word only."""
-    html, markdown = html or HtmlConfig(), markdown or MarkdownConfig()
-    t = texts(files).filter("error IS NULL").withColumn("_name", F.regexp_replace("path", r"^.*/", ""))
-    selected = F.col("kind").isin("html", "htm", "docx")
-    plain = F.col("kind").isin("csv", "xlsx", "epub")
+def extract_files(files: DataFrame, html: HtmlConfig | None = None, markdown: MarkdownConfig | None = None, last_sheet_only: bool = False, markdown_as_html: bool = False) -> DataFrame:
+    """path, ord, titles, content_type, row, page_content, record of every file that could be read.
+
+    Main-content selection is for HTML and Word only.  HTML, Word and EPUB files are
+    tried for medical records first.  Markdown is read as it is, its links kept, or with
+    ``markdown_as_html`` by way of HTML, without a title of the file.
+    """
+    html, markdown = replace(html or HtmlConfig(), sniff_records=True), markdown or MarkdownConfig()
+    t = texts(files, last_sheet_only, markdown_as_html).filter("error IS NULL")
+    name = F.regexp_replace("path", r"^.*/", "")
+    # what Word and EPUB files become is a page; its title is in it
+    page = F.when(F.col("kind").isin("docx", "epub"), F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(".html"))).otherwise(name)
+    plain = replace(html, use_summary=False)
+    some = lambda *kinds: t.filter(F.col("kind").isin(*kinds))
+    out = extract_html(some("html", "htm", "docx").select("path", "text", page.alias("_n")), html, "text", "_n").drop("_n")
+    out = out.unionByName(extract_html(some("epub").select("path", "text", page.alias("_n")), plain, "text", "_n").drop("_n"))
     # a spreadsheet has no title, whatever its name
-    nameless = F.when(F.col("kind").isin("html", "htm", "docx"), F.col("_name"))
-    one = extract_html(t.filter(selected).select("path", "text", nameless.alias("_n")), html, "text", "_n").drop("_n")
-    two = extract_html(t.filter(plain).select("path", "text"), replace(html, use_summary=False), "text")
-    three = extract_markdown(t.filter(F.col("kind").isin("md", "markdown")).select("path", "text"), markdown, "text").withColumn("row", F.lit(None).cast("int"))
-    return one.unionByName(two).unionByName(three)
+    nameless = ("csv", "xlsx", "xls", *(("md", "markdown") if markdown_as_html else ()))
+    out = out.unionByName(extract_html(some(*nameless).select("path", "text"), plain, "text"))
+    if markdown_as_html:
+        return out
+    return out.unionByName(extract_markdown(some("md", "markdown").select("path", "text"), markdown, "text"), allowMissingColumns=True)

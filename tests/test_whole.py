@@ -17,13 +17,13 @@ def documents(spark, tmp_path, texts):
 
 def test_whitespace(spark, tmp_path):
     texts = ["a \t b\n" * 500, " " * 300 + "x" * 300 + " \n y ", "", " \n" * 200, "word " * 39 + "\t\n end"]
-    got = {r.doc_id: (r.non_blank, r.collapsed) for r in catalog.queries()["whitespace_whole"](spark, documents(spark, tmp_path, texts)).collect()}
+    got = {r.doc_id: (r.non_blank, r.collapsed) for r in catalog.queries()["whitespace"](spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {i: (bool(t.strip()), re.sub(r"\s+", " ", t).strip()) for i, t in enumerate(texts)}
 
 
 def test_links_and_images(spark, tmp_path):
     texts = ["x" * 150 + " [far](http://u) and ![[img]] z", "y\n" * 80 + "[a](b) [c](d)\n![[e]]\nend", "", "no links " * 50]
-    got = {r.doc_id: r.plain for r in catalog.queries()["md_strip_links_images_whole"](spark, documents(spark, tmp_path, texts)).collect()}
+    got = {r.doc_id: r.plain for r in catalog.queries()["md_strip_links_images"](spark, documents(spark, tmp_path, texts)).collect()}
     marked = [f"[s{i}](http://en) ![[s{i}]] {t}" for i, t in enumerate(texts)]
     assert got == {i: re.sub(r"\[(.*?)\]\((.*?)\)", r"\1", re.sub(r"!\[\[(.*)\]\]", "", t)) for i, t in enumerate(marked)}
     assert got[1] == "s1  " + "y\n" * 80 + "a c\n\nend"
@@ -35,7 +35,7 @@ def conversations(spark, tmp_path, turns):
 
 def test_splice(spark, tmp_path):
     texts = ["a" + "b" * 400 + "overlap", "overlap" + "c" * 500 + "xyz", "xyz" * 150, "q" * 310, "no", ""]
-    got = {r.turn: r.joined for r in catalog.queries()["splice_pairs_whole"](spark, conversations(spark, tmp_path, [(1, i, "user", t) for i, t in enumerate(texts)])).collect()}
+    got = {r.turn: r.joined for r in catalog.queries()["splice_pairs"](spark, conversations(spark, tmp_path, [(1, i, "user", t) for i, t in enumerate(texts)])).collect()}
     fits = lambda a, b: next((k for k in range(1, min(len(a), len(b)) + 1) if a.endswith(b[:k])), 0)
     assert got == {i: a + b[fits(a, b) :] for i, (a, b) in enumerate(zip(texts, texts[1:]))}
     assert got[0] == texts[0] + texts[1][7:] and got[1] == texts[1] + texts[2][3:]
@@ -64,7 +64,7 @@ def islands():
 def test_islands(spark, tmp_path):
     text = {(c, t): x + "\n" for c, t, _, x in TURNS}
     want = sorted((c, h[0], h[-1], "".join(text[c, t] for t in range(h[0], h[-1] + 1))) for c, h in islands())
-    got = catalog.queries()["normal_islands_varied"](spark, conversations(spark, tmp_path, TURNS)).collect()
+    got = catalog.queries()["normal_islands"](spark, conversations(spark, tmp_path, TURNS)).collect()
     assert sorted((r.document_id, r.first, r.last, r.page_content) for r in got) == want
     assert any(len(h) > 1 and h[-1] - h[0] >= len(h) for _, h in islands())
 
@@ -88,6 +88,6 @@ def test_title_growth_and_expansion(spark, tmp_path):
         body.setdefault((c, role), []).append((t, x))
     role = {(c, t): r for c, t, r, _ in TURNS}
     want = sorted({(c, "".join(x for _, x in body[c, role[c, t]])): min(u for b, u in HITS if b == c and role[b, u] == role[c, t]) for c, t in HITS}.items())
-    assert sorted(((r.document_id, r.page_content), r.hit_ord) for r in catalog.queries()["title_expand_varied"](spark, d).collect()) == want
+    assert sorted(((r.document_id, r.page_content), r.hit_ord) for r in catalog.queries()["title_expand"](spark, d).collect()) == want
     got = catalog.queries()["title_growth"](spark, d).collect()
     assert {(r.document_id, r.hit_ord) for r in got} <= HITS and len({r.hit_ord % 4 for r in got if r.document_id == 0}) > 1
