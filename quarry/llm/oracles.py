@@ -88,23 +88,28 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 OP3 = """
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT conv_id, conv_id || '-' || turn AS call_id, min(turn) AS turn, arg_min(role, (turn, role, text)) AS role, arg_min(text, (turn, role, text)) AS text
   FROM conversations WHERE role IN ('user', 'system') GROUP BY ALL),
 r AS (
   SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, min(turn) AS result_turn, arg_min(text, (turn, text)) AS content
   FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+d AS (
+  SELECT c.*, c.turn > 1 AND p.call_id IS NOT NULL AS has_before, c.turn > 0 AND z.call_id IS NOT NULL AS has_root
+  FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2 LEFT JOIN c z ON z.conv_id = c.conv_id AND z.turn = 0),
+v AS (
+  SELECT conv_id, turn, has_root::INT AS level FROM d WHERE NOT has_before
+  UNION ALL
+  SELECT d.conv_id, d.turn, v.level + 1 FROM v JOIN d ON d.conv_id = v.conv_id AND d.turn = v.turn + 2 WHERE has_before),
 j AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, turn, result_turn, role, text, content,
-    c.call_id IS NOT NULL AS called, r.call_id IS NOT NULL AS answered
-  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
-k AS (SELECT j.*, z.call_id IS NOT NULL AS there FROM j LEFT JOIN c z ON z.conv_id = j.conv_id AND z.call_id = j.conv_id || '-0')
-SELECT conv_id, call_id, turn, result_turn,
-  CASE WHEN called THEN CASE WHEN turn > 0 AND there THEN 1 ELSE 0 END END::INT AS level,
+  SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, coalesce(d.call_id, r.call_id) AS call_id, turn, result_turn, role, text, content, has_before, has_root,
+    d.call_id IS NOT NULL AS called, r.call_id IS NOT NULL AS answered
+  FROM d FULL JOIN r ON d.conv_id = r.conv_id AND d.call_id = r.call_id)
+SELECT conv_id, call_id, turn, result_turn, level::INT AS level,
   CASE WHEN NOT called THEN 'no_call' WHEN answered THEN 'linked' ELSE 'no_result' END AS status,
-  CASE WHEN called THEN text IS NOT NULL AND (turn = 0 OR (there AND role = 'user')) AND (role <> 'system' OR length(text) <= 200) AND (role <> 'user' OR length(text) >= 20) END AS valid,
-  sha256('{"arguments":' || CASE WHEN called THEN '{' || CASE WHEN turn > 0 THEN '"context":{"$ref":"' || conv_id || '-0"},' ELSE '' END
+  CASE WHEN called THEN text IS NOT NULL AND (turn = 0 OR (has_root AND (turn = 1 OR has_before) AND role = 'user')) AND (role <> 'system' OR length(text) <= 200) AND (role <> 'user' OR length(text) >= 20) END AS valid,
+  sha256('{"arguments":' || CASE WHEN called THEN '{' || CASE WHEN turn > 0 THEN '"context":{' || CASE WHEN turn > 1 THEN '"before":{"$ref":"' || conv_id || '-' || (turn - 2) || '"},' ELSE '' END || '"root":{"$ref":"' || conv_id || '-0"}},' ELSE '' END
     || coalesce('"text":' || to_json(text) || ',', '') || '"turn":' || turn || '}' ELSE 'null' END
     || ',"call_id":"' || call_id || '","name":' || coalesce('"' || role || '"', 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}') AS json_sha256
-FROM k
+FROM j LEFT JOIN v USING (conv_id, turn)
 """

@@ -46,11 +46,12 @@ def op2_ngram_jaccard_join(spark, sf_dir):
 
 
 def op3_chat_formatting(spark, sf_dir):
-    """User and system turns are calls, and the assistant's next turn is the result; later turns refer to the first."""
+    """User and system turns are calls, and the assistant's next turn is the result; later turns refer to the first, and to the call two turns before, so that they form chains."""
     c = _table(spark, sf_dir, "conversations")
     number = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    first = F.when(F.col("turn") > 0, F.struct(number(F.lit(0)).alias("$ref")))
-    calls = c.filter(F.col("role").isin("user", "system")).select("conv_id", "turn", number(F.col("turn")).alias("call_id"), F.col("role").alias("name"), F.to_json(F.struct("text", "turn", first.alias("context"))).alias("arguments"))
+    ref = lambda t: F.struct(number(t).alias("$ref"))
+    context = F.when(F.col("turn") > 0, F.struct(F.when(F.col("turn") > 1, ref(F.col("turn") - 2)).alias("before"), ref(F.lit(0)).alias("root")))
+    calls = c.filter(F.col("role").isin("user", "system")).select("conv_id", "turn", number(F.col("turn")).alias("call_id"), F.col("role").alias("name"), F.to_json(F.struct("text", "turn", context.alias("context"))).alias("arguments"))
     results = c.filter(F.col("role") == "assistant").select("conv_id", "turn", number(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     tools = spark.createDataFrame([(k, json.dumps(x)) for k, x in TOOLS.items()], "name string, schema string")
     rows = link_tool_calls(calls, results, tools)

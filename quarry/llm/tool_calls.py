@@ -5,31 +5,43 @@
 2. Calls and results are hash-joined by conversation and identifier.
 3. A call depends on each call that its arguments name as ``{"$ref": id}``.  Its
    level is one more than the highest level it depends on; (level, turn, call_id)
-   is a topological order.  Levels are found by rounds of joins, one for each
-   level, so a conversation of any length stays distributed; calls on or behind
-   a cycle get none.
+   is a topological order.  The dependencies of a conversation come to one task,
+   sorted, and are folded there; those of a conversation with more than ``FOLD``
+   of them stay distributed: a chain of calls that each depend on one other is
+   halved in every round by pointer doubling, and calls with several dependencies
+   wait for these.  Calls on or behind a cycle get no level.
 4. Arguments are validated against the tool's schema (type, enum, const,
    required, properties, additionalProperties, items, anyOf, bounds, lengths,
-   pattern); a reference stands for a value of any type.
-5. Each row's JSON has sorted keys, no spaces and shortest numbers.
+   pattern); a reference stands for a value of any type.  A schema is checked
+   once in a task; a malformed one is an error of every call of its tool.
+5. Each row's JSON is canonical (RFC 8785): keys in order of UTF-16 units, no
+   spaces, numbers as ECMAScript shows them; whole numbers of any size stay exact.
 
 Edge cases: a call or result without an identifier or conversation is a row of
 its own (``no_id``); a result without a call is ``no_call``; arguments that are
 no JSON object are an error and written as null; an unknown tool or a reference
-to a missing call is an error; a null text is a null value; empty tables give
-no rows; further columns are ignored.
+to a missing call is an error; a null text is a null value; of tools with one
+name the schema that is first in order counts; empty tables give no rows; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import saved
+from ._store import discard, n_parts, saved
+
+#: Dependencies of one conversation that are folded in one task.
+FOLD = 500_000
+#: Characters of schemas that are broadcast, and parts that calls of one tool are dealt to where they are more.
+SMALL_SCHEMAS, SALTS = 8_000_000, 32
 
 _TYPES = {
     "object": lambda x: isinstance(x, dict),
@@ -92,14 +104,57 @@ def validate(x, schema, at: str = "$") -> list[str]:
     return out
 
 
+_NUMBERS = ("minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems")
+
+
+def faults(schema, at: str = "schema") -> list[str]:
+    """What makes a schema malformed, as sentences that begin with its place."""
+    if isinstance(schema, bool):
+        return []
+    if not isinstance(schema, dict):
+        return [f"{at}: no object"]
+    out = []
+    kinds = schema.get("type", "object")
+    if not all(isinstance(k, str) and k in _TYPES for k in (kinds if isinstance(kinds, list) else [kinds])):
+        out.append(f"{at}.type: unknown")
+    out += [f"{at}.{k}: no number" for k in _NUMBERS if k in schema and not _TYPES["number"](schema[k])]
+    out += [f"{at}.{k}: no list" for k in ("enum", "anyOf") if k in schema and not (isinstance(schema[k], list) and schema[k])]
+    if not (isinstance(schema.get("required", []), list) and all(isinstance(k, str) for k in schema.get("required", []))):
+        out.append(f"{at}.required: no list of names")
+    if "pattern" in schema:
+        try:
+            re.compile(schema["pattern"])
+        except (re.error, TypeError, RecursionError, OverflowError):
+            out.append(f"{at}.pattern: no pattern")
+    props = schema.get("properties", {})
+    if not isinstance(props, dict):
+        return [*out, f"{at}.properties: no object"]
+    inner = [(f"properties.{k}", x) for k, x in sorted(props.items())] + [(k, schema[k]) for k in ("items", "additionalProperties") if k in schema]
+    inner += [(f"anyOf[{i}]", x) for i, x in enumerate(schema["anyOf"] if isinstance(schema.get("anyOf"), list) else [])]
+    return out + [y for k, x in inner for y in faults(x, f"{at}.{k}")]
+
+
 def _bounds(n, schema, low, high, at):
     return [f"{at}: under {low}"] * (low in schema and n < schema[low]) + [f"{at}: over {high}"] * (high in schema and n > schema[high])
 
 
 def _number(x: float) -> str:
-    if x.is_integer() and abs(x) < 1e21:
-        return str(int(x))
-    return re.sub(r"e([+-])0+", r"e\1", repr(x))
+    """A finite number as ECMAScript shows it."""
+    if not x:
+        return "0"
+    sign, (digits, power) = "-" * (x < 0), re.fullmatch(r"([\d.]+)(?:e([+-]\d+))?", repr(abs(x))).groups()
+    whole, _, part = digits.partition(".")
+    point = len(whole) + int(power or 0)
+    digits = (whole + part).lstrip("0")
+    point -= len(whole + part) - len(digits)
+    digits = digits.rstrip("0")
+    if len(digits) <= point <= 21:
+        return sign + digits.ljust(point, "0")
+    if 0 < point <= 21:
+        return f"{sign}{digits[:point]}.{digits[point:]}"
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{digits}"
+    return f"{sign}{digits[0]}{'.' * (len(digits) > 1)}{digits[1:]}e{point - 1:+d}"
 
 
 def canonical(x) -> str:
@@ -127,19 +182,99 @@ def parse(raw: str | None):
         return None, False
 
 
+@lru_cache(1000)
+def _rule(raw: str | None):
+    """(schema, what is wrong with it) of a tool, read and checked once in a task."""
+    rule, known = parse(raw)
+    if not known:
+        return None, ["$: unknown tool"]
+    return rule, [f"$: the tool's {x}" for x in faults(rule)]
+
+
+def fold(edges) -> dict:
+    """Levels of the calls of (call, call it depends on) that are on and behind no cycle."""
+    waits, behind = defaultdict(set), defaultdict(list)
+    for call, dep in edges:
+        if dep not in waits[call]:
+            waits[call].add(dep)
+            behind[dep].append(call)
+    left = {call: len(deps) for call, deps in waits.items()}
+    level = {dep: 0 for dep in behind if dep not in waits}
+    todo = list(level)
+    for dep in todo:
+        for call in behind[dep]:
+            level[call] = max(level.get(call, 0), level[dep] + 1)
+            left[call] -= 1
+            if not left[call]:
+                todo.append(call)
+    return {call: level[call] for call in todo}
+
+
+def _folded(edges: DataFrame) -> DataFrame:
+    """Levels conversation by conversation, each in one task."""
+    conv = edges.schema["conv"].dataType.simpleString()
+    parts = n_parts(edges.sparkSession, 0)
+
+    def run(it):
+        now, held = None, []
+
+        def rows(found):
+            found = [(c, k, n) for c, x in found for k, n in fold(x).items()]
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["conv", "id", "level"])
+
+        kind = None
+        for batch in it:
+            kind = batch.schema.field("conv").type
+            done = []
+            for c, call, dep in zip(*(batch.column(k).to_pylist() for k in ("conv", "id", "dep")), strict=True):
+                if held and c != now:
+                    done.append((now, held))
+                    held = []
+                now = c
+                held.append((call, dep))
+            yield rows(done)
+        if held:
+            yield rows([(now, held)])
+
+    return edges.repartition(parts, "conv").sortWithinPartitions("conv").mapInArrow(run, f"conv {conv}, id string, level long")
+
+
 def _levels(edges: DataFrame) -> DataFrame:
-    """conv, id, level of every call that depends on another and on no cycle; edges: conv, id, dep."""
+    """conv, id, level of every call that depends on another, or is depended on, and is on no cycle; edges: conv, id, dep."""
     edges = saved(edges.distinct(), "edges")
-    behind = edges.select("conv", "id").distinct()
-    level = saved(edges.select("conv", F.col("dep").alias("id")).distinct().join(behind, ["conv", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    large = saved(edges.groupBy("conv").count().filter(F.col("count") > FOLD).select("conv"), "large")
+    if large.isEmpty():
+        return _folded(edges)
+    return _folded(edges.join(large, "conv", "left_anti")).unionByName(_doubled(saved(edges.join(large, "conv", "left_semi"), "edges")))
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    """The same by rounds of joins: what depends on one call points at the call ``up`` levels before it, twice as far in every round."""
+    key = ["conv", "id"]
+    several = edges.groupBy(key).count().filter("count > 1").select(key)
+    calls = edges.select(key).distinct()
+    n = calls.count()
+    level = saved(edges.select("conv", F.col("dep").alias("id")).distinct().join(calls, key, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    single = saved(edges.join(several, key, "left_anti").select(*key, "dep", F.lit(1).cast("long").alias("up")), "single")
+    joins = saved(edges.join(several, key, "left_semi"), "joins")
+    state = None
     while True:
-        on = level.select("conv", F.col("id").alias("dep"), "level")
-        ready = edges.join(on, ["conv", "dep"], "left").groupBy("conv", "id").agg((F.count("*") == F.count("level")).alias("all"), (F.max("level") + 1).alias("level")).filter("all").drop("all")
-        ready = saved(ready, "ready")
-        if ready.isEmpty():
+        of = level.select("conv", F.col("id").alias("dep"), F.col("level").alias("_of"))
+        on = single.join(of, ["conv", "dep"], "left")
+        known = on.filter("_of IS NOT NULL").select(*key, (F.col("_of") + F.col("up")).alias("level"))
+        whole = joins.join(of, ["conv", "dep"], "left").groupBy(key).agg((F.count("*") == F.count("_of")).alias("all"), (F.max("_of") + 1).alias("level")).filter("all").drop("all")
+        ready = saved(known.unionByName(whole), "ready")
+        jump = single.select("conv", F.col("id").alias("dep"), F.col("dep").alias("_then"), F.col("up").alias("_more"))
+        rest = on.filter("_of IS NULL").join(jump, ["conv", "dep"], "left").select(*key, F.coalesce("_then", "dep").alias("dep"), (F.col("up") + F.coalesce("_more", F.lit(0))).alias("up"))
+        # no chain is longer than the calls: what goes further circles
+        old, single = [level, single, joins, ready], saved(rest.filter(F.col("up") <= n), "single")
+        before, state = state, tuple(single.agg(F.count("*"), F.sum(F.xxhash64("conv", "id", "dep", "up").cast("decimal(38,0)"))).first())
+        if ready.isEmpty() and state == before:
             return level
         level = saved(level.unionByName(ready), "levels")
-        edges = saved(edges.join(ready.select("conv", "id"), ["conv", "id"], "left_anti"), "edges")
+        joins = saved(joins.join(ready.select(key), key, "left_anti"), "joins")
+        discard(*old)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
@@ -155,9 +290,15 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> D
     one_call = c.filter(has).groupBy("conv", "id").agg(F.min(F.struct("turn", "name", "arguments")).alias("c")).select("conv", "id", "c.*", F.lit(True).alias("called"))
     one_result = r.filter(has).groupBy("conv", "id").agg(F.min(F.struct("result_turn", "content")).alias("r")).select("conv", "id", "r.*", F.lit(True).alias("answered"))
     linked = one_call.join(one_result.hint("shuffle_hash"), ["conv", "id"], "full_outer")
+    # a few small rows make a partition's worth of work, so they are dealt out before it
+    linked = linked.repartition(n_parts(calls.sparkSession, 0), "conv", "id")
     alone = c.filter(~has).withColumn("called", F.lit(True)).unionByName(r.filter(~has).withColumn("answered", F.lit(True)), allowMissingColumns=True)
-    t = tools.filter(F.col("name").isNotNull()).groupBy("name").agg(F.min("schema").alias("schema"))
-    rows = saved(linked.unionByName(alone, allowMissingColumns=True), "linked").join(t, "name", "left")
+    t = saved(tools.filter(F.col("name").isNotNull()).groupBy("name").agg(F.min("schema").alias("schema")), "tools")
+    rows = linked.unionByName(alone, allowMissingColumns=True)
+    if (t.agg(F.sum(F.length("schema") + F.length("name"))).first()[0] or 0) <= SMALL_SCHEMAS:
+        rows = rows.join(F.broadcast(t), "name", "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("conv", "id"), F.lit(SALTS)).cast("int")).join(t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["name", "salt"], "left").drop("salt")
 
     def check(it):
         for batch in it:
@@ -167,12 +308,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> D
                 args, ok = parse(raw)
                 wrong = []
                 if called:
-                    rule, known = parse(schema)
+                    rule, wrong = _rule(schema)
                     if not ok or not isinstance(args, dict):
-                        wrong.append("$: not a JSON object")
-                    elif not known:
-                        wrong.append("$: unknown tool")
-                    else:
+                        wrong = ["$: not a JSON object"]
+                    elif not wrong:
                         wrong = validate(args, rule)
                 errors.append(wrong)
                 refs.append(references(args) if called else [])
@@ -194,4 +333,4 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> D
     errors = F.concat("errors", F.transform(F.coalesce("missing", F.array().cast("array<string>")), lambda x: F.concat(F.lit("$ref: no call "), x)))
     cycle = F.col("depends") & F.col("level").isNull()
     status = F.when(~has, "no_id").when(~F.col("called"), "no_call").when(cycle, "cycle").when(F.col("answered"), "linked").otherwise("no_result")
-    return out.select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), "turn", "result_turn", "name", F.when(F.col("called") & ~F.coalesce(cycle, F.lit(False)), F.coalesce("level", F.lit(0))).alias("level"), status.alias("status"), F.when(F.col("called"), errors).alias("errors"), "json")
+    return out.select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), "turn", "result_turn", "name", F.when(F.col("called") & ~F.coalesce(cycle, F.lit(False)), F.coalesce("level", F.lit(0)).cast("int")).alias("level"), status.alias("status"), F.when(F.col("called"), errors).alias("errors"), "json")

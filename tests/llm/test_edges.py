@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quarry.llm import _store, components, decontaminate, nbest, ngram_join, queries
+from quarry.llm import _store, components, decontaminate, nbest, ngram_join, queries, tool_calls
 
 SHAPE = "doc_id long, text string"
 
@@ -215,3 +215,61 @@ def test_folders_go(spark):
         path = _store._FOLDERS[t].removeprefix("file:")
         assert os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+CALLS = "conv_id long, turn int, call_id string, name string, arguments string"
+
+
+def link(spark, calls, results=(), tools=(("f", "{}"),)):
+    c = spark.createDataFrame(list(calls), CALLS).withColumn("id", F.lit("x")).withColumn("level", F.lit("x")).withColumn("schema", F.lit("x"))
+    r = spark.createDataFrame(list(results), "conv_id long, turn int, call_id string, content string").withColumn("called", F.lit(1))
+    t = spark.createDataFrame(list(tools), "name string, schema string").withColumn("turn", F.lit(1))
+    return tool_calls.link_tool_calls(c, r, t).collect()
+
+
+@pytest.mark.parametrize("bound", [500_000, 3])
+def test_levels_of_chains_branches_and_cycles(spark, monkeypatch, bound):
+    monkeypatch.setattr(tool_calls, "FOLD", bound)
+    r = random.Random(7)
+    deps = {(1, str(i)): {str(i - 1)} if i else set() for i in range(40)}
+    deps |= {(2, str(i)): {str(r.randrange(i)) for _ in range(r.randint(0, 3))} if i else set() for i in range(30)}
+    deps |= {(3, k): d for k, d in {"a": {"b"}, "b": {"c"}, "c": {"a"}, "d": {"a"}, "e": {"d", "f"}, "f": set(), "g": {"f"}, "h": {"h"}, "i": {"g", "f"}, "j": {"i"}, "k": {"j"}}.items()}
+    deps |= {(4, "x"): {"y"}, (4, "y"): set()}
+    calls = [(c, n, k, "f", '{"x":[' + ",".join(f'{{"$ref":"{d}"}}' for d in sorted(ds)) + "]}") for n, ((c, k), ds) in enumerate(deps.items())]
+
+    def level(c, k, above=()):
+        if k in above:
+            raise RecursionError
+        return max((level(c, d, (*above, k)) + 1 for d in deps[c, k]), default=0)
+
+    for row in link(spark, calls + calls[:5]):
+        try:
+            want = level(row.conv_id, row.call_id)
+        except RecursionError:
+            want = None
+        assert (row.level, row.status) == (want, "cycle" if want is None else "no_result"), row
+
+
+BAD = {"p": '{"properties":{"x":{"pattern":"["}}}', "m": '{"properties":{"x":{"minLength":"3"}}}', "r": '{"required":null}', "t": '{"type":5}', "l": "[1]", "e": '{"anyOf":[]}', "n": "{", "o": '{"properties":[]}', "a": '{"anyOf":[{"type":"text"}]}'}
+
+
+def test_malformed_schemas_are_errors_of_their_calls(spark):
+    rows = link(spark, [(1, i, k, k, '{"x":"y"}') for i, k in enumerate(BAD)] + [(1, 99, "ok", "ok", '{"x":"y"}'), (1, 100, "un", "unknown", "{}")], tools=[*BAD.items(), ("ok", '{"properties":{"x":{"type":"string"}}}'), ("ok", "~"), (None, "{}")])
+    by = {r.call_id: list(r.errors) for r in rows}
+    assert by.pop("ok") == [] and by.pop("un") == by.pop("n") == ["$: unknown tool"]
+    assert all(len(e) == 1 and e[0].startswith("$: the tool's schema") for e in by.values()) and len(by) == 8
+
+
+def test_large_schemas_and_long_arguments(spark, monkeypatch):
+    monkeypatch.setattr(tool_calls, "SMALL_SCHEMAS", 0)
+    long = "w " * 200_000
+    rows = link(spark, [(1, 0, "a", "f", '{"x":"' + long + '"}'), (1, 1, "b", "f", None), (1, 2, None, None, None), (None, 3, "c", "f", "{}")], [(1, 5, "a", None), (1, 4, "a", long)], [("f", '{"properties":{"x":{"maxLength":5}}}')])
+    by = {r.turn: r for r in rows}
+    assert by[0].errors == ["$.x: over maxLength"] and by[0].result_turn == 4 and len(by[0].json) > 800_000
+    assert by[1].errors == ["$: not a JSON object"] and by[1].status == "no_result" and by[2].status == by[3].status == "no_id"
+
+
+def test_canonical_numbers():
+    some = {0.00001: "0.00001", 1e-7: "1e-7", 1.5e-7: "1.5e-7", 0.000001: "0.000001", 1e21: "1e+21", 1e20: "100000000000000000000", 123.456: "123.456", -0.0: "0", 5e-324: "5e-324", 1.7976931348623157e308: "1.7976931348623157e+308", 333333333.33333329: "333333333.3333333", 4.50: "4.5", 2e-3: "0.002", -1.0: "-1"}
+    assert {x: tool_calls.canonical(x) for x in some} == some
+    assert tool_calls.canonical({"": 1, "😀": 2, "a": [True, None, 10**30, "\x07\n\""]}) == '{"a":[true,null,1000000000000000000000000000000,"\\u0007\\n\\""],"😀":2,"":1}'
