@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quarry.llm import _store, components, decontaminate, nbest, ngram_join, queries, tool_calls
+from quarry.llm import _store, components, decontaminate, nbest, ngram_join, quality_rules, queries, tool_calls
 
 SHAPE = "doc_id long, text string"
 
@@ -273,3 +273,65 @@ def test_canonical_numbers():
     some = {0.00001: "0.00001", 1e-7: "1e-7", 1.5e-7: "1.5e-7", 0.000001: "0.000001", 1e21: "1e+21", 1e20: "100000000000000000000", 123.456: "123.456", -0.0: "0", 5e-324: "5e-324", 1.7976931348623157e308: "1.7976931348623157e+308", 333333333.33333329: "333333333.3333333", 4.50: "4.5", 2e-3: "0.002", -1.0: "-1"}
     assert {x: tool_calls.canonical(x) for x in some} == some
     assert tool_calls.canonical({"": 1, "😀": 2, "a": [True, None, 10**30, "\x07\n\""]}) == '{"a":[true,null,1000000000000000000000000000000,"\\u0007\\n\\""],"😀":2,"":1}'
+
+
+def judged(t):
+    """The features and verdicts of one text in plain Python."""
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = {}
+    for i in range(len(w) - 2):
+        grams.setdefault(tuple(w[i : i + 3]), []).append(i)
+    repeated = len({p for at in grams.values() if len(at) > 1 for i in at for p in (i, i + 1, i + 2)})
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dups = len(lines) - len(set(lines))
+    chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t))
+    base = len(w) < 50 or 100 * repeated > 50 * len(w)
+    import regex
+
+    others = len(regex.sub(r"[\p{L}\p{M}]+", "", t)) - (len(t) - chars)
+    gone = 10 * symbols > len(w) or not 3 * len(w) <= chars <= 15 * len(w) or 100 * dups > 40 * len(lines) or 100 * len(re.findall("[A-Z]", t)) > 30 * chars or 2 * others > chars
+    return len(w), chars, symbols, len(lines), dups, repeated, base, not base and not gone
+
+
+def texts_of_quality():
+    r = random.Random(9)
+    word = lambda n=6: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, n)))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    return [
+        None, "", " \n\t\x0b ", plain(49), plain(50), plain(80), "one two three " * 40, plain(60).upper(), plain(60) + " # $ % & | < > * #", "é" + plain(55) + "日本語 😀\x85\xa0x",
+        "\n".join([plain(6)] * 4 + [plain(6) for _ in range(8)]), "\n".join([plain(12)] * 5 + [plain(9)] * 2), " ".join("a" for _ in range(60)), " ".join("x" * 16 + str(i) for i in range(60)), " ".join(f"{i}.{i}" for i in range(1000, 1070)),
+        plain(70) + "\r\n" + plain(5), plain(20_000), "a b c a b c " + plain(50), "\n\n".join(plain(30) for _ in range(3)) + "\n",
+    ]
+
+
+@pytest.mark.parametrize("wanted", [quality_rules.WANTED, ("n_words",), ()])
+def test_quality_rules_are_brute_force(spark, wanted):
+    rows = list(enumerate(texts_of_quality())) + [(None, "x " * 60), (5, texts_of_quality()[5])]
+    d = spark.createDataFrame(rows, SHAPE).withColumn("n_words", F.lit("x")).withColumn("kept", F.lit("x")).withColumn("_w", F.lit("x"))
+    got = quality_rules.cascade(d, wanted=wanted).collect()
+    want = [(i, dict(zip(quality_rules.WANTED, judged(t), strict=False)), *judged(t)[-2:]) for i, t in rows]
+    assert sorted(repr((r.doc_id, [r[c] for c in wanted], r.base_failed, r.kept)) for r in got) == sorted(repr((i, [x[c] for c in wanted], b, k)) for i, x, b, k in want)
+
+
+def test_rules_are_ordered_by_rejections_per_counted_work(spark):
+    rules = {r.name: r for r in quality_rules.default_rules()}
+    names = ["letters", "capitals", "symbols", "word_length", "repeated_lines"]
+    # 100 rows of 10 characters: letters rejects 60 rows and capitals 50 of these, but both read the text; symbols rejects 5 for nothing
+    rows = [(10, i < 60, i < 50, 90 <= i < 95, False, False) for i in range(100)]
+    order = lambda have: [r.name for r in quality_rules.ordered([rules[n] for n in names], rows, have)]
+    free = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines"}
+    assert order(free) == ["symbols", "capitals", "letters", "word_length", "repeated_lines"]
+    # where all features are there the one that rejects most is first
+    assert order(free | {"n_capitals", "n_other_signs"})[:2] == ["letters", "symbols"]
+    # and with none it is the best for its work: 50 of 4 + 1 times the characters before 60 of 6 + 1
+    assert order(set())[0] == "capitals"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    orders = {tuple(r.name for r in quality_rules.order_rules(docs, list(rules.values()))) for _ in range(3)}
+    assert len(orders) == 1
+
+
+def test_features_that_nobody_wants_are_computed_by_the_rule(spark):
+    d = spark.createDataFrame([(1, "x")], SHAPE)
+    plan = quality_rules.cascade(d, rules=[quality_rules.default_rules()[3]], wanted=())._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "[A-Z]+" in plan and "n_symbols" not in plan and "n_dup_lines" not in plan
