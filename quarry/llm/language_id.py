@@ -8,15 +8,18 @@ word is scored once per worker and remembered (at most ``REMEMBER`` words).
 
 Piece probabilities are fitted by expectation-maximisation (forward-backward
 over the same lattices) on at most ``PER_LANGUAGE`` documents of each language,
-chosen by hash from all that may be learned from.  Characters without a piece
+chosen by hash from all different ones that may be learned from.  Each language is
+fitted in a task of its own; the driver has the probabilities only.  Characters without a piece
 are spelled in bytes, whose probability is shared by all languages.
 
 The score is the posterior probability of the predicted language, with equal
 priors; ties fall to the language that is first in order.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows
-without a language are never learned from; with no language to learn all is
-``und``; repeated rows are predicted alike; an empty table gives no rows.
+without a language are never learned from; rows equal in id and text are learned
+from once; with no language to learn all is ``und``; repeated rows are predicted
+alike; a text of any length counts whole; columns of the input stay, but one named
+like an output column is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,18 +32,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from . import _kernel as K
 from ._lattice import MARK, groups, vocab
-from ._store import remembered
+from ._store import release, remembered
 
 PER_LANGUAGE = 1000
 REMEMBER = 300_000
 ROUNDS = 3
-#: Units over this length are fitted and scored in the logarithm domain.
+#: Units over this length, or that could underflow, are fitted and scored in the logarithm domain.
 LONG = 48
-#: Characters of long units that are fitted at once.
-LONG_CHARS = 200_000
+#: Characters of short and of long units that are fitted at once.
+SHORT_CHARS, LONG_CHARS = 200_000, 100_000
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTE = 1e-7
 
@@ -49,6 +53,12 @@ def units_of(text: str) -> list[str]:
     return [MARK + w for w in text.split()]
 
 
+def _fits(prob) -> int:
+    """The longest unit whose probability can't underflow: no piece is shorter than a character."""
+    least = float(prob.min()) if prob.size else 1.0
+    return LONG if least >= 1 else max(1, min(LONG, int(280 / -np.log10(least))))
+
+
 def _forward(v, units, prob):
     """Logarithm of the sum over segmentations, for each unit and language; prob: pieces x languages, its last row for bytes."""
     first, last, piece, base, lens, cuts = v.edges(units)
@@ -57,7 +67,7 @@ def _forward(v, units, prob):
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         g = groups(last[a:b])
         alpha[last[a:b][g]] = np.add.reduceat(alpha[first[a:b]] * prob[piece[a:b]], g)
-    return np.log(np.maximum(alpha[base + lens], 1e-300))
+    return np.log(alpha[base + lens])
 
 
 def _forward_long(v, unit, prob):
@@ -86,8 +96,7 @@ def _expected(v, units, weight, p):
     for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
         np.add.at(beta, first[a:b], beta[last[a:b]] * p[piece[a:b]])
     unit = np.searchsorted(base, first, "right") - 1
-    total = np.maximum(alpha[base + lens], 1e-300)
-    post = alpha[first] * p[piece] * beta[last] / total[unit] * weight[unit]
+    post = alpha[first] * p[piece] * beta[last] / alpha[base + lens][unit] * weight[unit]
     return np.bincount(np.where(piece < 0, v.size, piece), post, v.size + 1)
 
 
@@ -118,38 +127,38 @@ def _batches(units: list[str], size: int):
         lo = hi
 
 
+def fit_one(texts: list[str], model: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities of pieces, the last that of a byte, from a language's texts."""
+    v = vocab(model)
+    words = Counter()
+    for t in texts:
+        words.update(units_of(t))
+    units = sorted(words, key=lambda w: (len(w), w))
+    lengths = np.array([len(u) for u in units])
+    weight = np.array([words[w] for w in units], float)
+    p = np.full(v.size + 1, 1.0 / len(v.own))
+    p[-1] = _BYTE
+    for _ in range(rounds if words else 0):
+        c = np.zeros(v.size + 1)
+        short = int(np.searchsorted(lengths, _fits(p), "right"))
+        for lo, hi in _batches(units[:short], SHORT_CHARS):
+            c += _expected(v, units[lo:hi], weight[lo:hi], p)
+        for lo, hi in _batches(units[short:], LONG_CHARS):
+            c += _expected_long(v, units[short + lo : short + hi], weight[short + lo : short + hi], p)
+        c = c[:-1] + 0.01
+        p = np.append(c / c.sum(), _BYTE)
+    return p
+
+
 def fit(texts: dict[str, list[str]], model: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and pieces x languages probabilities."""
-    v = vocab(model)
     langs = sorted(texts)
-    cols = []
-    for lang in langs:
-        words = Counter()
-        for t in texts[lang]:
-            words.update(units_of(t))
-        units = sorted(w for w in words if len(w) <= LONG)
-        weight = np.array([words[w] for w in units], float)
-        long = sorted((w for w in words if len(w) > LONG), key=lambda w: (len(w), w))
-        long_weight = np.array([words[w] for w in long], float)
-        p = np.full(v.size + 1, 1.0 / len(v.own))
-        for _ in range(rounds if words else 0):
-            c = np.zeros(v.size + 1)
-            for lo in range(0, len(units), 50_000):
-                c += _expected(v, units[lo : lo + 50_000], weight[lo : lo + 50_000], p)
-            for lo, hi in _batches(long, LONG_CHARS):
-                c += _expected_long(v, long[lo:hi], long_weight[lo:hi], p)
-            c = c[:-1] + 0.01
-            p = np.append(c / c.sum(), _BYTE)
-        cols.append(p)
-    prob = np.array(cols).T if cols else np.zeros((v.size + 1, 0))
-    if cols:
-        prob[-1] = _BYTE
-    return langs, prob
+    return langs, np.array([fit_one(texts[k], model, rounds) for k in langs]).reshape(len(langs), vocab(model).size + 1).T
 
 
 class Scorer:
     def __init__(self, model: str, prob: np.ndarray):
-        self.v, self.prob = vocab(model), prob
+        self.v, self.prob, self.fits = vocab(model), prob, _fits(prob)
         self.clear()
 
     def clear(self):
@@ -164,12 +173,12 @@ class Scorer:
         i = self.at.of(list(chain.from_iterable(lists)))
         if new := self.at.fresh:
             got = np.empty((len(new), self.prob.shape[1]))
-            short = [j for j, w in enumerate(new) if len(w) < LONG]
-            for lo in range(0, len(short), 20_000):
-                part = short[lo : lo + 20_000]
-                got[part] = _forward(self.v, [MARK + new[j] for j in part], self.prob)
+            short = [j for j, w in enumerate(new) if len(w) < self.fits]
+            units = [MARK + new[j] for j in short]
+            for lo, hi in _batches(units, SHORT_CHARS):
+                got[short[lo:hi]] = _forward(self.v, units[lo:hi], self.prob)
             for j, w in enumerate(new):
-                if len(w) >= LONG:
+                if len(w) >= self.fits:
                     got[j] = _forward_long(self.v, MARK + w, self.prob)
             new.clear()
             self.rows = np.concatenate([self.rows, got])
@@ -180,34 +189,43 @@ class Scorer:
 
 
 def learn(docs: DataFrame, model: str, allowed: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Fit on at most ``per_language`` documents of each language, those with the smallest hashes of their ids as far as can be told by share."""
-    docs = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    """Fit on at most ``per_language`` documents of each language, those with the smallest hashes of id and text as far as can be told by share."""
     if allowed is not None:
         docs = docs.filter(allowed)
-    count = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
+    space = 1 << 30
+    h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("language")), F.lit(space))
+    docs = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"), h.alias("h"))
+    # different rows, within a few hundredths
+    count = {r[0]: r[1] for r in docs.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("k", "t"), 0.02)).collect()}
     if not count:
         return [], np.zeros((vocab(model).size + 1, 0))
-    space = 1 << 30
-    # a quarter more than wanted on average, then the first by hash
+    # a quarter more than wanted on average, of which the first by hash are taken
     share = F.create_map(*[x for k, n in count.items() for x in (F.lit(k), F.lit(int(min(1.0, (1.25 * per_language + 20) / n) * space)))])
-    h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(space))
-    rows = docs.withColumn("_h", h).filter(F.col("_h") < F.try_element_at(share, F.col(lang))).select("_h", key, F.col(lang).alias("l"), F.col(text).alias("t")).collect()
-    texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r[0], str(r[1]), r[3])):
-        if len(own := texts.setdefault(r[2], [])) < per_language:
-            own.append(r[3])
-    return fit(texts, model)
+    some = docs.filter(F.col("h") < F.try_element_at(share, F.col("l"))).groupBy("l", "h", "k").agg(F.min("t").alias("t"))
+
+    def one(table: pa.Table) -> pa.Table:
+        release()
+        rows = sorted(zip(table.column("h").to_pylist(), table.column("k").to_pylist(), table.column("t").to_pylist(), strict=True), key=lambda r: (r[0], r[1] or "", r[2]))
+        p = fit_one([t for _, _, t in rows[:per_language]], model)
+        name = table.column("l")[0].as_py()
+        release()
+        return pa.table({"l": [name], "p": pa.array([p.tobytes()], pa.binary())})
+
+    # a language's bounded sample in one task each; eight bytes a piece come back
+    found = {r[0]: np.frombuffer(r[1]) for r in some.groupBy("l").applyInArrow(one, "l string, p binary").collect()}
+    langs = sorted(found)
+    return langs, np.array([found[k] for k in langs]).T
 
 
 def identify(docs: DataFrame, model: str, fitted: tuple[list[str], np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The documents with the predicted language and its posterior probability."""
+    """The documents with the predicted language and its posterior probability, in place of columns of these names."""
     langs, prob = fitted
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, prob))
+    # the text may be named like an output column, too
     at = docs.columns.index(text)
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([*docs.schema.fields, *StructType().add(pred, StringType()).add(score, DoubleType()).fields])
+    stay = [i for i, c in enumerate(docs.columns) if c.lower() not in (pred.lower(), score.lower())]
+    schema = StructType([*(docs.schema.fields[i] for i in stay), *StructType().add(pred, StringType()).add(score, DoubleType()).fields])
 
     def predict(it):
         langs, prob = shared.value
@@ -224,6 +242,6 @@ def identify(docs: DataFrame, model: str, fitted: tuple[list[str], np.ndarray],
                 for j, k in enumerate(known):
                     out_l.append(langs[best[j]] if k else "und")
                     out_s.append(float(p[j]) if k else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out_l, pa.string()), pa.array(out_s, pa.float64())], names=[*batch.schema.names, pred, score])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), pa.array(out_l, pa.string()), pa.array(out_s, pa.float64())], names=[*(batch.schema.names[i] for i in stay), pred, score])
 
     return docs.mapInArrow(predict, schema)
