@@ -15,8 +15,9 @@ Lines and texts are told apart by 64-bit hashes.
 
 Edge cases: a null text stays null and has no lines; a null site counts as no
 site; repeated rows are treated alike; documents with a null id never keep a
-boilerplate line as its first; an empty table gives no rows; further columns
-pass through unchanged.
+boilerplate line as its first; blank lines and ties of ids and sites change
+nothing; a text of any length counts whole; an empty table gives no rows; further
+columns pass through, but one named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.schema import free
+
 from ._store import saved
 
 BLANK = " \t\n\x0b\f\r"
@@ -59,21 +62,21 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, removed: str = "n_removed", lines: str = "n_lines") -> DataFrame:
     """The documents with the other lines of ``text`` only, and columns with the numbers of lines and of removed ones."""
     line, chosen = boilerplate(docs, key, text, site, min_sites)
-    flagged = saved(line.join(_small(chosen, chosen.count()), "h").groupBy("th").agg(F.collect_list(F.struct("h", "first_id")).alias("_flags")), "flagged")
-    rows = flagged.agg(F.sum(F.size("_flags"))).first()[0] or 0
-    flagged = flagged.withColumnRenamed("th", "_th")
-    names = docs.columns
+    th, flags, kept = (free(docs, c) for c in ("_th", "_flags", "_kept"))
+    flagged = saved(line.join(_small(chosen, chosen.count()), "h").groupBy(F.col("th").alias(th)).agg(F.collect_list(F.struct("h", "first_id")).alias(flags)), "flagged")
+    rows = flagged.agg(F.sum(F.size(flags))).first()[0] or 0
+    names = [c for c in docs.columns if c == text or c.lower() not in (removed.lower(), lines.lower())]
     all_lines = F.split(F.col(text), "\n")
 
     def stays(x):
         h = F.xxhash64(_trimmed(x))
-        return ~F.exists("_flags", lambda f: (f["h"] == h) & ~f["first_id"].eqNullSafe(F.col(key)))
+        return ~F.exists(flags, lambda f: (f["h"] == h) & ~f["first_id"].eqNullSafe(F.col(key)))
 
-    out = docs.withColumn("_th", F.xxhash64(text)).join(_small(flagged, rows), "_th", "left")
-    out = out.withColumn("_kept", F.when(F.col("_flags").isNull(), all_lines).otherwise(F.filter(all_lines, stays)))
-    new = {text: F.when(F.col("_flags").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))}
+    out = docs.withColumn(th, F.xxhash64(text)).join(_small(flagged, rows), th, "left")
+    out = out.withColumn(kept, F.when(F.col(flags).isNull(), all_lines).otherwise(F.filter(all_lines, stays)))
+    new = {text: F.when(F.col(flags).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))}
     return out.select(
-        *[new.get(c, F.col(c)).alias(c) for c in names],
+        *[new.get(c, F.col(f"`{c}`")).alias(c) for c in names],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias(lines),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines) - F.size("_kept")).cast("long").alias(removed),
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines) - F.size(kept)).cast("long").alias(removed),
     )
