@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._store import SMALL_IDS, saved, shared_dir, without
+from quarry.llm._store import SMALL_IDS, saved, scratch, shared_dir, without
 from quarry.llm.decontaminate import drop_contaminated
 from quarry.llm.language_id import identify, learn
 from quarry.llm.line_dedup import dedup_lines
@@ -79,7 +79,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: Language models and segmentations are no SQL; tests hold each stage against brute force.
+#: Language models and segmentations are no SQL; tests hold each stage and the whole against plain Python.
 ORACLE_SQL = None
 
 
@@ -87,6 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what a stage wrote on its way goes once its rows are written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
