@@ -44,7 +44,7 @@ ROUNDS = 3
 #: Units over this length, or that could underflow, are fitted and scored in the logarithm domain.
 LONG = 48
 #: Characters of short and of long units that are fitted at once.
-SHORT_CHARS, LONG_CHARS = 200_000, 100_000
+SHORT_CHARS, LONG_CHARS = 80_000, 50_000
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTE = 1e-7
 

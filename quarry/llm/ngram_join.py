@@ -54,7 +54,7 @@ WIDTH = 1 << 21
 SLICES = 64
 SMALL = 8
 LOCAL = 32
-BLOCK = 2048
+BLOCK = 512
 BINS = 16
 #: Bytes of sets of one component, and of one document's pairs, that go to one partition.
 GROUP_BYTES = 250e3
