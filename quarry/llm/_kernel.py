@@ -120,10 +120,6 @@ def one_gram(h: np.ndarray) -> np.ndarray:
     return gram_hashes(h, len(h))
 
 
-def table_batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, schema.field(k).type) for k, x in ((f.name, cols[f.name]) for f in schema)], schema=schema)
-
-
 class Numbers(dict):
     """Numbers words in the order in which they are first seen; ``fresh`` has those not yet dealt with."""
 
@@ -132,11 +128,12 @@ class Numbers(dict):
         self.fresh: list[str] = []
         self.hits = np.zeros(0, np.int64)
 
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
     def of(self, words: list[str]) -> np.ndarray:
-        new = list(set(words) - self.keys())
-        n = len(self)
-        self.update(zip(new, range(n, n + len(new)), strict=True))
-        self.fresh += new
         i = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         seen = np.bincount(i, minlength=len(self))
         seen[: len(self.hits)] += self.hits
