@@ -14,12 +14,21 @@ from quarry.llm.ngram_join import ngram_join
 from quarry.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that go to Python at once at most: texts are long, and five stages' workers share an executor's memory. The pipeline sets the session's limit where that is larger.
+BATCH_ROWS = 1000
 #: Posterior probability under which a document's language counts as unknown.
 LEAST_SCORE = 0.5
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known language, which replaces ``lang``; what has no letter or no clear language goes."""
+    _bound_batches(spark)
     model = tokenizer("piece_bpe_32k.model")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     fitted = learn(docs, model, allowed=~F.coalesce(held_out, F.lit(False)))
@@ -41,6 +50,7 @@ def _row_key():
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id, of equal ids that with the smallest row key. Rows without an id stay; of rows equal in id and text one does."""
+    _bound_batches(spark)
     docs = docs.select(*COLUMNS)
     twice = saved(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
     if not (n := twice.count()):
@@ -60,12 +70,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item; rows go one by one, whatever ids they share."""
+    _bound_batches(spark)
     keyed = docs.select(*COLUMNS).withColumn("_row", _row_key())
     return drop_contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=1, key="_row").select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document's best segmentation, the scores of the four best, and whether decoding gives the text back."""
+    _bound_batches(spark)
     docs = docs.select(*COLUMNS)
     rows = encode(docs.withColumn("_row", F.struct("doc_id", "lang", "source", F.col("text").alias("raw"))), tokenizer("piece_bpe_32k.model"), n=4, key="_row")
     return rows.select("_row.doc_id", "_row.lang", "_row.source", "ids", "scores", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("_row.raw")).alias("round_trip"))
