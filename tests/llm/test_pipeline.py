@@ -109,7 +109,10 @@ def kept_lines(rows, least=10):
     return out
 
 
-def test_line_dedup_is_brute_force(spark):
+@pytest.mark.parametrize("bounds", [{}, {"SMALL": 1}, {"SMALL": 1, "HOT": 2}])
+def test_line_dedup_is_brute_force(spark, monkeypatch, bounds):
+    for k, v in bounds.items():
+        monkeypatch.setattr(line_dedup, k, v)
     rows = [(i, f"cookie notice \nown {i}\n\n\t\nnine sites {i}" + ("\nnine" if i < 9 else "") + ("\nten" if i < 10 else ""), f"s{i}") for i in range(14)]
     rows += [(50, None, "s1"), (51, "", None), (52, " \n\t", "s2"), (53, "cookie notice", None), (3, "cookie notice\nsame id", "s3"), (54, "long\n" * 30_000 + "ten", "s4"), (55, "ten\nten\n ten", "s5"), (55, "ten\nten\n ten", "s5")]
     rows += [(60 + i, "copied to all", f"s{i}") for i in range(12)]
