@@ -92,8 +92,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site:
         h = F.xxhash64(_trimmed(x))
         return ~F.exists(flags, lambda f: (f["h"] == h) & ~f["first_id"].eqNullSafe(F.col(key)))
 
-    # a text without lines is never flagged, so such rows need not meet
-    out = docs.withColumn(lot, F.xxhash64(key, site)).withColumn(th, F.when(F.length(F.translate(text, BLANK, "")) > 0, F.xxhash64(text)).otherwise(F.col(lot)))
+    out, h = docs.withColumn(lot, F.xxhash64(key, site)), F.xxhash64(text)
+    # a text without lines is never flagged, so in a shuffle such rows need not meet
+    out = out.withColumn(th, h if rows <= SMALL else F.when(F.trim(text, F.lit(BLANK)) != "", h).otherwise(F.col(lot)))
     out = _meet(out, flagged, th, rows, out.groupBy(th).agg(F.count("*").alias("n")), spread=lot, how="left")
     out = out.withColumn(kept, F.when(F.col(flags).isNull(), all_lines).otherwise(F.filter(all_lines, stays)))
     new = {text: F.when(F.col(flags).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))}
