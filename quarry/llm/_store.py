@@ -95,9 +95,13 @@ SMALL_IDS = 1_000_000
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is not among ``ids``; these are counted, and broadcast only where they are few."""
+    """The rows whose key is null or not among ``ids``; these are counted, and broadcast only where they are few."""
     ids = saved(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, "left_anti")
+    if ids.count() <= SMALL_IDS:
+        return docs.join(F.broadcast(ids), key, "left_anti")
+    # rows without a key stay; in a shuffle they would all meet in one task
+    named = F.col(key).isNotNull()
+    return docs.filter(named).join(ids, key, "left_anti").unionByName(docs.filter(~named))
 
 
 def n_parts(spark: SparkSession, n_bytes: float, per_part: float = 32e6) -> int:

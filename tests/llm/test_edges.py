@@ -217,6 +217,16 @@ def test_folders_go(spark):
     assert not os.path.exists(path)
 
 
+@pytest.mark.parametrize("bound", [_store.SMALL_IDS, 0])
+def test_rows_without_a_key_stay(spark, monkeypatch, bound):
+    monkeypatch.setattr(_store, "SMALL_IDS", bound)
+    d = spark.createDataFrame([("a", 1), ("b", None), ("c", 2), ("b", None), ("d", 2), ("e", 3)], "text string, id long")
+    ids = spark.createDataFrame([(2,), (2,), (None,), (9,)], "id long")
+    out = _store.without(d, ids, "id")
+    assert sorted(r.text for r in out.collect()) == ["a", "b", "b", "e"]
+    assert not _store.without(d.limit(0), ids, "id").collect() and _store.without(d, ids.limit(0), "id").count() == 6
+
+
 CALLS = "conv_id long, turn int, call_id string, name string, arguments string"
 
 
