@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 
 from . import _kernel as K
 
 MARK = "▁"
+PUNCTUATION = re.escape(string.punctuation)
+_BOUND = re.compile(rf"([^\W\d_])(?=[{PUNCTUATION}])")
 _VOCABS: dict = {}
 
 
@@ -33,8 +36,10 @@ class Vocab:
         self.unknown = float(self.score[own].min()) - 10.0
         #: Texts fall apart before each mark if no piece has a mark after another character.
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in own)
-        #: Nor does a piece hold one of these after a letter, so texts fall apart there too.
-        self.stops = "".join(c for c in ",.!?;:" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", self.pieces[i]) for i in own))
+        #: Letters before a punctuation mark in a piece; after all others texts fall apart before punctuation.
+        self.bound = "".join(sorted({c for i in own for c in _BOUND.findall(self.pieces[i])}))
+        #: Around line ends too if no piece has one beside another character.
+        self.by_line = not any("\n" in self.pieces[i] and len(self.pieces[i]) > 1 for i in own)
         self.longest = max(len(self.pieces[i]) for i in own)
         flat, lens = points([self.pieces[i] for i in own])
         c = _sums(flat)
@@ -43,8 +48,10 @@ class Vocab:
         o = np.argsort(h)
         self.hash, self.piece = h[o], self.own[o]
         assert (self.hash[1:] != self.hash[:-1]).all()
-        self.map = np.zeros(1 << 22, bool)
-        self.map[(self.hash >> K.U(42)).astype(np.int64)] = True
+        #: The first hash of each 20 leading bits, and the most that share them.
+        top, first, many = np.unique((self.hash >> K.U(44)).astype(np.int64), return_index=True, return_counts=True)
+        self.slot = np.full(1 << 20, -1, np.int32)
+        self.slot[top], self.shared = first, int(many.max())
         self.lengths = sorted({len(self.pieces[i]) for i in own})
 
     def edges(self, units: list[str]):
@@ -64,14 +71,17 @@ class Vocab:
         c = _sums(flat)
         at_all, len_all, piece_all = [], [], []
         single = np.zeros(n, bool)
+        begins = np.arange(n)
         for size in self.lengths:
-            i = np.flatnonzero(left >= size)
-            h = K.span_hash(c, i, i + size)
-            k = np.flatnonzero(self.map[(h >> K.U(42)).astype(np.int64)])
-            j = np.searchsorted(self.hash, h[k])
-            j[j == len(self.hash)] = 0
-            ok = self.hash[j] == h[k]
-            i, piece = i[k[ok]], self.piece[j[ok]]
+            begins = begins[left[begins] >= size]
+            h = K.span_hash(c, begins, begins + size)
+            j = self.slot[(h >> K.U(44)).astype(np.int64)]
+            k = np.flatnonzero(j >= 0)
+            h, j = h[k], j[k]
+            for _ in range(self.shared - 1):
+                j += (self.hash[j] < h) & (j < len(self.hash) - 1)
+            ok = self.hash[j] == h
+            i, piece = begins[k[ok]], self.piece[j[ok]]
             if size == 1:
                 single[i] = True
             at_all.append(i), len_all.append(np.full(len(i), size)), piece_all.append(piece)

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding, with the n best segmentations.
 
 A text becomes a mark and its characters with marks for spaces, as the model's
-own encoder does.  No piece spans a mark after another character, so the lattice
+own encoder does.  No piece spans a mark after another character, punctuation
+after a letter or a line's end, as far as the vocabulary shows it, so the lattice
 falls apart into units, each solved once per worker (at most ``REMEMBER``).
 
 A forward Viterbi pass gives the best score of a path to each place.  It is the
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._lattice import MARK, groups, vocab
+from ._lattice import MARK, PUNCTUATION, groups, vocab
 from ._store import remembered
 
 REMEMBER = 200_000
@@ -47,7 +48,7 @@ REMEMBER_CHARS, PORTION = 8_000_000, 100_000
 REMEMBER_BEST = 100_000
 #: Stands before a unit that begins inside a word; texts that hold it are not cut there.
 _CUT = "\0"
-_UNIT = re.compile(f"{MARK}+[^{MARK}{_CUT}]*|{_CUT}[^{MARK}{_CUT}]*")
+_UNIT = re.compile(f"{MARK}+[^{MARK}{_CUT}]*|{_CUT}[^{MARK}{_CUT}]+")
 
 
 def searches(v, units: list[str], n: int) -> list[list[tuple[float, list[int]]]]:
@@ -108,7 +109,7 @@ def _plain(unit: str) -> str:
 class Segmenter:
     def __init__(self, path: str, n: int):
         self.v, self.n = vocab(path), n
-        self.stop = re.compile(rf"(?<=[^\W\d_])(?=[{re.escape(self.v.stops)}])") if self.v.stops else None
+        self.stop = re.compile(rf"[{PUNCTUATION}](?<=[^\W\d_{self.v.bound}].)")
         self.clear()
 
     def clear(self):
@@ -202,10 +203,22 @@ class Segmenter:
             return [t]
         if _CUT in t:
             return _WORD.findall(t)
-        return _UNIT.findall(self.stop.sub(_CUT, t) if self.stop else t)
+        if self.v.by_line:
+            t = t.replace("\n", f"{_CUT}\n{_CUT}")
+        return _UNIT.findall(self.stop.sub(rf"{_CUT}\g<0>", t))
 
     def encode(self, texts: list[str]):
         """For each text (ids of the best, scores of the n best, units changed in each: list of {place of unit: ids})."""
+        for ids, _, scores, changes in self._solve(texts):
+            yield ids, scores, changes
+
+    def n_best(self, texts: list[str]):
+        """For each text (scores of the n best, all ids of each)."""
+        for ids, starts, scores, changes in self._solve(texts):
+            yield scores, [_changed(ids, starts, x) for x in changes]
+
+    def _solve(self, texts: list[str]):
+        """As ``encode``, with the place in the ids where each unit starts and one more for the end."""
         if len(self.at) > REMEMBER or self.chars > REMEMBER_CHARS:
             self._forget()
         if len(self.found) > REMEMBER_BEST:
@@ -222,7 +235,8 @@ class Segmenter:
         ids = self.ids[_spans(self.start[flat], n)]
         at = 0
         for k, x in zip(texts_of, near, strict=True):
-            yield ids[total[at] : total[at + len(k)]], *self._n_best(k, x)
+            starts = total[at : at + len(k) + 1] - total[at]
+            yield ids[total[at] : total[at + len(k)]], starts, *self._n_best(k, x)
             at += len(k)
 
     def _near(self, k) -> list[int]:
@@ -269,6 +283,22 @@ class Segmenter:
         return self.decode_bytes(ids).decode("utf-8", "surrogatepass")
 
 
+def _changed(ids: np.ndarray, starts: np.ndarray, change: dict[int, list[int]]) -> np.ndarray:
+    """The ids with those of some units replaced."""
+    if not change:
+        return ids
+    parts, done = [], 0
+    for i in sorted(change):
+        parts += [ids[done : starts[i]], np.array(change[i], np.int32)]
+        done = starts[i + 1]
+    return np.concatenate([*parts, ids[done:]])
+
+
+def _lists(arrays: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Offsets and values of a list array of these."""
+    return pa.array(np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]))
+
+
 def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places start to start + n of each, one after the other."""
     end = np.cumsum(n)
@@ -294,13 +324,16 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text", key: str
                 some = batch.slice(lo, 200)
                 texts = some.column(1).to_pylist()
                 null = np.array([t is None for t in texts], bool)
-                found = list(s.encode(texts))
-                offsets = np.r_[0, np.cumsum([len(ids) for ids, _, _ in found])].astype(np.int32)
-                out = {key: some.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([ids for ids, _, _ in found]).astype(np.int32)), mask=pa.array(null))}
-                out["scores"] = pa.array([None if t is None else x for t, (_, x, _) in zip(texts, found, strict=True)], pa.list_(pa.float64()))
-                out["decoded"] = pa.array([None if t is None else s.decode_bytes(ids.tolist()) for t, (ids, _, _) in zip(texts, found, strict=True)], pa.string())
+                mask = pa.array(null)
+                found = list(s.n_best(texts)) if all_ids else [(x, [ids]) for ids, x, _ in s.encode(texts)]
+                best = [every[0] for _, every in found]
+                out = {key: some.column(0), "ids": pa.ListArray.from_arrays(*_lists(best), mask=mask)}
+                out["scores"] = pa.array([None if t is None else x for t, (x, _) in zip(texts, found, strict=True)], pa.list_(pa.float64()))
+                out["decoded"] = pa.array([None if t is None else s.decode_bytes(ids.tolist()) for t, ids in zip(texts, best, strict=True)], pa.string())
                 if all_ids:
-                    out["n_best"] = pa.array([None if t is None else [s.apply(t, x) for x in changes] if t else [[]] for t, (_, _, changes) in zip(texts, found, strict=True)], pa.list_(pa.list_(pa.int32())))
+                    each = pa.ListArray.from_arrays(*_lists([ids for _, every in found for ids in every]))
+                    ends = np.r_[0, np.cumsum([len(every) for _, every in found])].astype(np.int32)
+                    out["n_best"] = pa.ListArray.from_arrays(pa.array(ends), each, mask=mask)
                 yield pa.RecordBatch.from_pydict(out)
 
     return docs.mapInArrow(run, f"`{key}` {kind}, ids array<int>, scores array<double>, decoded string" + (", n_best array<array<int>>" if all_ids else ""))

@@ -65,8 +65,10 @@ def op4_line_dedup(spark, sf_dir):
 
 def op5_sentencepiece_nbest(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    rows = encode(docs, tokenizer("piece_bpe_32k.model"), n=4)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.get("scores", F.lit(0)).alias("best_score"), F.array_join(F.transform("scores", lambda s: (F.get("scores", F.lit(0)) - s).cast("long")), ",").alias("losses"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = encode(docs, tokenizer("piece_bpe_32k.model"), n=4, all_ids=True)
+    sizes = F.array_join(F.transform("n_best", lambda ids: F.size(ids).cast("string")), ",")
+    hashes = F.array_join(F.transform("n_best", lambda ids: F.xxhash64(ids).cast("string")), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.get("scores", F.lit(0)).alias("best_score"), F.array_join(F.transform("scores", lambda s: (F.get("scores", F.lit(0)) - s).cast("long")), ",").alias("losses"), F.sha2("decoded", 256).alias("decoded_sha256"), sizes.alias("n_best_pieces"), hashes.alias("n_best_xxhash64"))
 
 
 def op6_benchmark_decontamination(spark, sf_dir):

@@ -202,6 +202,39 @@ def test_nbest_edges(spark, model):
         nbest.encode(d, model, key="ids")
 
 
+def test_the_query_has_every_segmentation(spark, model, tmp_path):
+    """The digests of op5 are those of all four segmentations, found by brute force, not only of the best."""
+    texts = ["Banana bread, twice.\nThen none", "interoperability", "w.\n\n,x;y", "Ünïté 2024$$$ and é😀!", "", None, "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_sentencepiece_nbest(spark, str(tmp_path)).collect()}
+    v = nbest.Segmenter(model, 4).v
+    assert len(got) == len(texts) and got[5].n_best_pieces is None and got[5].n_best_xxhash64 is None
+    for i, t in enumerate(texts[:4]):
+        ways = [(float(x), list(map(int, ids))) for x, ids in n_best(v, t, 64)]
+        r = got[i]
+        losses = [ways[0][0] - x for x, _ in ways]
+        assert [float(x) for x in r.losses.split(",")] == losses[:4]
+        found = list(zip(r.n_best_pieces.split(","), r.n_best_xxhash64.split(","), strict=True))
+        digests = spark.createDataFrame([(n, ids) for n, (_, ids) in enumerate(ways)], "n int, ids array<int>").select("n", F.size("ids").cast("string"), F.xxhash64("ids").cast("string")).collect()
+        loss = {(size, h): losses[n] for n, size, h in digests}
+        # equal scores leave the order open
+        assert [loss[x] for x in found] == losses[:4] and len(set(found)) == len(found)
+    empty = spark.range(1).select(F.xxhash64(F.array().cast("array<int>")).cast("string")).first()[0]
+    assert (got[4].n_best_pieces, got[4].n_best_xxhash64, got[4].losses) == ("0", empty, "0")
+    assert got[6].n_best_pieces == ",".join(str(len(ids)) for _, ids in n_best(v, "a", 4))
+
+
+def test_cuts_change_no_segmentation(model):
+    """Texts cut at punctuation and line ends against the same texts as a whole."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("the.\n ,²é1$▁'-_") for _ in range(r.randrange(1, 40))) for _ in range(150)]
+    s = nbest.Segmenter(model, 4)
+    for t, (scores, every) in zip(texts, s.n_best(texts), strict=True):
+        whole = nbest.searches(s.v, ["▁" + t.replace(" ", "▁")], 4)[0]
+        assert scores == [x for x, _ in whole] and every[0].tolist() == whole[0][1]
+        assert len({tuple(x.tolist()) for x in every}) == len(every) and all(s.decode(x.tolist()) == t.replace("▁", " ") for x in every)
+
+
 def test_folders_go(spark):
     import os
 
