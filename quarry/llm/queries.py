@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .byte_bpe import bpe_encode
 from .decontaminate import contaminated_words
 from .language_id import identify, learn
 from .line_dedup import dedup_lines
@@ -101,8 +102,15 @@ def op10_warc(spark, sf_dir):
     return read_warc(spark, path).select("page_id", F.col("payload_bytes").cast("long"), "payload_digest", "record_type", "refers_to")
 
 
+def op13_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    rows = bpe_encode(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_chat_formatting, op4_line_dedup, op5_sentencepiece_nbest, op6_benchmark_decontamination, op7_quality_rules, op8_language_id, op9_suffix_array_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_chat_formatting, op4_line_dedup, op5_sentencepiece_nbest, op6_benchmark_decontamination, op7_quality_rules, op8_language_id, op9_suffix_array_dedup, op10_warc, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
