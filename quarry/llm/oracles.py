@@ -113,3 +113,35 @@ SELECT conv_id, call_id, turn, result_turn, level::INT AS level,
     || ',"call_id":"' || call_id || '","name":' || coalesce('"' || role || '"', 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}') AS json_sha256
 FROM j LEFT JOIN v USING (conv_id, turn)
 """
+
+OP11 = """
+WITH RECURSIVE bits AS (SELECT unnest(range(256)) AS i),
+crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM bits),
+run AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{C0}-\\x{FF}]{6,}')) AS r FROM documents)
+  GROUP BY ALL),
+named AS (SELECT *, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''), lambda c: unicode(c)) AS points FROM run),
+octets AS (SELECT r, n, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END))::BIGINT[] AS b FROM named),
+hashed AS (
+  SELECT r, n, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1]::BIGINT)), 4294967295) AS h
+  FROM octets, crc),
+edited AS (SELECT CASE WHEN h % 199 = 0 THEN left(r, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, n FROM hashed),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS near FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM d JOIN w ON d.less = w.word
+  UNION SELECT w.word, d.word FROM d JOIN w ON d.less = w.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(w.word, (-w.n, w.word)) AS b, max(w.n) AS m
+  FROM near JOIN w ON w.word = near.near GROUP BY near.word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN b END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+up AS (
+  SELECT word, word AS at FROM f
+  UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN up USING (word) JOIN f l ON l.word = up.at AND l.form IS NULL
+"""

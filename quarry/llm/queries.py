@@ -16,7 +16,9 @@ from .line_dedup import dedup_lines
 from .nbest import encode
 from .ngram_join import ngram_join
 from .quality_rules import cascade
+from .spelling_variants import variant_groups, word_counts
 from .suffix_dedup import repeated_bytes
+from .token_alignment import Alignment
 from .token_output import read_tokens, write_tokens
 from .tool_calls import link_tool_calls
 from .warc import read_warc, write_warc
@@ -102,6 +104,14 @@ def op10_warc(spark, sf_dir):
     return read_warc(spark, path).select("page_id", F.col("payload_bytes").cast("long"), "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variant_groups(word_counts(_table(spark, sf_dir, "documents")))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return Alignment(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")).scored()
+
+
 def op13_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -110,8 +120,8 @@ def op13_byte_bpe(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_chat_formatting, op4_line_dedup, op5_sentencepiece_nbest, op6_benchmark_decontamination, op7_quality_rules, op8_language_id, op9_suffix_array_dedup, op10_warc, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_output, op2_ngram_jaccard_join, op3_chat_formatting, op4_line_dedup, op5_sentencepiece_nbest, op6_benchmark_decontamination, op7_quality_rules, op8_language_id, op9_suffix_array_dedup, op10_warc, op11_spelling_variants, op12_token_alignment, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": oracles.OP2, "op3_chat_formatting": oracles.OP3, "op4_line_dedup": oracles.OP4, "op6_benchmark_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7, "op10_warc": oracles.OP10}
+    return {"op2_ngram_jaccard_join": oracles.OP2, "op3_chat_formatting": oracles.OP3, "op4_line_dedup": oracles.OP4, "op6_benchmark_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7, "op10_warc": oracles.OP10, "op11_spelling_variants": oracles.OP11}
