@@ -14,6 +14,7 @@ from quarry.operators import pdf as P
 from quarry.operators import retrieval as R
 from quarry.operators import split as S
 from quarry.plans import cases as _cases  # noqa: F401  registers its queries
+from quarry.plans import derived as _derived  # noqa: F401
 from quarry.plans import fixtures as FX
 from quarry.plans import sql as Q
 from quarry.plans.registry import QUERIES, SQL, query

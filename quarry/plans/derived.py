@@ -1,0 +1,74 @@
+"""Registered queries over inputs that Spark builds from the given tables: bytes in many sets, repaired texts, files, requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import charsets as C
+from quarry.plans.registry import query
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _bytes_of(points=range(1, 0x180)) -> str:
+    """Rows (codec, rank, point, first, second byte or null, last byte) of what each set makes of a character."""
+    rows = []
+    for k, name in enumerate(C.SETS):
+        for p in points:
+            try:
+                b = chr(p).encode(name)
+            except UnicodeEncodeError:
+                continue
+            rows.append(f"('{name}', {k}, {p}, {b[0]}, {b[1] if len(b) > 1 else 'NULL'}, {b[-1]}, {len(b)})")
+    return "VALUES " + ", ".join(rows)
+
+
+_DECLARED = '<meta charset="utf-8">'
+
+CHARSET_SQL = f"""
+WITH m(codec, k, point, b1, b2, last, size) AS ({_bytes_of()}),
+sets AS (SELECT DISTINCT codec, k FROM m),
+t AS (
+  SELECT 'documents' AS source, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'pages', page_id, replace(html, '{_DECLARED}', '') FROM pages WHERE html IS NOT NULL),
+c AS (SELECT source, id, unnest(range(1, length(text) + 1)) AS i, unnest(list_transform(string_split(text, ''), lambda x: unicode(x))) AS p FROM t WHERE text <> ''),
+cp AS (SELECT source, id, p, q, count(*) AS n FROM (SELECT source, id, p, lead(p) OVER (PARTITION BY source, id ORDER BY i) AS q FROM c) GROUP BY ALL),
+lacks AS (SELECT source, id, codec FROM (SELECT DISTINCT source, id, p FROM cp) d, sets WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.point = d.p AND m.codec = sets.codec)),
+e AS (
+  SELECT source, id, codec, sum(n * size) AS size, bool_and(p < 128) AND codec NOT IN ('utf-16-le', 'cp037') AS plain
+  FROM cp JOIN m ON m.point = cp.p ANTI JOIN lacks USING (source, id, codec) GROUP BY source, id, codec),
+bp AS (
+  SELECT source, id, codec, pair, sum(n) AS n FROM (
+    SELECT source, id, a.codec, a.last * 256 + b.b1 AS pair, n FROM cp JOIN m a ON a.point = cp.p JOIN m b ON b.point = cp.q AND b.codec = a.codec
+    UNION ALL SELECT source, id, codec, b1 * 256 + b2, n FROM cp JOIN m ON m.point = cp.p WHERE b2 IS NOT NULL)
+  SEMI JOIN e USING (source, id, codec) GROUP BY ALL),
+f AS (SELECT codec, pair, sum(n) AS n FROM bp WHERE source = 'documents' GROUP BY ALL),
+total AS (SELECT max(n) AS total FROM (SELECT sum(n) AS n FROM f GROUP BY codec)),
+w AS (SELECT codec, pair, round(-1024 * log2((n + 1) / (total + 65536)))::BIGINT AS w FROM f, total),
+rare AS (SELECT round(-1024 * log2(1 / (total + 65536)))::BIGINT AS w FROM total),
+s AS (
+  SELECT bp.source, bp.id, bp.codec, sets.codec AS guess, sets.k, sum(bp.n * coalesce(w.w, rare.w)) AS weight
+  FROM bp CROSS JOIN sets CROSS JOIN rare LEFT JOIN w ON w.codec = sets.codec AND w.pair = bp.pair GROUP BY ALL),
+best AS (SELECT source, id, codec, arg_min(guess, (weight, k)) AS guess FROM s GROUP BY ALL),
+found AS (
+  SELECT source, codec, CASE WHEN e.size < {C.LEAST} OR plain THEN 'utf-8' ELSE best.guess END AS guess, plain FROM e LEFT JOIN best USING (source, id, codec)
+  UNION ALL SELECT source, codec, 'utf-8', true FROM t, sets WHERE text = '')
+SELECT source, codec, guess, count(*) AS n, count(*) FILTER (WHERE guess = codec OR plain) AS n_same FROM found GROUP BY source, codec, guess
+"""
+
+
+@query(CHARSET_SQL)
+def charset_confusion(spark, sf_dir):
+    """Documents and pages in six sets, none declared: which set is found, and how many texts come back as they were."""
+    docs, pages = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pages")
+    model = C.Charsets.of(C.pair_counts(docs))
+    both = docs.select(F.lit("documents").alias("source"), "text").unionByName(pages.select(F.lit("pages").alias("source"), F.replace("html", F.lit(_DECLARED), F.lit("")).alias("text")))
+    rows = None
+    for name in C.SETS:
+        some = both.select("source", F.lit(name).alias("codec"), "text", C.encoded(F.col("text"), name).alias("content"))
+        rows = some if rows is None else rows.unionByName(some)
+    rows = rows.filter("content IS NOT NULL").withColumn("guess", C.guessed(F.col("content"), model))
+    same = C.decoded(F.col("content"), F.col("guess")) == F.col("text")
+    return rows.groupBy("source", "codec", "guess").agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.charsets import Charsets
 from quarry.functions.dom import parse
 from quarry.functions.md_html import convert
 from quarry.operators.html import HtmlConfig, extract_html
@@ -39,7 +40,10 @@ LARGER = {"big5": "big5hkscs", "gb2312": "gb18030", "ascii": "utf-8", "maccyrill
 DAYS, TIMES = (14, 15, 16, 17, 22), (18, 19, 20, 21, 45, 46, 47)
 
 
-def find_codec(content: bytes) -> str:
+def find_codec(content: bytes, model: Charsets | None = None) -> str:
+    """The first listed codec that decodes the content; with a model the likeliest of its sets."""
+    if model is not None:
+        return model.find(content)
     for name in CODECS:
         try:
             content.decode(name)
@@ -49,8 +53,8 @@ def find_codec(content: bytes) -> str:
     return "utf-8"
 
 
-def find_charset(content: bytes) -> str:
-    """The character set that a page states, in its larger form, if it decodes the page; else the first codec that does."""
+def find_charset(content: bytes, model: Charsets | None = None) -> str:
+    """The character set that a page states, in its larger form, if it decodes the page; else the likeliest by a model, or the first codec that does."""
     for name in (x.decode("ascii", "replace").strip().lower() for p in DECLARED for x in p.findall(content)):
         name = LARGER.get(name, name)
         try:
@@ -58,7 +62,10 @@ def find_charset(content: bytes) -> str:
         except (UnicodeDecodeError, LookupError):
             continue
         return name
-    return find_codec(content)
+    if model is None:
+        return find_codec(content)
+    name = model.find(content, markup=True)
+    return LARGER.get(name, name)
 
 
 @F.pandas_udf(T.StringType())
@@ -66,8 +73,18 @@ def charset(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else find_charset(bytes(b)))
 
 
-def decode(content: bytes) -> str:
-    return content.decode(find_codec(content), "replace")
+def page_charset(content: Column, model: Charsets) -> Column:
+    """A page's character set as it states it, else the likeliest."""
+
+    @F.pandas_udf(T.StringType())
+    def find(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: None if b is None else find_charset(bytes(b), model))
+
+    return find(content)
+
+
+def decode(content: bytes, model: Charsets | None = None) -> str:
+    return content.decode(find_codec(content, model), "replace")
 
 
 @F.pandas_udf(T.StringType())
@@ -306,16 +323,16 @@ def epub_html(content: bytes, name: str) -> str:
     return f"<html><head><title>{escape(title)}</title></head><body>{''.join(bodies)}</body></html>"
 
 
-def file_text(path: str, content: bytes, last_sheet_only: bool = False, markdown_as_html: bool = False) -> tuple[str | None, str | None]:
-    """(text, error): HTML, or the Markdown itself."""
+def file_text(path: str, content: bytes, last_sheet_only: bool = False, markdown_as_html: bool = False, charsets: Charsets | None = None) -> tuple[str | None, str | None]:
+    """(text, error): HTML, or the Markdown itself; ``charsets`` finds the character set of what states none."""
     kind = path.rsplit(".", 1)[-1].lower()
     try:
         if kind in ("html", "htm"):
-            return content.decode(find_charset(content), "replace"), None
+            return content.decode(find_charset(content, charsets), "replace"), None
         if kind in ("md", "markdown"):
-            return convert(decode(content)) if markdown_as_html else decode(content), None
+            return convert(decode(content, charsets)) if markdown_as_html else decode(content, charsets), None
         if kind == "csv":
-            return csv_html(decode(content)), None
+            return csv_html(decode(content, charsets)), None
         if kind == "xlsx":
             return xlsx_html(content, last_sheet_only), None
         if kind == "xls":
@@ -334,18 +351,18 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
-def texts(files: DataFrame, last_sheet_only: bool = False, markdown_as_html: bool = False) -> DataFrame:
+def texts(files: DataFrame, last_sheet_only: bool = False, markdown_as_html: bool = False, charsets: Charsets | None = None) -> DataFrame:
     """path, kind, text, error."""
 
     @F.pandas_udf("struct<text:string,error:string>")
     def read(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([file_text(p, bytes(c or b""), last_sheet_only, markdown_as_html) for p, c in zip(paths, contents, strict=True)], columns=["text", "error"])
+        return pd.DataFrame([file_text(p, bytes(c or b""), last_sheet_only, markdown_as_html, charsets) for p, c in zip(paths, contents, strict=True)], columns=["text", "error"])
 
     kind: Column = F.lower(F.substring_index("path", ".", -1))
     return files.select("path", kind.alias("kind"), read("path", "content").alias("_t")).select("path", "kind", "_t.*")
 
 
-def extract_files(files: DataFrame, html: HtmlConfig | None = None, markdown: MarkdownConfig | None = None, last_sheet_only: bool = False, markdown_as_html: bool = False) -> DataFrame:
+def extract_files(files: DataFrame, html: HtmlConfig | None = None, markdown: MarkdownConfig | None = None, last_sheet_only: bool = False, markdown_as_html: bool = False, charsets: Charsets | None = None) -> DataFrame:
     """path, ord, titles, content_type, row, page_content, record of every file that could be read.
 
     Main-content selection is for HTML and Word only.  HTML, Word and EPUB files are
@@ -353,7 +370,7 @@ def extract_files(files: DataFrame, html: HtmlConfig | None = None, markdown: Ma
     ``markdown_as_html`` by way of HTML, without a title of the file.
     """
     html, markdown = replace(html or HtmlConfig(), sniff_records=True), markdown or MarkdownConfig()
-    t = texts(files, last_sheet_only, markdown_as_html).filter("error IS NULL")
+    t = texts(files, last_sheet_only, markdown_as_html, charsets).filter("error IS NULL")
     name = F.regexp_replace("path", r"^.*/", "")
     # what Word and EPUB files become is a page; its title is in it
     page = F.when(F.col("kind").isin("docx", "epub"), F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(".html"))).otherwise(name)
