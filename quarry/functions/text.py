@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.dictionary import Dictionary
+
 #: White space as Python's ``\\s`` has it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
@@ -58,6 +61,7 @@ PUNCTUATION = {"袁": "，", "遥": "。", "院": "：", "渊": "（", "冤": "
 CIRCLED = {"淤": "①", "于": "②", "盂": "③", "榆": "④", "虞": "⑤", "愚": "⑥", "舆": "⑦", "余": "⑧", "俞": "⑨", "逾": "⑩"}
 ROMAN = {"玉": "Ⅰ", "域": "Ⅱ", "芋": "Ⅲ", "郁": "Ⅳ"}
 CIRCLE_GAP = 500
+SIGNS = re.compile("[" + "".join(PUNCTUATION) + "]")
 
 
 def repair_spaces(c: Column) -> Column:
@@ -80,13 +84,34 @@ def protected_punctuation(segment: Callable[[str], list[str]]):
     return repair
 
 
-def repair_punctuation(c: Column, segment: Callable[[str], list[str]] | None = None) -> Column:
-    """Without a segmenter every listed character is punctuation."""
+def _repaired(texts: list[str | None], words: Dictionary) -> list[str | None]:
+    """The same for a batch of texts by a dictionary: each context that they have is segmented once."""
+    at = [[m.start() for m in SIGNS.finditer(t)] if t else [] for t in texts]
+    seen: dict[tuple[str, str], int] = {}
+    which = [[seen.setdefault((t[max(0, i - CONTEXT) : i + CONTEXT + 1], t[i]), len(seen)) for i in own] for t, own in zip(texts, at, strict=True)]
+    kept = words.protects([a for a, _ in seen], [c for _, c in seen]).tolist()
+    out = []
+    for t, own, ks in zip(texts, at, which, strict=True):
+        if own:
+            parts, done = [], 0
+            for i, k in zip(own, ks, strict=True):
+                if not kept[k]:
+                    parts += [t[done:i], PUNCTUATION[t[i]]]
+                    done = i + 1
+            t = "".join([*parts, t[done:]])
+        out.append(t)
+    return out
+
+
+def repair_punctuation(c: Column, segment: Callable[[str], list[str]] | Dictionary | None = None) -> Column:
+    """Listed characters as punctuation, but where a word of their surroundings has them; without a segmenter all."""
     if segment is None:
         return F.translate(c, "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
 
     @F.pandas_udf(T.StringType())
     def repaired(texts: pd.Series) -> pd.Series:
+        if isinstance(segment, Dictionary):
+            return pd.Series(_repaired(texts.tolist(), segment), dtype=object)
         repair = protected_punctuation(segment)
         return texts.map(lambda t: None if t is None else repair(t))
 
@@ -127,7 +152,7 @@ def repair_roman(c: Column) -> Column:
     return c
 
 
-def repair_pdf_text(c: Column, legacy: bool = False, segment: Callable[[str], list[str]] | None = None) -> Column:
+def repair_pdf_text(c: Column, legacy: bool = False, segment: Callable[[str], list[str]] | Dictionary | None = None) -> Column:
     c = repair_units(repair_punctuation(repair_spaces(c), segment), legacy)
     return F.replace(repair_roman(repair_brackets(repair_circled(c))), F.lit("\n"), F.lit(""))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import charsets as C
+from quarry.functions import text as X
+from quarry.functions.dictionary import Dictionary, learn_words
 from quarry.plans.registry import query
 
 
@@ -72,3 +74,38 @@ def charset_confusion(spark, sf_dir):
     rows = rows.filter("content IS NOT NULL").withColumn("guess", C.guessed(F.col("content"), model))
     same = C.decoded(F.col("content"), F.col("guess")) == F.col("text")
     return rows.groupBy("source", "codec", "guess").agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"))
+
+
+#: What is planted: a sign inside words for w, and signs for the marks that they stand for.
+_PLANTED = ("w,.", "尧袁遥")
+_LEAST, _LONGEST = 20, 7
+
+REPAIR_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, translate(text, '{_PLANTED[0]}', '{_PLANTED[1]}') AS text, translate(text, 'w', '尧') AS words FROM documents),
+d AS (
+  SELECT word FROM (SELECT unnest(regexp_extract_all(words, '\\p{{L}}+')) AS word FROM t)
+  WHERE length(word) BETWEEN 2 AND {_LONGEST} GROUP BY word HAVING count(*) >= {_LEAST}),
+c AS (SELECT id, unnest(range(1, length(text) + 1)) AS i, unnest(string_split(text, '')) AS c FROM t WHERE text <> ''),
+s AS (SELECT id, i, c, substr(text, greatest(i - {X.CONTEXT}, 1), i + {X.CONTEXT} + 1 - greatest(i - {X.CONTEXT}, 1)) AS around FROM c JOIN t USING (id) WHERE contains('{"".join(X.PUNCTUATION)}', c)),
+u AS (SELECT DISTINCT around, c FROM s),
+kept AS (
+  SELECT DISTINCT around, c FROM (
+    SELECT around, c, substr(around, a, n) AS word FROM (SELECT around, c, a, unnest(range(2, length(around) - a + 2)) AS n FROM (SELECT around, c, unnest(range(1, length(around) + 1)) AS a FROM u)))
+  JOIN d USING (word) WHERE contains(word, c)),
+n AS (
+  SELECT c.id, count(s.i) AS n_signs, count(kept.c) AS n_kept,
+    string_agg(CASE WHEN s.i IS NULL OR kept.c IS NOT NULL THEN c.c ELSE translate(c.c, '{"".join(X.PUNCTUATION)}', '{"".join(X.PUNCTUATION.values())}') END, '' ORDER BY c.i) AS text
+  FROM c LEFT JOIN s USING (id, i) LEFT JOIN kept ON kept.around = s.around AND kept.c = s.c GROUP BY c.id)
+SELECT doc_id, coalesce(n_signs, 0) AS n_signs, coalesce(n_kept, 0) AS n_kept, sha256(coalesce(n.text, t.text)) AS text_sha256 FROM t LEFT JOIN n USING (id)
+"""
+
+
+@query(REPAIR_SQL)
+def dictionary_repair(spark, sf_dir):
+    """Documents with planted signs: those inside frequent words stay, all others become the marks that they stand for."""
+    docs = _t(spark, sf_dir, "documents")
+    words = Dictionary.of(learn_words(docs.select(F.translate("text", "w", "尧").alias("text")), least=_LEAST, longest=_LONGEST))
+    rows = docs.select("doc_id", F.translate("text", *_PLANTED).alias("text"))
+    rows = rows.withColumn("repaired", X.repair_punctuation(F.col("text"), words))
+    signs = lambda c: F.coalesce(F.length(c) - F.length(F.translate(c, "".join(X.PUNCTUATION), "")), F.lit(0)).cast("long")
+    return rows.select("doc_id", signs("text").alias("n_signs"), signs("repaired").alias("n_kept"), F.sha2("repaired", 256).alias("text_sha256"))
