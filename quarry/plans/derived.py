@@ -8,6 +8,8 @@ from quarry.functions import charsets as C
 from quarry.functions import text as X
 from quarry.functions.dictionary import Dictionary, learn_words
 from quarry.plans.registry import query
+from quarry.sources import folder
+from quarry.sources.shared import shared_folder
 
 
 def _t(spark, sf_dir, name):
@@ -109,3 +111,50 @@ def dictionary_repair(spark, sf_dir):
     rows = rows.withColumn("repaired", X.repair_punctuation(F.col("text"), words))
     signs = lambda c: F.coalesce(F.length(c) - F.length(F.translate(c, "".join(X.PUNCTUATION), "")), F.lit(0)).cast("long")
     return rows.select("doc_id", signs("text").alias("n_signs"), signs("repaired").alias("n_kept"), F.sha2("repaired", 256).alias("text_sha256"))
+
+
+def _files(spark, sf_dir):
+    """Pages, documents, regions and broken workbooks as files: path and content."""
+    utf8 = lambda c: F.encode(F.coalesce(c, F.lit("")), "UTF-8")
+    pages = _t(spark, sf_dir, "pages").select(F.format_string("pages/%d.html", "page_id").alias("path"), utf8(F.col("html")).alias("content"))
+    docs = _t(spark, sf_dir, "documents").select(F.format_string("documents/%d.md", "doc_id").alias("path"), utf8(F.col("text")).alias("content"))
+    regions = _t(spark, sf_dir, "region").select(F.format_string("tables/%d.CSV", "r_regionkey").alias("path"), utf8(F.concat(F.lit("key,name\n"), F.col("r_regionkey").cast("string"), F.lit(","), "r_name", F.lit("\n"))).alias("content"))
+    nations = _t(spark, sf_dir, "nation").select(F.format_string("tables/%d.xlsx", "n_nationkey").alias("path"), utf8(F.col("n_name")).alias("content"))
+    return pages.unionByName(docs).unionByName(regions).unionByName(nations)
+
+
+_FILES_SQL = """
+SELECT path, kind, octet_length(encode(content)) AS size, sha256(text) AS text_sha256, kind = 'xlsx' AS failed FROM (
+  SELECT 'pages/' || page_id || '.html' AS path, 'html' AS kind, coalesce(html, '') AS content, coalesce(html, '') AS text FROM pages
+  UNION ALL SELECT 'documents/' || doc_id || '.md', 'md', coalesce(text, ''), coalesce(text, '') FROM documents
+  UNION ALL SELECT 'tables/' || r_regionkey || '.CSV', 'csv', 'key,name' || chr(10) || r_regionkey || ',' || r_name || chr(10),
+    '<table><tr><td>key</td><td>name</td></tr><tr><td>' || r_regionkey || '</td><td>' || r_name || '</td></tr></table>' FROM region
+  UNION ALL SELECT 'tables/' || n_nationkey || '.xlsx', 'xlsx', n_name, NULL FROM nation)
+"""
+
+
+def _digest(files):
+    return files.select("path", "kind", "size", F.sha2("text", 256).alias("text_sha256"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(_FILES_SQL)
+def folder_source(spark, sf_dir):
+    """Files written from four tables and read again by the data source."""
+    folder.register(spark)
+    at = shared_folder(spark, "files")
+    _files(spark, sf_dir).write.format(folder.NAME).mode("append").save(at)
+    return _digest(spark.read.format(folder.NAME).load(at))
+
+
+@query(_FILES_SQL)
+def folder_stream(spark, sf_dir):
+    """The same by a stream of several batches, and again after it was stopped and more files had come."""
+    folder.register(spark)
+    at = shared_folder(spark, "files")
+    files = _files(spark, sf_dir)
+    some = F.col("path").startswith("documents/")
+    for part in (files.filter(some), files.filter(~some)):
+        part.write.format(folder.NAME).mode("append").save(at)
+        rows = spark.readStream.format(folder.NAME).option("settleSeconds", "0").option("filesPerBatch", "100000").load(at)
+        _digest(rows).writeStream.format("parquet").option("checkpointLocation", at + "-state").trigger(availableNow=True).start(at + "-rows").awaitTermination()
+    return spark.read.parquet(at + "-rows")
