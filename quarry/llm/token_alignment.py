@@ -38,9 +38,9 @@ from ._store import open_fs, remembered, saved
 from .nbest import _spans
 
 #: Units that a worker remembers at most, about.
-REMEMBER = 400_000
+REMEMBER = 250_000
 #: Characters of texts in a portion, links of a task that are counted at once, pairs a task holds before it emits them.
-PORTION, COUNT_AT_ONCE, HOLD = 1 << 21, 1 << 22, 1 << 20
+PORTION, COUNT_AT_ONCE, HOLD = 1 << 20, 1 << 21, 1 << 20
 #: Pairs that tasks look up themselves (16 bytes each).
 LOOKUP = 2_000_000
 SALTS = 16
