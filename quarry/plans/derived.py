@@ -8,7 +8,8 @@ from quarry.functions import charsets as C
 from quarry.functions import text as X
 from quarry.functions.dictionary import Dictionary, learn_words
 from quarry.plans.registry import query
-from quarry.sources import folder
+from quarry.sources import folder, rest
+from quarry.sources import rest_sink as sink
 from quarry.sources.shared import shared_folder
 
 
@@ -158,3 +159,49 @@ def folder_stream(spark, sf_dir):
         rows = spark.readStream.format(folder.NAME).option("settleSeconds", "0").option("filesPerBatch", "100000").load(at)
         _digest(rows).writeStream.format("parquet").option("checkpointLocation", at + "-state").trigger(availableNow=True).start(at + "-rows").awaitTermination()
     return spark.read.parquet(at + "-rows")
+
+
+class _Flaky:
+    """A server in a shared folder: each effect is a file. Calls fail at random, before or after the effect, or say that they are too many."""
+
+    def __init__(self, folder: str, failures: float = 0.3):
+        self.folder, self.failures = folder, failures
+
+    def _effects(self, name):
+        from pyarrow import fs
+
+        return fs.LocalFileSystem().get_file_info(fs.FileSelector(f"{self.folder}/name={name}", allow_not_found=True))
+
+    def __call__(self, method, path, body, file, name):
+        import random
+        import uuid
+
+        from pyarrow import fs
+
+        luck = random.random()
+        if luck < self.failures / 3:
+            return 429
+        if luck < self.failures * 2 / 3:
+            raise ConnectionError("reset before the request")
+        local = fs.LocalFileSystem()
+        local.create_dir(f"{self.folder}/name={name}", recursive=True)
+        with local.open_output_stream(f"{self.folder}/name={name}/{uuid.uuid4().hex}.json") as out:
+            out.write((body or "{}").encode())
+        if luck < self.failures:
+            raise ConnectionError("reset before the answer")
+        return 200
+
+    def happened(self, method, path, body, file, name):
+        return bool(self._effects(name))
+
+
+@query("SELECT doc_id::VARCHAR AS name, sha256(text) AS text_sha256, 1 AS n_effects FROM documents")
+def rest_sink(spark, sf_dir):
+    """Documents created through a transport that fails at random: each has one effect."""
+    docs = _t(spark, sf_dir, "documents")
+    at = shared_folder(spark, "rest")
+    requests = docs.select("doc_id", rest.create_by_text(F.lit("d"), F.col("doc_id").cast("string"), F.col("text")).alias("request"))
+    sink.post(requests, _Flaky(f"{at}/effects"), f"{at}/journal", request_id=F.col("doc_id"), attempts=20, pause=0.001)
+    bodies = spark.read.schema("value string, name string").option("wholetext", True).text(f"{at}/effects")
+    body = F.from_json("value", "name string, text string")
+    return bodies.groupBy(body["name"].alias("name"), F.sha2(body["text"], 256).alias("text_sha256")).agg(F.count("*").cast("int").alias("n_effects"))
