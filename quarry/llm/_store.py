@@ -7,7 +7,7 @@ import uuid
 import weakref
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -90,6 +90,14 @@ def publish(uri: str, name: str, write) -> int:
     return size
 
 
+def whole_ids(df: DataFrame, key: str) -> Column:
+    """A key of whole numbers as longs; any other type is refused before a job runs."""
+    kind = dict(df.dtypes).get(key)
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"the key {key} must be a column of whole numbers: {'there is none of that name' if kind is None else f'it is {kind}'}")
+    return F.col(f"`{key}`").cast("long")
+
+
 #: Rows of an id or two (8 to 16 bytes) up to which a table is broadcast: 16 MB.
 SMALL_IDS = 1_000_000
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import lean, without
+from ._store import lean, whole_ids, without
 
 SHINGLE = 5
 BLOCK_WINDOWS = 500_000
@@ -209,7 +209,7 @@ def _ramp(reps):
 def _blocks(items: DataFrame, key: str, text: str, width: int):
     """Blocks of items with at most about BLOCK_WINDOWS windows, read one after the other."""
     held, n = [], 0
-    for r in items.select(F.col(key).cast("long"), text).toLocalIterator():
+    for r in items.select(whole_ids(items, key), text).toLocalIterator():
         words = len(_WORD.findall(r[1].encode().lower())) if r[1] else 0
         if not words:
             continue
@@ -224,7 +224,7 @@ def _blocks(items: DataFrame, key: str, text: str, width: int):
 
 def contaminated_words(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
     """Per document row: doc_id, n_words, runs (disjoint, ascending first and last hit words), items (sorted ids)."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(whole_ids(docs, key).alias("doc_id"), F.col(text).alias("text"))
     blocks = _blocks(items, item_key, item_text, width)
     block, after = next(blocks, []), next(blocks, None)
     if after is None:

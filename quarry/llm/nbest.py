@@ -312,10 +312,10 @@ def segmenter(path: str, n: int) -> Segmenter:
 def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text", key: str = "doc_id", all_ids: bool = False) -> DataFrame:
     """key, ids (best segmentation), scores (of the n best, best first), decoded, and with all_ids n_best: ids of each."""
     made = ("ids", "scores", "decoded", *(("n_best",) if all_ids else ()))
-    if key in made:
+    if key.lower() in made:
         raise ValueError(f"the key {key} is named like an output column")
     kind = dict(docs.dtypes)[key]
-    docs = docs.select(F.col(key), F.col(text).alias("_text"))
+    docs = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
 
     def run(it):
         s = segmenter(model, n)
@@ -327,7 +327,7 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text", key: str
                 mask = pa.array(null)
                 found = list(s.n_best(texts)) if all_ids else [(x, [ids]) for ids, x, _ in s.encode(texts)]
                 best = [every[0] for _, every in found]
-                out = {key: some.column(0), "ids": pa.ListArray.from_arrays(*_lists(best), mask=mask)}
+                out = {"k": some.column(0), "ids": pa.ListArray.from_arrays(*_lists(best), mask=mask)}
                 out["scores"] = pa.array([None if t is None else x for t, (x, _) in zip(texts, found, strict=True)], pa.list_(pa.float64()))
                 out["decoded"] = pa.array([None if t is None else s.decode_bytes(ids.tolist()) for t, ids in zip(texts, best, strict=True)], pa.string())
                 if all_ids:
@@ -336,4 +336,4 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text", key: str
                     out["n_best"] = pa.ListArray.from_arrays(pa.array(ends), each, mask=mask)
                 yield pa.RecordBatch.from_pydict(out)
 
-    return docs.mapInArrow(run, f"`{key}` {kind}, ids array<int>, scores array<double>, decoded string" + (", n_best array<array<int>>" if all_ids else ""))
+    return docs.mapInArrow(run, f"k {kind}, ids array<int>, scores array<double>, decoded string" + (", n_best array<array<int>>" if all_ids else "")).withColumnRenamed("k", key)

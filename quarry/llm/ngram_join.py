@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import SMALL_IDS, lean, n_parts, saved
+from ._store import SMALL_IDS, lean, n_parts, saved, whole_ids
 from .components import connected_components
 
 WIDTH = 1 << 21
@@ -195,7 +195,7 @@ class NgramJoin:
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5, all_links: bool = False) -> NgramJoin:
     """Link documents whose shingle sets have den * intersection >= num * union."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(whole_ids(docs, key).alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     keys = None
     if _unlike(docs):

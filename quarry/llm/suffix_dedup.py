@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import lean, n_parts
+from ._store import lean, n_parts, whole_ids
 
 GRAM = 25
 LONGEST = 64
@@ -207,7 +207,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     """Per row: doc_id, n_bytes, spans (maximal removed runs, first byte and the one after the last), kept (the other bytes)."""
     if not GRAM <= least <= 56:
         raise ValueError(f"least must lie between {GRAM} and 56 bytes")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    docs = docs.select(whole_ids(docs, key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = n_parts(docs.sparkSession, n_bytes, PER_PART)
     named = docs.filter("doc_id is not null")

@@ -10,7 +10,9 @@ so a lost or repeated task leaves whole files only.
 
 A text's words (between spaces and line ends, which no token spans) are encoded
 by the tokenizer once each per worker and remembered by 64-bit hashes, about
-``REMEMBER`` at most; those met once are forgotten first.
+``REMEMBER`` at most; those met once are forgotten first.  That holds for a tokenizer whose
+file lower-cases texts, drops white space between words and marks words' ends; any other one gets
+whole texts.
 
 Edge cases: a null text is empty and gives the end id alone; ids may repeat (the
 rows stay apart, in order of text) or be null (first); an empty table gives no
@@ -19,6 +21,7 @@ files and no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._store import n_parts, open_fs, publish, remembered, saved, shared_dir
+from ._store import n_parts, open_fs, publish, remembered, saved, shared_dir, whole_ids
 
 REMEMBER = 500_000
 #: Stands between words that are encoded together; words that have it are encoded apart.
@@ -39,8 +42,8 @@ ROWS = 256
 class WordCoder:
     """Ids of texts by remembered units: words, with commas and the like after an ASCII letter apart.
 
-    The tokenizer never joins what a space, a line end or such a cut separates,
-    and it ignores case, so each unit is encoded once, whatever its case.
+    A tokenizer ``by_word`` never joins what a space, a line end or such a cut separates,
+    and it ignores case, so each unit is encoded once, whatever its case.  Others encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -48,6 +51,7 @@ class WordCoder:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
+        self.by_word = _by_word(json.loads(self.tok.to_str()))
         mark = self.tok.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.ends = np.zeros(self.size + 1, bool)
@@ -105,6 +109,9 @@ class WordCoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and the number of ids of each."""
+        if not self.by_word:
+            lists = self._encode([bytes(data[a:b]).decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+            return np.concatenate([np.zeros(0, np.uint32), *lists]), np.fromiter(map(len, lists), np.int64, len(lists))
         if len(self.hash) > REMEMBER:
             self._forget()
         s, e, _ = K.words(data, offs, _IN_WORD)
@@ -132,6 +139,16 @@ class WordCoder:
         return self.ids[_spans(start, n)], np.diff(edge)
 
 
+def _by_word(spec: dict) -> bool:
+    """Whether a tokenizer's file says that it lower-cases, makes words of runs of letters and of signs that a pattern finds and drops the rest, and marks words' ends."""
+    parts = lambda x, name: x[name] if x and x.get("type") == "Sequence" else [x] if x else []
+    steps = [x["type"] for x in parts(spec.get("normalizer"), "normalizers")]
+    pre = parts(spec.get("pre_tokenizer"), "pretokenizers")
+    removed = any(x["type"] == "Split" and x.get("behavior") == "Removed" and x.get("invert") and "[^\\s\\p{L}\\p{N}]+" in x["pattern"].get("Regex", "") and r"[\p{L}]+" in x["pattern"]["Regex"] for x in pre)
+    plain = not any(x.get("add_prefix_space") for x in pre)
+    return "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"} and removed and plain and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 0x0A]] = False
 _LETTER = np.zeros(256, bool)
@@ -160,9 +177,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, key:
     """Write the files; returns path, part, n_docs, n_tokens of each part, in ascending order of ids by part."""
     spark = docs.sparkSession
     path = path or shared_dir(spark, "tokens")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(whole_ids(docs, key).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs = docs.repartitionByRange(n_parts(spark, size, 32e6), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    docs = docs.repartitionByRange(n_parts(spark, size, 32e6), F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(64))).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(it):
         part = TaskContext.get().partitionId()

@@ -172,10 +172,17 @@ def _refuse(name):
     raise ValueError(name)
 
 
+def _finite(digits: str) -> float:
+    x = float(digits)
+    if x in (float("inf"), float("-inf")):
+        raise ValueError(f"{digits}: no finite number")
+    return x
+
+
 def parse(raw: str | None):
     """The value, or None and False: what isn't JSON of finite numbers and whole characters."""
     try:
-        x = json.loads(raw, parse_constant=_refuse)
+        x = json.loads(raw, parse_constant=_refuse, parse_float=_finite)
         canonical(x).encode()
         return x, True
     except (TypeError, ValueError, RecursionError, OverflowError):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import discard, n_parts, open_fs, saved, shared_dir
+from ._store import discard, n_parts, open_fs, saved, shared_dir, whole_ids
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.I)
@@ -42,7 +42,7 @@ def write_warc(pages: DataFrame, path: str | None = None, key: str = "page_id",
     """Write the archive folder and return its name."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
-    p = pages.select(F.col(key).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\x00-\x20\x7F]", "").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("body"))
+    p = pages.select(whole_ids(pages, key).alias("id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\x00-\x20\x7F]", "").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("body"))
     digest, size = F.sha2("body", 256), F.octet_length("body")
     first = p.filter(size >= least).select(digest.alias("digest"), "id").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
     first = saved(first, "payloads")

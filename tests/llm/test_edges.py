@@ -378,3 +378,35 @@ def test_features_that_nobody_wants_are_computed_by_the_rule(spark):
     d = spark.createDataFrame([(1, "x")], SHAPE)
     plan = quality_rules.cascade(d, rules=[quality_rules.default_rules()[3]], wanted=())._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in plan and "[A-Z]+" in plan and "n_symbols" not in plan and "n_dup_lines" not in plan
+
+
+BIG = '{"x": 1e999}'
+
+
+def test_numbers_without_end_are_faults_of_their_row(spark):
+    rule = '{"type": "object", "properties": {"x": {"type": "number"}}}'
+    calls = spark.createDataFrame([(1, 0, "a", "f", BIG), (1, 1, "b", "f", '{"x": -1e999}'), (1, 2, "c", "f", '{"x": 1e300}'), (1, 3, "d", "g", '{"x": "long"}')], "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    tools = spark.createDataFrame([("f", rule), ("g", '{"properties": {"x": {"minLength": 1e999}}}')], "name string, schema string")
+    got = {r.call_id: len(r.errors) for r in tool_calls.link_tool_calls(calls, results, tools).collect()}
+    assert got["a"] and got["b"] and got["d"] and not got["c"]
+    assert tool_calls.parse(BIG) == (None, False) and tool_calls.parse("[1e308, -0.0]") == ([1e308, -0.0], True)
+
+
+def test_ids_that_are_no_numbers_are_refused(spark, tmp_path):
+    from quarry.llm import suffix_dedup, token_output, warc
+
+    d = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    good = spark.createDataFrame([(1, "some text")], SHAPE)
+    for call in (lambda: token_output.write_tokens(d, queries.tokenizer("word_bpe_49k.json")), lambda: ngram_join.ngram_join(d), lambda: suffix_dedup.repeated_bytes(d), lambda: decontaminate.contaminated_words(d, good.withColumnRenamed("doc_id", "item_id")), lambda: decontaminate.contaminated_words(good, d.withColumnRenamed("doc_id", "item_id")), lambda: warc.write_warc(d, key="doc_id", payload="text", url="text")):
+        with pytest.raises(TypeError, match="whole numbers"):
+            call()
+
+
+@pytest.mark.parametrize("key", ["_text", "t", "k"])
+def test_n_best_of_any_key(spark, key):
+    d = spark.createDataFrame([("x", "one two")], f"{key} string, text string")
+    (r,) = nbest.encode(d, queries.tokenizer("piece_bpe_32k.model"), n=2, key=key).collect()
+    assert r[key] == "x" and r.decoded == "one two"
+    with pytest.raises(ValueError):
+        nbest.encode(d.withColumnRenamed(key, "IDS"), queries.tokenizer("piece_bpe_32k.model"), key="IDS")

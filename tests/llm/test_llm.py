@@ -141,10 +141,11 @@ def test_suffix_dedup(docs, rows, batch, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_tokens(spark, docs):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens(spark, docs, name):
     from tokenizers import Tokenizer
 
-    path = queries.tokenizer("word_bpe_49k.json")
+    path = queries.tokenizer(name)
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(9100, "  A<|endoftext|>b\tc,d e\x1cf É I'm don't's 12,3 \x01 ß. <|ENDOFTEXT|> İx\n")], "doc_id long, text string"))
     tok, want, at = Tokenizer.from_file(path), [], 0
     for r in sorted(docs.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.text or "")):

@@ -187,6 +187,8 @@ def test_pipeline_is_plain_python(spark, tmp_path, model):
         r = texts[i, tuple(ids.tolist())]
         assert r.round_trip and r.n_pieces == len(ids) and list(r.scores) == scores
         assert np.allclose(scores, [x for x, _ in n_best(s.v, t, 4)])
+        assert len(r.n_best) == len(scores) and list(r.n_best[0]) == list(r.ids) and len({tuple(x) for x in r.n_best}) == len(scores)
+        assert all(s.decode(x) == t for x in r.n_best)
     assert len(four) < len(three) < len(two) <= len(one) < len(rows)
 
 
