@@ -76,11 +76,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document's best segmentation, the scores of the four best, and whether decoding gives the text back."""
+    """The ids and scores of each document's four best segmentations, and whether decoding the best gives the text back."""
     _bound_batches(spark)
     docs = docs.select(*COLUMNS)
-    rows = encode(docs.withColumn("_row", F.struct("doc_id", "lang", "source", F.col("text").alias("raw"))), tokenizer("piece_bpe_32k.model"), n=4, key="_row")
-    return rows.select("_row.doc_id", "_row.lang", "_row.source", "ids", "scores", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("_row.raw")).alias("round_trip"))
+    rows = encode(docs.withColumn("_row", F.struct("doc_id", "lang", "source", F.col("text").alias("raw"))), tokenizer("piece_bpe_32k.model"), n=4, key="_row", all_ids=True)
+    return rows.select("_row.doc_id", "_row.lang", "_row.source", "ids", "scores", "n_best", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("_row.raw")).alias("round_trip"))
 
 
 STAGES = [
