@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import charsets as C
 from quarry.functions import text as X
 from quarry.functions.dictionary import Dictionary, learn_words
+from quarry.operators import nodes as N
 from quarry.plans.registry import query
 from quarry.sources import folder, rest
 from quarry.sources import rest_sink as sink
@@ -205,3 +206,68 @@ def rest_sink(spark, sf_dir):
     bodies = spark.read.schema("value string, name string").option("wholetext", True).text(f"{at}/effects")
     body = F.from_json("value", "name string, text string")
     return bodies.groupBy(body["name"].alias("name"), F.sha2(body["text"], 256).alias("text_sha256")).agg(F.count("*").cast("int").alias("n_effects"))
+
+
+def _built_pages(spark, sf_dir):
+    """A page of each document: its source as first heading, its lines in turn as paragraphs whose first word is a link and as headings of two levels."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = lambda x: F.substring_index(x, " ", 1)
+    rest = lambda x: F.substring(x, F.length(first(x)) + 1, F.length(x))
+    text = lambda x: F.concat(F.lit('<p><a href="#">'), safe(first(x)), F.lit("</a>"), safe(rest(x)), F.lit("</p>"))
+    head = lambda n, x: F.concat(F.lit(f"<h{n}>"), safe(x), F.lit(f"</h{n}>"))
+    line = lambda x, i: F.when(i % 4 == 1, head(2, x)).when(i % 4 == 3, head(3, x)).otherwise(text(x))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    html = F.concat(F.lit('<html><body><div id="content"><h1>'), safe(F.col("source")), F.lit("</h1>"), F.array_join(F.transform(lines, line), ""), F.lit("</div></body></html>"))
+    return _t(spark, sf_dir, "documents").select("doc_id", html.alias("html"))
+
+
+_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+"
+
+
+def _one(x: str) -> str:
+    """SQL of a text with single spaces."""
+    return f"trim(regexp_replace({x}, '{_BLANKS}', ' ', 'g'))"
+
+
+_LINES = f"""
+x AS (SELECT row_number() OVER () AS id, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT id, doc_id, source, i - 1 AS i, line, string_split(line, ' ')[1] AS first, l AS own FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM x))
+"""
+
+NODE_SQL = f"""
+WITH {_LINES},
+p AS (
+  SELECT *, length({_one('line')}) AS size, length({_one('first')}) AS links,
+    length(line) - length(regexp_replace(line, '[,.，。；;：:！!？?、]', '', 'g')) + 1 + least(length({_one('line')}) / 100, 3) AS points
+  FROM l WHERE i % 2 = 0),
+whole AS (SELECT id, any_value(doc_id) AS doc_id, length({_one("any_value(source) || string_agg(line, '' ORDER BY i)")}) AS size FROM l GROUP BY id),
+s AS (SELECT id, sum(points) FILTER (WHERE size >= 25) AS points, sum(links) AS links FROM p GROUP BY id)
+SELECT doc_id, 'p' AS tag, count(*) AS n, round(sum(points * (1 - links / greatest(size, 1))), 3) AS score FROM p WHERE size >= 25 GROUP BY id, doc_id
+UNION ALL
+SELECT doc_id, tag, 1, round((own + points / share) * (1 - links / greatest(size, 1)), 3)
+FROM whole JOIN s USING (id), (VALUES ('div', 30, 2), ('body', 0, 3), ('html', 0, 4)) t(tag, own, share) WHERE points IS NOT NULL
+"""
+
+
+@query(NODE_SQL)
+def node_scores_of_pages(spark, sf_dir):
+    """Main-content scores of built pages from the node table, summed up by tag."""
+    rows = N.scored(N.node_table(_built_pages(spark, sf_dir), key="doc_id", prepared=True))
+    return rows.groupBy(F.col("k").alias("doc_id"), "tag").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("score"))
+
+
+TITLE_SQL = f"""
+WITH {_LINES},
+t AS (
+  SELECT doc_id, first, substr(line, length(first) + 1) AS rest, source || CASE
+    WHEN i = 0 THEN '' WHEN i % 4 = 2 THEN ' > ' || {_one('own[i]')} ELSE ' > ' || {_one('own[i - 2]')} || ' > ' || {_one('own[i]')} END AS titles
+  FROM l WHERE i % 2 = 0)
+SELECT doc_id, sha256(text) AS text_sha256, sha256(titles) AS titles_sha256 FROM (SELECT doc_id, first AS text, titles FROM t UNION ALL SELECT doc_id, rest, titles FROM t) WHERE text <> ''
+"""
+
+
+@query(TITLE_SQL)
+def titles_in_force(spark, sf_dir):
+    """The strings of built pages outside headings with their title paths from the node table."""
+    rows = N.title_paths(N.node_table(_built_pages(spark, sf_dir), key="doc_id"))
+    return rows.select(F.col("k").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), F.sha2(F.array_join("titles", " > "), 256).alias("titles_sha256"))
