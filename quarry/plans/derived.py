@@ -8,6 +8,7 @@ from quarry.functions import charsets as C
 from quarry.functions import text as X
 from quarry.functions.dictionary import Dictionary, learn_words
 from quarry.operators import nodes as N
+from quarry.operators import pdf as P
 from quarry.plans.registry import query
 from quarry.sources import folder, rest
 from quarry.sources import rest_sink as sink
@@ -271,3 +272,130 @@ def titles_in_force(spark, sf_dir):
     """The strings of built pages outside headings with their title paths from the node table."""
     rows = N.title_paths(N.node_table(_built_pages(spark, sf_dir), key="doc_id"))
     return rows.select(F.col("k").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), F.sha2(F.array_join("titles", " > "), 256).alias("titles_sha256"))
+
+
+# Blocks of PDF pages from documents: a page for every four lines between a header and a footer. Lines in turn are
+# numbered headings of two levels, unreadable, and text; headers of every third document differ from page to page.
+_FOLD = ("éèçêÉÈÇÊóñíäöüßÓÑÍÄÖÜ", "eeceEECEoniaousONIAOU")
+_PER_PAGE = 4
+
+_BLOCKS_SQL = f"""
+x AS (SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{_FOLD[0]}', '{_FOLD[1]}'), '[^A-Za-z0-9 .,\\n]', '', 'g'), chr(10)) AS l FROM documents),
+ln AS (
+  SELECT doc_id, i, i // {_PER_PAGE} AS page_idx, CASE WHEN i % 10 = 0 THEN (i // 10 + 1) || '.' || w WHEN i % 10 = 5 THEN (i // 10 + 1) || '.1.' || w WHEN i % 7 = 3 THEN repeat('é', length(line)) ELSE line END AS text
+  FROM (SELECT doc_id, i, line, coalesce(nullif(regexp_extract(line, '[A-Za-z]+'), ''), 'x') AS w FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM x))),
+pg AS (SELECT doc_id, page_idx FROM ln GROUP BY ALL),
+b AS (
+  SELECT doc_id, page_idx, 1 + i % {_PER_PAGE} AS block_idx, 20.0 * (1 + i % {_PER_PAGE}) AS y0, 20.0 * (2 + i % {_PER_PAGE}) AS y1, text FROM ln
+  UNION ALL SELECT doc_id, page_idx, 0, 0.0, 10.0 + CASE WHEN doc_id % 3 = 0 THEN page_idx ELSE 0 END, 'head' FROM pg
+  UNION ALL SELECT doc_id, page_idx, {_PER_PAGE + 1}, 900.0, 910.0, 'page' FROM pg)
+"""
+_METRICS_SQL = f"""WITH {_BLOCKS_SQL},
+m AS (
+  SELECT doc_id, page_idx, arg_min(block_idx, (y0, block_idx)) AS header_idx, arg_min(y1 - y0, (y0, block_idx)) AS header_height,
+    arg_max(block_idx, (y1, -block_idx)) AS footer_idx, arg_max(y1 - y0, (y1, -block_idx)) AS footer_height
+  FROM b GROUP BY doc_id, page_idx)"""
+_VOTE_SQL = f"""{_METRICS_SQL},
+h AS (SELECT doc_id, max(c) >= 0.9 * sum(c) AS has_header FROM (SELECT doc_id, header_height, count(*) AS c FROM m GROUP BY ALL) GROUP BY doc_id),
+f AS (SELECT doc_id, max(c) >= 0.9 * sum(c) AS has_footer FROM (SELECT doc_id, footer_height, count(*) AS c FROM m GROUP BY ALL) GROUP BY doc_id)"""
+_PDF_LINES_SQL = f"""{_VOTE_SQL},
+k AS (
+  SELECT b.*, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1 AS page FROM b JOIN m USING (doc_id, page_idx) JOIN h USING (doc_id) JOIN f USING (doc_id)
+  WHERE NOT ((has_header AND block_idx = header_idx) OR (has_footer AND block_idx = footer_idx))),
+l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_idx) - 1 AS line_idx, page, text FROM k WHERE text <> '' AND NOT starts_with(text, 'é'))"""
+_HEADS_SQL = f"""{_PDF_LINES_SQL},
+g AS (
+  SELECT doc_id, line_idx, text AS title, CASE WHEN regexp_matches(text, '^[0-9]{{1,2}}[.]1[.][A-Za-z]+$') THEN 2 ELSE 1 END AS kind
+  FROM l WHERE regexp_matches(text, '^[0-9]{{1,2}}[.](1[.])?[A-Za-z]+$')),
+-- a document whose first heading is of the second kind, as the first was unreadable, is not made here: line 0 is always a heading
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) - 1 AS toc_ord, kind AS level, title, line_idx FROM g)"""
+
+
+def _blocks(spark, sf_dir):
+    text = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), *_FOLD), r"[^A-Za-z0-9 .,\n]", "")
+    n = F.col("i")
+    word = F.regexp_extract("line", "[A-Za-z]+", 0)
+    word = F.when(word == "", "x").otherwise(word)
+    tens = (F.floor(n / 10) + 1).cast("string")
+    shown = F.when(n % 10 == 0, F.concat(tens, F.lit("."), word)).when(n % 10 == 5, F.concat(tens, F.lit(".1."), word)).when(n % 7 == 3, F.repeat(F.lit("é"), F.length("line"))).otherwise(F.col("line"))
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    place = (1 + n % _PER_PAGE).cast("int")
+    body = lines.select("doc_id", F.floor(n / _PER_PAGE).cast("int").alias("page_idx"), place.alias("block_idx"), (20.0 * place).alias("y0"), (20.0 * (place + 1)).alias("y1"), shown.alias("text"))
+    pages = body.select("doc_id", "page_idx").distinct()
+    height = F.lit(10.0) + F.when(F.col("doc_id") % 3 == 0, F.col("page_idx")).otherwise(0)
+    head = pages.select("doc_id", "page_idx", F.lit(0).alias("block_idx"), F.lit(0.0).alias("y0"), height.alias("y1"), F.lit("head").alias("text"))
+    foot = pages.select("doc_id", "page_idx", F.lit(_PER_PAGE + 1).alias("block_idx"), F.lit(900.0).alias("y0"), F.lit(910.0).alias("y1"), F.lit("page").alias("text"))
+    return body.unionByName(head).unionByName(foot)
+
+
+@query(_METRICS_SQL + " SELECT * FROM m")
+def pdf_metrics_of_documents(spark, sf_dir):
+    return P.page_metrics(_blocks(spark, sf_dir))
+
+
+@query(_VOTE_SQL + " SELECT doc_id, has_header, has_footer FROM h JOIN f USING (doc_id)")
+def pdf_vote_of_documents(spark, sf_dir):
+    return P.header_vote(P.page_metrics(_blocks(spark, sf_dir)))
+
+
+@query(_PDF_LINES_SQL + " SELECT doc_id, line_idx, page, text FROM l")
+def pdf_lines_of_documents(spark, sf_dir):
+    """Lines without voted headers and footers and without what can't be read."""
+    return P.lines(P.filtered_blocks(_blocks(spark, sf_dir)))
+
+
+@query(_HEADS_SQL + " SELECT * FROM c")
+def pdf_headings_of_documents(spark, sf_dir):
+    """Lines that look like headings, with their levels."""
+    return P.generated_toc(P.lines(P.filtered_blocks(_blocks(spark, sf_dir))))
+
+
+def _toc(spark, sf_dir):
+    """A table of contents of documents with an even id: headings with a space in them, entries of a fourth level, and titles that no page has."""
+    heads = _blocks(spark, sf_dir).filter((F.col("doc_id") % 2 == 0) & F.col("text").rlike(r"^[0-9]{1,2}[.](1[.])?[A-Za-z]+$"))
+    deep = F.col("text").rlike(r"^[0-9]+[.]1[.]")
+    level = F.when(F.col("block_idx") == 2, 4).when(deep, 2).otherwise(1)
+    title = F.when(F.col("block_idx") == 3, F.concat("text", F.lit("#"))).otherwise(F.replace("text", F.lit("."), F.lit(". ")))
+    return heads.select("doc_id", (F.col("page_idx") * 10 + F.col("block_idx")).alias("toc_ord"), level.alias("level"), title.alias("title"), (F.col("page_idx") + 1).alias("page"))
+
+
+_TOC_SQL = f"""{_PDF_LINES_SQL},
+t AS (
+  SELECT doc_id, (page_idx * 10 + block_idx)::INT AS toc_ord, CASE WHEN regexp_matches(text, '^[0-9]+[.]1[.]') THEN 2 ELSE 1 END AS level, replace(text, '.', '. ') AS title, page_idx, text
+  FROM b WHERE doc_id % 2 = 0 AND regexp_matches(text, '^[0-9]{{1,2}}[.](1[.])?[A-Za-z]+$') AND block_idx NOT IN (2, 3)),
+tl AS (SELECT t.doc_id, toc_ord, level, title, min(line_idx) AS line_idx FROM t JOIN l ON l.doc_id = t.doc_id AND l.page = t.page_idx AND contains(l.text, replace(title, ' ', '')) GROUP BY ALL)"""
+
+
+@query(_TOC_SQL + " SELECT * FROM tl")
+def pdf_toc_of_documents(spark, sf_dir):
+    """The lines that a table of contents points to."""
+    return P.toc_lines(_toc(spark, sf_dir), P.lines(P.filtered_blocks(_blocks(spark, sf_dir))))
+
+
+@query(_HEADS_SQL + """,
+s AS (SELECT *, lead(line_idx) OVER w AS nxt, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS above FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY line_idx)),
+body AS (
+  SELECT s.doc_id, s.line_idx AS first, CASE WHEN level = 1 THEN title ELSE above || ' > ' || title END AS titles, coalesce(string_agg(l.text, '' ORDER BY l.line_idx), '') AS content
+  FROM s LEFT JOIN l ON l.doc_id = s.doc_id AND l.line_idx > s.line_idx AND (nxt IS NULL OR l.line_idx < nxt) GROUP BY s.doc_id, s.line_idx, level, title, above),
+pre AS (SELECT doc_id, -1 AS first, '' AS titles, string_agg(text, '' ORDER BY line_idx) AS content FROM l JOIN (SELECT doc_id, min(line_idx) AS n FROM c GROUP BY doc_id) USING (doc_id) WHERE n > 1 AND line_idx < n GROUP BY doc_id),
+whole AS (SELECT doc_id, -1 AS first, '' AS titles, string_agg(text, '' ORDER BY line_idx) AS content FROM l WHERE doc_id NOT IN (SELECT doc_id FROM c) GROUP BY doc_id)
+SELECT doc_id, first, titles, sha256(content) AS content_sha256 FROM (FROM body UNION ALL FROM pre UNION ALL FROM whole)""")
+def pdf_sections_of_documents(spark, sf_dir):
+    """Blocks to documents in one call."""
+    rows = P.extract_pdf(_blocks(spark, sf_dir))
+    return rows.select("doc_id", "first", F.array_join("titles", " > ").alias("titles"), F.sha2("page_content", 256).alias("content_sha256"))
+
+
+_RAW_SQL = "translate(replace(replace(replace(replace(coalesce(text, ''), ' a', ' 7 益a'), 'un', '3依un'), 'ou', '伊5逸6臆7'), 'st', '滋g　叶st曳\xa0'), ',.', '袁遥')"
+
+
+@query(f"WITH r AS (SELECT doc_id, {_RAW_SQL} AS raw FROM documents) " + r"""
+SELECT doc_id, sha256(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(
+  translate(translate(raw, chr(160) || chr(8194), ''), chr(12288) || chr(8195) || '袁遥', '  ，。'), '(\d\s)益', '\1℃', 'g'), '(\d)依', '\1±', 'g'), '滋g', 'μg'),
+  '伊(\d+)', 'x\1', 'g'), '叶(.*?)曳', '《\1》', 'gs'), '逸(\d+)', '≥\1', 'g'), '臆(\d+)', '≤\1', 'g'), chr(61548), '●'), chr(10), '')) AS fixed_sha256 FROM r""")
+def text_repair_of_documents(spark, sf_dir):
+    """Documents with planted signs of every kind that repair knows by a rule of its own."""
+    raw = F.coalesce("text", F.lit(""))
+    for a, b in ((" a", " 7 益a"), ("un", "3依un"), ("ou", "伊5逸6臆7"), ("st", "滋g　叶st曳\xa0")):
+        raw = F.replace(raw, F.lit(a), F.lit(b))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(X.repair_pdf_text(F.translate(raw, ",.", "袁遥")), 256).alias("fixed_sha256"))
