@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from html import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.functions import charsets as C
 from quarry.functions import text as X
 from quarry.functions.dictionary import Dictionary, learn_words
+from quarry.operators import html as H
 from quarry.operators import nodes as N
 from quarry.operators import pdf as P
+from quarry.operators import records as RC
+from quarry.plans import cases as _cases
 from quarry.plans.registry import query
-from quarry.sources import folder, rest
+from quarry.sources import files, folder, rest
 from quarry.sources import rest_sink as sink
 from quarry.sources.shared import shared_folder
 
@@ -154,12 +160,12 @@ def folder_stream(spark, sf_dir):
     """The same by a stream of several batches, and again after it was stopped and more files had come."""
     folder.register(spark)
     at = shared_folder(spark, "files")
-    files = _files(spark, sf_dir)
+    rows = _files(spark, sf_dir)
     some = F.col("path").startswith("documents/")
-    for part in (files.filter(some), files.filter(~some)):
+    for part in (rows.filter(some), rows.filter(~some)):
         part.write.format(folder.NAME).mode("append").save(at)
-        rows = spark.readStream.format(folder.NAME).option("settleSeconds", "0").option("filesPerBatch", "100000").load(at)
-        _digest(rows).writeStream.format("parquet").option("checkpointLocation", at + "-state").trigger(availableNow=True).start(at + "-rows").awaitTermination()
+        stream = spark.readStream.format(folder.NAME).option("settleSeconds", "0").option("filesPerBatch", "100000").load(at)
+        _digest(stream).writeStream.format("parquet").option("checkpointLocation", at + "-state").trigger(availableNow=True).start(at + "-rows").awaitTermination()
     return spark.read.parquet(at + "-rows")
 
 
@@ -399,3 +405,163 @@ def text_repair_of_documents(spark, sf_dir):
     for a, b in ((" a", " 7 益a"), ("un", "3依un"), ("ou", "伊5逸6臆7"), ("st", "滋g　叶st曳\xa0")):
         raw = F.replace(raw, F.lit(a), F.lit(b))
     return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(X.repair_pdf_text(F.translate(raw, ",.", "袁遥")), 256).alias("fixed_sha256"))
+
+
+@query(f"""WITH {_LINES},
+t AS (
+  SELECT doc_id, source || CASE WHEN i = 0 THEN '' WHEN i % 4 = 2 THEN ' > ' || {_one('own[i]')} ELSE ' > ' || {_one('own[i - 2]')} || ' > ' || {_one('own[i]')} END AS titles, {_one('line')} AS content
+  FROM l WHERE i % 2 = 0)
+SELECT doc_id, sha256(titles) AS titles_sha256, sha256(content) AS content_sha256 FROM t WHERE content <> ''""")
+def html_sections_of_pages(spark, sf_dir):
+    """Sections of built pages under their title paths, links taken out of their marks."""
+    rows = H.extract_html(_built_pages(spark, sf_dir), H.HtmlConfig(use_summary=False))
+    return rows.select("doc_id", F.sha2(F.array_join("titles", " > "), 256).alias("titles_sha256"), F.sha2("page_content", 256).alias("content_sha256"))
+
+
+_NATIONS_SQL = "SELECT r_regionkey, r_name, n_name, n_nationkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS row FROM region JOIN nation ON n_regionkey = r_regionkey"
+
+
+def _nation_tables(spark, sf_dir):
+    """A page of each region: a caption, then a table whose first cell spans a row of each nation, under a header of two rows."""
+    n = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+    row = lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, F.concat(F.lit("<td rowspan="), F.size("n").cast("string"), F.lit(">"), F.col("r_name"))).otherwise(""), F.lit("<td>"), x["n_nationkey"].cast("string"), F.lit("<td>"), x["n_name"])
+    head = F.lit("<tr><th rowspan=2>region<th colspan=2>nation<tr><th>key<th>name")
+    html = F.concat(F.lit("<title>"), F.col("r_name"), F.lit("</title><h2>B</h2><div>表"), F.col("r_regionkey").cast("string"), F.lit("</div><table>"), head, F.array_join(F.transform("n", row), ""), F.lit("</table>"))
+    return _t(spark, sf_dir, "region").join(n, "r_regionkey").select("r_regionkey", html.alias("html"))
+
+
+@query(f"""SELECT r_regionkey, r_name || ' > B > 表' || r_regionkey AS titles, row::INT AS row,
+  'region为' || r_name || '的nation key是' || n_nationkey || chr(10) || chr(10) || 'region为' || r_name || '的nation name是' || n_name AS page_content FROM ({_NATIONS_SQL})""")
+def html_tables_of_nations(spark, sf_dir):
+    """Rows of tables with spans, a header of two rows and a caption, as sentences."""
+    rows = H.extract_html(_nation_tables(spark, sf_dir), H.HtmlConfig(use_summary=False)).filter("content_type = 'table'")
+    return rows.select("r_regionkey", F.array_join("titles", " > ").alias("titles"), "row", "page_content")
+
+
+@query(f"""SELECT r_regionkey, r_name || ' > ## B > 表' || r_regionkey AS titles,
+  '| region | nation |' || chr(10) || '| --- | --- |' || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10)
+  || string_agg('| ' || CASE WHEN row = 0 THEN r_name || ' | ' ELSE '' END || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY row) AS page_content
+FROM ({_NATIONS_SQL}) GROUP BY r_regionkey, r_name""")
+def html_whole_tables_of_nations(spark, sf_dir):
+    """The same tables as they stand, in Markdown."""
+    rows = H.extract_html(_nation_tables(spark, sf_dir), H.HtmlConfig(use_summary=False, cut_table_to_line=False, title_convert_to_markdown=True)).filter("content_type = 'table'")
+    return rows.select("r_regionkey", F.array_join("titles", " > ").alias("titles"), "page_content")
+
+
+@F.pandas_udf("binary")
+def _workbook(keys: pd.Series, names: pd.Series) -> pd.Series:
+    """Workbooks of a sheet with a header and a row for each key and name."""
+
+    def one(ks, ns):
+        cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        rows = [f"<row>{cell('A1', 'key')}{cell('B1', 'name')}</row>"]
+        rows += [f'<row><c r="A{i}"><v>{k}</v></c>{cell(f"B{i}", n)}</row>' for i, (k, n) in enumerate(zip(ks, ns, strict=True), 2)]
+        return _cases.archive({"xl/worksheets/sheet1.xml": f"<w>{''.join(rows)}</w>"})
+
+    return pd.Series([one(ks, ns) for ks, ns in zip(keys, names, strict=True)])
+
+
+@F.pandas_udf("binary")
+def _old_workbook(keys: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([_cases.xls([(0, 0, "key"), (0, 1, "name"), *((i, c, v) for i, row in enumerate(zip(map(int, ks), ns, strict=True), 1) for c, v in enumerate(row))]) for ks, ns in zip(keys, names, strict=True)])
+
+
+@F.pandas_udf("binary")
+def _word(head: pd.Series, text: pd.Series) -> pd.Series:
+    p = lambda style, t: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{escape(t)}</w:t></w:r></w:p>'
+    return pd.Series([_cases.archive({"word/document.xml": f'<w:d xmlns:w="u"><w:body>{p("Heading1", h)}{p("Normal", t)}</w:body></w:d>', "word/_rels/document.xml.rels": "<R/>"}) for h, t in zip(head, text, strict=True)])
+
+
+@F.pandas_udf("binary")
+def _book(title: pd.Series, head: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([_cases.archive({"c.opf": f'<p xmlns:dc="u"><dc:title>{escape(x)}</dc:title></p>', "1.xhtml": f'<html xmlns="u"><body xmlns="v" xml:lang="en"><h1>{escape(h)}</h1><p>{escape(t)}</p></body></html>'}) for x, h, t in zip(title, head, text, strict=True)])
+
+
+_PLAIN_TEXT = "regexp_replace(translate(coalesce(text, ''), '" + _FOLD[0] + "', '" + _FOLD[1] + "'), '[^A-Za-z]+', ' ', 'g')"
+
+
+@query(f"""WITH c AS (SELECT n_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS row FROM customer JOIN nation ON n_nationkey = c_nationkey),
+s AS (SELECT 'key为' || c_custkey || '的name是' || c_name AS sentence, n_nationkey, row FROM c),
+d AS (SELECT doc_id, source, lang, trim({_PLAIN_TEXT}) AS t FROM documents)
+SELECT n_nationkey || kind AS file, row::INT AS ord, '' AS titles, row::INT AS row, sentence AS page_content FROM s, (VALUES ('.xlsx'), ('.xls')) k(kind)
+UNION ALL SELECT doc_id || '.docx', 0, doc_id::VARCHAR, NULL, doc_id::VARCHAR FROM d WHERE t <> ''
+UNION ALL SELECT doc_id || '.docx', 1, doc_id || ' > ' || source, NULL, t FROM d WHERE t <> ''
+UNION ALL SELECT doc_id || '.epub', 0, lang, NULL, lang FROM d WHERE t <> ''
+UNION ALL SELECT doc_id || '.epub', 1, lang || ' > ' || source, NULL, t FROM d WHERE t <> ''""")
+def office_files_of_tables(spark, sf_dir):
+    """Workbooks of each nation's customers, new and old, and documents as Word files and books, all written as bytes and read again."""
+    n = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("c"))
+    name = lambda key, kind: F.concat(F.lit("/"), F.col(key).cast("string"), F.lit(kind)).alias("path")
+    keys, names = F.transform("c", lambda x: x["c_custkey"]), F.transform("c", lambda x: x["c_name"])
+    rows = n.select(name("c_nationkey", ".xlsx"), _workbook(keys, names).alias("content")).unionByName(n.select(name("c_nationkey", ".xls"), _old_workbook(keys, names).alias("content")))
+    d = _t(spark, sf_dir, "documents").withColumn("t", F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), *_FOLD), "[^A-Za-z]+", " "))).filter("t <> ''")
+    rows = rows.unionByName(d.select(name("doc_id", ".docx"), _word("source", "t").alias("content"))).unionByName(d.select(name("doc_id", ".epub"), _book("lang", "source", "t").alias("content")))
+    return files.extract_files(rows).select(F.regexp_replace("path", ".*/", "").alias("file"), "ord", F.array_join("titles", " > ").alias("titles"), "row", "page_content")
+
+
+_WORD_SQL = "coalesce(nullif(regexp_extract(text, '[A-Za-z]+'), ''), 'x')"
+_RECORD_SQL = f"""
+WITH d AS (SELECT doc_id, doc_id % 4 AS k, lang, source, n_chars % 90 AS age, {_WORD_SQL} AS w FROM documents),
+t AS (SELECT *, '## 手术知情同意书' || chr(10) || chr(10) || '### 基本信息' || chr(10) || chr(10) || '性别：' || lang || ' 年龄：' || age || ' 科室：' || source || ' 病案号：' || doc_id || ' ' || chr(10) || chr(10)
+  || '### 简要病情' || chr(10) || chr(10) || w || ' ' || source || chr(10) || chr(10) || '### 拟实施手术名称' || chr(10) || chr(10) || w || chr(10) || chr(10)
+  || CASE WHEN k > 1 THEN '### 术前准备' || chr(10) || chr(10) || repeat(w || '-', 40) || chr(10) || chr(10) ELSE '' END AS whole FROM d)
+SELECT doc_id, CASE k WHEN 0 THEN '手术知情同意书' WHEN 1 THEN '谈话记录' WHEN 2 THEN '入院记录' END AS kind, CASE WHEN length(whole) >= 100 THEN whole END AS record_text,
+  lang AS gender, age::VARCHAR AS age, source AS department, CASE k WHEN 0 THEN w WHEN 1 THEN source || '，' || lang WHEN 2 THEN source ELSE '' END AS diagnosis, w AS treatment
+FROM t
+"""
+
+
+@query(_RECORD_SQL)
+def records_of_documents(spark, sf_dir):
+    """Pages of three kinds of medical records and of none, the fields of a consent form, its text and metadata."""
+    k, w = F.col("doc_id") % 4, F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("x"))
+    element = lambda r: f'<{r[0]} data-name="{r[1]}">{r[3]}</{r[0]}>'
+    page = F.lit("<html><body><p>none</p></body></html>")
+    for i, kind in enumerate((RC.SURGERY, RC.TALK, RC.ADMISSION)):
+        page = F.when(k == i, f"<html><body><header>院 [ {kind.headers[0]}</header>{''.join(map(element, kind.required))}</body></html>").otherwise(page)
+    pair = lambda name, value, when=True: F.when(F.lit(when), F.concat(F.lit(f"{name}：[ "), value, F.lit("] "))).otherwise("")
+    content = F.concat(
+        pair("性别", F.lit("?")), pair("性别", F.col("lang")), pair("年龄", (F.col("n_chars") % 90).cast("string")), pair("科室", F.col("source")), pair("病案号", F.col("doc_id").cast("string")),
+        pair("简要病情", F.concat(w, F.lit(" "), "source")), pair("拟实施手术名称", w), pair("术前准备", F.repeat(F.concat(w, F.lit("-")), F.lit(40)), k > 1),
+        pair("修正诊断", w, k == 0), pair("初步诊断", F.col("source"), k < 3), pair("补充诊断", F.col("lang"), k == 1),
+    )
+    d = _t(spark, sf_dir, "documents").select("doc_id", page.alias("html"), RC.record_fields(content, RC.SURGERY).alias("f"))
+    m = RC.record_metadata(F.col("f"), RC.SURGERY)
+    return d.select("doc_id", RC.record_kind("html").alias("kind"), RC.record_text(F.col("f"), RC.SURGERY).alias("record_text"), *[m[c].alias(c) for c in ("gender", "age", "department", "diagnosis", "treatment")])
+
+
+_RULE = '{"mode":"automatic","rules":null}'
+_REQUEST_SQL = f"""
+WITH d AS (SELECT doc_id, doc_id::VARCHAR AS id, source AS s, lang FROM documents),
+q AS (
+  SELECT doc_id, 'update_by_text' AS name, 'POST' AS method, '/v1/datasets/' || s || '/documents/' || id || '/update_by_text' AS path, '{{"name":"' || lang || '","indexing_technique":"high_quality","process_rule":{_RULE},"text":"' || s || '"}}' AS body FROM d
+  UNION ALL SELECT doc_id, 'create_by_file', 'POST', '/v1/datasets/' || s || '/document/create_by_file', '{{"name":null,"indexing_technique":"high_quality","process_rule":{_RULE}}}' FROM d
+  UNION ALL SELECT doc_id, 'update_by_file', 'POST', '/v1/datasets/' || s || '/documents/' || id || '/update_by_file', '{{"name":null,"indexing_technique":"economy","process_rule":{_RULE}}}' FROM d
+  UNION ALL SELECT doc_id, 'create_dataset', 'POST', '/v1/datasets', '{{"name":"' || id || '","indexing_technique":"high_quality","description":"' || lang || '","permission":"only_me","provider":"vendor"}}' FROM d
+  UNION ALL SELECT doc_id, 'list_datasets', 'GET', '/v1/datasets?page=' || (doc_id + 1) || '&limit=20', NULL FROM d
+  UNION ALL SELECT doc_id, 'delete_dataset', 'DELETE', '/v1/datasets/' || s, NULL FROM d
+  UNION ALL SELECT doc_id, 'batch_status', 'GET', '/v1/datasets/' || s || '/documents/' || id || '/indexing-status', NULL FROM d
+  UNION ALL SELECT doc_id, 'delete_document', 'DELETE', '/v1/datasets/' || s || '/documents/' || id, NULL FROM d
+  UNION ALL SELECT doc_id, 'list_documents', 'GET', '/v1/datasets/' || s || '/documents?page=2&keyword=' || lang || '+' || id, NULL FROM d
+  UNION ALL SELECT doc_id, 'add_segments', 'POST', '/v1/datasets/' || s || '/documents/' || id || '/segments', '{{"segments":[{{"content":"' || s || '","answer":null,"keywords":["' || lang || '"],"enabled":true}}]}}' FROM d
+  UNION ALL SELECT doc_id, 'update_segment', 'POST', '/v1/datasets/' || s || '/documents/' || id || '/segments/' || lang, '{{"segment":{{"content":"' || s || '","answer":"' || lang || '","keywords":null,"enabled":false}}}}' FROM d
+  UNION ALL SELECT doc_id, 'list_segments', 'GET', '/v1/datasets/' || s || '/documents/' || id || '/segments', '{{"status":"completed"}}' FROM d
+  UNION ALL SELECT doc_id, 'delete_segment', 'DELETE', '/v1/datasets/' || s || '/documents/' || id || '/segments/' || lang, NULL FROM d)
+SELECT * FROM q
+"""
+
+
+@query(_REQUEST_SQL)
+def requests_of_documents(spark, sf_dir):
+    """Every kind of request with values of each document."""
+    d = _t(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    s, i, g = F.col("source"), F.col("id"), F.col("lang")
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    some = {
+        "update_by_text": rest.update_by_text(s, i, g, s), "create_by_file": rest.create_by_file(s, i, content), "update_by_file": rest.update_by_file(s, i, F.concat(F.lit("/x/"), i), content, indexing="economy"),
+        "create_dataset": rest.create_dataset(i, g), "list_datasets": rest.list_datasets(F.col("doc_id") + 1, 20), "delete_dataset": rest.delete_dataset(s), "batch_status": rest.batch_status(s, i), "delete_document": rest.delete_document(s, i),
+        "list_documents": rest.list_documents(s, F.concat(g, F.lit(" "), i), page=2), "add_segments": rest.add_segments(s, i, F.array(rest.segment(s, keywords=F.array(g)))), "update_segment": rest.update_segment(s, i, g, rest.segment(s, answer=g, enabled=False)),
+        "list_segments": rest.list_segments(s, i, status="completed"), "delete_segment": rest.delete_segment(s, i, g),
+    }
+    q = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v["method"].alias("method"), v["path"].alias("path"), v["body"].alias("body")) for k, v in some.items())))
+    return d.select("doc_id", q.alias("q")).select("doc_id", "q.*")
