@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import splice_texts
 from quarry.schema import TITLE_SEPARATOR
+from quarry.sources.shared import shared_folder
 
 KEY = ["document_id", "doc_id"]
 
@@ -89,17 +90,26 @@ def format_segments(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).alias(name) for name, c in some.items()])
 
 
-# Re-assembly within a budget of characters. Growth is an ordered fold, so it runs over
-# arrays, each of one island of neighbouring hits or of one title's contents.
+# Re-assembly within a budget of characters. By position, growth is decided over lengths
+# alone; by title, over the segments that the budget can reach. Texts are joined only inside it.
 
 
-def grow_island(parts: list[tuple[int, str | None, int | None]], window: int, budget: int) -> list[tuple[int, str]]:
-    """(hit_ord, text) per seed. parts: position, text, hit_ord or null, by position.
+def grow_island(parts: list[tuple[int, int, int | None]], window: int, budget: int) -> list[tuple[int, int, int]]:
+    """(hit_ord, first, last position) per seed. parts: position, length, hit_ord or null, by position.
 
     Hits in order of retrieval take in the unused hits right and left of them, at most
     ``window`` positions on, with what lies between, until the text would exceed ``budget``.
     """
-    text = {p: t or "" for p, t, _ in parts}
+    before = {}
+    total = 0
+    for p, n, _ in parts:
+        before[p] = total
+        total += n
+    first_of = parts[0][0] if parts else 0
+    sums = [before.get(p) for p in range(first_of, parts[-1][0] + 1)] + [total] if parts else [0]
+    for i in range(len(sums) - 2, -1, -1):  # a place without a segment adds nothing
+        sums[i] = sums[i + 1] if sums[i] is None else sums[i]
+    size = lambda lo, hi: sums[hi + 1 - first_of] - sums[lo - first_of]
     order = {p: o for p, _, o in parts if o is not None}
     used: set[int] = set()
     out = []
@@ -107,72 +117,117 @@ def grow_island(parts: list[tuple[int, str | None, int | None]], window: int, bu
         if seed in used:
             continue
         used.add(seed)
-        whole, edge, reach = text[seed], {1: seed, -1: seed}, {1: 0, -1: 0}
-        full = False
+        lo = hi = seed
+        reach, full = {1: 0, -1: 0}, False
         while not full and min(reach.values()) <= window:
             for way in (1, -1):
                 if reach[way] > window:
                     continue
                 reach[way] += 1
-                at = edge[way] + way * reach[way]
+                at = hi + reach[way] if way == 1 else lo - reach[way]
                 if reach[way] > window or at not in order or at in used:
                     continue
-                between = range(edge[way] + 1, at + 1) if way == 1 else range(at, edge[way])
-                more = "".join(text.get(i, "") for i in between)
-                if len(whole) + len(more) > budget:
+                if size(min(lo, at), max(hi, at)) > budget:
                     full = True
                     break
-                whole = whole + more if way == 1 else more + whole
                 used.add(at)
-                edge[way], reach[way] = at, 0
-        out.append((order[seed], whole))
+                lo, hi, reach[way] = min(lo, at), max(hi, at), 0
+        out.append((order[seed], lo, hi))
     return out
 
 
 def positional_growth(hits: DataFrame, segments: DataFrame, max_window: int = 2, budget: int = 2000) -> DataFrame:
     """document_id, hit_ord (the seed's), page_content; texts longer than ``budget`` only where a single segment is.
 
-    Islands are cut by windows over hits alone, so an array holds the segments between
-    one island's first and last hit, not a document's.
+    Islands are cut by windows over hits alone; what is gathered of one is a length and a
+    number for each place. Texts meet seed by seed, inside the budget.
     """
 
-    @F.pandas_udf("array<struct<hit_ord:long,page_content:string>>")
+    @F.pandas_udf("array<struct<hit_ord:long,first:long,last:long>>")
     def grow(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda a: grow_island([(x["position"], x["page_content"], x["hit_ord"]) for x in a], max_window, budget))
+        return parts.map(lambda a: grow_island([(x["position"], x["n"], x["hit_ord"]) for x in a], max_window, budget))
 
     placed = _placed(hits, segments)
     h = placed.filter("position IS NOT NULL").groupBy("document_id", "position").agg(F.min("hit_ord").cast("long").alias("hit_ord"))
     h = _islands(h, max_window)
-    isles = h.groupBy("document_id", "island").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.map_from_entries(F.collect_list(F.struct("position", "hit_ord"))).alias("seeds"))
-    part = F.struct("position", "page_content", F.try_element_at("seeds", F.col("position")).alias("hit_ord"))
-    grown = _filled(isles, segments).groupBy("document_id", "island").agg(F.array_sort(F.collect_list(part)).alias("_g")).withColumn("_g", grow("_g"))
-    grown = grown.select("document_id", F.explode("_g").alias("_g")).select("document_id", "_g.*")
-    return grown.unionByName(placed.filter("position IS NULL").select("document_id", F.col("hit_ord").cast("long"), F.col("own").alias("page_content")))
-
-
-def grow_title(content: str, contents: list[str], budget: int) -> str:
-    """A hit's text with its title's contents, the nearest behind and before it in turns, while it is shorter than ``budget``."""
-    if content not in contents:
-        return content
-    at = contents.index(content)
-    for behind, before in zip_longest(contents[at + 1 :], reversed(contents[:at])):
+    isles = h.groupBy("document_id", "island").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    texts = segments.groupBy("document_id", "position").agg(F.coalesce(F.max("page_content"), F.lit("")).alias("page_content"))
+    places = isles.withColumn("position", F.explode(F.sequence("first", "last"))).select("document_id", "island", "position")
+    sizes = places.join(texts.select("document_id", "position", F.length("page_content").alias("n")), ["document_id", "position"]).join(h.select("document_id", "position", "hit_ord"), ["document_id", "position"], "left")
+    part = F.struct(F.col("position").cast("long").alias("position"), F.col("n"), F.col("hit_ord"))
+    grown = sizes.groupBy("document_id", "island").agg(F.array_sort(F.collect_list(part)).alias("_g")).select("document_id", F.explode(grow("_g")).alias("_g")).select("document_id", "_g.*")
+    own = grown.withColumn("position", F.explode(F.sequence("first", "last"))).join(texts, ["document_id", "position"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "page_content"))), lambda x: x["page_content"]), "")
+    own = own.groupBy("document_id", "hit_ord").agg(text.alias("page_content"))
+    return own.unionByName(placed.filter("position IS NULL").select("document_id", F.col("hit_ord").cast("long"), F.col("own").alias("page_content")))
+
+
+def grow_title(content: str, behind: list[str], before: list[str], budget: int) -> tuple[str, int]:
+    """A hit's text with its title's contents, the nearest behind and before it in turns, while it is shorter than ``budget``; and the turns taken."""
+    turns = 0
+    for a, b in zip_longest(behind, before):
         if len(content) >= budget:
             break
-        content = splice_texts(content, behind or "")
-        content = splice_texts(before or "", content)
-    return content
+        content = splice_texts(content, a or "")
+        content = splice_texts(b or "", content)
+        turns += 1
+    return content, turns
 
 
-def title_growth(hits: DataFrame, segments: DataFrame, budget: int = 2000) -> DataFrame:
-    """document_id, hit_ord, page_content; hits and segments as in ``title_expansion``, hits with their ``content``. A hit under no known title stays as it is; equal texts of a document stay once, at the first hit."""
+#: Times by which the reach of hits grows that the first one wasn't enough for, as segments overlapped.
+WIDER = 4
 
-    @F.pandas_udf("string")
-    def grow(content: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([grow_title(c or "", [] if a is None else [x["content"] or "" for x in a], budget) for c, a in zip(content, contents, strict=True)])
 
-    body = segments.groupBy("document_id", "title").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("_a"))
-    grown = hits.join(body, ["document_id", "title"], "left").select("document_id", "hit_ord", grow("content", "_a").alias("page_content"))
-    return grown.groupBy("document_id", "page_content").agg(F.min("hit_ord").alias("hit_ord"))
+def title_growth(hits: DataFrame, segments: DataFrame, budget: int = 2000) -> DataFrame:
+    """document_id, hit_ord, page_content; hits and segments as in ``title_expansion``, hits with their ``content``. A hit under no known title stays as it is; equal texts of a document stay once, at the first hit.
+
+    Segments stand on the running sum of their title's lengths, cut into stretches of the budget. A hit meets those of
+    its own stretch and the next ones, which is all that the budget can reach, not its title. Where overlaps
+    left a text short of the budget and of its title's ends, the stretches grow and the hit comes again.
+    """
+    # a running sum over a title is a window that spills; nothing of a title is gathered
+    place = W.partitionBy("document_id", "title").orderBy("ord", "content")
+    seg = segments.select("document_id", "title", "ord", F.coalesce("content", F.lit("")).alias("content"))
+    seg = seg.withColumn("i", F.row_number().over(place)).withColumn("at", F.sum(F.length("content")).over(place.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ends = seg.groupBy("document_id", "title").agg(F.max("i").alias("n"))
+    hits = hits.select("document_id", F.col("hit_ord"), "title", F.coalesce("content", F.lit("")).alias("content"))
+    first = seg.groupBy("document_id", "title", "content").agg(F.min(F.struct("i", "at")).alias("p"))
+    found = hits.join(first, ["document_id", "title", "content"], "left").join(ends, ["document_id", "title"], "left")
+    done = found.filter("p IS NULL").select("document_id", "hit_ord", "content")
+    todo = found.filter("p IS NOT NULL").select("document_id", "hit_ord", "title", "content", "p.i", "p.at", "n")
+
+    @F.pandas_udf("struct<text:string,enough:boolean>")
+    def grow(content: pd.Series, parts: pd.Series, i: pd.Series, n: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, own, at, last in zip(content, parts, i, n, strict=True):
+            text = {x["i"]: x["content"] for x in own}
+            # neighbours without a gap on either side
+            hi = next(k for k in range(at + 1, last + 2) if k > last or k not in text)
+            lo = next(k for k in range(at - 1, -1, -1) if k < 1 or k not in text)
+            # a side that ends where its stretch does, not its title, allows as many turns only
+            turns = min(hi - at - 1 if hi <= last else last, at - lo - 1 if lo >= 1 else last)
+            whole, taken = grow_title(c, [text[k] for k in range(at + 1, hi)][:turns], [text[k] for k in range(at - 1, lo, -1)][:turns], budget)
+            rows.append((whole, len(whole) >= budget or (hi > last and lo < 1)))
+        return pd.DataFrame(rows, columns=["text", "enough"])
+
+    reach = max(budget, 1)
+    while True:
+        cut = lambda d: F.floor(F.col("at") / reach)  # noqa: E731, B023
+        # a segment that begins in an earlier stretch than it ends in is met from both
+        starts = F.floor((F.col("at") - F.length("content")) / reach)
+        own = seg.withColumn("b", F.explode(F.array_distinct(F.array(cut(seg), starts))))
+        near = todo.withColumn("b", F.explode(F.sequence(cut(todo) - 2, cut(todo) + 2)))
+        parts = near.join(own.select("document_id", "title", "b", F.col("i").alias("_i"), F.col("content").alias("_c")), ["document_id", "title", "b"])
+        parts = parts.groupBy("document_id", "hit_ord", "title", "content", "i", "at", "n").agg(F.collect_set(F.struct(F.col("_i").alias("i"), F.col("_c").alias("content"))).alias("_p"))
+        path = shared_folder(parts.sparkSession, "grown")
+        parts.withColumn("g", grow("content", "_p", "i", "n")).drop("_p").write.parquet(path)
+        grown = parts.sparkSession.read.parquet(path)
+        done = done.unionByName(grown.filter("g.enough").select("document_id", "hit_ord", F.col("g.text").alias("content")))
+        todo = grown.filter("NOT g.enough").drop("g")
+        if todo.isEmpty():
+            break
+        reach *= WIDER
+    return done.groupBy("document_id", F.col("content").alias("page_content")).agg(F.min("hit_ord").alias("hit_ord")).select("document_id", "hit_ord", "page_content")
 
 
 def _titled(rows: DataFrame, ord_: str | None) -> DataFrame:

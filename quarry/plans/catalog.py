@@ -311,12 +311,39 @@ def readable_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", X.is_readable(F.col("text")).alias("readable"))
 
 
-@query()
+_BUDGET = 2000
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE {_VARIED}),
+n AS (SELECT conv_id, turn, length(text) + 1 AS n, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations),
+s AS (SELECT h.conv_id, h.k, h.turn, n.upto, n.upto - n.n AS before FROM h JOIN n USING (conv_id, turn)),
+g AS (
+  SELECT conv_id, k, turn, turn AS first, before FROM s WHERE k = 1
+  UNION ALL
+  SELECT s.conv_id, s.k, s.turn, CASE WHEN s.turn - g.turn <= 2 AND s.upto - g.before <= {_BUDGET} THEN g.first ELSE s.turn END, CASE WHEN s.turn - g.turn <= 2 AND s.upto - g.before <= {_BUDGET} THEN g.before ELSE s.before END
+  FROM g JOIN s ON s.conv_id = g.conv_id AND s.k = g.k + 1),
+b AS (SELECT conv_id, first, max(turn) AS last FROM g GROUP BY conv_id, first)
+SELECT conv_id AS document_id, first AS hit_ord, string_agg(text || chr(10), '' ORDER BY turn) AS page_content FROM b JOIN conversations USING (conv_id) WHERE turn BETWEEN first AND last GROUP BY conv_id, first""")
 def normal_growth(spark, sf_dir):
     return R.positional_growth(*_segments(spark, sf_dir))
 
 
-@query()
+def _spliced(a: str, b: str) -> str:
+    """SQL of two texts joined over their shortest overlap."""
+    return f"({a} || substr({b}, coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda k: right({a}, k) = left({b}, k))), 0) + 1))"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT conv_id, role, text, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS i, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations),
+h AS (SELECT conv_id, turn, role, text, (SELECT min(i) FROM s WHERE s.conv_id = c.conv_id AND s.role = c.role AND s.text = c.text) AS i FROM conversations c WHERE {_VARIED}),
+g AS (
+  SELECT conv_id, turn, role, i, 0 AS d, text FROM h
+  UNION ALL
+  SELECT conv_id, turn, role, i, d, {_spliced("coalesce(before, '')", "t")} FROM (
+    SELECT g.conv_id, g.turn, g.role, g.i, g.d + 1 AS d, b.text AS before, {_spliced("g.text", "coalesce(a.text, '')")} AS t
+    FROM g LEFT JOIN s a ON a.conv_id = g.conv_id AND a.role = g.role AND a.i = g.i + g.d + 1 LEFT JOIN s b ON b.conv_id = g.conv_id AND b.role = g.role AND b.i = g.i - g.d - 1
+    WHERE length(g.text) < {_BUDGET} AND (a.i IS NOT NULL OR b.i IS NOT NULL))),
+last AS (SELECT conv_id, turn, arg_max(text, d) AS page_content FROM g GROUP BY conv_id, turn)
+SELECT conv_id AS document_id, min(turn) AS hit_ord, page_content FROM last GROUP BY conv_id, page_content""")
 def title_growth(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ord"), F.col("role").alias("title"), F.col("text").alias("content"))

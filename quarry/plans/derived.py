@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from html import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import charsets as C
+from quarry.functions import readable
 from quarry.functions import text as X
 from quarry.functions.dictionary import Dictionary, learn_words
 from quarry.operators import html as H
@@ -448,7 +451,7 @@ def html_whole_tables_of_nations(spark, sf_dir):
     return rows.select("r_regionkey", F.array_join("titles", " > ").alias("titles"), "page_content")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _workbook(keys: pd.Series, names: pd.Series) -> pd.Series:
     """Workbooks of a sheet with a header and a row for each key and name."""
 
@@ -461,18 +464,18 @@ def _workbook(keys: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([one(ks, ns) for ks, ns in zip(keys, names, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _old_workbook(keys: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([_cases.xls([(0, 0, "key"), (0, 1, "name"), *((i, c, v) for i, row in enumerate(zip(map(int, ks), ns, strict=True), 1) for c, v in enumerate(row))]) for ks, ns in zip(keys, names, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _word(head: pd.Series, text: pd.Series) -> pd.Series:
     p = lambda style, t: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{escape(t)}</w:t></w:r></w:p>'
     return pd.Series([_cases.archive({"word/document.xml": f'<w:d xmlns:w="u"><w:body>{p("Heading1", h)}{p("Normal", t)}</w:body></w:d>', "word/_rels/document.xml.rels": "<R/>"}) for h, t in zip(head, text, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _book(title: pd.Series, head: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([_cases.archive({"c.opf": f'<p xmlns:dc="u"><dc:title>{escape(x)}</dc:title></p>', "1.xhtml": f'<html xmlns="u"><body xmlns="v" xml:lang="en"><h1>{escape(h)}</h1><p>{escape(t)}</p></body></html>'}) for x, h, t in zip(title, head, text, strict=True)])
 
@@ -565,3 +568,89 @@ def requests_of_documents(spark, sf_dir):
     }
     q = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v["method"].alias("method"), v["path"].alias("path"), v["body"].alias("body")) for k, v in some.items())))
     return d.select("doc_id", q.alias("q")).select("doc_id", "q.*")
+
+
+def _words(spark, sf_dir):
+    """doc_id, n (as text) and w, the first plain word, of each document."""
+    w = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("x"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("n"), w.alias("w"), "source", "lang")
+
+
+def _filled(template: str):
+    """A text with {n} and {w} of each document, as a Column and as SQL."""
+    parts = re.split(r"(\{[nw]\})", template)
+    return F.concat(*(F.col(p[1]) if p in ("{n}", "{w}") else F.lit(p) for p in parts if p))
+
+
+def _sql(template: str) -> str:
+    return " || ".join(p[1] if p in ("{n}", "{w}") else "'" + p.replace("'", "''") + "'" for p in re.split(r"(\{[nw]\})", template) if p)
+
+
+_WORDS_SQL = f"WITH d AS (SELECT doc_id, doc_id::VARCHAR AS n, {_WORD_SQL} AS w, source, lang FROM documents)"
+_LAYOUT = (
+    "<title>T {n} &amp; U</title><h1>A <b>{w}</b></h1>lost<p>Hello <b>{w}</b>, see<sup>[1-3]</sup> m<sup>2</sup> (ok).<br>x</p><h3>C</h3><p><input type=checkbox checked><span>yes {w}</span><input type=radio><span>no</span> <a href=x>li\nnk</a></p>"
+    "<h2>B\r\n{n}</h2><p>a<b>b</b><i>, c</i> ( <u>d</u> ) <s>{w}</s></p><ul><li>{w}<li>e</ul>f<h5>deep</h5><p>q<script>s</script><!-- c --><style>t</style><iframe>f</iframe>{w}</p>"
+)
+_SECTIONS = [("T {n} & U", "T {n} & U"), ("T {n} & U > A {w}", "Hello {w}, see m^2 (ok).\nx"), ("T {n} & U > A {w} > C", "yes {w} li nk"), ("T {n} & U > A {w} > B {n}", "a b, c ( d) {w}\n\n{w}\ne\n\nf\n\ndeep\n\nq {w}")]
+
+
+@query(_WORDS_SQL + " UNION ALL ".join(f" SELECT doc_id, {k}::INT AS ord, {_sql(t)} AS titles, {_sql(c)} AS page_content FROM d" for k, (t, c) in enumerate(_SECTIONS)))
+def html_layout_of_documents(spark, sf_dir):
+    """Headings with what follows them, raised text, choices that aren't made, links, lists, spaces around marks, things that are never text."""
+    rows = H.extract_html(_words(spark, sf_dir).select("doc_id", _filled(_LAYOUT).alias("html")), H.HtmlConfig(use_summary=False))
+    return rows.select("doc_id", "ord", F.array_join("titles", " > ").alias("titles"), "page_content")
+
+
+@query(_WORDS_SQL + " SELECT doc_id, 0 AS ord, '# A > ## ' || n AS titles, '# A' || chr(10) || '## ' || n || chr(10) || w AS page_content FROM d UNION ALL SELECT doc_id, 1, '# A > ## ' || n || ' > #### D', '## ' || n || chr(10) || '#### D' || chr(10) || 'y' FROM d")
+def html_prefixes_of_documents(spark, sf_dir):
+    """The two closest titles in front of each section, in Markdown."""
+    html = _filled("<h1>A</h1><h2>{n}</h2><p>{w}<h4>D</h4><p>y")
+    rows = H.extract_html(_words(spark, sf_dir).select("doc_id", html.alias("html")), H.HtmlConfig(use_summary=False, contain_closest_title_levels=2, title_convert_to_markdown=True))
+    return rows.select("doc_id", "ord", F.array_join("titles", " > ").alias("titles"), "page_content")
+
+
+@query(_WORDS_SQL + " SELECT doc_id, 'n' || n || '.x' AS file, 'n' || n AS titles, w AS page_content FROM d UNION ALL SELECT doc_id, NULL, '', w FROM d UNION ALL SELECT doc_id, 't', n, n || chr(10) || chr(10) || w FROM d")
+def html_file_titles_of_documents(spark, sf_dir):
+    """Titles from a file's name, from none, and from the page."""
+    d = _words(spark, sf_dir)
+    rows = d.select("doc_id", F.concat(F.lit("n"), "n", F.lit(".x")).alias("file"), _filled("<p>{w}").alias("html")).unionByName(d.select("doc_id", F.lit(None).cast("string").alias("file"), _filled("<p>{w}").alias("html"))).unionByName(d.select("doc_id", F.lit("t").alias("file"), _filled("<title>{n}</title><p>{w}").alias("html")))
+    found = H.extract_html(rows, H.HtmlConfig(use_summary=False), file_name="file")
+    return found.select("doc_id", "file", F.array_join("titles", " > ").alias("titles"), "page_content")
+
+
+@query(_WORDS_SQL + """ SELECT doc_id, 'A fine long title number ' || n || ' - Site' AS title, source AS author, 'A fine long title number ' || n AS short_title, '<body><p class="k">' || w || '<a href="http://h/' || lang || '/b?' || n || '">l</a><img src="http://h/i.png"></p></body>' AS content FROM d""")
+def page_facts_of_documents(spark, sf_dir):
+    """Titles, short titles and authors, and bodies with clean attributes and absolute addresses."""
+    html = F.concat(_filled("<title> A fine long title\nnumber {n} - Site</title><meta name=author content='"), F.col("source"), _filled("'><h1>A fine long title number {n}</h1><body><p style=x width=1 bgcolor=y onclick=z class=k>{w}<script>s</script><a href='b?{n}'>l</a><img src='/i.png'></p></body>"))
+    d = _words(spark, sf_dir).select("doc_id", H.page_facts()(html, F.concat(F.lit("http://h/"), "lang", F.lit("/"))).alias("f"))
+    return d.select("doc_id", "f.title", "f.author", "f.short_title", "f.content")
+
+
+_NEWS = "Words, that matter, and more of them here {w}."
+
+
+@query(_WORDS_SQL + f" SELECT doc_id, trim('kept ' || repeat({_sql(_NEWS)} || ' ', (6 + doc_id % 3)::INT) || CASE WHEN doc_id % 2 = 0 THEN 'A long text, without any blocks in it, that counts.' ELSE '' END) AS article FROM d")
+def main_content_of_documents(spark, sf_dir):
+    """Main content among unlikely names, forms, headings that are links, and text in divisions."""
+    noise = "<div class=sidebar>" + "<p>Noise, noise, noise and more of it.</p>" * 9 + "</div>"
+    news = F.repeat(_filled(f"<p>{_NEWS}</p>"), (6 + F.col("doc_id") % 3).cast("int"))
+    tail = F.when(F.col("doc_id") % 2 == 0, "<div>A long text, without any blocks in it, that counts.</div>").otherwise("")
+    html = F.concat(F.lit(f"<body>{noise}<div id=content><form><p>Name, first name, and all the others.</p></form><h2><a href=x>all link</a></h2><h2>kept</h2>"), news, tail, F.lit("</div></body>"))
+
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: " ".join(" ".join(readable.summary(h, readable.Readability()).strings()).split()))
+
+    return _words(spark, sf_dir).select("doc_id", text(html).alias("article"))
+
+
+_MD = "# Head *{w}*\n\nA [link](http://u) and `code <b>`,\nsecond **{w}**.\n\n- x\n- y\n  1. {w}\n\nSub {n}\n---\n\n> quote\n\n| a | b |\n|---|---|\n| {n} | 2 |\n\n```\n# no head\n```\n"
+_MD_ROWS = [("Head {w}", "NULL", "A link and code <b>, second {w}.\n\nx\ny\n\n{w}"), ("Head {w} > Sub {n}", "NULL", "quote\n\n# no head"), ("Head {w} > Sub {n}", "0", "a为{n}的b是2")]
+
+
+@query(_WORDS_SQL + " UNION ALL ".join(f" SELECT doc_id, {k}::INT AS ord, {_sql(t)} AS titles, {r}::INT AS row, {_sql(c)} AS page_content FROM d" for k, (t, r, c) in enumerate(_MD_ROWS)))
+def markdown_as_html_of_documents(spark, sf_dir):
+    """Markdown files by way of HTML: marks, lists, both kinds of headings, quotes, tables, fences."""
+    rows = _words(spark, sf_dir).select(F.concat(F.lit("/"), "n", F.lit(".md")).alias("path"), F.encode(_filled(_MD), "UTF-8").alias("content"))
+    found = files.extract_files(rows, markdown_as_html=True)
+    return found.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "ord", F.array_join("titles", " > ").alias("titles"), "row", "page_content")

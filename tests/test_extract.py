@@ -71,9 +71,15 @@ def test_outline():
 
 
 def test_growth_by_position():
-    parts = [(i, str(i), i if i in (1, 3, 6, 10) else None) for i in range(12)]
-    assert R.grow_island(parts, 2, 2000) == [(1, "123"), (6, "6"), (10, "10")]
-    assert R.grow_island(parts, 2, 2) == [(1, "1"), (3, "3"), (6, "6"), (10, "10")]
+    parts = [(i, len(str(i)), i if i in (1, 3, 6, 10) else None) for i in range(12)]
+    assert R.grow_island(parts, 2, 2000) == [(1, 1, 3), (6, 6, 6), (10, 10, 10)]
+    assert R.grow_island(parts, 2, 2) == [(1, 1, 1), (3, 3, 3), (6, 6, 6), (10, 10, 10)]
+    assert R.grow_island([], 2, 2) == []
+    # places without a segment, and hits that come out of order and meet what others took
+    gaps = [(2, 3, 1), (4, 3, 0), (5, 9, None), (7, 1, 2)]
+    assert R.grow_island(gaps, 2, 6) == [(0, 2, 4), (2, 7, 7)]
+    assert R.grow_island(gaps, 2, 5) == [(0, 4, 4), (1, 2, 2), (2, 7, 7)]
+    assert R.grow_island(gaps, 3, 100) == [(0, 2, 7)]
 
 
 def test_growth_frames(spark):
@@ -83,9 +89,9 @@ def test_growth_frames(spark):
 
 
 def test_growth_by_title():
-    assert R.grow_title("b", ["a", "b", "c"], 100) == "abc"
-    assert R.grow_title("b", ["a", "b", "c"], 1) == "b"
-    assert R.grow_title("x", ["a"], 9) == "x"
+    assert R.grow_title("b", ["c"], ["a"], 100) == ("abc", 1)
+    assert R.grow_title("b", ["c"], ["a"], 1) == ("b", 0)
+    assert R.grow_title("x", [], [], 9) == ("x", 0)
 
 
 def test_records(spark):

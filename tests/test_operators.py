@@ -90,7 +90,7 @@ def test_growth_by_title_is_the_nearest_in_turns():
                         want, right = X.splice_texts(want, contents[right]), right + 1
                     if left >= 0:
                         want, left = X.splice_texts(contents[left], want), left - 1
-                assert R.grow_title(contents[at], contents, budget) == want
+                assert R.grow_title(contents[at], contents[at + 1 :], contents[:at][::-1], budget)[0] == want
 
 
 def test_empty_pdf_tables(spark):
@@ -148,3 +148,28 @@ def test_long_pages():
     page = "<ul>" + "<li>x<b>" * 3000 + "</ul>" + "<p>" + "word " * 50_000
     got = H.extract_page(page, None, H.HtmlConfig(use_summary=False))
     assert len(got["sections"]) == 1 and len(re.findall("word", got["sections"][0]["text"])) == 50_000
+
+
+@pytest.mark.parametrize("budget", [1, 6, 40, 500])
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij"])
+def test_title_growth_reaches_what_the_budget_can(spark, budget, letters):
+    """Short, empty and overlapping segments, so that stretches have to grow; hits without a segment; extra columns."""
+    r = random.Random(budget)
+    seg = [("d", k, r.choice("TU"), "".join(r.choice(letters) for _ in range(r.choice([0, 1, 2, 5, 9])))) for k in range(150)] + [("e", k, "T", "a") for k in range(60)]
+    hits = [(d, n, t, c) for n, (d, _, t, c) in enumerate(r.sample(seg, 40))] + [("d", 100, "none", "own"), ("d", 101, "T", "not there at all"), ("e", 102, "T", None), (None, 103, "T", "x")]
+    want = {}
+    for d, n, t, c in hits:
+        c = c or ""
+        own = [x for e, _, u, x in sorted(seg, key=lambda s: (s[1], s[3])) if (e, u) == (d, t)]
+        if c in own:
+            at = own.index(c)
+            left, right = at - 1, at + 1
+            while len(c) < budget and (left >= 0 or right < len(own)):
+                if right < len(own):
+                    c, right = X.splice_texts(c, own[right]), right + 1
+                if left >= 0:
+                    c, left = X.splice_texts(own[left], c), left - 1
+        want[d, c] = min(n, want.get((d, c), n))
+    s = spark.createDataFrame(seg, "document_id string, ord int, title string, content string").withColumn("at", F.lit("x")).withColumn("i", F.lit(1)).repartition(5)
+    h = spark.createDataFrame(hits, "document_id string, hit_ord int, title string, content string").withColumn("n", F.lit(1)).repartition(3)
+    assert {(x.document_id, x.page_content): x.hit_ord for x in R.title_growth(h, s, budget).collect()} == want

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 from quarry.plans import catalog
 
 
@@ -91,3 +92,12 @@ def test_title_growth_and_expansion(spark, tmp_path):
     assert sorted(((r.document_id, r.page_content), r.hit_ord) for r in catalog.queries()["title_expand"](spark, d).collect()) == want
     got = catalog.queries()["title_growth"](spark, d).collect()
     assert {(r.document_id, r.hit_ord) for r in got} <= HITS and len({r.hit_ord % 4 for r in got if r.document_id == 0}) > 1
+
+
+def test_growth_against_sql(spark, tmp_path):
+    d = conversations(spark, tmp_path, TURNS)
+    for name in ("normal_growth", "title_growth"):
+        got = sorted((r.document_id, r.hit_ord, r.page_content) for r in catalog.queries()[name](spark, d).collect())
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet/*.parquet'")
+        assert got == sorted(map(tuple, con.sql(f"SELECT document_id, hit_ord, page_content FROM ({catalog.oracle_sql()[name]})").fetchall()))
