@@ -14,11 +14,15 @@ from quarry.functions import readable
 from quarry.functions import text as X
 from quarry.functions.dictionary import Dictionary, learn_words
 from quarry.operators import html as H
+from quarry.operators import markdown as M
 from quarry.operators import nodes as N
 from quarry.operators import pdf as P
 from quarry.operators import records as RC
+from quarry.operators import retrieval as R
+from quarry.operators import split as S
 from quarry.plans import cases as _cases
 from quarry.plans.registry import query
+from quarry.schema import TITLE_SEPARATOR
 from quarry.sources import files, folder, rest
 from quarry.sources import rest_sink as sink
 from quarry.sources.shared import shared_folder
@@ -654,3 +658,132 @@ def markdown_as_html_of_documents(spark, sf_dir):
     rows = _words(spark, sf_dir).select(F.concat(F.lit("/"), "n", F.lit(".md")).alias("path"), F.encode(_filled(_MD), "UTF-8").alias("content"))
     found = files.extract_files(rows, markdown_as_html=True)
     return found.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "ord", F.array_join("titles", " > ").alias("titles"), "row", "page_content")
+
+
+_SIGNS = "淤a{w}于b盂 淤于x 咱{w}暂 玉期 中玉中 a域{n} 芋b 郁"
+_SIGNS_FIXED = "①a{w}②b③ ①②x {b} Ⅰ期 中玉中 aⅡ{n} Ⅲb Ⅳ"
+
+
+@query(_WORDS_SQL + f" SELECT doc_id, replace({_sql(_SIGNS_FIXED.replace('{b}', '@'))}, '@', CASE WHEN length(w) <= 30 THEN '[' || w || ']' ELSE '咱' || w || '暂' END) AS fixed FROM d")
+def sign_repair_of_documents(spark, sf_dir):
+    """Circled digits in order, brackets up to thirty characters apart, Roman numerals beside Han."""
+    return _words(spark, sf_dir).select("doc_id", X.repair_roman(X.repair_brackets(X.repair_circled(_filled(_SIGNS)))).alias("fixed"))
+
+
+_MD_TABLES = "intro [l](u)\n# A {n}\na ![[pic]] {w}\n```\n# not\n```\n## B\n\n##  \nb {w}\n# C\n\n# D\nx\n| a | b |\n| - | - |\n| {n} | [2](u) |\ny\n\nc | d\n--- | ---\n3 | {w}\nz"
+_MD_TABLE_ROWS = [
+    ("''", "NULL", "intro l"), (_sql("# A {n}"), "NULL", "# A {n}\na  {w}\n\n```\n# not\n```"), (_sql("# A {n}"), "NULL", "# A {n}\nb {w}"), ("'# D'", "NULL", "# D\nxy\nz"),
+    ("NULL", "'table'", "| a | b |\n| - | - |\n| {n} | 2 |"), ("NULL", "'table'", "c | d\n--- | ---\n3 | {w}"),
+]
+
+
+@query(_WORDS_SQL + " UNION ALL ".join(f" SELECT doc_id, {k}::INT AS ord, {t} AS titles, {c}::VARCHAR AS content_type, {_sql(x)} AS page_content FROM d" for k, (t, c, x) in enumerate(_MD_TABLE_ROWS)))
+def markdown_tables_of_documents(spark, sf_dir):
+    """Header stack, an empty header, fences, both kinds of tables, links and images out, one title in front."""
+    docs = _words(spark, sf_dir).select("doc_id", _filled(_MD_TABLES).alias("page_content"))
+    rows = M.extract_markdown(docs, M.MarkdownConfig(remove_hyperlinks=True, remove_images=True, contain_closest_title_levels=1))
+    return rows.select("doc_id", "ord", F.array_join("titles", " > ").alias("titles"), "content_type", "page_content")
+
+
+@query(f"""WITH n AS ({_NATIONS_SQL})
+SELECT r_regionkey, 'region,nation,nation|region,key,name' || string_agg('|' || r_name || ',' || n_nationkey || ',' || n_name, '' ORDER BY row) AS cells,
+  'region,nation,nation' || chr(13) || chr(10) || 'region,key,name' || chr(13) || chr(10) || string_agg(r_name || ',' || n_nationkey || ',' || n_name || chr(13) || chr(10), '' ORDER BY row) AS csv
+FROM n GROUP BY r_regionkey""")
+def html_grids_of_nations(spark, sf_dir):
+    """Cells with spans filled in, and tables as CSV, before any header is merged."""
+    cells = F.get(H.page_udf(H.HtmlConfig(use_summary=False))("html", F.lit(None).cast("string")).getField("tables"), F.lit(0))["cells"]
+    rows = _nation_tables(spark, sf_dir).select("r_regionkey", cells.alias("c"))
+    return rows.select("r_regionkey", F.array_join(F.transform("c", lambda r: F.array_join(r, ",")), "|").alias("cells"), X.table_csv(F.col("c")).alias("csv"))
+
+
+@query("SELECT doc_id, 'POST' AS method, '/v1/datasets/set/document/create_by_file' AS path, doc_id || '.md' AS file, sha256(coalesce(text, '')) AS content_sha256 FROM documents")
+def folder_upload_of_documents(spark, sf_dir):
+    """Files of a folder as documents to create."""
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.format_string("/d/%d.md", "doc_id").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    q = rest.upload(rows, "set")
+    return q.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), F.col("request.method").alias("method"), F.col("request.path").alias("path"), F.col("request.file.name").alias("file"), F.sha2(F.col("request.file.content"), 256).alias("content_sha256"))
+
+
+@query("SELECT text AS content, turn AS doc_id, conv_id AS document_id, turn * 0.5::DOUBLE AS score FROM conversations")
+def segments_of_conversations(spark, sf_dir):
+    """Segments as a server returns them."""
+    rows = _t(spark, sf_dir, "conversations").select(F.col("text").alias("page_content"), F.col("turn").alias("doc_id"), F.col("conv_id").alias("document_id"), (F.col("turn") * 0.5).alias("score"))
+    return R.format_segments(rows)
+
+
+_FILL = "x" * 100
+
+
+@query(_WORDS_SQL + f"""
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'record' END AS content_type, CASE doc_id % 3
+  WHEN 0 THEN {_sql('## 谈话记录\n\n### 基本信息\n\n性别：{w} 科室：{n} \n\n' + _FILL + '{w}\n\n')}
+  WHEN 1 THEN {_sql('## 手术知情同意书\n\n### 基本信息\n\n年龄：{n} \n\n### 简要病情\n\n' + _FILL + '{w}\n\n### 术前诊断\n\n疝{n}\n\n### 拟实施手术名称\n\n修补{w}\n\n')}
+  ELSE '主诉：' || w END AS page_content,
+  CASE doc_id % 3 WHEN 0 THEN w WHEN 1 THEN '' END AS gender, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN n END AS age, CASE doc_id % 3 WHEN 0 THEN n WHEN 1 THEN '' END AS department, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '修补' || w END AS treatment
+FROM d""")
+def record_pages_of_documents(spark, sf_dir):
+    """From pages to records where they are some, else to documents."""
+    talk = "<body><header>谈话记录]</header><p>性别：[{w}]</p><p>科室：[{n}]</p><table data-name='基本信息'><tr><td>a</table><table data-name='谈话记录'><tr><td>谈话记录<tr><td>[" + _FILL + "{w}]</table></body>"
+    consent = "<body><header>手术知情同意书]</header><p>年龄：[{n}]</p><p data-name='简要病情'>简要病情：[" + _FILL + "{w}]</p><p data-name='术前诊断'>术前诊断：[疝{n}]</p><p data-name='拟实施手术名称'>拟实施手术名称：[修补{w}]</p></body>"
+    k = F.col("doc_id") % 3
+    html = F.when(k == 0, _filled(talk)).when(k == 1, _filled(consent)).otherwise(_filled("<body><p>主诉：{w}</p></body>"))
+    d = _words(spark, sf_dir).select("doc_id", html.alias("html"), F.lit("p.html").alias("file"))
+    rows = H.extract_html(d, H.HtmlConfig(sniff_records=True), file_name="file")
+    return rows.select("doc_id", "content_type", "page_content", *[F.col(f"record.{c}").alias(c) for c in ("gender", "age", "department", "treatment")])
+
+
+_HIT = "(conv_id * 31 + turn * turn * 17 + turn * 3) % 7 < 3"
+
+
+def _joined(a: str, b: str) -> str:
+    """SQL of two texts joined over their shortest overlap."""
+    return f"({a} || substr({b}, coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda k: right({a}, k) = left({b}, k))), 0) + 1))"
+
+
+_REORGANIZE_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, conv_id % 2 = 0 AS titled FROM conversations),
+hit AS (SELECT *, conv_id * 1000 + turn AS hit_ord FROM c WHERE {_HIT}),
+n AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM c),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn, upto, upto - n AS before FROM hit JOIN n USING (conv_id, turn) WHERE NOT titled),
+p AS (
+  SELECT conv_id, k, turn, turn AS first, before FROM s WHERE k = 1
+  UNION ALL
+  SELECT s.conv_id, s.k, s.turn, CASE WHEN s.turn - p.turn <= 2 AND s.upto - p.before <= 2000 THEN p.first ELSE s.turn END, CASE WHEN s.turn - p.turn <= 2 AND s.upto - p.before <= 2000 THEN p.before ELSE s.before END
+  FROM p JOIN s ON s.conv_id = p.conv_id AND s.k = p.k + 1),
+placed AS (
+  SELECT b.conv_id, b.first AS turn, string_agg(text, '' ORDER BY c.turn) AS page_content
+  FROM (SELECT conv_id, first, max(turn) AS last FROM p GROUP BY conv_id, first) b JOIN c ON c.conv_id = b.conv_id AND c.turn BETWEEN b.first AND b.last GROUP BY b.conv_id, b.first),
+seg AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS i FROM c WHERE titled),
+g AS (
+  SELECT conv_id, turn, role, (SELECT min(i) FROM seg WHERE seg.conv_id = hit.conv_id AND seg.role = hit.role AND seg.text = hit.text) AS i, 0 AS d, text FROM hit WHERE titled
+  UNION ALL
+  SELECT conv_id, turn, role, i, d, {_joined("coalesce(before, '')", "t")} FROM (
+    SELECT g.conv_id, g.turn, g.role, g.i, g.d + 1 AS d, b.text AS before, {_joined("g.text", "coalesce(a.text, '')")} AS t
+    FROM g LEFT JOIN seg a ON a.conv_id = g.conv_id AND a.role = g.role AND a.i = g.i + g.d + 1 LEFT JOIN seg b ON b.conv_id = g.conv_id AND b.role = g.role AND b.i = g.i - g.d - 1
+    WHERE length(g.text) < 2000 AND (a.i IS NOT NULL OR b.i IS NOT NULL))),
+named AS (SELECT conv_id, min(turn) AS turn, page_content FROM (SELECT conv_id, turn, arg_max(text, d) AS page_content FROM g GROUP BY conv_id, turn) GROUP BY conv_id, page_content),
+f AS (SELECT conv_id, min(hit_ord) AS first_ord FROM hit GROUP BY conv_id)
+SELECT first_ord, hit_ord, conv_id AS document_id, turn AS doc_id, turn * 0.5::DOUBLE AS score, CASE WHEN titled THEN 'title' ELSE 'position' END AS strategy, page_content
+FROM (FROM placed UNION ALL FROM named) JOIN hit USING (conv_id, turn) JOIN f USING (conv_id)
+"""
+
+
+@query(_REORGANIZE_SQL)
+def reorganize_conversations(spark, sf_dir):
+    """Hits of many documents re-assembled: by title where the first hit has one, by position elsewhere."""
+    text = F.coalesce("text", F.lit(""))
+    c = _t(spark, sf_dir, "conversations").withColumn("page_content", F.when(F.col("conv_id") % 2 == 0, F.concat("role", F.lit(TITLE_SEPARATOR), text)).otherwise(text))
+    seg = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), F.col("turn").alias("position"), "page_content")
+    hits = c.filter(_HIT).select((F.col("conv_id") * 1000 + F.col("turn")).alias("hit_ord"), F.col("conv_id").alias("document_id"), F.col("turn").alias("doc_id"), (F.col("turn") * 0.5).alias("score"), "page_content")
+    return R.reorganize(hits, seg)
+
+
+@query()
+def token_lengths_of_documents(spark, sf_dir):
+    """Lengths in tokens of three vocabularies, as splitters count them."""
+    import public_tokenizers as V
+
+    lengths = {"by_json": S.Tokens(V.path("byte_bpe_50k.json")), "by_ranks": S.Tokens(V.path("byte_bpe_50k.tiktoken"), V.PATTERN), "by_model": S.Tokens(V.path("piece_bpe_32k.model"))}
+    counted = {k: F.pandas_udf(lambda s, n=n: s.map(n), "int") for k, n in lengths.items()}
+    text = F.coalesce("text", F.lit(""))
+    return _t(spark, sf_dir, "documents").select("doc_id", *[f(text).alias(k) for k, f in counted.items()])
