@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import html as H
 from quarry.operators import markdown as M
-from quarry.operators import pdf as P
 from quarry.operators import retrieval as R
 from quarry.operators import split as S
-from quarry.plans import cases as _cases  # noqa: F401  registers its queries
-from quarry.plans import derived as _derived  # noqa: F401
-from quarry.plans import fixtures as FX
+from quarry.plans import derived as _derived  # noqa: F401  registers its queries
 from quarry.plans import sql as Q
 from quarry.plans.registry import QUERIES, SQL, query
 from quarry.schema import TITLE_SEPARATOR
@@ -160,55 +157,6 @@ def table_markdown(spark, sf_dir):
     return _t(spark, sf_dir, "region").select("r_regionkey", X.table_markdown(X.merged_header(cells)).alias("table_md"))
 
 
-@query("WITH " + FX.values("n", FX.NODES) + f""" SELECT id, (SELECT sum(CASE WHEN regexp_matches(coalesce(v, ''), '(?i){X.POSITIVE}') THEN 25 ELSE 0 END - CASE WHEN regexp_matches(coalesce(v, ''), '(?i){X.NEGATIVE}') THEN 25 ELSE 0 END) FROM (VALUES (class), (node_id)) t(v))::INT AS weight,
-  CASE WHEN lower(tag) IN ('div', 'article') THEN 5 WHEN lower(tag) IN ('pre', 'td', 'blockquote') THEN 3 WHEN lower(tag) IN ('ul', 'ol', 'form') THEN -3 WHEN lower(tag) IN ('h1') THEN -5 ELSE 0 END AS prior,
-  round(length(link_text) / greatest(length(text), 1), 6) AS density FROM n""")
-def node_scores(spark, sf_dir):
-    n = FX.frame(spark, FX.NODES)
-    return n.select("id", X.class_weight(F.col("class"), F.col("node_id")).alias("weight"), X.tag_prior(F.col("tag")).alias("prior"), F.round(X.link_density(F.col("link_text"), F.col("text")), 6).alias("density"))
-
-
-_METRICS = "WITH " + FX.values("b", FX.BLOCKS) + ", m AS (SELECT doc_id, page_idx, arg_min(block_idx, (y0, block_idx)) AS header_idx, arg_min(y1 - y0, (y0, block_idx)) AS header_height, arg_max(block_idx, (y1, -block_idx)) AS footer_idx, arg_max(y1 - y0, (y1, -block_idx)) AS footer_height FROM b GROUP BY ALL)"
-_VOTE = _METRICS + ", h AS (SELECT doc_id, max(c) >= 0.9 * sum(c) AS has_header FROM (SELECT doc_id, header_height, count(*) AS c FROM m GROUP BY ALL) GROUP BY 1), f AS (SELECT doc_id, max(c) >= 0.9 * sum(c) AS has_footer FROM (SELECT doc_id, footer_height, count(*) AS c FROM m GROUP BY ALL) GROUP BY 1)"
-_LINES = _VOTE + ", k AS (SELECT b.*, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1 AS page FROM b JOIN m USING (doc_id, page_idx) JOIN h USING (doc_id) JOIN f USING (doc_id) WHERE NOT ((has_header AND block_idx = header_idx) OR (has_footer AND block_idx = footer_idx))), l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_idx) - 1 AS line_idx, page, replace(text, chr(10), '') AS text FROM k)"
-_TOC = _LINES + ", " + FX.values("t", FX.TOC) + ", x AS (SELECT doc_id, toc_ord, level, title, min(line_idx) AS line_idx FROM t JOIN l USING (doc_id) WHERE l.page = t.page - 1 AND level <= 3 AND (contains(text, title) OR contains(text, replace(title, ' ', ''))) GROUP BY ALL)"
-
-
-@query(_METRICS + " SELECT * FROM m")
-def pdf_page_metrics(spark, sf_dir):
-    return P.page_metrics(FX.frame(spark, FX.BLOCKS))
-
-
-@query(_VOTE + " SELECT doc_id, has_header, has_footer FROM h JOIN f USING (doc_id)")
-def pdf_header_vote(spark, sf_dir):
-    return P.header_vote(P.page_metrics(FX.frame(spark, FX.BLOCKS)))
-
-
-@query(_LINES + " SELECT * FROM l")
-def pdf_filtered_lines(spark, sf_dir):
-    return P.lines(P.filtered_blocks(FX.frame(spark, FX.BLOCKS)))
-
-
-@query(_TOC + " SELECT * FROM x")
-def pdf_toc_match(spark, sf_dir):
-    return P.toc_lines(FX.frame(spark, FX.TOC), pdf_filtered_lines(spark, sf_dir))
-
-
-@query("WITH " + FX.values("r", FX.REPAIR) + """ SELECT id, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(
-  translate(translate(raw, chr(160) || chr(8194), ''), chr(12288) || chr(8195) || '袁遥院渊冤尧揖铱耀曰鄄覬', '  ，。：（）、【】~；-∅'), '(\\d\\s)益', '\\1℃', 'g'), '(\\d)依', '\\1±', 'g'), '滋g', 'μg'),
-  '伊(\\d+)', 'x\\1', 'g'), '叶(.*?)曳', '《\\1》', 'gs'), '逸(\\d+)', '≥\\1', 'g'), '臆(\\d+)', '≤\\1', 'g'), chr(61548), '●'), chr(10), '') AS fixed FROM r""")
-def pdf_text_repair(spark, sf_dir):
-    return FX.frame(spark, FX.REPAIR).select("id", X.repair_pdf_text(F.col("raw")).alias("fixed"))
-
-
-@query("WITH " + FX.values("r", FX.RECORDS) + """ SELECT id, CASE WHEN id = 1 THEN '男' END AS sex, CASE WHEN id = 1 THEN '40' END AS age,
-  coalesce(nullif(revised, ''), nullif(initial, '') || '，' || nullif(supplementary, ''), nullif(initial, ''), '') AS diagnosis, coalesce(nullif(plan, ''), nullif(operation, ''), '') AS treatment FROM r""")
-def emr_fields(spark, sf_dir):
-    r = FX.frame(spark, FX.RECORDS).withColumn("kv", X.bracketed_pairs(F.col("content")))
-    at = lambda k: F.try_element_at("kv", F.lit(k))
-    return r.select("id", at("性别").alias("sex"), at("年龄").alias("age"), X.diagnosis(F.col("revised"), F.col("initial"), F.col("supplementary")).alias("diagnosis"), X.treatment(F.col("plan"), F.col("operation")).alias("treatment"))
-
-
 @query("SELECT conv_id, turn, a || substr(b, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) + 1) AS joined FROM (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL")
 def splice_pairs(spark, sf_dir):
     from pyspark.sql import Window as W

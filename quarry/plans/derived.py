@@ -20,10 +20,9 @@ from quarry.operators import pdf as P
 from quarry.operators import records as RC
 from quarry.operators import retrieval as R
 from quarry.operators import split as S
-from quarry.plans import cases as _cases
 from quarry.plans.registry import query
 from quarry.schema import TITLE_SEPARATOR
-from quarry.sources import files, folder, rest
+from quarry.sources import files, folder, office, rest
 from quarry.sources import rest_sink as sink
 from quarry.sources.shared import shared_folder
 
@@ -463,25 +462,25 @@ def _workbook(keys: pd.Series, names: pd.Series) -> pd.Series:
         cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
         rows = [f"<row>{cell('A1', 'key')}{cell('B1', 'name')}</row>"]
         rows += [f'<row><c r="A{i}"><v>{k}</v></c>{cell(f"B{i}", n)}</row>' for i, (k, n) in enumerate(zip(ks, ns, strict=True), 2)]
-        return _cases.archive({"xl/worksheets/sheet1.xml": f"<w>{''.join(rows)}</w>"})
+        return office.archive({"xl/worksheets/sheet1.xml": f"<w>{''.join(rows)}</w>"})
 
     return pd.Series([one(ks, ns) for ks, ns in zip(keys, names, strict=True)])
 
 
 @F.pandas_udf(T.BinaryType())
 def _old_workbook(keys: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([_cases.xls([(0, 0, "key"), (0, 1, "name"), *((i, c, v) for i, row in enumerate(zip(map(int, ks), ns, strict=True), 1) for c, v in enumerate(row))]) for ks, ns in zip(keys, names, strict=True)])
+    return pd.Series([office.xls([(0, 0, "key"), (0, 1, "name"), *((i, c, v) for i, row in enumerate(zip(map(int, ks), ns, strict=True), 1) for c, v in enumerate(row))]) for ks, ns in zip(keys, names, strict=True)])
 
 
 @F.pandas_udf(T.BinaryType())
 def _word(head: pd.Series, text: pd.Series) -> pd.Series:
     p = lambda style, t: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{escape(t)}</w:t></w:r></w:p>'
-    return pd.Series([_cases.archive({"word/document.xml": f'<w:d xmlns:w="u"><w:body>{p("Heading1", h)}{p("Normal", t)}</w:body></w:d>', "word/_rels/document.xml.rels": "<R/>"}) for h, t in zip(head, text, strict=True)])
+    return pd.Series([office.archive({"word/document.xml": f'<w:d xmlns:w="u"><w:body>{p("Heading1", h)}{p("Normal", t)}</w:body></w:d>', "word/_rels/document.xml.rels": "<R/>"}) for h, t in zip(head, text, strict=True)])
 
 
 @F.pandas_udf(T.BinaryType())
 def _book(title: pd.Series, head: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([_cases.archive({"c.opf": f'<p xmlns:dc="u"><dc:title>{escape(x)}</dc:title></p>', "1.xhtml": f'<html xmlns="u"><body xmlns="v" xml:lang="en"><h1>{escape(h)}</h1><p>{escape(t)}</p></body></html>'}) for x, h, t in zip(title, head, text, strict=True)])
+    return pd.Series([office.archive({"c.opf": f'<p xmlns:dc="u"><dc:title>{escape(x)}</dc:title></p>', "1.xhtml": f'<html xmlns="u"><body xmlns="v" xml:lang="en"><h1>{escape(h)}</h1><p>{escape(t)}</p></body></html>'}) for x, h, t in zip(title, head, text, strict=True)])
 
 
 _PLAIN_TEXT = "regexp_replace(translate(coalesce(text, ''), '" + _FOLD[0] + "', '" + _FOLD[1] + "'), '[^A-Za-z]+', ' ', 'g')"

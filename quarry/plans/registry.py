@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import fixtures as FX
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -20,8 +18,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-def expect(schema: str, rows: list[tuple]):
-    """A query over a small fixture whose rows are known."""
-    return query("WITH " + FX.values("expected", (schema, rows)) + " SELECT * FROM expected")

@@ -1,15 +1,12 @@
-"""Queries over small fixtures with known rows: operators whose inputs the tables lack, one case each for what they decide."""
+"""Small fixtures with known rows: one case each for what operators decide, beside the registered queries over tables."""
 
 from __future__ import annotations
 
-import io
-import struct
-import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from quarry.functions import readable
 from quarry.functions import text as X
 from quarry.functions.dom import parse
@@ -19,9 +16,27 @@ from quarry.operators import pdf as P
 from quarry.operators import records as E
 from quarry.operators import retrieval as R
 from quarry.operators import split as S
-from quarry.plans.registry import expect
 from quarry.schema import TITLE_SEPARATOR
 from quarry.sources import files, rest
+from quarry.sources.office import archive, xls
+
+from tests import fixtures as FX
+
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        CASES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def expect(schema: str, rows: list[tuple]):
+    """A case whose rows are known."""
+    return query("WITH " + FX.values("expected", (schema, rows)) + " SELECT * FROM expected")
 
 
 def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -259,14 +274,6 @@ def markdown_as_html_cases(spark, sf_dir):
 # Files.
 
 
-def archive(parts: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name), text)
-    return out.getvalue()
-
-
 XLSX = archive({
     "xl/sharedStrings.xml": "<sst><si><t>k</t></si><si><t>v</t></si></sst>",
     "xl/styles.xml": '<s><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;y&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="20"/></cellXfs></s>',
@@ -283,35 +290,6 @@ EPUB = archive({"c.opf": '<p xmlns:dc="u"><dc:title># Book</dc:title></p>', "1.x
 UNTITLED = archive({"1.xhtml": "<body><p>text"})
 
 
-def xls(cells: list[tuple]) -> bytes:
-    """A workbook of one sheet: (row, column, string or number), in the smallest form that readers take."""
-    rec = lambda kind, raw: struct.pack("<HH", kind, len(raw)) + raw
-    strings = [v for _, _, v in cells if isinstance(v, str)]
-    text = lambda s: struct.pack("<HB", len(s), 1) + s.encode("utf-16-le")
-    sst = rec(0xFC, struct.pack("<II", len(strings), len(strings)) + b"".join(map(text, strings)))
-    bof = rec(0x809, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0))
-    xf = rec(0xE0, struct.pack("<HH", 0, 0) + bytes(16)) + rec(0xE0, struct.pack("<HH", 0, 14) + bytes(16))
-    sheet = bof
-    for r, c, v in cells:
-        if isinstance(v, str):
-            sheet += rec(0xFD, struct.pack("<HHHI", r, c, 0, strings.index(v)))
-        elif isinstance(v, int):
-            sheet += rec(0x27E, struct.pack("<HHHI", r, c, 0, ((v << 2) | 2) & 0xFFFFFFFF))
-        else:
-            sheet += rec(0x203, struct.pack("<HHHd", r, c, 1, v))
-    sheet += rec(0x0A, b"")
-    at = len(bof) + len(xf) + len(sst) + 4 + 6 + 2 + 2 + 4
-    stream = bof + xf + sst + rec(0x85, struct.pack("<IBBBB", at, 0, 0, 2, 0) + b"S1") + rec(0x0A, b"") + sheet
-    stream += bytes(max(0, 4096 - len(stream)))
-    stream += bytes(-len(stream) % 512)
-    n = len(stream) // 512
-    fat = [*range(1, n), 0xFFFFFFFE, 0xFFFFFFFE, 0xFFFFFFFD]
-    entry = lambda name, kind, first, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2 if name else 0, kind, 1) + struct.pack("<III", *[0xFFFFFFFF] * 3) + bytes(36) + struct.pack("<III", first, size, 0)
-    folder = entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 0, len(stream)) + entry("", 0, 0, 0) * 2
-    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIIIIIII", 0, 1, n, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<I", n + 1) + b"\xff" * 432
-    return head + stream + folder + struct.pack("<128I", *fat, *[0xFFFFFFFF] * (128 - len(fat)))
-
-
 XLS = xls([(0, 0, "k"), (0, 1, "值"), (1, 0, 7), (1, 1, 43831.0), (3, 0, -2), (3, 1, "s")])
 FILES = [
     ("/d/book.a.xlsx", XLSX), ("/d/old.xls", XLS), ("/d/word.a.docx", DOCX), ("/d/c.epub", EPUB), ("/d/u.v.epub", UNTITLED), ("/d/t.csv", "k,v,w\n1,2\n1,2,3,4\n3,,5\n".encode("utf-16")),
@@ -656,3 +634,55 @@ def format_segment_cases(spark, sf_dir):
 def splice_cases(spark, sf_dir):
     some = [("aba", "aba"), ("aa", "aab"), ("1", "123"), ("ab", "cd"), ("x", ""), ("", "y"), ("x", None), ("😀b", "b😀")]
     return _rows(spark, "a STRING, b STRING", some).withColumn("joined", X.splice(F.col("a"), F.col("b")))
+
+
+# Rows that SQL computes from the same fixture.
+
+
+@query("WITH " + FX.values("n", FX.NODES) + f""" SELECT id, (SELECT sum(CASE WHEN regexp_matches(coalesce(v, ''), '(?i){X.POSITIVE}') THEN 25 ELSE 0 END - CASE WHEN regexp_matches(coalesce(v, ''), '(?i){X.NEGATIVE}') THEN 25 ELSE 0 END) FROM (VALUES (class), (node_id)) t(v))::INT AS weight,
+  CASE WHEN lower(tag) IN ('div', 'article') THEN 5 WHEN lower(tag) IN ('pre', 'td', 'blockquote') THEN 3 WHEN lower(tag) IN ('ul', 'ol', 'form') THEN -3 WHEN lower(tag) IN ('h1') THEN -5 ELSE 0 END AS prior,
+  round(length(link_text) / greatest(length(text), 1), 6) AS density FROM n""")
+def node_scores(spark, sf_dir):
+    n = FX.frame(spark, FX.NODES)
+    return n.select("id", X.class_weight(F.col("class"), F.col("node_id")).alias("weight"), X.tag_prior(F.col("tag")).alias("prior"), F.round(X.link_density(F.col("link_text"), F.col("text")), 6).alias("density"))
+
+
+_METRICS = "WITH " + FX.values("b", FX.BLOCKS) + ", m AS (SELECT doc_id, page_idx, arg_min(block_idx, (y0, block_idx)) AS header_idx, arg_min(y1 - y0, (y0, block_idx)) AS header_height, arg_max(block_idx, (y1, -block_idx)) AS footer_idx, arg_max(y1 - y0, (y1, -block_idx)) AS footer_height FROM b GROUP BY ALL)"
+_VOTE = _METRICS + ", h AS (SELECT doc_id, max(c) >= 0.9 * sum(c) AS has_header FROM (SELECT doc_id, header_height, count(*) AS c FROM m GROUP BY ALL) GROUP BY 1), f AS (SELECT doc_id, max(c) >= 0.9 * sum(c) AS has_footer FROM (SELECT doc_id, footer_height, count(*) AS c FROM m GROUP BY ALL) GROUP BY 1)"
+_LINES = _VOTE + ", k AS (SELECT b.*, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1 AS page FROM b JOIN m USING (doc_id, page_idx) JOIN h USING (doc_id) JOIN f USING (doc_id) WHERE NOT ((has_header AND block_idx = header_idx) OR (has_footer AND block_idx = footer_idx))), l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_idx) - 1 AS line_idx, page, replace(text, chr(10), '') AS text FROM k)"
+_TOC = _LINES + ", " + FX.values("t", FX.TOC) + ", x AS (SELECT doc_id, toc_ord, level, title, min(line_idx) AS line_idx FROM t JOIN l USING (doc_id) WHERE l.page = t.page - 1 AND level <= 3 AND (contains(text, title) OR contains(text, replace(title, ' ', ''))) GROUP BY ALL)"
+
+
+@query(_METRICS + " SELECT * FROM m")
+def pdf_page_metrics(spark, sf_dir):
+    return P.page_metrics(FX.frame(spark, FX.BLOCKS))
+
+
+@query(_VOTE + " SELECT doc_id, has_header, has_footer FROM h JOIN f USING (doc_id)")
+def pdf_header_vote(spark, sf_dir):
+    return P.header_vote(P.page_metrics(FX.frame(spark, FX.BLOCKS)))
+
+
+@query(_LINES + " SELECT * FROM l")
+def pdf_filtered_lines(spark, sf_dir):
+    return P.lines(P.filtered_blocks(FX.frame(spark, FX.BLOCKS)))
+
+
+@query(_TOC + " SELECT * FROM x")
+def pdf_toc_match(spark, sf_dir):
+    return P.toc_lines(FX.frame(spark, FX.TOC), pdf_filtered_lines(spark, sf_dir))
+
+
+@query("WITH " + FX.values("r", FX.REPAIR) + """ SELECT id, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(
+  translate(translate(raw, chr(160) || chr(8194), ''), chr(12288) || chr(8195) || '袁遥院渊冤尧揖铱耀曰鄄覬', '  ，。：（）、【】~；-∅'), '(\\d\\s)益', '\\1℃', 'g'), '(\\d)依', '\\1±', 'g'), '滋g', 'μg'),
+  '伊(\\d+)', 'x\\1', 'g'), '叶(.*?)曳', '《\\1》', 'gs'), '逸(\\d+)', '≥\\1', 'g'), '臆(\\d+)', '≤\\1', 'g'), chr(61548), '●'), chr(10), '') AS fixed FROM r""")
+def pdf_text_repair(spark, sf_dir):
+    return FX.frame(spark, FX.REPAIR).select("id", X.repair_pdf_text(F.col("raw")).alias("fixed"))
+
+
+@query("WITH " + FX.values("r", FX.RECORDS) + """ SELECT id, CASE WHEN id = 1 THEN '男' END AS sex, CASE WHEN id = 1 THEN '40' END AS age,
+  coalesce(nullif(revised, ''), nullif(initial, '') || '，' || nullif(supplementary, ''), nullif(initial, ''), '') AS diagnosis, coalesce(nullif(plan, ''), nullif(operation, ''), '') AS treatment FROM r""")
+def emr_fields(spark, sf_dir):
+    r = FX.frame(spark, FX.RECORDS).withColumn("kv", X.bracketed_pairs(F.col("content")))
+    at = lambda k: F.try_element_at("kv", F.lit(k))
+    return r.select("id", at("性别").alias("sex"), at("年龄").alias("age"), X.diagnosis(F.col("revised"), F.col("initial"), F.col("supplementary")).alias("diagnosis"), X.treatment(F.col("plan"), F.col("operation")).alias("treatment"))
