@@ -162,17 +162,38 @@ COMMON = "＞、abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .
 MAX_UNCOMMON = 0.3
 
 
-def is_readable(c: Column) -> Column:
-    """Whether in code point order at most 0.3 of the characters up to every uncommon one are uncommon, and fewer than 0.3 of all. Empty text isn't readable; null gives null."""
-    chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    common = lambda x: F.contains(F.lit(COMMON), x) | x.between("一", "龥")
-    state = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("bad"), F.lit(True).alias("ok"))
+def _uncommon() -> np.ndarray:
+    table = np.ones(0x110000, bool)
+    table[[ord(x) for x in COMMON]] = False
+    table[ord("一") : ord("龥") + 1] = False
+    return table
+
+
+UNCOMMON = _uncommon()
+
 
-    def step(s, x):
-        seen, bad = s["seen"] + 1, s["bad"] + F.when(common(x), 0).otherwise(1)
-        return F.struct(seen.alias("seen"), bad.alias("bad"), (s["ok"] & (common(x) | (bad <= MAX_UNCOMMON * seen))).alias("ok"))
+def readable(text: str | None) -> bool | None:
+    if not text:
+        return None if text is None else False
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = UNCOMMON[points]
+    total = int(bad.sum())
+    if not total:
+        return True
+    if not total < MAX_UNCOMMON * len(points):
+        return False
+    at = np.flatnonzero(UNCOMMON[np.sort(points)]) + 1
+    return bool((np.arange(1, total + 1) <= MAX_UNCOMMON * at).all())
 
-    return F.aggregate(chars, state, step, lambda s: s["ok"] & (s["seen"] > 0) & (s["bad"] < MAX_UNCOMMON * s["seen"]))
+
+@F.pandas_udf(T.BooleanType())
+def _readable(texts: pd.Series) -> pd.Series:
+    return texts.map(readable)
+
+
+def is_readable(c: Column) -> Column:
+    """Whether in code point order at most 0.3 of the characters up to every uncommon one are uncommon, and fewer than 0.3 of all. Empty text isn't readable; null gives null."""
+    return _readable(c)
 
 
 # Tables: cells ARRAY<ARRAY<STRING>>.

@@ -250,11 +250,14 @@ PAGE = f"struct<title:string,kind:string,sections:array<struct<titles:{TITLES},t
 
 
 def page_udf(cfg: HtmlConfig):
+    """A function of (html, name) and, if given, whether the main content is selected as the configuration says: of a null or false row all is kept."""
+
     @F.pandas_udf(PAGE)
-    def pages(html: pd.Series, names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract_page(h, n, cfg) for h, n in zip(html, names, strict=True)], columns=["title", "kind", "sections", "tables"])
+    def pages(html: pd.Series, names: pd.Series, selected: pd.Series) -> pd.DataFrame:
+        plain = replace(cfg, use_summary=False)
+        return pd.DataFrame([extract_page(h, n, cfg if s else plain) for h, n, s in zip(html, names, selected, strict=True)], columns=["title", "kind", "sections", "tables"])
 
-    return pages
+    return lambda html, names, selected=None: pages(html, names, F.lit(True) if selected is None else F.coalesce(selected, F.lit(False)))
 
 
 def page_facts(how: Readability | None = None):
@@ -289,9 +292,11 @@ def _prefixed(titles: Column, text: Column, cfg: HtmlConfig) -> Column:
     return F.concat(F.array_join(F.transform(shown(last, cfg.title_convert_to_markdown), lambda t: F.concat(t, F.lit("\n"))), ""), text)
 
 
-def extract_html(pages: DataFrame, cfg: HtmlConfig | None = None, html: str = "html", file_name: str | None = None) -> DataFrame:
+def extract_html(pages: DataFrame, cfg: HtmlConfig | None = None, html: str = "html", file_name: str | None = None, selected: str | None = None) -> DataFrame:
     """One row per document of a page: the other columns, ord, titles, content_type, row, page_content; sections first, then tables.
 
+    ``selected`` names a column that says of which rows the main content is selected, where the configuration does so.
+
     With ``sniff_records`` a page that is a medical record gives its one record, if it is
     long enough, and ``record`` has its metadata; that is null elsewhere.
     """
@@ -322,5 +327,5 @@ def extract_html(pages: DataFrame, cfg: HtmlConfig | None = None, html: str = "h
         record = F.array(records.page_record(texts, F.col(f"{p}.kind")))
         one = F.transform(F.filter(record, lambda r: r["page_content"].isNotNull()), lambda r: doc(F.array(), F.lit("record"), null, r["page_content"], r["record"]))
         docs = F.when(F.col(f"{p}.kind").isNull(), docs).otherwise(one)
-    read = pages.select(*kept, page_udf(cfg)(F.col(html), name).alias(p))
+    read = pages.select(*kept, page_udf(cfg)(F.col(html), name, F.col(selected) if selected else None).alias(p))
     return read.select(*kept, F.posexplode(docs).alias("ord", d)).select(*kept, "ord", f"{d}.*")

@@ -13,8 +13,9 @@ NO_AUTHOR = "[no-author]"
 
 
 def others(df: DataFrame, *made: str) -> list[str]:
-    """The columns that stay as they are beside those that an operator makes."""
-    return [f"`{c}`" for c in df.columns if c not in made]
+    """The columns that stay as they are beside those that an operator makes, whatever their case."""
+    taken = {c.lower() for c in made}
+    return [f"`{c}`" for c in df.columns if c.lower() not in taken]
 
 
 def free(df: DataFrame, name: str) -> str:

@@ -374,13 +374,11 @@ def extract_files(files: DataFrame, html: HtmlConfig | None = None, markdown: Ma
     name = F.regexp_replace("path", r"^.*/", "")
     # what Word and EPUB files become is a page; its title is in it
     page = F.when(F.col("kind").isin("docx", "epub"), F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(".html"))).otherwise(name)
-    plain = replace(html, use_summary=False)
-    some = lambda *kinds: t.filter(F.col("kind").isin(*kinds))
-    out = extract_html(some("html", "htm", "docx").select("path", "text", page.alias("_n")), html, "text", "_n").drop("_n")
-    out = out.unionByName(extract_html(some("epub").select("path", "text", page.alias("_n")), plain, "text", "_n").drop("_n"))
-    # a spreadsheet has no title, whatever its name
-    nameless = ("csv", "xlsx", "xls", *(("md", "markdown") if markdown_as_html else ()))
-    out = out.unionByName(extract_html(some(*nameless).select("path", "text"), plain, "text"))
+    # a spreadsheet has no title, whatever its name; books and tables are taken whole
+    named, chosen = F.col("kind").isin("html", "htm", "docx", "epub"), F.col("kind").isin("html", "htm", "docx")
+    marked = () if markdown_as_html else ("md", "markdown")
+    some = t.filter(~F.col("kind").isin(*marked)) if marked else t
+    out = extract_html(some.select("path", "text", F.when(named, page).alias("_n"), chosen.alias("_s")), html, "text", "_n", "_s").drop("_n", "_s")
     if markdown_as_html:
         return out
-    return out.unionByName(extract_markdown(some("md", "markdown").select("path", "text"), markdown, "text"), allowMissingColumns=True)
+    return out.unionByName(extract_markdown(t.filter(F.col("kind").isin(*marked)).select("path", "text"), markdown, "text"), allowMissingColumns=True)

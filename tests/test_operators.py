@@ -173,3 +173,10 @@ def test_title_growth_reaches_what_the_budget_can(spark, budget, letters):
     s = spark.createDataFrame(seg, "document_id string, ord int, title string, content string").withColumn("at", F.lit("x")).withColumn("i", F.lit(1)).repartition(5)
     h = spark.createDataFrame(hits, "document_id string, hit_ord int, title string, content string").withColumn("n", F.lit(1)).repartition(3)
     assert {(x.document_id, x.page_content): x.hit_ord for x in R.title_growth(h, s, budget).collect()} == want
+
+
+def test_extra_columns_in_another_case_are_replaced(spark):
+    d = spark.createDataFrame([(1, "a\nb", "x", "<p>c", "# T\nd")], "ID int, page_content string, ORD string, html string, md string")
+    assert S.split_by_character(d, "\n", S.SplitConfig(1, 0)).select("ord").collect()[0].ord == 0
+    assert M.extract_markdown(d.select("ID", F.col("md").alias("page_content"), "ORD")).select("ord").first().ord == 0
+    assert H.extract_html(d.select("ID", "html", "ORD", F.lit(1).alias("Row")), H.HtmlConfig(use_summary=False)).select("ord").first().ord == 0
