@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,6 +82,69 @@ def toc_lines(toc: DataFrame, line: DataFrame, levels: tuple[int, ...] = SPLIT_L
     return t.join(line, ["doc_id", "page"]).filter(match).groupBy("doc_id", "toc_ord", "level", "title").agg(F.min("line_idx").alias("line_idx"))
 
 
+def title_matches(toc: DataFrame, line: DataFrame, levels: tuple[int, ...] = SPLIT_LEVELS) -> DataFrame:
+    """doc_id, toc_ord, level, title, line_idx of every line that holds an entry's title, with or without spaces, on whatever page.
+
+    A document's entries travel to its lines, and one automaton of all their titles (Aho and Corasick's) reads
+    each line once. An empty title matches nothing.
+    """
+    entries = toc.filter(F.col("level").isin(*levels) & (F.col("title") != "")).select("doc_id", F.struct("toc_ord", "level", "title").alias("_e"))
+    entries = entries.groupBy("doc_id").agg(F.array_sort(F.collect_set("_e")).alias("_e"))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def found(texts: pd.Series, titles: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        @lru_cache(64)
+        def automaton(own: tuple[str, ...]):
+            at: dict[str, set[int]] = {}
+            for k, t in enumerate(own):
+                for x in {t, t.replace(" ", "")} - {""}:
+                    at.setdefault(x, set()).add(k)
+            made = ahocorasick.Automaton()
+            for x, ks in at.items():
+                made.add_word(x, ks)
+            made.make_automaton()
+            return made
+
+        return pd.Series([sorted(set().union(*(ks for _, ks in automaton(tuple(own)).iter(t)))) if t else [] for t, own in zip(texts, titles, strict=True)], dtype=object)
+
+    rows = line.select("doc_id", "line_idx", "text").join(entries, "doc_id")
+    rows = rows.withColumn("_k", found("text", F.transform("_e", lambda e: e["title"]))).select("doc_id", "line_idx", "_e", F.explode("_k").alias("_k"))
+    return rows.select("doc_id", F.get("_e", F.col("_k")).alias("e"), "line_idx").select("doc_id", "e.toc_ord", "e.level", "e.title", "line_idx")
+
+
+def longest_chain(matches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest choice of (entry, line) that grows in both; of equal ones that whose lines end earliest."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    rows = sorted(set(matches), key=lambda m: (m[0], -m[1]))  # an entry's later lines first, so that it is taken once
+    for i, (_, at) in enumerate(rows):
+        k = bisect_left(tails, at)
+        tails[k : k + 1] = [at]
+        before.append(ends[k - 1] if k else -1)
+        ends[k : k + 1] = [i]
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(rows[i])
+        i = before[i]
+    return out[::-1]
+
+
+def toc_chain(toc: DataFrame, line: DataFrame, levels: tuple[int, ...] = SPLIT_LEVELS) -> DataFrame:
+    """Lines of a table of contents without page numbers: of all matches the longest chain that keeps the entries' order. What is gathered of a document is its matches' numbers."""
+
+    @F.pandas_udf("array<struct<toc_ord:long,line_idx:long>>")
+    def chain(matches: pd.Series) -> pd.Series:
+        return matches.map(lambda m: [{"toc_ord": a, "line_idx": b} for a, b in longest_chain([(x["toc_ord"], x["line_idx"]) for x in m])])
+
+    found = title_matches(toc, line, levels)
+    pair = F.struct(F.col("toc_ord").cast("long").alias("toc_ord"), F.col("line_idx").cast("long").alias("line_idx"))
+    kept = found.groupBy("doc_id").agg(F.collect_set(pair).alias("_m")).select("doc_id", F.explode(chain("_m")).alias("_c")).select("doc_id", "_c.*")
+    return found.join(kept, ["doc_id", "toc_ord", "line_idx"], "left_semi").select("doc_id", "toc_ord", "level", "title", "line_idx")
+
+
 def sections(headings: DataFrame, line: DataFrame, levels: tuple[int, ...] = SPLIT_LEVELS) -> DataFrame:
     """doc_id, first, titles, page_content: the text between headings of these levels, with the nearest open headings of lower levels as titles; a preface of two or more lines is a section.
 

@@ -384,6 +384,25 @@ def pdf_toc_of_documents(spark, sf_dir):
     return P.toc_lines(_toc(spark, sf_dir), P.lines(P.filtered_blocks(_blocks(spark, sf_dir))))
 
 
+_ANYWHERE_SQL = f"""{_PDF_LINES_SQL},
+t AS (
+  SELECT doc_id, (page_idx * 10 + block_idx)::INT AS toc_ord, CASE WHEN regexp_matches(text, '^[0-9]+[.]1[.]') THEN 2 ELSE 1 END AS level, replace(text, '.', '. ') AS title
+  FROM b WHERE doc_id % 2 = 0 AND regexp_matches(text, '^[0-9]{{1,2}}[.](1[.])?[A-Za-z]+$') AND block_idx NOT IN (2, 3))
+SELECT t.doc_id, toc_ord, level, title, line_idx FROM t JOIN l ON l.doc_id = t.doc_id AND (contains(l.text, title) OR contains(l.text, replace(title, ' ', '')))"""
+
+
+@query(_ANYWHERE_SQL)
+def pdf_title_matches_of_documents(spark, sf_dir):
+    """All lines that hold a title of a table of contents without page numbers."""
+    return P.title_matches(_toc(spark, sf_dir), P.lines(P.filtered_blocks(_blocks(spark, sf_dir))))
+
+
+@query(_TOC_SQL + " SELECT * FROM tl")
+def pdf_toc_chain_of_documents(spark, sf_dir):
+    """Of these the longest chain in the entries' order, which is what the page numbers would have led to."""
+    return P.toc_chain(_toc(spark, sf_dir), P.lines(P.filtered_blocks(_blocks(spark, sf_dir))))
+
+
 @query(_HEADS_SQL + """,
 s AS (SELECT *, lead(line_idx) OVER w AS nxt, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS above FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY line_idx)),
 body AS (

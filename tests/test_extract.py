@@ -149,3 +149,31 @@ def test_stream(spark, tmp_path):
     transform_stream(spark, source, target, str(tmp_path / "state"), plan).awaitTermination()
     key = ["doc_id", "ord", "page_content"]
     assert sorted(spark.read.parquet(target).select(*key).collect()) == sorted(plan(docs).select(*key).collect())
+
+
+def test_longest_chain_is_brute_force():
+    import itertools
+    import random
+
+    r = random.Random(2)
+    for _ in range(400):
+        m = [(r.randint(0, 5), r.randint(0, 6)) for _ in range(r.randint(0, 8))]
+        grows = lambda c: all(a < c2 and b < d for (a, b), (c2, d) in itertools.pairwise(c))
+        own = sorted(set(m))
+        chains = [c for n in range(len(own) + 1) for c in itertools.combinations(own, n) if grows(c)]
+        most = max(map(len, chains))
+        got = P.longest_chain(m)
+        assert grows(got) and len(got) == most and set(got) <= set(m)
+        assert not got or got[-1][1] == min(c[-1][1] for c in chains if len(c) == most)
+
+
+def test_contents_without_pages(spark):
+    lines = [("d", k, 0, t) for k, t in enumerate(["Contents One Two Three", "One", "text of Three and more", "T w o", "Two", "Three", "One"])] + [("e", 0, 0, "One"), ("f", 0, 0, None)]
+    line = spark.createDataFrame(lines, "doc_id string, line_idx int, page int, text string")
+    toc = spark.createDataFrame([("d", 0, 1, "O ne", 9), ("d", 1, 2, "Two", 9), ("d", 2, 1, "Three", None), ("d", 3, 4, "text", 1), ("d", 4, 1, "absent", 1), ("d", 5, 1, "", 1), ("f", 0, 1, "x", 1), ("g", 0, 1, "x", 1)], "doc_id string, toc_ord int, level int, title string, page int")
+    every = sorted((r.doc_id, r.toc_ord, r.line_idx) for r in P.title_matches(toc, line).collect())
+    want = sorted((d, o, i) for d, o, lv, t, _ in toc.collect() for e, i, _, x in lines if d == e and lv < 4 and t and x and (t in x or t.replace(" ", "") in x))
+    assert every == want
+    got = sorted((r.toc_ord, r.line_idx, r.level, r.title) for r in P.toc_chain(toc, line).collect())
+    assert got == [(0, 0, 1, "O ne"), (1, 4, 2, "Two"), (2, 5, 1, "Three")]
+    assert P.toc_chain(toc.limit(0), line).count() == 0
