@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Words of a dictionary at most.
 MOST = 500_000
+#: Places that are searched at once for a node's children.
+WINDOW = 2048
 
 
 def learn_words(texts: DataFrame, text: str = "text", least: int = 20, longest: int = 7, grams: bool = False, cohesion: float = 10.0) -> DataFrame:
@@ -63,27 +65,41 @@ class Dictionary:
         self._place(children, ends, len(points))
 
     def _place(self, children, ends, n_codes) -> None:
-        size = 2 * len(children) + n_codes + 2
-        base, check, used, state = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.zeros(size, bool), [0] * len(children)
-        used[0], free = True, 1
+        """Give each node's children a base where all their places are free: a single child takes the first free place, others search windows from where the last search ended, and leave holes to single ones."""
+        size = 2 * len(children) + n_codes + 2 * WINDOW
+        base, check, used = np.zeros(size, np.int32), np.full(size, -1, np.int32), bytearray(size)
+        state, free, top = [0] * len(children), n_codes + 1, n_codes + 1
         todo = [0]
         for node in todo:
             own = sorted(children[node].items())
             if not own:
                 continue
-            codes = np.array([k for k, _ in own])
-            while used[free]:
-                free += 1
-            b = max(1, free - int(codes[0]))
-            while b + codes[-1] < len(used) and used[b + codes].any():
-                b += 1
-            if b + codes[-1] >= len(used) - n_codes:
+            if len(own) == 1:
+                free = used.index(0, free)
+                b = free - own[0][0]
+            else:
+                codes = np.array([k for k, _ in own])
+                while True:
+                    taken = np.frombuffer(used, np.uint8)
+                    firsts = np.flatnonzero(taken[top : top + WINDOW] == 0) + top - codes[0]
+                    fits = (taken[firsts[:, None] + codes] == 0).all(1) if len(firsts) else np.zeros(0, bool)
+                    del taken
+                    if fits.any():
+                        b = int(firsts[fits.argmax()])
+                        break
+                    top += WINDOW // 2
+                    if top + 2 * WINDOW + n_codes > len(used):
+                        break
+            if max(top + 2 * WINDOW, free + 1, b + own[-1][0] if len(own) == 1 or fits.any() else 0) + n_codes >= len(used):
                 more = len(used)
-                base, check, used = np.r_[base, np.zeros(more, np.int32)], np.r_[check, np.full(more, -1, np.int32)], np.r_[used, np.zeros(more, bool)]
+                base, check = np.r_[base, np.zeros(more, np.int32)], np.r_[check, np.full(more, -1, np.int32)]
+                used.extend(bytes(more))
+                if len(own) > 1 and not fits.any():
+                    b = more - codes[0]
             base[state[node]] = b
             for k, child in own:
                 state[child] = b + k
-                check[b + k], used[b + k] = state[node], True
+                check[b + k], used[b + k] = state[node], 1
                 todo.append(child)
         self.base, self.check = base, check
         self.word = np.zeros(len(base), bool)
