@@ -10,7 +10,8 @@ opened, or that no reader knows, is a row whose error says why.
 
 The stream's offset is a place in the order of (modified, path).  A batch takes the files up to the newest one
 that has been at rest for ``settleSeconds``, so that none with an equal time is still to come;
-``filesPerBatch`` bounds it.  A file that is changed comes again.  What arrives with an
+``filesPerBatch`` bounds it, for triggers that ask again until nothing is left: ``availableNow`` asks this kind of
+source once a run, before its checkpoint is read, so leave the bound out there.  A file that is changed comes again.  What arrives with an
 older time than a batch already took is not seen, as with any order by time.
 
 The planner and the tasks read through pyarrow's file systems.  Stores that only Spark
@@ -185,19 +186,25 @@ class FolderStreamReader(_Reader, DataSourceStreamReader):
         import time
 
         before = getattr(self, "_at", (-1, ""))
-        rest = time.time_ns() - int(self.settle * 1e9)
-        some = [e for e in self._between(before) if e.modified <= rest]
-        if self.per_batch:
-            some = some[: self.per_batch]
+        waiting = getattr(self, "_waiting", [])
+        if not waiting or (waiting[0].modified, waiting[0].path) <= before:
+            rest = time.time_ns() - int(self.settle * 1e9)
+            waiting = [e for e in self._between(before) if e.modified <= rest]
+        # what a batch leaves is taken by the next ones, without another listing
+        n = self.per_batch or len(waiting)
+        some, self._waiting = waiting[:n], waiting[n:]
         if some:
             self._at = (some[-1].modified, some[-1].path)
+            self._taken = before, self._at, some
         at = getattr(self, "_at", before)
         return {"modified": at[0], "path": at[1]}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
+        lo, hi = self._place(start), self._place(end)
         # after a restart the order goes on from what the checkpoint says
-        self._at = max(getattr(self, "_at", (-1, "")), self._place(end))
-        return packed(self._between(self._place(start), self._place(end)), self.limit)
+        self._at = max(getattr(self, "_at", (-1, "")), hi)
+        before, at, some = getattr(self, "_taken", (None, None, []))
+        return packed(some if (lo, hi) == (before, at) else self._between(lo, hi), self.limit)
 
     def commit(self, end: dict) -> None:
         self._at = max(getattr(self, "_at", (-1, "")), self._place(end))

@@ -108,3 +108,12 @@ def test_stream(spark, tmp_path):
     run()
     got = sorted((r.path, r.text) for r in spark.read.parquet(out).collect())
     assert got == sorted([(f"{k}.md", f"text {k}") for k in range(6)] + [("9.md", "text 9"), ("0.md", "changed")])
+
+
+def test_stream_of_more_files_than_a_batch_takes(spark):
+    """Folders of many more files than a batch takes are read whole, also after a restart."""
+    from quarry.plans import derived
+    from tests import oracle
+
+    sf = "/root/testdata/sf0.001"
+    oracle.check(derived.folder_stream(spark, sf, 150), derived._FILES_SQL, sf)
