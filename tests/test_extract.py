@@ -198,3 +198,12 @@ def test_old_workbook_of_many_sectors():
 
     cells = [(i, 0, f"{i} " + "x" * 4_000) for i in range(2_000)]
     assert xls.sheets(office.xls(cells), files.number_text) == [[{0: v} for _, _, v in cells]]
+
+
+def test_names_without_semicolon_stay():
+    """A reference that was cut, or that isn't known, is text; known ones with a semicolon, and numbers, are read."""
+    html = '<title>a &amp; b &amp&amp</title><h1>c &lt; &copy &notit; &#233; &am</h1><p><a href="?x=1&copy=2&amp;y">&quot;z&quot;</a>'
+    root = parse(html)
+    assert [next(iter(root.all(t))).text() for t in ("title", "h1", "a")] == ["a & b &amp&amp", "c < &copy &notit; é &am", '"z"']
+    assert root.all("a")[0].attrs["href"] == "?x=1&copy=2&y"
+    assert page(html)["title"] == "a & b &amp&amp" and page(html, use_first_header_as_title=True)["title"] == "c < &copy &notit; é &am"
