@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.pieces import pieces
+
 #: Sets that texts of Western European languages come in.
 SETS = ("utf-8", "utf-16-le", "cp1252", "cp850", "mac_roman", "cp037")
 #: Bytes under which nothing is guessed. Fixed value.
@@ -49,14 +51,15 @@ def encoded(text: Column, name: str) -> Column:
     """The text's bytes in a set; null where the set lacks one of its characters."""
 
     @F.pandas_udf(T.BinaryType())
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(t):
             try:
                 return None if t is None else t.encode(name)
             except UnicodeEncodeError:
                 return None
 
-        return texts.map(one)
+        for (texts,) in pieces(batches):
+            yield texts.map(one)
 
     return encode(text)
 
@@ -139,8 +142,9 @@ def guessed(content: Column, model: Charsets, markup: bool = False) -> Column:
     """The name of the likeliest set of binary content."""
 
     @F.pandas_udf(T.StringType())
-    def find(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda b: None if b is None else model.find(bytes(b), markup))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for (contents,) in pieces(batches):
+            yield contents.map(lambda b: None if b is None else model.find(bytes(b), markup))
 
     return find(content)
 
@@ -149,7 +153,8 @@ def decoded(content: Column, codec: Column) -> Column:
     """Content as text by the set of each row; bytes that the set refuses become replacement characters."""
 
     @F.pandas_udf(T.StringType())
-    def decode(contents: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None or n is None else bytes(b).decode(n, "replace") for b, n in zip(contents, names, strict=True)], dtype=object)
+    def decode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for some in pieces(batches):
+            yield pd.Series([None if b is None or n is None else bytes(b).decode(n, "replace") for b, n in zip(*some, strict=True)], dtype=object)
 
     return decode(content, codec)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.dictionary import Dictionary
+from quarry.functions.pieces import pieces
 
 #: White space as Python's ``\\s`` has it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -109,11 +110,10 @@ def repair_punctuation(c: Column, segment: Callable[[str], list[str]] | Dictiona
         return F.translate(c, "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
 
     @F.pandas_udf(T.StringType())
-    def repaired(texts: pd.Series) -> pd.Series:
-        if isinstance(segment, Dictionary):
-            return pd.Series(_repaired(texts.tolist(), segment), dtype=object)
-        repair = protected_punctuation(segment)
-        return texts.map(lambda t: None if t is None else repair(t))
+    def repaired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        repair = None if isinstance(segment, Dictionary) else protected_punctuation(segment)
+        for (texts,) in pieces(batches):
+            yield pd.Series(_repaired(texts.tolist(), segment) if repair is None else [None if t is None else repair(t) for t in texts], dtype=object)
 
     return repaired(c)
 

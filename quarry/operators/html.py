@@ -8,6 +8,7 @@ are Columns over them.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.functions import readable
 from quarry.functions.dom import SCRIPTS, Node, parse
+from quarry.functions.pieces import pieces
 from quarry.functions.readable import Readability, summary
 from quarry.operators import records
 from quarry.schema import NO_TITLE, free, others
@@ -253,9 +255,10 @@ def page_udf(cfg: HtmlConfig):
     """A function of (html, name) and, if given, whether the main content is selected as the configuration says: of a null or false row all is kept."""
 
     @F.pandas_udf(PAGE)
-    def pages(html: pd.Series, names: pd.Series, selected: pd.Series) -> pd.DataFrame:
+    def pages(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         plain = replace(cfg, use_summary=False)
-        return pd.DataFrame([extract_page(h, n, cfg if s else plain) for h, n, s in zip(html, names, selected, strict=True)], columns=["title", "kind", "sections", "tables"])
+        for some in pieces(batches):
+            yield pd.DataFrame([extract_page(h, n, cfg if s else plain) for h, n, s in zip(*some, strict=True)], columns=["title", "kind", "sections", "tables"])
 
     return lambda html, names, selected=None: pages(html, names, F.lit(True) if selected is None else F.coalesce(selected, F.lit(False)))
 
@@ -328,4 +331,5 @@ def extract_html(pages: DataFrame, cfg: HtmlConfig | None = None, html: str = "h
         one = F.transform(F.filter(record, lambda r: r["page_content"].isNotNull()), lambda r: doc(F.array(), F.lit("record"), null, r["page_content"], r["record"]))
         docs = F.when(F.col(f"{p}.kind").isNull(), docs).otherwise(one)
     read = pages.select(*kept, page_udf(cfg)(F.col(html), name, F.col(selected) if selected else None).alias(p))
-    return read.select(*kept, F.posexplode(docs).alias("ord", d)).select(*kept, "ord", f"{d}.*")
+    # not by posexplode: a test for empty arrays would be pushed below it and make all documents twice more
+    return read.select(*kept, F.posexplode_outer(docs).alias("ord", d)).filter("ord IS NOT NULL").select(*kept, "ord", f"{d}.*")

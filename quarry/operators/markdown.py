@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.functions.pieces import pieces
 from quarry.schema import free, others
 
 # A table with outer pipes, and one without.
@@ -62,7 +64,7 @@ def sections(text: str) -> list[tuple[list[str], str]]:
 
 def sections_udf():
     @F.pandas_udf("struct<sections:array<struct<titles:array<string>,text:string>>,tables:array<string>>")
-    def read(texts: pd.Series, links: pd.Series, images: pd.Series) -> pd.DataFrame:
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         def one(text, no_links, no_images):
             rest, tables = take_tables(text or "")
             clean = lambda s: re.sub(r"!\[\[(.*)\]\]", "", unlinked(s)) if no_images else unlinked(s)
@@ -70,7 +72,8 @@ def sections_udf():
             parts = [(t, s.strip()) for t, s in sections(clean(rest))]
             return [(t, s) for t, s in parts if s], [s for s in (clean(t).strip() for t in tables) if s]
 
-        return pd.DataFrame([one(*r) for r in zip(texts, links, images, strict=True)], columns=["sections", "tables"])
+        for some in pieces(batches):
+            yield pd.DataFrame([one(*r) for r in zip(*some, strict=True)], columns=["sections", "tables"])
 
     return read
 
@@ -83,4 +86,5 @@ def extract_markdown(docs: DataFrame, cfg: MarkdownConfig | None = None, text: s
     texts = F.transform(f"{m}.sections", lambda s: doc(s["titles"], F.lit(None), X.title_prefix(s["titles"], s["text"], cfg.contain_closest_title_levels)))
     tables = F.transform(f"{m}.tables", lambda t: doc(F.lit(None), F.lit("table"), t))
     read = docs.select(*kept, sections_udf()(F.col(text), F.lit(cfg.remove_hyperlinks), F.lit(cfg.remove_images)).alias(m))
-    return read.select(*kept, F.posexplode(F.concat(texts, tables)).alias("ord", d)).select(*kept, "ord", f"{d}.*")
+    # not by posexplode: a test for empty arrays would be pushed below it and make all documents twice more
+    return read.select(*kept, F.posexplode_outer(F.concat(texts, tables)).alias("ord", d)).filter("ord IS NOT NULL").select(*kept, "ord", f"{d}.*")
