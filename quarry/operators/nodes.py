@@ -3,6 +3,7 @@
 ``node_table`` makes a page's tree into events in document order: an element's start and end, and
 each string.  Between an element's start and end stand its descendants, so a sum over a
 subtree is a difference of running sums; one shuffle by page serves all windows.
+What ``sized`` and ``scored`` read more than once, elements without their texts, is written to ``spark.checkpoint.dir``.
 ``sized`` adds text and link lengths, ``scored`` the main-content scores of all
 elements above a paragraph, ``title_paths`` the headings that are in force at each string.
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from quarry.functions.dom import SCRIPTS, UNSEEN, parse
 from quarry.functions.readable import PAUSES, PRIORS, Readability, _paragraphs_from_divs, _prune_unlikely
 from quarry.functions.text import SPACE, class_weight
+from quarry.sources.shared import shared_folder
 
 START, STRING, END = 0, 1, 2
 PARAGRAPHS = ("p", "pre", "td")
@@ -104,12 +106,20 @@ def sized(nodes: DataFrame) -> DataFrame:
     # an element's first string begins a word in the element, whatever stands before
     el = n.groupBy("k", "pre").agg(F.first("tag").alias("tag"), at(START, "class").alias("class"), at(START, "id").alias("id"), F.first("up", ignorenulls=True).alias("up"), at(START, "ord").alias("_from"), at(END, "ord").alias("_to"), between("signs").alias("_s"), (between("words") + at(END, "glued")).alias("_w"), between("pauses").alias("pauses"))
     el = el.withColumn("size", F.when(F.col("_w") > 0, F.col("_s") + F.col("_w") - 1).otherwise(0))
+    el = _written(el)
     link = F.when(F.col("tag") == "a", F.col("size")).otherwise(0)
     ends = el.select("k", "pre", F.explode(F.array(F.struct(F.col("_from").alias("ord"), link.alias("n"), F.lit(START).alias("kind")), F.struct(F.col("_to").alias("ord"), F.lit(0).cast(dict(el.dtypes)["size"]).alias("n"), F.lit(END).alias("kind")))).alias("e")).select("k", "pre", "e.*")
     links = ends.withColumn("_n", F.sum("n").over(w)).groupBy("k", "pre").agg((at(END, "_n") - at(START, "_n")).alias("links"))
     return _with(el, links).select("k", "pre", "tag", "class", "id", "up", "size", "links", "pauses")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """Rows that several steps read, written once, so that pages aren't parsed again for each of them."""
+    at = shared_folder(rows.sparkSession, "nodes")
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def _with(el: DataFrame, more: DataFrame) -> DataFrame:
     """Elements with what was computed of them; a null key is a page's too."""
     more = more.withColumnsRenamed({"k": "_k", "pre": "_pre"})
@@ -119,7 +129,7 @@ def _with(el: DataFrame, more: DataFrame) -> DataFrame:
 def scored(nodes: DataFrame, how: Readability | None = None) -> DataFrame:
     """k, pre, tag, score of every element above a paragraph with enough text, and of these: what it weighs by itself, and each paragraph's points by distance, less its share of links."""
     how = how or Readability()
-    el = sized(nodes)
+    el = _written(sized(nodes))
     points = F.col("pauses") + 1 + F.least(F.col("size") / 100, F.lit(3))
     given = el.filter(F.col("tag").isin(*PARAGRAPHS) & (F.col("size") >= how.min_text)).select("k", points.alias("points"), F.posexplode("up").alias("far", "pre"))
     given = given.groupBy("k", "pre").agg(F.sum(F.col("points") / (F.col("far") + 1)).alias("given"))

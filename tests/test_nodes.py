@@ -78,3 +78,13 @@ def test_title_paths(spark, pages):
                 want.append((x, [t for _, t in stack]))
         assert got.get(k, []) == want, k
     assert N.node_table(df.limit(0)).count() == 0 and N.scored(N.node_table(df.limit(0))).count() == 0
+
+
+def test_pages_are_parsed_once(spark):
+    """Scores are joined from written elements; the pages' own plan isn't repeated in them."""
+    from quarry.operators import nodes as N
+
+    pages = spark.createDataFrame([(1, "<div id=content><p>" + "word, " * 20 + "<a href=x>link</a></p></div>")], "page_id long, html string")
+    rows = N.scored(N.node_table(pages, prepared=True))
+    assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.filter("tag = 'div'").count() == 1
