@@ -267,9 +267,14 @@ def link_density(link_text: Column, text: Column) -> Column:
 # Record fields.
 
 
+#: A key is a whole run of word characters and its bracket closes, so a run or a bracket is not tried again from each of its
+#: characters. The letter beside the class is one of it; for its sake the pattern goes by characters, not by halves of them.
+PAIR = r"(?U)(?<![\w𠀀])(\w++)\s*+[:：]\s*+\[(?=[^\]]++\])\s*([^\]]*[^\]\s]|\s)\s*+\]"
+
+
 def bracketed_pairs(c: Column) -> Column:
     """``key: [value]`` pairs as a map; of repeated keys the last counts."""
-    pattern = F.lit(r"(?U)(\w+)\s*[:：]\s*\[\s*([^\]]+?)\s*\]")
+    pattern = F.lit(PAIR)
     pairs = F.arrays_zip(F.regexp_extract_all(c, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(c, pattern, F.lit(2)).alias("v"))
     last = F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), lambda s, p: F.concat(F.filter(s, lambda x: x["k"] != p["k"]), F.array(p)))
     return F.map_from_entries(last)

@@ -242,8 +242,10 @@ def extract_page(html: str | None, file_name: str | None, cfg: HtmlConfig) -> di
     if kind:
         cfg = RECORD
     title, tables = prepare(root, page_title(root, file_name), cfg)
-    article = summary(root.html(), cfg.readability) if cfg.use_summary else root
+    article = summary(root, cfg.readability) if cfg.use_summary else root
     _, sections = extract_text(article.prune(), title, cfg.split_tags, cfg.keep_heading_tails)
+    for used in {root, article}:
+        used.release()
     return {"title": title, "kind": kind, "sections": [{"titles": t, "text": s} for t, s in sections], "tables": tables}
 
 

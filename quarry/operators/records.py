@@ -51,12 +51,15 @@ NOT_DIAGNOSIS = r"[^一-龥\d.、]+"
 MIN_LENGTH = 100
 
 
-def find_element(root: Node, required: tuple[str, str, str, str]) -> Node | None:
-    """The first element of the tag with the data-name, else with the data-id, else whose text begins with the word and a full-width colon."""
+def find_element(root: Node, required: tuple[str, str, str, str], nodes: list[Node] | None = None) -> Node | None:
+    """The first element of the tag (of ``nodes``, where all of the page are at hand) with the data-name, else with the data-id, else whose text begins with the word and a full-width colon."""
     tag, name, id_, word = required
-    own = root.all(tag)
-    tests = (lambda n: n.attrs.get("data-name") == name, lambda n: n.attrs.get("data-id") == id_, lambda n: n.text().startswith(f"{word}："))
-    return next((n for test in tests for n in own if test(n)), None)
+    own = root.all(tag) if nodes is None else [n for n in nodes if n.tag == tag]
+    for k, v in (("data-name", name), ("data-id", id_)):
+        for n in own:
+            if n.attrs.get(k) == v:
+                return n
+    return next((n for n in own if n.text().startswith(f"{word}：")), None)
 
 
 def kind_of(root: Node) -> str | None:
@@ -65,7 +68,8 @@ def kind_of(root: Node) -> str | None:
     if header is None:
         return None
     text = header.text().strip().replace(" ", "")
-    return next((k.name for k in KINDS if any(h in text for h in k.headers) and all(find_element(root, r) for r in k.required)), None)
+    nodes = root.all()
+    return next((k.name for k in KINDS if any(h in text for h in k.headers) and all(find_element(root, r, nodes) for r in k.required)), None)
 
 
 @F.pandas_udf(StringType())
