@@ -3,7 +3,8 @@
 Columns: path (below the folder), kind (the name's ending in lower case), size, modified, content, text
 (HTML, or the Markdown itself, as ``files.file_text`` makes it) and error.  The planner lists the folder's metadata
 and packs files into partitions of about ``partitionBytes``, in order of path; a larger file is a
-partition by itself.  Only the columns of the schema that was given are made: without
+partition by itself.  What the planner holds of a listing is ``RUN`` files, as others wait in sorted temporary files, and the
+partitions that Spark is given, packed; stores other than local and mounted folders are listed by pyarrow at once.  Only the columns of the schema that was given are made: without
 content, text and error no file is opened.  Filters on path and kind leave out files before they are
 planned (``register`` turns ``spark.sql.python.filterPushdown.enabled`` on).  A file that can't be
 opened, or that no reader knows, is a row whose error says why.
@@ -20,9 +21,13 @@ reads go by way of ``files.read_files``.
 
 from __future__ import annotations
 
+import os
+import pickle
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -36,9 +41,11 @@ PARTITION_BYTES, OPEN_COST = 32 << 20, 1 << 16
 SETTLE = 2.0
 #: Bytes of rows that go to Spark at once.
 BATCH_BYTES = 8 << 20
+#: Files of a listing that are sorted at once, and that are read back at once.
+RUN, CHUNK = 100_000, 1_000
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Entry:
     path: str
     size: int
@@ -50,13 +57,24 @@ class Entry:
         return self.path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower() if "." in self.path.rsplit("/", 1)[-1] else ""
 
 
-@dataclass
+def _dumped(some: list[Entry]) -> bytes:
+    return zlib.compress(pickle.dumps([(e.path, e.size, e.modified) for e in some]), 1)
+
+
+def _loaded(raw: bytes) -> list[Entry]:
+    return [Entry(*x) for x in pickle.loads(zlib.decompress(raw))]
+
+
 class Files(InputPartition):
-    entries: list[Entry]
+    """A partition's files, packed: the planner and Spark hold all partitions at once."""
 
     def __init__(self, entries: list[Entry]):
         super().__init__(0)
-        self.entries = entries
+        self.raw = _dumped(entries)
+
+    @property
+    def entries(self) -> list[Entry]:
+        return _loaded(self.raw)
 
 
 def _opened(uri: str):
@@ -65,32 +83,76 @@ def _opened(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "", 1))
 
 
-def entries(uri: str) -> list[Entry]:
-    """All files below a folder in order of path, but those whose name, or a folder's, begins with _ or a dot."""
+def entries(uri: str) -> Iterator[Entry]:
+    """All files below a folder, but those whose name, or a folder's, begins with _ or a dot, as they are found."""
     import pyarrow.fs as fs
 
     system, root = _opened(uri)
     root = root.rstrip("/")
-    out = []
+    if isinstance(system, fs.LocalFileSystem):
+        yield from _local(root, "")
+        return
     for x in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
         path = x.path[len(root) + 1 :]
         if x.type == fs.FileType.File and not any(p[:1] in "_." for p in path.split("/")):
-            out.append(Entry(path, x.size or 0, x.mtime_ns or 0))
-    return sorted(out, key=lambda e: e.path)
-
-
-def packed(some: list[Entry], limit: int) -> list[Files]:
+            yield Entry(path, x.size or 0, x.mtime_ns or 0)
+
+
+def _local(root: str, below: str) -> Iterator[Entry]:
+    folders = []
+    try:
+        with os.scandir(f"{root}/{below}") as found:
+            for x in found:
+                if x.name[:1] in "_.":
+                    continue
+                if x.is_dir():
+                    folders.append(f"{below}{x.name}/")
+                elif x.is_file():
+                    try:
+                        at = x.stat()
+                    except FileNotFoundError:  # moved or deleted since
+                        continue
+                    yield Entry(below + x.name, at.st_size, at.st_mtime_ns)
+    except FileNotFoundError:
+        return
+    for folder in folders:
+        yield from _local(root, folder)
+
+
+def in_order(some: Iterable[Entry], key: Callable[[Entry], object]) -> Iterator[Entry]:
+    """Sorted, ``RUN`` at a time: where there are more, sorted runs wait in temporary files and are merged as they are read."""
+    import heapq
+    import tempfile
+
+    def waiting(f) -> Iterator[Entry]:
+        with f:
+            f.seek(0)
+            while size := f.read(4):
+                yield from _loaded(f.read(int.from_bytes(size, "big")))
+
+    some, runs = iter(some), []
+    while run := sorted(islice(some, RUN), key=key):
+        if not runs and len(run) < RUN:
+            return iter(run)
+        f = tempfile.TemporaryFile()
+        for at in range(0, len(run), CHUNK):
+            raw = _dumped(run[at : at + CHUNK])
+            f.write(len(raw).to_bytes(4, "big") + raw)
+        runs.append(waiting(f))
+    return heapq.merge(*runs, key=key)
+
+
+def packed(some: Iterable[Entry], limit: int) -> list[Files]:
     """Runs of files of about so many bytes."""
-    out: list[list[Entry]] = []
-    have = 0
+    out, own, have = [], [], 0
     for e in some:
         cost = e.size + OPEN_COST
-        if not out or have + cost > limit:
-            out.append([])
-            have = 0
-        out[-1].append(e)
+        if own and have + cost > limit:
+            out.append(Files(own))
+            own, have = [], 0
+        own.append(e)
         have += cost
-    return [Files(x) for x in out]
+    return [*out, Files(own)] if own else out
 
 
 class _Reader:
@@ -167,7 +229,7 @@ class FolderReader(_Reader, DataSourceReader):
         return True
 
     def partitions(self) -> list[Files]:
-        return packed([e for e in entries(self.uri) if self._passes(e)], self.limit)
+        return packed(in_order((e for e in entries(self.uri) if self._passes(e)), lambda e: e.path), self.limit)
 
 
 class FolderStreamReader(_Reader, DataSourceStreamReader):
@@ -178,24 +240,37 @@ class FolderStreamReader(_Reader, DataSourceStreamReader):
     def _place(offset: dict) -> tuple[int, str]:
         return int(offset["modified"]), offset["path"]
 
-    def _between(self, start: tuple[int, str], end: tuple[int, str] | None = None) -> list[Entry]:
-        some = sorted((e for e in entries(self.uri) if start < (e.modified, e.path)), key=lambda e: (e.modified, e.path))
-        return some if end is None else [e for e in some if (e.modified, e.path) <= end]
+    @staticmethod
+    def _at_place(e: Entry) -> tuple[int, str]:
+        return e.modified, e.path
+
+    def _between(self, start: tuple[int, str], passes: Callable[[Entry], bool]) -> Iterator[Entry]:
+        return in_order((e for e in entries(self.uri) if start < self._at_place(e) and passes(e)), self._at_place)
 
     def latestOffset(self) -> dict:
         import time
 
         before = getattr(self, "_at", (-1, ""))
-        waiting = getattr(self, "_waiting", [])
-        if not waiting or (waiting[0].modified, waiting[0].path) <= before:
+        waiting = getattr(self, "_waiting", iter(()))
+        first = next(waiting, None)
+        if first is None or self._at_place(first) <= before:
             rest = time.time_ns() - int(self.settle * 1e9)
-            waiting = [e for e in self._between(before) if e.modified <= rest]
+            waiting = self._between(before, lambda e: e.modified <= rest)
+            first = next(waiting, None)
         # what a batch leaves is taken by the next ones, without another listing
-        n = self.per_batch or len(waiting)
-        some, self._waiting = waiting[:n], waiting[n:]
-        if some:
-            self._at = (some[-1].modified, some[-1].path)
-            self._taken = before, self._at, some
+        self._waiting = waiting
+        if first is not None:
+            last = first
+
+            def some() -> Iterator[Entry]:
+                nonlocal last
+                yield first
+                for last in islice(waiting, self.per_batch - 1 if self.per_batch else None):
+                    yield last
+
+            files = packed(some(), self.limit)
+            self._at = self._at_place(last)
+            self._taken = before, self._at, files
         at = getattr(self, "_at", before)
         return {"modified": at[0], "path": at[1]}
 
@@ -203,8 +278,8 @@ class FolderStreamReader(_Reader, DataSourceStreamReader):
         lo, hi = self._place(start), self._place(end)
         # after a restart the order goes on from what the checkpoint says
         self._at = max(getattr(self, "_at", (-1, "")), hi)
-        before, at, some = getattr(self, "_taken", (None, None, []))
-        return packed(some if (lo, hi) == (before, at) else self._between(lo, hi), self.limit)
+        before, at, files = getattr(self, "_taken", (None, None, []))
+        return files if (lo, hi) == (before, at) else packed(self._between(lo, lambda e: self._at_place(e) <= hi), self.limit)
 
     def commit(self, end: dict) -> None:
         self._at = max(getattr(self, "_at", (-1, "")), self._place(end))

@@ -117,3 +117,58 @@ def test_stream_of_more_files_than_a_batch_takes(spark):
 
     sf = "/root/testdata/sf0.001"
     oracle.check(derived.folder_stream(spark, sf, 150), derived._FILES_SQL, sf)
+
+
+def test_listings_are_held_by_runs(tmp_path, monkeypatch):
+    """A listing is sorted by runs, whatever the number of files, and what the planner holds of it doesn't grow with them by much."""
+    import random
+    import tracemalloc
+
+    some = [folder.Entry(f"documents/{k}.md", k % 7, (k * 31) % 1_000) for k in range(30_000)]
+    random.Random(1).shuffle(some)
+    place = lambda e: (e.modified, e.path)
+    for run, chunk in ((100_000, 1_000), (30_000, 1_000), (1_700, 90), (10_000, 3)):
+        monkeypatch.setattr(folder, "RUN", run)
+        monkeypatch.setattr(folder, "CHUNK", chunk)
+        assert list(folder.in_order(some, place)) == sorted(some, key=place)
+        assert list(folder.in_order(some[:0], place)) == []
+    monkeypatch.setattr(folder, "RUN", 1_000)
+    monkeypatch.setattr(folder, "CHUNK", 100)
+    monkeypatch.setattr(folder, "entries", lambda uri: (folder.Entry(f"documents/{k}.md", 2_000, 10**18 + k * 7_919 % 60_000) for k in range(60_000)))
+    reader = folder.FolderStreamReader.__new__(folder.FolderStreamReader)
+    reader.uri, reader.settle, reader.per_batch, reader.limit = "/x", 0.0, 1_000, folder.PARTITION_BYTES
+    tracemalloc.start()
+    at, n = reader.initialOffset(), 0
+    while (end := reader.latestOffset()) != at:
+        assert reader.partitions(at, end) is reader.partitions(at, end)
+        n += sum(len(p.entries) for p in reader.partitions(at, end))
+        again = folder.packed(reader._between(reader._place(at), lambda e, hi=reader._place(end): place(e) <= hi), reader.limit) if n < 3_000 else None
+        assert again is None or [p.entries for p in again] == [p.entries for p in reader.partitions(at, end)]
+        reader.commit(end)
+        at = end
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 60_000 * 60
+
+
+def test_listing_of_local_folders(tmp_path):
+    """What pyarrow lists: files behind links too, none that is hidden, broken or no file, nothing of a folder that isn't there."""
+    import pyarrow.fs as fs
+
+    for p in ("a/b/c.md", "a/_h/x.md", "a/.h/x.md", "_x.md", "z.md", "ö/ä ü.md"):
+        os.makedirs(os.path.dirname(tmp_path / "r" / p), exist_ok=True)
+        (tmp_path / "r" / p).write_text(p)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/o.md").write_text("o")
+    os.symlink(tmp_path / "other", tmp_path / "r/linked")
+    os.symlink(tmp_path / "r/z.md", tmp_path / "r/file")
+    os.symlink(tmp_path / "nothing", tmp_path / "r/broken")
+    os.mkfifo(tmp_path / "r/pipe")
+    root = str(tmp_path / "r")
+    found = fs.LocalFileSystem().get_file_info(fs.FileSelector(root, recursive=True))
+    want = [folder.Entry(x.path[len(root) + 1 :], x.size, x.mtime_ns) for x in found if x.type == fs.FileType.File]
+    want = sorted((e for e in want if not any(p[:1] in "_." for p in e.path.split("/"))), key=lambda e: e.path)
+    for uri in (root, root + "/", "file://" + root):
+        assert sorted(folder.entries(uri), key=lambda e: e.path) == want
+    assert [e.path for e in want if "/" not in e.path] == ["file", "z.md"]
+    assert list(folder.entries(root + "/none")) == []
